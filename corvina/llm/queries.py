@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import doc_merkle, secret_scan, sp_viterbi, vector_pack
+from . import cap_dedup, doc_merkle, html_consensus, ngram_join, secret_scan, sp_viterbi, url_filter, vector_pack
 from ._common import table
 
 
@@ -24,10 +24,30 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_viterbi.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.main_text(table(spark, sf_dir, "pages"))
+
+
+#: Rules of the registered URL query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -35,7 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_main_text": op5_main_text,
+    "op6_urls": op6_urls,
     "op7_fingerprints": op7_fingerprints,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_near_vectors": op9_near_vectors,
     "op10_packing": op10_packing,
 }
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import WordMemo, gather, ranges, slices, strings
+from ._common import WordMemo, gather, mapped, ranges, slices, strings
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_ids long, ids array<int>, decoded string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, schema)
 
 
 def decode(rows: DataFrame, model_path: str, keep: str = "doc_id") -> DataFrame:
@@ -296,4 +296,4 @@ def decode(rows: DataFrame, model_path: str, keep: str = "doc_id") -> DataFrame:
             texts = pa.array(model.decode(lists.flatten().to_numpy(zero_copy_only=False), counts), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(keep), pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), texts)], [keep, "text"])
 
-    return rows.select(keep, "ids").mapInArrow(run, f"{keep} {dict(rows.dtypes)[keep]}, text string")
+    return mapped(rows.select(keep, "ids"), run, f"{keep} {dict(rows.dtypes)[keep]}, text string")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import WordMemo, gather, slices, split_words, strings
+from ._common import WordMemo, gather, mapped, slices, split_words, strings
 
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 64
@@ -231,4 +231,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits |
         packer.finish()
         yield placed()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, SCHEMA)
