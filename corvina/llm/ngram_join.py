@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, mapped, ranges, slices, split_words, strings
@@ -197,11 +197,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     are never a class's least one unless it has no other; repeated rows link like
     others; other columns are ignored; an empty table gives no rows.
     """
+    signed, nodes, links = _linked(docs, threshold, recall, n)
+    return classes(signed.select("doc_id", "node"), nodes, links)
+
+
+def _key(docs: DataFrame) -> Column:
+    """A row's id, or for rows without one the hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+
+
+def _linked(docs: DataFrame, threshold: float, recall: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their nodes, nodes, verified links)."""
     bands, rows = bands_for(threshold, recall)
-    text = F.col("text").cast("string")
-    # rows without an id get one from their text; sets tell rows of one id apart
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(signatures(docs, bands, rows, n))
     nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min("key").alias("key"))
     members = checkpointed(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))))
@@ -210,7 +218,25 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     wanted = members.select("node").distinct().join(nodes, "node").select("key", "node", "copies")
     found = docs.select("key", "text", F.xxhash64("text").alias("tie")).join(wanted, "key").dropDuplicates(["key", "node", "tie"])
     links = checkpointed(verify(tiles(members, payloads(found, n)), jaccard_at_least(threshold)))
-    return classes(signed.select("doc_id", "node"), nodes, links)
+    return signed, nodes, links
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
+    """The rows of `docs` with all their columns, one of each class: that with the least id.
+
+    Rows without an id stay only where their class has no row with one, and of
+    several of them one stays; of rows that repeat an id one stays for each text.
+    """
+    signed, nodes, links = _linked(docs, threshold, recall, n)
+    roots = components(links.filter("other is not null").select("node", "other"))
+    known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first").isNull().alias("none"), "key").alias("who"))
+    chosen = checkpointed(known.groupBy("root").agg(F.min("who").alias("who")).select("root", F.col("who.key").alias("stays")))
+    stays = known.join(chosen, "root").select("node", "stays")
+    gone = checkpointed(signed.select("key", "node").join(stays, "node").filter("key <> stays").select("key").distinct())
+    left = docs.withColumn("_row_key", _key(docs)).join(gone.withColumnRenamed("key", "_row_key"), "_row_key", "left_anti")
+    if signed.groupBy("key").count().filter("count > 1").limit(1).count():
+        left = left.withColumn("_row_tie", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["_row_key", "_row_tie"])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,6 +244,8 @@ def classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     counts = links.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.filter("other is not null").select("node", "other"))
     known = nodes.join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("first").alias("class_id"))
+    # written, so that the join below deals both sides anew and a large class's part can be split
+    known = checkpointed(known)
+    least = checkpointed(known.groupBy("root").agg(F.min("first").alias("class_id")))
     known = known.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     return rows.join(known, "node").select("doc_id", "class_id", "n_links", "n_copies")

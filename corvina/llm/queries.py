@@ -5,23 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cap_dedup, doc_merkle, html_consensus, ngram_join, secret_scan, sp_viterbi, url_filter, vector_pack
-from ._common import table
+from . import cap_dedup, doc_merkle, html_consensus, ngram_join, quality_cotrain, secret_scan, sp_viterbi, url_filter, vector_pack, warc_fixity
+from ._common import checkpointed, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_cotrain.score(docs, quality_cotrain.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record with what the audit of a damaged replica finds.
+
+    The replica stands for one read from another store: of the pages, those with
+    id % 101 = 7 have a changed digest and those with id % 503 = 11 are gone.
+    """
+    primary = checkpointed(warc_fixity.layout(table(spark, sf_dir, "pages")))
+    hurt = F.when(F.col("page_id") % 101 == 7, F.sha2("digest", 256)).otherwise(F.col("digest"))
+    replica = primary.filter("page_id is null or page_id % 503 <> 11").withColumn("digest", hurt)
+    found = warc_fixity.audit(primary, replica)
+    rows = primary.join(found.select("file", "offset", "status", "replica_digest"), ["file", "offset"], "left").join(warc_fixity.roots(primary), "file")
+    return rows.select("page_id", "file", "offset", "length", "digest", "copies", F.coalesce("status", F.lit("ok")).alias("status"), F.when(F.col("status").isNull(), F.col("digest")).otherwise(F.col("replica_digest")).alias("replica_digest"), "root")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_viterbi.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sp_viterbi.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +69,13 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_pack.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return vector_pack.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
+    "op3_fixity": op3_fixity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_main_text": op5_main_text,
     "op6_urls": op6_urls,

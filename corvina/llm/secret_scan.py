@@ -59,19 +59,19 @@ def _hits(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), F.filter(zipped, lambda x: x["hit"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,gap:int,hit:int,valid:boolean>>"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """One row per span of every row of `doc_id, text`, and one of kind -1 per row.
+def spans(docs: DataFrame, carry: Column) -> DataFrame:
+    """One row per span of every row's `text`, and one of kind -1 per row, which alone has what is to be carried.
 
-    Columns: row (unique), doc_id, kind (index into KINDS), start, end (code points,
+    Columns: row (unique), carry, kind (index into KINDS), start, end (code points,
     end exclusive), reported.  Kind -1 has null positions.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), carry.alias("carry"), text.alias("text"))
     lists = F.array(*[_hits(F.col("text"), pattern, kind) for kind, (_, pattern, _) in enumerate(KINDS)])
     marker = F.array(F.struct(F.lit(DOCUMENT).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("hit"), F.lit(True).alias("valid")))
     found = (
-        base.select("row", "doc_id", F.posexplode(F.concat(marker, F.flatten(lists))).alias("place", "x"))
-        .select("row", "doc_id", "place", "x.*")
+        base.select("row", "carry", F.posexplode(F.concat(marker, F.flatten(lists))).alias("place", "x"))
+        .select("row", F.when(F.col("x.kind") == DOCUMENT, F.col("carry")).alias("carry"), "place", "x.*")
         .repartition("row")
     )
     run = Window.partitionBy("row", "kind").orderBy("place")
@@ -98,7 +98,7 @@ def spans(docs: DataFrame) -> DataFrame:
     linked = scoped.withColumn("part", part)
     linked = linked.withColumn("near_secret", near("secret")).withColumn("near_other", near("id", "endpoint"))
     weak = F.when(F.col("part") == "secret", F.col("near_other")).otherwise(F.col("near_secret"))
-    return linked.filter(F.col("kind") < len(KINDS) - 1).select("row", "doc_id", "kind", "start", "end", (strong | ((F.col("kind") >= STRONG) & weak)).alias("reported"))
+    return linked.filter(F.col("kind") < len(KINDS) - 1).select("row", "carry", "kind", "start", "end", (strong | ((F.col("kind") >= STRONG) & weak)).alias("reported"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -109,10 +109,10 @@ def scan(docs: DataFrame) -> DataFrame:
     gives no rows.  `base_sha256` covers the strong spans, `spans` lists all.
     """
     names = F.array(*[F.lit(name) for name, _, _ in KINDS])
-    rows = spans(docs).filter("reported or kind < 0")
+    rows = spans(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"))).filter("reported or kind < 0")
     item = F.when(F.col("kind") >= 0, F.struct("start", "kind", "end"))
     grouped = rows.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
+        F.max("carry.doc_id").alias("doc_id"),
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{KINDS[k][0]}") for k in range(STRONG)],
         F.sort_array(F.collect_list(item)).alias("items"),
     )
@@ -122,3 +122,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
     base = joined(F.filter("items", lambda x: x["kind"] < STRONG))
     return grouped.select("doc_id", *[f"n_{KINDS[k][0]}" for k in range(STRONG)], F.sha2(base, 256).alias("base_sha256"), joined(F.col("items")).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with all their columns; reported spans of `text` are replaced by "[REDACTED]".
+
+    Rows in which no pattern occurs pass without a shuffle.  Overlapping spans are
+    replaced as one.  A null text stays null; an empty table gives no rows.
+    """
+    some = F.lit(False)
+    for _, pattern, _ in KINDS[:-1]:
+        some = some | F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    rows = spans(docs.filter(some), F.struct(*[F.col(f"`{c}`") for c in docs.columns])).filter("reported or kind < 0")
+    item = F.when(F.col("kind") >= 0, F.struct("start", "end"))
+    grouped = rows.groupBy("row").agg(F.first("carry", ignorenulls=True).alias("carry"), F.sort_array(F.collect_list(item)).alias("items"))
+    text = F.col("carry")["text"]
+
+    def step(done: Column, x: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(x["start"] - done["at"], F.lit(0)).cast("int"))
+        made = F.when(x["start"] >= done["at"], F.concat(done["made"], gap, F.lit("[REDACTED]"))).otherwise(done["made"])
+        return F.struct(F.greatest(done["at"], x["end"].cast("int")).alias("at"), made.alias("made"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
+    cleaned = F.aggregate("items", begin, step, lambda d: F.concat(d["made"], F.substring(text, d["at"] + 1, F.length(text))))
+    changed = grouped.select(*[cleaned.alias(c) if c == "text" else F.col("carry")[c].alias(c) for c in docs.columns])
+    return docs.filter(~some).unionByName(changed)
