@@ -50,6 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` holds about `limit` bytes in each; one row at least."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -40,6 +40,8 @@ for _k, _chars in enumerate(CLASSES):
     CLASS_OF[list(_chars)] = _k
 CLASS_OF[0x80:0xC0] = len(CLASSES) + 1  # continuation bytes
 KINDS = len(CLASSES) + 2
+#: Text handled at once; counting needs some fifty bytes for each of its bytes.
+SLICE = 1 << 19
 
 
 def content(texts: pa.Array) -> np.ndarray:
@@ -196,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = docs.join(F.broadcast(wanted), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             a, b = _features(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.array(list(x), pa.list_(pa.float64())) for x in (a, b))], ["doc_id", "y", "a", "b"])
 
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             p = model.probabilities(*_features(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(p[2] >= keep)], ["doc_id", "p_content", "p_metadata", "score", "keep"])
 
@@ -230,7 +232,7 @@ def good(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """The rows of `docs` that the model keeps, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             yield batch.filter(pa.array(model.probabilities(*_features(batch))[2] >= keep))
 
     return mapped(docs, run, docs.schema)
