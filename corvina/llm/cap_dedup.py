@@ -55,6 +55,8 @@ class Code:
 
     def decode(self, unit: np.ndarray, rounds: slice = slice(None)) -> list[np.ndarray]:
         """Numbers of all directions that each unit vector passes, sorted."""
+        if self.words == 1:
+            return [np.zeros(1, np.int64) for _ in unit]
         unit = unit.astype(np.float32)
         out: list[list[np.ndarray]] = [[] for _ in unit]
         for t, (left, right) in list(enumerate(self.rounds))[rounds]:

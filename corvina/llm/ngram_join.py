@@ -211,7 +211,7 @@ def _linked(docs: DataFrame, threshold: float, recall: float, n: int) -> tuple[D
     bands, rows = bands_for(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(signatures(docs, bands, rows, n))
-    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min("key").alias("key"))
+    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key")).alias("k")).select("node", "copies", "first", F.col("k.key").alias("key"))
     members = checkpointed(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))))
 
     # One text for each node in a bucket; the rows that repeat it go where the join has brought them.

@@ -100,13 +100,13 @@ class View:
         return np.clip(self.slope * z + self.shift, -30, 30)
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 25, offset: np.ndarray | float = 0.0) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ beta + offset, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty * beta)
         beta += step
@@ -122,11 +122,12 @@ def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
-    """Platt scaling; a slope that isn't positive leaves the prior alone."""
+    """Platt scaling, drawn towards the slope 1 where rows are few; a slope that isn't positive leaves the prior alone."""
     if len(np.unique(y)) < 2:
         return
-    shift, slope = _newton(view.logits(x)[:, None], y, np.ones(len(y)), 1e-3)
-    view.slope, view.shift = (slope, shift) if slope > 0 else (0.0, float(np.log(y.mean() / (1 - y.mean()))))
+    z = view.logits(x)
+    shift, more = _newton(z[:, None], y, np.ones(len(y)), 10.0, offset=z)
+    view.slope, view.shift = (1 + more, shift) if more > -1 else (0.0, float(np.log(y.mean() / (1 - y.mean()))))
 
 
 @dataclass

@@ -223,7 +223,8 @@ class Pieces:
         """(ids of all texts, ids of each counted)."""
         texts = strings(texts)
         some = pc.greater(pc.binary_length(texts), 0)
-        runs = pc.any(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))).as_py()
+        # a space at the beginning makes a run with the prefix
+        runs = any(pc.any(f(texts, x)).as_py() for f, x in ((pc.match_substring, "  "), (pc.match_substring, SPACE), (pc.starts_with, " ")))
         texts = pc.replace_substring(texts, " ", SPACE if runs else " " + SPACE)
         if self.prefix:
             texts = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
