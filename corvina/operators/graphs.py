@@ -63,8 +63,8 @@ def control_dependence(functions: DataFrame) -> DataFrame:
 
 
 def control_depth(functions: DataFrame) -> DataFrame:
-    """`depth`: the last layer of a walk over control dependence."""
-    return per_function(functions, lambda n, e, _: [{"depth": max(c_depend.depths(len(n), _dependence(n, e)), default=0)}], "depth int")
+    """`node, depth`: how many layers of decisions stand above each node."""
+    return per_function(functions, lambda n, e, _: [{"node": i, "depth": d} for i, d in enumerate(c_depend.depths(len(n), _dependence(n, e)))], "node int, depth int")
 
 
 def backward_slice(functions: DataFrame, seed_column: str, data_edges: str | None = None) -> DataFrame:

@@ -124,7 +124,9 @@ class Walker:
         if known is None:
             known = False
             if node.tag not in UNEVALUATED and not (node.tag == "unary_expr" and self.tree.kind(node.main) in ("sizeof", "_Alignof")):
-                known = forks(self.tree, node) is not None or node.tag == "stmt_expr" or any(self.has_fork(k) for k in node.kids)
+                known = forks(self.tree, node) is not None or node.tag == "stmt_expr"
+                for k in node.kids:  # a plain loop: it nests as deep as the text does
+                    known = self.has_fork(k) or known
             self.forking[id(node)] = known
         return known
 
@@ -345,12 +347,15 @@ class Walker:
                     live = self.falls(k) if live or k.tag != "compound_stmt" else self.falls_from_inside(k)
             return live
         if tag == "if_stmt":
-            return len(node.arms) < 2 or any(self.falls(k) for k in node.arms)
+            falls = len(node.arms) < 2
+            for k in node.arms:
+                falls = self.falls(k) or falls
+            return falls
         if tag == "switch_stmt":
             held: set[str] = set()
             for k in node.kids:
                 held |= self.held(k)
-            return "default" not in held or "break" in held or all(self.falls(k) for k in node.arms)
+            return "default" not in held or "break" in held or not node.arms or self.falls(node.arms[0])
         return True
 
     def falls_from_inside(self, node: Node) -> bool:

@@ -63,12 +63,9 @@ class Tree:
     def __init__(self, text: str):
         self.text = text
         self.tokens, self.notes = tokenize(text)
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, DEEP))
-        try:
-            self.root = Parser(self).unit()
-        finally:
-            sys.setrecursionlimit(limit)
+        # nesting costs heap, not stack; the walks over the tree go as deep as the parser
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
+        self.root = Parser(self).unit()
 
     def kind(self, i: int) -> str:
         return self.tokens[i].kind if 0 <= i < len(self.tokens) else END
@@ -385,8 +382,9 @@ class Parser:
                 if d.first("param_list"):
                     return self.function(node)
                 self.note("unexpected body")
-                node.kids.append(Node("error", self.i, self.match.get(self.i, len(self.t) - 1) + 1))
+                body = Node("error", self.i)
                 self.skip_one()
+                node.kids.append(self.done(body))
                 return self.done(node)
             if not top and (self.kinds[self.i] in STATEMENT_WORDS or self.at("{")):
                 break

@@ -113,7 +113,7 @@ def post_dominators(spark, sf_dir):
 
 
 def control_depth(spark, sf_dir):
-    return graphs.control_depth(_functions(spark, sf_dir)).select("function", "depth")
+    return graphs.control_depth(_functions(spark, sf_dir)).groupBy("function").agg(F.max("depth").alias("depth"), F.count_if(F.col("depth") == 1).alias("n_inside"))
 
 
 def descendants(spark, sf_dir):
@@ -332,7 +332,7 @@ ORACLE: dict[str, str] = {
     "feature_vectors": _sql("SELECT name, " + ", ".join(f"({x})::DOUBLE AS {c}" for c, x in _FEATURES.items()) + " FROM f"),
     "control_dependence": _sql("SELECT name AS function, r + 2 * w AS n_edges, w AS n_self FROM f WHERE r + w > 0"),
     "post_dominators": _sql(f"SELECT name AS function, {_N} - 1 AS n_placed, 0 AS n_dead_ends FROM f"),
-    "control_depth": _sql("SELECT name AS function, CASE WHEN r > 0 THEN 1 ELSE 0 END AS depth FROM f"),
+    "control_depth": _sql("SELECT name AS function, CASE WHEN r + w > 0 THEN 1 ELSE 0 END AS depth, r + w AS n_inside FROM f"),
     "descendants": _sql(f"SELECT name AS function, {_N} - 1 AS n FROM f"),
     "backward_slices": _sql("SELECT name AS function, 1 AS n FROM f"),
     "graph_problems": "SELECT 'x' AS problem, 0 AS n WHERE false",
