@@ -142,9 +142,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = e.union(e.select("u", "v")).toDF("v", "u")  # v has the neighbour u
-        least = both.groupBy("v").agg(F.min("u").alias("n")).select("v", F.least("v", "n").alias("m"))
+        # written, so that the join deals both sides anew and a hub's neighbours can be split
+        least = checkpointed(both.groupBy("v").agg(F.min("u").alias("n")).select("v", F.least("v", "n").alias("m")))
         large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*")
         e = checkpointed(small.filter("v <> u").distinct())
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
