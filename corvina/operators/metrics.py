@@ -124,6 +124,8 @@ def compare(before: DataFrame, after: DataFrame, metrics: list[str] | None = Non
         _known(m, [*RANKABLE, "gotos"])
     if len({*metrics}) < len(metrics):
         raise ValueError("a measure is named twice")
+    # kept, so that neither side is parsed once for its names and once more for its measures
+    before, after = (side.select("name", *metrics).persist() for side in (before, after))
     for side in (before, after):
         if twice := duplicate_names(side).select("name").limit(1).collect():
             raise ValueError(f"function {twice[0][0]!r} is defined more than once")

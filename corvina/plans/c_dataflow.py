@@ -256,7 +256,7 @@ def solve(flow: Flow, graph: c_graph.Graph) -> None:
                     queued[y] = True
                     work.append(y)
     for k, u in enumerate(flow.uses):
-        same = [i for i in by_node[u["node"]] if flow.definitions[i]["binding"] == u["binding"] and flow.definitions[i]["kind"] != "parameter" or u["node"] == 0 and False]
+        same = [i for i in by_node[u["node"]] if flow.definitions[i]["binding"] == u["binding"] and flow.definitions[i]["kind"] != "parameter"]
         done = [i for i in same if flow.definitions[i]["effect_at"] <= u["lo"]]
         strong = [i for i in done if flow.definitions[i]["kind"] not in WEAK]
         if strong:
@@ -318,11 +318,14 @@ def summaries(tree: Tree, policy: str = "unknown") -> list[Summary]:
     recovered = [any(n.tag == "error" for n in f.walk()) for f in functions]
     made = [Summary(i, names[i], flows[i][0].n_parameters, False) for i in range(len(functions))]
     local = [not flows[i][0].issues and not recovered[i] and all(c["callee"] for c in flows[i][0].calls) for i in range(len(functions))]
-    for _ in range(BUDGET * max(1, len(functions))):
+    prepared = [_prepare(f, flow, graph) for f, (flow, graph) in zip(functions, flows, strict=True)]
+    # only functions that call another of the text can change after the first round
+    inside = [i for i in range(len(functions)) if any(c["callee"] in by_name for c in flows[i][0].calls)]
+    for turn in range(BUDGET * max(1, len(functions))):
         before = [(set(m.returns), set(m.transfers)) for m in made]
-        for i, f in enumerate(functions):
-            _trace(tree, f, *flows[i], made[i], made, by_name, policy)
-        if before == [(m.returns, m.transfers) for m in made]:
+        for i in inside if turn else range(len(functions)):
+            _trace(flows[i][0], flows[i][1], prepared[i], made[i], made, by_name, policy)
+        if not inside or before == [(m.returns, m.transfers) for m in made]:
             break
     # complete: nothing unknown in the function nor in anything it calls (greatest fixpoint)
     complete = list(local)
@@ -339,22 +342,33 @@ def summaries(tree: Tree, policy: str = "unknown") -> list[Summary]:
     return made
 
 
-def _trace(tree: Tree, function: Node, flow: Flow, graph: c_graph.Graph, mine: Summary, made: list[Summary], by_name: dict[str, int], policy: str) -> None:
+def _prepare(function: Node, flow: Flow, graph: c_graph.Graph) -> dict:
+    """What tracing needs of a function whatever its callees: nodes under each decision, uses of each definition, definitions on each node, returns."""
     from . import c_depend
 
     n = len(graph.kinds)
-    ipdom, _ = c_depend.post_dominators(n, [(e[0], e[1]) for e in graph.edges])
     controls: dict[int, set[int]] = {}
-    for on, node, _ in c_depend.control_dependence(n, [(e[0], e[1], e[2]) for e in graph.edges], ipdom):
-        controls.setdefault(on, set()).add(node)
+    if any(k in ("cond", "loop_header", "switch") for k in graph.kinds):
+        ipdom, _ = c_depend.post_dominators(n, [(e[0], e[1]) for e in graph.edges])
+        for on, node, _ in c_depend.control_dependence(n, [(e[0], e[1], e[2]) for e in graph.edges], ipdom):
+            controls.setdefault(on, set()).add(node)
     reached: dict[int, list[int]] = {}
     for d, u in flow.edges:
         reached.setdefault(d, []).append(u)
+    written: dict[int, list[int]] = {}
+    for i, d in enumerate(flow.definitions):
+        if d["node"] is not None and d["kind"] not in ("parameter", "address_taken"):
+            written.setdefault(d["node"], []).append(i)
+    return {"controls": controls, "reached": reached, "written": written, "returns": [x for x in function.walk() if x.tag == "return_stmt"]}
+
+
+def _trace(flow: Flow, graph: c_graph.Graph, prepared: dict, mine: Summary, made: list[Summary], by_name: dict[str, int], policy: str) -> None:
+    controls, reached, written, returns = (prepared[k] for k in ("controls", "reached", "written", "returns"))
 
     def carries(call: dict, argument: int) -> bool:
         target = by_name.get(call["callee"])
         if target is None:
-            return policy == "taint_return" or policy == "unknown" and False
+            return policy == "taint_return"
         return argument in made[target].returns
 
     def filtered(u: dict, top: tuple[int, int]) -> bool:
@@ -366,7 +380,6 @@ def _trace(tree: Tree, function: Node, flow: Flow, graph: c_graph.Graph, mine: S
                         return False
         return True
 
-    returns = [x for x in function.walk() if x.tag == "return_stmt"]
     for p in range(flow.n_parameters):
         tainted_definitions, tainted_uses = {p}, set()
         tainted_nodes: set[int] = set()
@@ -377,16 +390,18 @@ def _trace(tree: Tree, function: Node, flow: Flow, graph: c_graph.Graph, mine: S
                     continue
                 tainted_uses.add(k)
                 u = flow.uses[k]
-                for i, d in enumerate(flow.definitions):
-                    if i not in tainted_definitions and d["node"] == u["node"] and d["kind"] not in ("parameter", "address_taken") and _writes(tree, function, d, u) and filtered(u, (d["lo"], d["effect_at"])):
+                for i in written.get(u["node"], []):
+                    d = flow.definitions[i]
+                    # the use stands in what the definition writes
+                    if i not in tainted_definitions and d["lo"] <= u["lo"] and u["hi"] <= d["effect_at"] and filtered(u, (d["lo"], d["effect_at"])):
                         tainted_definitions.add(i)
                         work.append(i)
                 if graph.kinds[u["node"]] in ("cond", "loop_header", "switch"):
                     for node in controls.get(u["node"], ()):
                         if node not in tainted_nodes:
                             tainted_nodes.add(node)
-                            for i, d in enumerate(flow.definitions):
-                                if d["node"] == node and i not in tainted_definitions and d["kind"] not in ("parameter", "address_taken"):
+                            for i in written.get(node, []):
+                                if i not in tainted_definitions:
                                     tainted_definitions.add(i)
                                     work.append(i)
         for k in tainted_uses:
@@ -401,11 +416,6 @@ def _trace(tree: Tree, function: Node, flow: Flow, graph: c_graph.Graph, mine: S
             mine.returns.add(p)
 
 
-def _writes(tree: Tree, function: Node, d: dict, u: dict) -> bool:
-    """Whether a use stands in what is written by a definition (its right-hand side, or itself for a compound write)."""
-    return d["lo"] <= u["lo"] and u["hi"] <= d["effect_at"]
-
-
 def reaches(made: list[Summary], source: str, parameter: int, sink: str) -> dict:
     """Whether a parameter of `source` may come to `sink`: verdict yes, unknown or no, a path, what was explored, and why it is uncertain."""
     named: dict[str, list[Summary]] = {}

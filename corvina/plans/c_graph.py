@@ -27,6 +27,7 @@ class Graph:
     edges: list[list] = field(default_factory=list)  # src, dst, kind, back
     notes: list[str] = field(default_factory=list)
     short_circuits: int = 0
+    left_out: bool = False  # whether a statement that control can't reach was skipped
 
     def reach(self, starts: list[int], reverse: bool = False) -> list[bool]:
         """Nodes on a path from the starts, or to them."""
@@ -86,7 +87,7 @@ class Walker:
         self.whole = tree.span(function)
         self.forking: dict[int, bool] = {}
         self.holding: dict[int, frozenset[str]] = {}
-        self.taken = sorted({tree.word(n.lo + 1) for n in function.walk() if n.tag == "label_addr"})
+        self.taken = sorted({tree.word(n.lo + 1) for n in function.walk() if n.tag == "label_addr"}) if tree.has_label_addresses else []
         self.add("entry", self.whole)
         self.add("exit", self.whole)
         self.frontier = [(0, "fall")]
@@ -120,6 +121,8 @@ class Walker:
 
     # -- expressions ---------------------------------------------------------------
     def has_fork(self, node: Node) -> bool:
+        if not self.tree.may_fork:
+            return False
         known = self.forking.get(id(node))
         if known is None:
             known = False
@@ -205,6 +208,7 @@ class Walker:
     def statement(self, node: Node, live: bool) -> bool:
         """Place a statement; whether control can fall out of its end."""
         if not live and not self.syntactic and not self.entered(node):
+            self.g.left_out = True
             return False
         tag, span = node.tag, self.tree.span(node)
         if tag == "compound_stmt":
@@ -451,10 +455,13 @@ class Walker:
 
 def graph_of(tree: Tree, function: Node, syntactic: bool = False) -> Graph:
     """The graph of a function.  Labels count once a goto that is placed names them; rounds end when none is added."""
+    walker = Walker(tree, function, syntactic, set())
+    if not walker.gotos:
+        return walker.g
     targets: set[str] = set()
     every = {tree.word(n.lo) for n in function.walk() if n.tag == "label_stmt"}
-    for _ in range(LABEL_ROUNDS):
-        walker = Walker(tree, function, syntactic, targets)
+    for turn in range(LABEL_ROUNDS):
+        walker = Walker(tree, function, syntactic, targets) if turn else walker
         more = targets | {name for _, name in walker.gotos if name in every}
         if more == targets:
             return walker.g

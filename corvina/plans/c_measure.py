@@ -109,7 +109,9 @@ def unit(text: str, graphs: bool = True, tokens: bool = False) -> dict:
         if graphs:
             g = c_graph.graph_of(tree, f)
             live, ends = g.live(), g.ends()
-            row |= {"short_circuits": g.short_circuits, "unreachable_statements": c_graph.graph_of(tree, f, syntactic=True).metrics()["unreachable_nodes"]}
+            # without a statement left out the second graph would be the first
+            dead = c_graph.graph_of(tree, f, syntactic=True).live().count(False) if g.left_out else live.count(False)
+            row |= {"short_circuits": g.short_circuits, "unreachable_statements": dead}
             row["cfg_nodes"] = [{"id": i, "kind": k, "lo": where.byte(s[0]), "hi": where.byte(s[1]), "internal": x, "live": a, "ends": b} for i, (k, s, x, a, b) in enumerate(zip(g.kinds, g.spans, g.internal, live, ends, strict=True))]
             row["cfg_edges"] = [{"ord": i, "src": e[0], "dst": e[1], "kind": e[2], "back": e[3]} for i, e in enumerate(g.edges)]
         functions.append(row)

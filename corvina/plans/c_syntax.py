@@ -26,6 +26,7 @@ DECORATION = {"__attribute__", "__declspec", "__cdecl", "asm", "_Alignas"}
 SPECIFIERS = STORAGE | QUALIFIERS | BASE_TYPES | TAGGED | {"typeof", "__attribute__", "__declspec", "_Alignas"}
 ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="}
 LEVELS = [{"||"}, {"&&"}, {"|"}, {"^"}, {"&"}, {"==", "!="}, {"<", ">", "<=", ">="}, {"<<", ">>"}, {"+", "-"}, {"*", "/", "%"}]
+LEVEL_OF = {op: n for n, ops in enumerate(LEVELS) for op in ops}
 PREFIX = {"++", "--", "+", "-", "!", "~", "*", "&", "sizeof", "_Alignof", "__extension__", "__real__", "__imag__"}
 STATEMENT_WORDS = {"if", "while", "do", "for", "switch", "case", "default", "goto", "break", "continue", "return"}
 CLOSING = {"(": ")", "[": "]", "{": "}"}
@@ -63,6 +64,8 @@ class Tree:
     def __init__(self, text: str):
         self.text = text
         self.tokens, self.notes = tokenize(text)
+        self.has_label_addresses = False
+        self.may_fork = any(t.kind in ("&&", "||", "?") for t in self.tokens)
         # nesting costs heap, not stack; the walks over the tree go as deep as the parser
         sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
         self.root = Parser(self).unit()
@@ -659,7 +662,7 @@ class Parser:
         return self.done(node)
 
     def conditional(self) -> Node:
-        test = self.binary(0)
+        test = self.binary()
         if not self.at("?"):
             return test
         node = Node("cond_expr", test.lo, kids=[test], main=self.take())
@@ -672,13 +675,13 @@ class Parser:
     def conditional_or_assignment(self) -> Node:
         return self.assignment()
 
-    def binary(self, level: int) -> Node:
+    def binary(self) -> Node:
         """Flat chains; levels are climbed in a loop so that a plain operand costs one call."""
         chains: list[tuple[int, Node]] = []  # level, open chain
         left = self.cast()
         while True:
             k = self.kinds[self.i]
-            found = next((n for n in range(level, len(LEVELS)) if k in LEVELS[n]), -1)
+            found = LEVEL_OF.get(k, -1)
             while chains and chains[-1][0] > found:
                 _, chain = chains.pop()
                 chain.kids.append(left)
@@ -754,6 +757,7 @@ class Parser:
             node.kids.append(self.cast())
             return self.done(node)
         if k == "&&" and self.kinds[self.i + 1] == IDENT:
+            self.tree.has_label_addresses = True
             node = Node("label_addr", self.take())
             self.take()
             return self.done(node)
@@ -776,6 +780,7 @@ class Parser:
             return Node("literal", lo, self.i, main=lo)
         if k == "(":
             if self.kinds[self.i + 1] == "{":
+                self.tree.may_fork = True
                 node = Node("stmt_expr", self.take())
                 node.kids.append(self.compound())
                 self.expect(")", "expected ')'")

@@ -71,39 +71,42 @@ def tokenize(text: str) -> tuple[list[Token], list[Note]]:
     """Tokens of a text, without white space and comments, and what was odd about it."""
     out: list[Token] = []
     notes: list[Note] = []
-    pos, size = 0, len(text)
-    while pos < size:
-        m = SCAN.match(text, pos)
-        group, piece, lo = m.lastgroup, m[0], pos
-        pos = m.end()
-        if group in ("space", "comment"):
-            continue
-        if group == "open":
-            again = RESUME.search(text, pos)
-            pos = again.start() if again else size
-            notes.append(Note("error", "unterminated comment", lo, pos))
-            continue
-        if m["string"] is not None:
-            kind = STRING
-            if not m["s_end"]:
-                notes.append(Note("error", "unterminated string literal", lo, pos))
-        elif m["char"] is not None:
-            kind = CHAR
-            if not m["c_end"]:
-                notes.append(Note("error", "unterminated character literal", lo, pos))
-        elif m["number"] is not None:
-            hexadecimal = piece[:2] in ("0x", "0X")
-            kind = FLOAT if HEX_FLOAT.match(piece) or not hexadecimal and re.search(r"[.eE]", piece) else INT
-        elif m["word"] is not None:
-            kind = CANONICAL.get(piece, IDENT)
-        elif m["register"] is not None:
-            kind = REGISTER
-        elif m["punct"] is not None:
-            kind = piece
+    pos = 0
+    while pos < len(text):
+        for m in SCAN.finditer(text, pos):
+            group = m.lastgroup
+            if group == "space" or group == "comment":
+                continue
+            lo, pos = m.span()
+            piece = m[0]
+            if group == "word":
+                kind = CANONICAL.get(piece, IDENT)
+            elif group == "punct":
+                kind = piece
+            elif group == "number":
+                hexadecimal = piece[:2] in ("0x", "0X")
+                kind = FLOAT if HEX_FLOAT.match(piece) or not hexadecimal and re.search(r"[.eE]", piece) else INT
+            elif group == "string":
+                kind = STRING
+                if not m["s_end"]:
+                    notes.append(Note("error", "unterminated string literal", lo, pos))
+            elif group == "char":
+                kind = CHAR
+                if not m["c_end"]:
+                    notes.append(Note("error", "unterminated character literal", lo, pos))
+            elif group == "register":
+                kind = REGISTER
+            elif group == "open":
+                again = RESUME.search(text, pos)
+                pos = again.start() if again else len(text)
+                notes.append(Note("error", "unterminated comment", lo, pos))
+                break
+            else:
+                kind = UNKNOWN
+                notes.append(Note("error", "unexpected character", lo, pos))
+            out.append(Token(kind, piece, lo, pos))
         else:
-            kind = UNKNOWN
-            notes.append(Note("error", "unexpected character", lo, pos))
-        out.append(Token(kind, piece, lo, pos))
+            break
     return out, notes
 
 

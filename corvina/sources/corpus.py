@@ -67,7 +67,9 @@ def order_functions(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> D
 
 def order_sources(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> DataFrame:
     """Files of `FILE_FUNCTIONS` order functions each, as sources."""
-    rows = order_functions(spark, sf_dir, loop_above)
+    # parsing costs more than moving: a stated number of partitions isn't merged by size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = order_functions(spark, sf_dir, loop_above).repartition(tasks, "source_id")
     grouped = rows.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "body"))).alias("x"))
     return grouped.select("source_id", F.concat(F.col("source_id"), F.lit(".c")).alias("path"), F.lit("ordinary").alias("dialect"), F.array_join(F.col("x.body"), "\n").alias("text"))
 
