@@ -86,3 +86,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {}
+
+
+def _fixity_sql() -> str:
+    nl, crlf = "chr(10)", "chr(13) || chr(10)"
+    record = (
+        f"'WARC/1.0' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Date: {warc_fixity.DATE}' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || {crlf} "
+        f"|| 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} || coalesce(html, '') || {crlf} || {crlf}"
+    )
+    levels = "".join(
+        f", n{k + 1} AS (SELECT file, node >> {warc_fixity.FAN_BITS} AS node, sha256(string_agg(node || ' ' || hash, {nl} ORDER BY node)) AS hash FROM n{k} GROUP BY file, node >> {warc_fixity.FAN_BITS})" for k in range(warc_fixity.LEVELS)
+    )
+    return f"""WITH rec AS (SELECT page_id, sha256(r) AS digest, strlen(r) AS length, count(*) AS copies FROM (SELECT page_id, {record} AS r FROM pages) GROUP BY ALL),
+      f AS (SELECT *, coalesce(CAST(CAST(floor(page_id / {warc_fixity.FILE_PAGES}) AS BIGINT) AS VARCHAR), 'null-' || left(digest, 2)) AS file FROM rec),
+      l AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest) - length AS BIGINT) AS "offset" FROM f),
+      n0 AS (SELECT file, "offset" >> {warc_fixity.LEAF_BITS} AS node, sha256(string_agg("offset" || ' ' || length || ' ' || digest, {nl} ORDER BY "offset", length, digest)) AS hash FROM l GROUP BY file, "offset" >> {warc_fixity.LEAF_BITS}){levels},
+      t AS (SELECT file, sha256(string_agg(hash, {nl} ORDER BY hash)) AS root FROM n{warc_fixity.LEVELS} GROUP BY file)
+      SELECT page_id, file, "offset", length, digest, copies, CASE WHEN page_id % 503 = 11 THEN 'missing' WHEN page_id % 101 = 7 THEN 'corrupt' ELSE 'ok' END AS status,
+        CASE WHEN page_id % 503 = 11 THEN NULL WHEN page_id % 101 = 7 THEN sha256(digest) ELSE digest END AS replica_digest, root FROM l JOIN t USING (file)"""
+
+
+def _merkle_sql() -> str:
+    def tree(text: str) -> str:
+        return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{doc_merkle.LEAF}'), lambda x: sha256(x))))"
+
+    def printed(t: str) -> str:
+        root = f"sha256(list_aggregate(list_transform({t}, lambda s: sha256(list_aggregate(list_transform(s, lambda p: sha256(coalesce(list_aggregate(p, 'string_agg', ''), ''))), 'string_agg', ''))), 'string_agg', ''))"
+        leaves = f"list_aggregate(list_transform({t}, lambda s: list_aggregate(list_transform(s, lambda p: coalesce(list_aggregate(list_transform(p, lambda x: left(x, {doc_merkle.LEAF_HEX})), 'string_agg', ''), '')), 'string_agg', ',')), 'string_agg', ';')"
+        return f"{root} || ':' || {leaves}"
+
+    def counted(text: str) -> str:  # leaves with their number of repetitions, from a row's text
+        return f"SELECT doc_id, leaf, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(substr({text}, 66), '[0-9a-f]{{{doc_merkle.LEAF_HEX}}}')) AS leaf FROM d) GROUP BY ALL"
+
+    near = "CASE WHEN {p} = {q} THEN 1.0 WHEN coalesce(a.n, 0) + coalesce({t}.n, 0) = 0 THEN 0.0 ELSE 2.0 * coalesce({c}.n, 0) / (coalesce(a.n, 0) + coalesce({t}.n, 0)) END::DOUBLE"
+    total = "(SELECT doc_id, sum(n)::BIGINT AS n FROM {t} GROUP BY doc_id)"
+    common = "(SELECT x.doc_id, sum(least(x.n, y.n))::BIGINT AS n FROM la x JOIN {t} y ON x.doc_id = y.doc_id AND x.leaf = y.leaf GROUP BY 1)"
+    return f"""WITH o AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM documents),
+      e AS (SELECT doc_id, text, coalesce(next, '') AS next, left(text, length(text) - length(text) // 2) || left(coalesce(next, ''), length(text) // 2) AS edited FROM o),
+      d AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {printed(tree('text'))} AS p, {printed(tree('edited'))} AS q, {printed(tree('next'))} AS r FROM e),
+      la AS ({counted('p')}), lb AS ({counted('q')}), lc AS ({counted('r')})
+      SELECT d.doc_id, n_chars, edited_sha256, p AS fingerprint, q AS edited_fingerprint, {near.format(p='p', q='q', t='b', c='ab')} AS near_edited, {near.format(p='p', q='r', t='c', c='ac')} AS near_next
+      FROM d LEFT JOIN {total.format(t='la')} a ON d.doc_id = a.doc_id LEFT JOIN {total.format(t='lb')} b ON d.doc_id = b.doc_id LEFT JOIN {total.format(t='lc')} c ON d.doc_id = c.doc_id
+      LEFT JOIN {common.format(t='lb')} ab ON d.doc_id = ab.doc_id LEFT JOIN {common.format(t='lc')} ac ON d.doc_id = ac.doc_id"""
+
+
+_REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a)"
+
+_JOIN_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pM\\pN_]+') AS words FROM documents),
+  s AS (SELECT id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {ngram_join.N} THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - {ngram_join.N} + 2), lambda i: array_to_string(words[i:i + {ngram_join.N - 1}], ' ')) END) AS g FROM w),
+  u AS (SELECT id, len(g) AS size, unnest(g) AS x FROM s), nodes AS (SELECT id, g, len(g) AS size FROM s),
+  pairs AS (SELECT p.id AS a, q.id AS b, count(*) AS n, any_value(p.size) AS i, any_value(q.size) AS j FROM u p JOIN u q ON p.x = q.x AND p.id <> q.id GROUP BY 1, 2),
+  links AS (SELECT a, b, n = i AND n = j AS same FROM pairs WHERE n >= {ngram_join.THRESHOLD} * (i + j - n) - 1e-9 UNION ALL SELECT p.id, q.id, true FROM nodes p JOIN nodes q ON p.id <> q.id WHERE p.size = 0 AND q.size = 0), {_REACH}
+  SELECT nodes.id AS doc_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_links, 1 + (SELECT count(*) FROM links WHERE a = nodes.id AND same) AS n_copies FROM nodes JOIN reach ON nodes.id = reach.id GROUP BY nodes.id"""
+
+_VECTOR_SQL = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  ok AS (SELECT * FROM nodes WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+  links AS (SELECT p.id AS a, q.id AS b FROM ok p JOIN ok q ON p.id <> q.id AND len(p.v) = len(q.v) WHERE list_cosine_similarity(p.v, q.v) >= {cap_dedup.THRESHOLD}), {_REACH}
+  SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_links, min(other) AS component_id, nodes.id = min(other) AS kept FROM nodes JOIN reach ON nodes.id = reach.id GROUP BY nodes.id"""
+
+ORACLE |= {"op3_fixity": _fixity_sql(), "op7_fingerprints": _merkle_sql(), "op8_ngram_join": _JOIN_SQL, "op9_near_vectors": _VECTOR_SQL}
