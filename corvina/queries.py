@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as texts
-from .operators import evaluation, exports, flow, graphs, metrics
+from .operators import annotations, evaluation, exports, flow, graphs, metrics
 from .plans import stage
 from .sources import corpus
 
@@ -202,6 +202,38 @@ def reach_claims(spark, sf_dir):
     return flow.query_reaches(rows).select("from_function", "claim", F.array_join("uncertainty", ",").alias("uncertainty"))
 
 
+def loop_bounds(spark, sf_dir):
+    return annotations.loop_bounds(corpus.order_sources(spark, sf_dir)).groupBy("loop", "bound_kind").agg(F.count("*").alias("n"))
+
+
+def constant_loops(spark, sf_dir):
+    """Bounds of `for` loops that the order tables state: a literal for small orders, a parameter for others."""
+    bound = F.when(F.col("o_orderkey") % 3 == 0, "n").otherwise(F.format_string("%d", F.col("o_orderkey") % 100))
+    text = F.concat(F.lit("void f(int n) { for (int i = 0; i < "), bound, F.lit("; i += 2) g(i); }"))
+    rows = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism).select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))
+    return annotations.loop_bounds(rows).select("source_id", "bound_kind", "induction", "start", "bound", "step")
+
+
+def stated_facts(spark, sf_dir):
+    """Facts in comments above functions, some of parameters that don't exist."""
+    name = F.when(F.col("o_orderkey") % 4 == 0, "q").otherwise("p")
+    text = F.concat(F.lit("// @fact capacity("), name, F.lit(") = n\n// @fact unroll = "), F.col("o_orderkey").cast("string"), F.lit("\nint f(char *p, int n) { return 0; }\n"))
+    rows = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism).select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))
+    return annotations.facts(rows).select("source_id", "kind", "parameter", "value", "problem")
+
+
+def ast_tags(spark, sf_dir):
+    return annotations.ast_nodes(corpus.order_sources(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def source_provenance(spark, sf_dir):
+    """Functions of the later corpus against the names of even orders."""
+    functions = _functions(spark, sf_dir, graphs=False)
+    names = _read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select((F.floor(F.col("o_orderkey") / corpus.FILE_FUNCTIONS)).cast("string").alias("source_id"), F.format_string("order_%d", "o_orderkey").alias("name"))
+    notes = stage.diagnostics(stage.parse(corpus.order_sources(spark, sf_dir), graphs=False))
+    return annotations.provenance(functions, names, notes).select("name", "origin", "recovery_qualified")
+
+
 # -- texts -------------------------------------------------------------------------------------
 
 
@@ -331,6 +363,20 @@ ORACLE: dict[str, str] = {
     "report_compare": _TWO + _COMPARED + " FROM f JOIN fm ON f.name = fm.name JOIN gm ON f.name = gm.name",
     "compare_totals": _TWO + " UNION ALL ".join(f"SELECT '{m}' AS metric, sum(fm.{m})::BIGINT AS before, sum(gm.{m})::BIGINT AS after, (sum(gm.{m}) - sum(fm.{m}))::BIGINT AS delta FROM fm JOIN gm ON fm.name = gm.name" for m in _COMPARE),
     "feature_vectors": _sql("SELECT name, " + ", ".join(f"({x})::DOUBLE AS {c}" for c, x in _FEATURES.items()) + " FROM f"),
+    "loop_bounds": _sql("SELECT loop, bound_kind, n FROM (SELECT 'while' AS loop, 'runtime' AS bound_kind, sum(w)::BIGINT AS n FROM f) WHERE n > 0"),
+    "constant_loops": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, CASE WHEN o_orderkey % 3 = 0 THEN 'parameter' ELSE 'constant' END AS bound_kind, 'i' AS induction, 0 AS start, CASE WHEN o_orderkey % 3 = 0 THEN 'n' ELSE CAST(o_orderkey % 100 AS VARCHAR) END AS bound, 2 AS step FROM orders",
+    "stated_facts": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'unroll' AS kind, NULL AS parameter, CAST(o_orderkey AS VARCHAR) AS value, NULL AS problem FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 4 <> 0 THEN 'capacity' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'p' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'n' END, CASE WHEN o_orderkey % 4 = 0 THEN 'f has no parameter q' END FROM orders",
+    "source_provenance": "SELECT 'order_' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN 'source' ELSE 'generated' END AS origin, false AS recovery_qualified FROM orders",
+    "tokens_by_kind": _sql(
+        "SELECT kind, n FROM (SELECT unnest(['int', 'identifier', 'integer', '(', ')', '{', '}', ',', '=', ';', 'return', 'if', '>', 'while', '<', '+']) AS kind, unnest([4 * count(*), sum(5 + 3 * r + 3 * w + 4 * c), sum(1 + 2 * r + 2 * w + c), sum(1 + r + w + c), "
+        "sum(1 + r + w + c), sum(1 + r + w), sum(1 + r + w), sum(1 + c), sum(1 + r + w + c), sum(2 + r + w + c), count(*), sum(r), sum(r), sum(w), sum(w), sum(r + w + c)])::BIGINT AS n FROM f) WHERE n > 0"),
+    "chain_contraction": f"""WITH {_base()}, p AS (SELECT l_orderkey, k, lead(k) OVER o AS next, lag(k) OVER o AS before FROM (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k FROM lineitem) WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE k WHEN 'r' THEN 0 WHEN 'c' THEN 1 ELSE 2 END)),
+      m AS (SELECT l_orderkey, count(*) FILTER (before IS NULL AND k <> 'w') + count(*) FILTER (k = 'c' AND coalesce(next, 'r') <> 'w') AS merged FROM p GROUP BY 1)
+      SELECT name AS function, {_N} - coalesce(merged, 1) AS n_blocks FROM f LEFT JOIN m ON o_orderkey = l_orderkey""",
+    "node_degrees": f"""WITH {_base()}, p AS (SELECT l_orderkey, k, lead(k) OVER o AS next, CASE WHEN lag(k) OVER o = 'r' THEN 2 ELSE 1 END AS i FROM (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE k WHEN 'r' THEN 0 WHEN 'c' THEN 1 ELSE 2 END)),
+      d AS (SELECT 0 AS i, 1 AS o FROM f UNION ALL SELECT 1, 0 FROM f UNION ALL SELECT 1, 1 FROM f UNION ALL SELECT 1, 1 FROM f WHERE r + w + c = 0 UNION ALL SELECT CASE WHEN k = 'r' THEN 2 ELSE 1 END, 1 FROM p WHERE next IS NULL
+        UNION ALL SELECT i + CASE WHEN k = 'w' THEN 1 ELSE 0 END, CASE WHEN k = 'c' THEN 1 ELSE 2 END FROM p UNION ALL SELECT 1, 1 FROM p WHERE k <> 'c')
+      SELECT i AS in_degree, o AS out_degree, count(*) AS n FROM d GROUP BY ALL""",
     "control_dependence": _sql("SELECT name AS function, r + 2 * w AS n_edges, w AS n_self FROM f WHERE r + w > 0"),
     "post_dominators": _sql(f"SELECT name AS function, {_N} - 1 AS n_placed, 0 AS n_dead_ends FROM f"),
     "control_depth": _sql("SELECT name AS function, CASE WHEN r + w > 0 THEN 1 ELSE 0 END AS depth, r + w AS n_inside FROM f"),
@@ -368,7 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, export_dot, data_flow_counts,
-        dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure,
     )
 }
