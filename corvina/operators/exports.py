@@ -33,6 +33,30 @@ def cdg_views(functions: DataFrame, dependence: DataFrame) -> DataFrame:
     return views.select("source_id", "function_id", "name", "nodes", edges.alias("edges"))
 
 
+def flow_views(flows: DataFrame) -> DataFrame:
+    """Data dependence graphs as views: definitions first, then uses, numbered on; dead stores and unresolved uses are marked."""
+    n = F.size("definitions")
+    definitions = F.transform("definitions", lambda d: F.struct(d["def"].alias("id"), F.concat(F.lit("def "), d["variable"]).alias("label"), _attrs(kind=d["kind"], start=d["lo"], end=d["hi"], dead=F.array_contains("dead_stores", d["def"])).alias("attrs")))
+    uses = F.transform("uses", lambda u: F.struct((u["use"] + n).alias("id"), F.concat(F.lit("use "), u["variable"]).alias("label"), _attrs(kind=F.lit("use"), start=u["lo"], end=u["hi"], unresolved=F.array_contains("unresolved", u["use"])).alias("attrs")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    edges = F.transform("edges", lambda e: F.struct(e["def"].alias("src"), (e["use"] + n).alias("dst"), e["variable"].alias("label"), none.alias("attrs")))
+    return flows.select("source_id", "function_id", F.col("function").alias("name"), F.concat(definitions, uses).alias("nodes"), edges.alias("edges"))
+
+
+def pdg_views(functions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Program dependence graphs as views, from `flow.pdg_edges` rows."""
+    return cdg_views(functions, edges.select("source_id", "function_id", F.col("src").alias("on"), F.col("dst").alias("node"), "kind"))
+
+
+def ast_views(nodes: DataFrame, functions: DataFrame) -> DataFrame:
+    """Syntax trees as views, from `annotations.ast_nodes` rows."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    kept = nodes.groupBy("source_id", "function_id").agg(F.sort_array(F.collect_list(F.struct("node", "parent", "tag", "lo", "hi"))).alias("x"))
+    shown = F.transform("x", lambda n: F.struct(n["node"].alias("id"), n["tag"].alias("label"), _attrs(start=n["lo"], end=n["hi"]).alias("attrs")))
+    edges = F.transform(F.filter("x", lambda n: n["parent"].isNotNull()), lambda n: F.struct(n["parent"].alias("src"), n["node"].alias("dst"), F.lit("").alias("label"), none.alias("attrs")))
+    return kept.join(functions.select("source_id", "function_id", "name"), ["source_id", "function_id"]).select("source_id", "function_id", "name", shown.alias("nodes"), edges.alias("edges"))
+
+
 def _quoted(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return F.concat(F.lit('"'), F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'))

@@ -184,3 +184,31 @@ def best_by_name(functions: DataFrame) -> DataFrame:
 def size_delta(pairs: DataFrame) -> DataFrame:
     """The stand-in distance of all pairs, in SQL: differences of node and edge counts."""
     return pairs.select("pair_id", (F.abs(F.size("left") - F.size("right")) + F.abs(F.col("left_edges") - F.col("right_edges"))).cast("long").alias("distance"))
+
+
+def parity_blocks(sources: DataFrame) -> DataFrame:
+    """`name, nodes, edges, entry, exit, degenerate` of the block graph of every scoreable function; of one name in a source the larger, then the first."""
+    from ..plans import c_parity
+    from .flow import _rows
+
+    schema = "source_id string, function_id int, name string, nodes array<int>, edges array<struct<src:int,dst:int>>, entry array<int>, exit array<int>, degenerate boolean"
+
+    def make(tree, _):
+        for number, f in enumerate(tree.functions()):
+            b = c_parity.blocks(tree, f)
+            yield {"function_id": number, "name": tree.name_of(f)} | b | {"edges": [{"src": s, "dst": d} for s, d in b["edges"]]}
+
+    order = Window.partitionBy("source_id", "name").orderBy(F.size("nodes").desc(), "function_id")
+    return scoreable(_rows(sources, schema, make)).withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+
+
+def resolve_for_units(blocks: DataFrame) -> DataFrame:
+    """`unit, name, source_id, nodes`: each unit's own graph of a name, or the best of all units where its own is degenerate or missing."""
+    order = Window.partitionBy("name").orderBy("degenerate", F.size("nodes").desc(), "source_id")
+    best = blocks.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select("name", F.col("source_id").alias("best_id"), F.col("nodes").alias("best_nodes"))
+    own = blocks.filter("not degenerate").select(F.col("source_id").alias("unit"), "name", F.col("nodes").alias("own_nodes"))
+    units = blocks.select(F.col("source_id").alias("unit")).distinct()
+    # every unit gets every name by contract: the product is the result's size
+    every = units.join(best, F.lit(True))
+    joined = every.join(own, ["unit", "name"], "left")
+    return joined.select("unit", "name", F.when(F.col("own_nodes").isNull(), F.col("best_id")).otherwise(F.col("unit")).alias("source_id"), F.coalesce("own_nodes", "best_nodes").alias("nodes"))

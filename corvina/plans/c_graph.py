@@ -76,8 +76,8 @@ def forks(tree: Tree, node: Node) -> str | None:
 class Walker:
     """Builds the graph of one function; `targets` are the labels that count as reached."""
 
-    def __init__(self, tree: Tree, function: Node, syntactic: bool, targets: set[str]):
-        self.tree, self.g, self.syntactic, self.targets = tree, Graph(), syntactic, targets
+    def __init__(self, tree: Tree, function: Node, syntactic: bool, targets: set[str], nested: bool = False):
+        self.tree, self.g, self.syntactic, self.targets, self.nested = tree, Graph(), syntactic, targets, nested
         self.frontier: list[tuple[int, str]] = []
         self.scopes: list[dict] = []
         self.labels: dict[str, int] = {}
@@ -170,6 +170,10 @@ class Walker:
             return
         go_on, leave = ("true", "false") if operator == "&&" else ("false", "true")
         left = []
+        if self.nested and len(kids) > 2:  # each operator of a chain is a node of its own
+            self.g.short_circuits -= 1
+            inner = Node(node.tag, node.lo, kids[-2].hi, kids[:-1], node.main)
+            kids = [inner, kids[-1]]
         for k in kids[:-1]:
             head = self.evaluate(k, "cond", self.tree.span(k), True)
             left.append((head, leave))
@@ -453,17 +457,17 @@ class Walker:
                     stack.pop()
 
 
-def graph_of(tree: Tree, function: Node, syntactic: bool = False) -> Graph:
+def graph_of(tree: Tree, function: Node, syntactic: bool = False, nested: bool = False) -> Graph:
     """The graph of a function.  Labels count once a goto that is placed names them; rounds end when none is added."""
-    walker = Walker(tree, function, syntactic, set())
+    walker = Walker(tree, function, syntactic, set(), nested)
     if not walker.gotos:
         return walker.g
     targets: set[str] = set()
     every = {tree.word(n.lo) for n in function.walk() if n.tag == "label_stmt"}
     for turn in range(LABEL_ROUNDS):
-        walker = Walker(tree, function, syntactic, targets) if turn else walker
+        walker = Walker(tree, function, syntactic, targets, nested) if turn else walker
         more = targets | {name for _, name in walker.gotos if name in every}
         if more == targets:
             return walker.g
         targets = more
-    return Walker(tree, function, syntactic, every).g
+    return Walker(tree, function, syntactic, every, nested).g

@@ -162,6 +162,16 @@ def parity_resolve(spark, sf_dir):
     return graphs.best_by_name(graphs.scoreable(a.unionByName(b))).select("name", F.substring("source_id", 1, 1).alias("version"), F.size("cfg_nodes").alias("n_nodes"))
 
 
+def parity_blocks(spark, sf_dir):
+    return graphs.parity_blocks(corpus.order_sources(spark, sf_dir)).select("name", F.size("nodes").alias("n_blocks"), F.size("edges").alias("n_edges"), "degenerate")
+
+
+def parity_units(spark, sf_dir):
+    """Two versions of the corpus as two units: each has its own graph of every name."""
+    a, b = (graphs.parity_blocks(corpus.order_sources(spark, sf_dir, n)).withColumn("source_id", F.lit(unit)) for n, unit in ((LOOPS, "a"), (LOOPS_AFTER, "b")))
+    return graphs.resolve_for_units(a.unionByName(b)).groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("unit") == F.col("source_id")).alias("own"))
+
+
 def export_dot(spark, sf_dir):
     return exports.render(exports.cfg_views(_functions(spark, sf_dir)), "dot").select("name", (F.length("text") - F.length(F.replace("text", F.lit("->"), F.lit("-")))).alias("n_edges"), F.sha2("text", 256).alias("sha"))
 
@@ -413,7 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
-        tokens_by_kind, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, export_dot, data_flow_counts,
+        tokens_by_kind, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, export_dot, data_flow_counts,
         loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure,
     )

@@ -73,11 +73,17 @@ class AnalysisSession:
         return metrics.hotspots(self.measures, by, limit)
 
     def export(self, representation: str = "cfg", fmt: str = "dot") -> DataFrame:
-        """Graphs as text; representation cfg or cdg."""
-        if representation not in ("cfg", "cdg"):
-            raise ValueError(f"unknown representation {representation!r}; one of cfg, cdg")
-        views = exports.cfg_views(self.functions) if representation == "cfg" else exports.cdg_views(self.functions, self.control_dependence)
-        return exports.render(views, fmt)
+        """Graphs as text; representation ast, cfg, cdg, ddg or pdg."""
+        views = {
+            "ast": lambda: exports.ast_views(self.ast, self.functions),
+            "cfg": lambda: exports.cfg_views(self.functions),
+            "cdg": lambda: exports.cdg_views(self.functions, self.control_dependence),
+            "ddg": lambda: exports.flow_views(self.data_flow),
+            "pdg": lambda: exports.pdg_views(self.functions, flow.pdg_edges(self.data_flow, self.control_dependence)),
+        }
+        if representation not in views:
+            raise ValueError(f"unknown representation {representation!r}; one of {', '.join(views)}")
+        return exports.render(views[representation](), fmt)
 
 
 class _Tokens:

@@ -78,3 +78,32 @@ def test_session_and_table_functions(spark):
 def test_lines_and_columns(spark):
     row = spark.createDataFrame([(7, [0, 3, 6])], "at int, starts array<int>").select(annotations.line_column(F.col("at"), F.col("starts")).alias("x")).first().x
     assert (row.line, row.column) == (3, 2)
+
+
+def blocks(body):
+    from corvina.plans import c_parity
+
+    tree = c_syntax.Tree(f"int f(int a, int b) {{ {body} }}")
+    return c_parity.blocks(tree, tree.functions()[0])
+
+
+def test_parity_blocks():
+    assert len(blocks("a = 1; b = 2; return a;")["nodes"]) == 1 and blocks("return a;")["degenerate"]
+    b = blocks("if (a > 1) b = 1; return b;")
+    assert (len(b["nodes"]), len(b["edges"])) == (3, 3)
+    loop = blocks("while (a > 1) a--; return a;")
+    assert (len(loop["nodes"]), (1, 2) in loop["edges"] and (2, 1) in loop["edges"]) == (4, True)
+    jump = blocks("if (a > 1) goto out; b = 1; out: return b;")
+    assert len(jump["nodes"]) == 3  # the jump and its label are no blocks
+    endless = blocks("while (1) { a++; }")
+    assert all(d != 9 for _, d in endless["edges"]) and any(s == d for s, d in endless["edges"])
+
+
+@pytest.mark.parametrize("representation", ["ast", "cfg", "cdg", "ddg", "pdg"])
+def test_representations(spark, representation):
+    import json
+
+    session = AnalysisSession.of_text(spark, "int f(int x) { int y = x; if (y) return y; return 0; }")
+    data = json.loads(session.export(representation, "json").first().text)
+    assert data["nodes"] and data["edges"] and data["graph"]["name"] == "f"
+    session.close()
