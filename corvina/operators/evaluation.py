@@ -58,3 +58,65 @@ def closure_audit(graphs: DataFrame, proofs: DataFrame) -> DataFrame:
     omitted = differing.join(proofs.select("id"), "id", "left_anti").withColumn("problem", F.lit("omitted"))
     stale = proofs.select("id").join(differing, "id", "left_anti").withColumn("problem", F.lit("stale"))
     return omitted.unionByName(stale)
+
+
+def read_rows(spark, path: str, schema: str) -> DataFrame:
+    """JSON lines of a stated schema; a line that is no object of it fails the query."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def manifest_identity(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """`sha256` of all rows as JSON lines with sorted keys, in the order of a column.
+
+    Lines are hashed where they are; what meets in one row is a digest a line, for
+    manifests of some thousands of specimens.
+    """
+    line = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
+    hashed = rows.select(F.struct(F.col(order).alias("at"), F.sha2(line, 256).alias("sha")).alias("x"))
+    return hashed.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["sha"]), "\n"), 256).alias("sha256"))
+
+
+# Kinds of damage that `mutated` does.
+MUTATIONS = ("delete", "insert", "duplicate", "swap", "truncate")
+SCRAPS = ["{", "}", "(", ")", ";", '"', "'", "/*", "*/", "#", "\\", ",", "=", "goto", "case"]
+
+
+def mutate(text: str, seed: int, severity: int = 1) -> tuple[str, str]:
+    """(damaged text, kind of damage), the same for the same seed."""
+    import random
+
+    rng = random.Random(seed)
+    kind = rng.choice(MUTATIONS)
+    for _ in range(severity):
+        if not text:
+            return rng.choice(SCRAPS), "insert"
+        a = rng.randrange(len(text))
+        b = min(len(text), a + rng.randrange(1, 20))
+        if kind == "delete":
+            text = text[:a] + text[b:]
+        elif kind == "insert":
+            text = text[:a] + rng.choice(SCRAPS) + text[a:]
+        elif kind == "duplicate":
+            text = text[:b] + text[a:b] + text[b:]
+        elif kind == "swap":
+            c = min(len(text), b + (b - a))
+            text = text[:a] + text[b:c] + text[a:b] + text[c:]
+        else:
+            text = text[:a]
+    return text, kind
+
+
+def mutated(sources: DataFrame, severities: list[int], per_source: int = 1) -> DataFrame:
+    """`source_id, specimen, severity, kind, text`: damaged copies of each source, seeded by its id."""
+    import zlib
+
+    from .flow import _rows
+
+    def make(tree, row):
+        for severity in severities:
+            for k in range(per_source):
+                seed = zlib.crc32(f"{row['source_id']}:{severity}:{k}".encode())
+                text, kind = mutate(tree.text, seed, severity)
+                yield {"specimen": k, "severity": severity, "kind": kind, "text": text}
+
+    return _rows(sources, "source_id string, specimen int, severity int, kind string, text string", make)

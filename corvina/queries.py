@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import c_types
 from .functions import text as texts
-from .operators import annotations, evaluation, exports, flow, graphs, metrics
+from .operators import annotations, declared, evaluation, exports, flow, graphs, metrics
 from .plans import stage
 from .sources import corpus
 
@@ -244,6 +245,40 @@ def source_provenance(spark, sf_dir):
     return annotations.provenance(functions, names, notes).select("name", "origin", "recovery_qualified")
 
 
+def declared_types(spark, sf_dir):
+    return declared.declared_types(corpus.order_sources(spark, sf_dir)).select("function", "name", "role", "type", "pointer_depth", "array_rank", "is_const")
+
+
+def type_conflicts(spark, sf_dir):
+    """Orders as functions in which every third declares a name again as something else."""
+    again = F.when(F.col("o_orderkey") % 3 == 0, "{ char *x[2]; }").otherwise("{ const long x; }")
+    text = F.concat(F.lit("void f(void) { long x; "), again, F.lit(" }"))
+    rows = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism).select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))
+    return declared.type_conflicts(declared.declared_types(rows)).select("source_id", "name", F.array_join("shapes", "|").alias("shapes"))
+
+
+def usual_conversions(spark, sf_dir):
+    return c_types.conversion_table(spark)
+
+
+def literal_types(spark, sf_dir):
+    """Types of order keys and line numbers as literals."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.concat(F.pow(F.lit(10), F.col("l_linenumber") + 6).cast("long").cast("string"), F.when(F.col("l_returnflag") == "R", "u").when(F.col("l_returnflag") == "A", "L").otherwise("")).alias("literal")).distinct()
+    return rows.select("literal", c_types.literal_type(F.col("literal")).alias("type"))
+
+
+def mutation_totality(spark, sf_dir):
+    """Damaged copies of every source: all are read, none fails."""
+    damaged = evaluation.mutated(corpus.order_sources(spark, sf_dir), [1, 4])
+    specimens = damaged.select(F.concat_ws(":", "source_id", "severity", "specimen").alias("source_id"), "text", "severity")
+    read = stage.parse(specimens, graphs=True)
+    return read.join(specimens.select("source_id", "severity"), "source_id").groupBy("severity").agg(F.count("*").alias("specimens"))
+
+
+def manifest_identity(spark, sf_dir):
+    return evaluation.manifest_identity(_read(spark, sf_dir, "nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
+
+
 # -- texts -------------------------------------------------------------------------------------
 
 
@@ -373,6 +408,17 @@ ORACLE: dict[str, str] = {
     "report_compare": _TWO + _COMPARED + " FROM f JOIN fm ON f.name = fm.name JOIN gm ON f.name = gm.name",
     "compare_totals": _TWO + " UNION ALL ".join(f"SELECT '{m}' AS metric, sum(fm.{m})::BIGINT AS before, sum(gm.{m})::BIGINT AS after, (sum(gm.{m}) - sum(fm.{m}))::BIGINT AS delta FROM fm JOIN gm ON fm.name = gm.name" for m in _COMPARE),
     "feature_vectors": _sql("SELECT name, " + ", ".join(f"({x})::DOUBLE AS {c}" for c, x in _FEATURES.items()) + " FROM f"),
+    "declared_types": _sql("SELECT name AS function, n AS name, CASE n WHEN 'total' THEN 'local' ELSE 'parameter' END AS role, 'int' AS type, 0 AS pointer_depth, 0 AS array_rank, false AS is_const FROM f, (SELECT unnest(['a', 'b', 'total']) AS n)"),
+    "type_conflicts": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'x' AS name, 'char * []|long  ' AS shapes FROM orders WHERE o_orderkey % 3 = 0",
+    "usual_conversions": """WITH t AS (SELECT * FROM (VALUES ('_Bool', 0, 1, false), ('char', 1, 8, true), ('signed char', 1, 8, true), ('unsigned char', 1, 8, false), ('short', 2, 16, true), ('unsigned short', 2, 16, false), ('int', 3, 32, true), ('unsigned int', 3, 32, false),
+        ('long', 4, 64, true), ('unsigned long', 4, 64, false), ('long long', 5, 64, true), ('unsigned long long', 5, 64, false), ('__int128', 6, 128, true), ('unsigned __int128', 6, 128, false), ('float', 100, 32, NULL), ('double', 101, 64, NULL), ('long double', 102, 80, NULL)) AS t(n, r, w, s)),
+      p AS (SELECT n, CASE WHEN r < 3 THEN 'int' ELSE n END AS pn, CASE WHEN r < 3 THEN 3 ELSE r END AS r, CASE WHEN r < 3 THEN 32 ELSE w END AS w, CASE WHEN r < 3 THEN true ELSE s END AS s FROM t)
+      SELECT a.n AS a, b.n AS b, CASE WHEN a.r >= 100 OR b.r >= 100 OR a.s = b.s THEN CASE WHEN a.r >= b.r THEN a.pn ELSE b.pn END
+        WHEN NOT a.s AND a.r >= b.r THEN a.pn WHEN NOT b.s AND b.r >= a.r THEN b.pn WHEN a.s AND a.w > b.w THEN a.pn WHEN b.s AND b.w > a.w THEN b.pn ELSE 'unsigned ' || CASE WHEN a.s THEN a.pn ELSE b.pn END END AS common FROM p a, p b""",
+    "literal_types": """SELECT literal, CASE WHEN literal LIKE '%L' THEN 'long' WHEN literal LIKE '%u' THEN CASE WHEN v < 4294967296 THEN 'unsigned int' ELSE 'unsigned long' END WHEN v < 2147483648 THEN 'int' ELSE 'long' END AS type
+      FROM (SELECT DISTINCT CAST(CAST(pow(10, l_linenumber + 6) AS BIGINT) AS VARCHAR) || CASE l_returnflag WHEN 'R' THEN 'u' WHEN 'A' THEN 'L' ELSE '' END AS literal, CAST(pow(10, l_linenumber + 6) AS BIGINT) AS v FROM lineitem)""",
+    "mutation_totality": "SELECT severity, n AS specimens FROM (SELECT unnest([1, 4]) AS severity), (SELECT count(DISTINCT floor(o_orderkey / 16)) AS n FROM orders)",
+    "manifest_identity": "SELECT sha256(string_agg(sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}'), chr(10) ORDER BY n_nationkey)) AS sha256 FROM nation",
     "loop_bounds": _sql("SELECT loop, bound_kind, n FROM (SELECT 'while' AS loop, 'runtime' AS bound_kind, sum(w)::BIGINT AS n FROM f) WHERE n > 0"),
     "constant_loops": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, CASE WHEN o_orderkey % 3 = 0 THEN 'parameter' ELSE 'constant' END AS bound_kind, 'i' AS induction, 0 AS start, CASE WHEN o_orderkey % 3 = 0 THEN 'n' ELSE CAST(o_orderkey % 100 AS VARCHAR) END AS bound, 2 AS step FROM orders",
     "stated_facts": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'unroll' AS kind, NULL AS parameter, CAST(o_orderkey AS VARCHAR) AS value, NULL AS problem FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 4 <> 0 THEN 'capacity' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'p' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'n' END, CASE WHEN o_orderkey % 4 = 0 THEN 'f has no parameter q' END FROM orders",
@@ -424,7 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, export_dot, data_flow_counts,
-        loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure,
     )
 }

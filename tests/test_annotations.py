@@ -107,3 +107,42 @@ def test_representations(spark, representation):
     data = json.loads(session.export(representation, "json").first().text)
     assert data["nodes"] and data["edges"] and data["graph"]["name"] == "f"
     session.close()
+
+
+def test_conversions():
+    from corvina.functions import c_types
+
+    assert c_types.usual("char", "short") == "int" and c_types.usual("unsigned int", "long") == "long"
+    assert c_types.usual("long", "unsigned long long") == "unsigned long long" and c_types.usual("unsigned long", "long long") == "unsigned long long"
+    assert c_types.usual("int", "float") == "float" and c_types.usual("long double", "float") == "long double" and c_types.usual("int", "struct s") is None
+    for a in c_types.INTEGERS:
+        for b in c_types.INTEGERS:
+            assert c_types.usual(a, b) == c_types.usual(b, a) or c_types.INTEGERS[a][0] == c_types.INTEGERS[b][0]
+
+
+def test_literal_types(spark):
+    from corvina.functions import c_types
+
+    cases = {"1": "int", "2147483648": "long", "0xffffffff": "unsigned int", "1u": "unsigned int", "1UL": "unsigned long", "0x8000000000000000": "unsigned long", "010": "int", "5l": "long"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.k for r in df.select("t", c_types.literal_type(F.col("t")).alias("k")).collect()} == cases
+
+
+def test_declared_types(spark):
+    from corvina.operators import declared
+
+    text = "int f(const char *s, unsigned long n, struct p *q, int (*cb)(int), undefined8 u) { static volatile int a[2][3]; T *t; { char a; } typedef int z; }"
+    rows = declared.declared_types(spark.createDataFrame([("x", text)], "source_id string, text string"))
+    got = [(r.name, r.role, r.type, r.pointer_depth, r.array_rank) for r in rows.orderBy("lo").collect()]
+    assert got[:3] == [("s", "parameter", "char", 1, 0), ("n", "parameter", "unsigned long", 0, 0), ("q", "parameter", "struct p", 1, 0)]
+    assert ("a", "local", "int", 0, 2) in got and ("t", "local", "T", 1, 0) in got and not any(x[0] == "z" for x in got)
+    assert [(r.name, r.shapes) for r in declared.type_conflicts(rows).collect()] == [("a", ["char  ", "int  [][]"])]
+
+
+def test_mutations_are_seeded(spark):
+    from corvina.operators import evaluation
+
+    text = "int f(void) { return 1; }"
+    assert evaluation.mutate(text, 5, 3) == evaluation.mutate(text, 5, 3) and evaluation.mutate("", 1)[1] == "insert"
+    df = spark.createDataFrame([("a", text), ("b", None)], "source_id string, text string")
+    assert evaluation.mutated(df, [1, 2], 3).count() == 12
