@@ -86,7 +86,7 @@ class Tree:
 
     def name_of(self, function: Node) -> str:
         name = next((n for n in function.walk() if n.tag == "decl_name"), None)
-        return self.word(name.lo) if name else ""
+        return "".join(self.word(i) for i in range(name.lo, name.hi)) if name else ""
 
 
 class Parser:
@@ -315,9 +315,10 @@ class Parser:
                 node.kids += self.decoration()
         if self.at(IDENT):
             node.kids.append(Node("decl_name", self.take(), self.i))
-            while self.at("::") and self.kinds[self.i + 1] == IDENT:
+            while self.at("::") and self.kinds[self.i + 1] == IDENT:  # a qualified name is one name
+                self.take()
                 self.take()
-                node.kids[-1] = Node("decl_name", self.take(), self.i)
+                node.kids[-1].hi = self.i
         elif self.at("(") and self.match.get(self.i) is not None and self.kinds[self.i + 1] not in SPECIFIERS and self.kinds[self.i + 1] not in (")",):
             inner = Node("parenthesized_declarator", self.take())
             inner.kids.append(self.declarator())
@@ -360,6 +361,8 @@ class Parser:
             return self.done(node)
         node.kids.append(self.specifiers())
         if top and node.kids[0].hi == node.kids[0].lo and not self.at(IDENT, "*", "("):
+            if self.salvage(node):
+                return self.function(node)
             error = self.error_to(";", "{", "}")
             if self.at("{"):
                 self.skip_one()
@@ -381,6 +384,8 @@ class Parser:
                 continue
             if self.at(";", END, "}"):
                 break
+            if top and self.salvage(node):
+                return self.function(node)
             if top and self.at("{"):
                 if d.first("param_list"):
                     return self.function(node)
@@ -404,6 +409,36 @@ class Parser:
                 self.take()
         return self.done(node)
 
+    def salvage(self, node: Node) -> bool:
+        """Whether what was begun as another declaration runs into a function body; then its declarator is set.
+
+        Decompilers print words that are no C between type, name, parameters and body.
+        The name is the first word with a parenthesis after which only words and
+        parentheses come before the body.
+        """
+        end = self.i
+        while self.kinds[end] not in ("{", ";", "}", "=", END):
+            end = self.match.get(end, end) + 1
+        if self.kinds[end] != "{":
+            return False
+        at = node.lo
+        while at < end:
+            if self.kinds[at] == IDENT and self.kinds[at + 1] == "(" and at + 1 in self.match:
+                rest = self.match[at + 1] + 1
+                while rest < end and (self.kinds[rest] in (IDENT, "(", REGISTER) or self.kinds[rest] in DECORATION or self.kinds[rest] in QUALIFIERS):
+                    rest = self.match.get(rest, rest) + 1
+                if rest == end:
+                    while at - 2 >= node.lo and self.kinds[at - 1] == "::" and self.kinds[at - 2] == IDENT:
+                        at -= 2
+                    self.note("unknown words in a function's head", "warning")
+                    self.i = at
+                    node.kids = [node.kids[0], self.declarator()]
+                    node.kids[0].hi = min(node.kids[0].hi, at)
+                    self.i = end
+                    return True
+            at += 1
+        return False
+
     def is_function(self, d: Node) -> bool:
         if not any(n.tag == "param_list" for n in d.walk()) or not any(n.tag == "decl_name" for n in d.walk()):
             return False

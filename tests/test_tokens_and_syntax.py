@@ -53,6 +53,14 @@ def test_byte_positions_and_lines():
         ("__attribute__((noinline)) int f(void) __attribute__((pure)) { return 1; }", ["f"]),
         ("typedef int t; t h(t x) { t y = x; return y; }", ["h"]),
         ("int a(void) { if (x) { }\nint b(void) { return 2 }", ["a"]),
+        ("void stop() __noreturn\n{ exit(1); }\nint next(void) { return 0; }", ["stop", "next"]),
+        ("unsigned long uint64_t turn(uint32_t a) __pure(unsigned int a) { return a; }", ["turn"]),
+        ("void entryConvention _begin(undefined8 a) { g(a); }", ["_begin"]),
+        ("undefined1 [16] make(void) { return 0; }", ["make"]),
+        ("void __spoils<R1,R2> shake(char a1) { g(a1); }", ["shake"]),
+        ("int Base::op(int x) { return x; }", ["Base::op"]),
+        ("lost comment words, isn't it; some more of them */\nvoid after(int a)\n{ g(a); }", ["after"]),
+        ("int t[] = { 1 }; struct s { int (*f)(int); } v; int h(void) { return 1; }", ["h"]),
         ("undefined8 FUN_00101139(long param_1, code *p) { (*p)(param_1); return 0; }", ["FUN_00101139"]),
     ],
 )
