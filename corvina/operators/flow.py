@@ -100,3 +100,13 @@ def pdg_edges(flows: DataFrame, dependence: DataFrame) -> DataFrame:
         "source_id", "function_id", "function", F.element_at("definitions", F.col("e.def") + 1)["node"].alias("src"), F.element_at("uses", F.col("e.use") + 1)["node"].alias("dst"), F.lit("data").alias("kind"))
     control = dependence.select("source_id", "function_id", "function", F.col("on").alias("src"), F.col("node").alias("dst"), F.concat(F.lit("control_"), "kind").alias("kind"))
     return control.unionByName(data.filter("src is not null").distinct())
+
+
+# What each kind of issue leaves open.
+DIMENSIONS = {"syntax_recovery": "recovery", "unmodeled_effect": "effects", "unknown_memory_effect": "memory", "unknown_memory_read": "memory"}
+
+
+def coverage(flows: DataFrame) -> DataFrame:
+    """`recovery_free, effects_complete, memory_complete` of each function: no issue of a kind that leaves that open."""
+    open_in = lambda dimension: F.exists("issues", lambda x: x["kind"].isin([k for k, d in DIMENSIONS.items() if d == dimension]))
+    return flows.select("source_id", "function_id", "function", (~open_in("recovery")).alias("recovery_free"), (~open_in("effects")).alias("effects_complete"), (~open_in("memory")).alias("memory_complete"))

@@ -82,7 +82,8 @@ class Walker:
         self.scopes: list[dict] = []
         self.labels: dict[str, int] = {}
         self.gotos: list[tuple[int, str]] = []
-        self.dispatches: list[int] = []
+        self.dispatches: list[tuple[int, list[str]]] = []
+        self.function = function
         self.on_place: list = []
         self.whole = tree.span(function)
         self.forking: dict[int, bool] = {}
@@ -412,10 +413,46 @@ class Walker:
             for k in node.kids:
                 if self.has_fork(k):
                     self.evaluate(k, None, span)
-            self.dispatches.append(self.place("indirect_dispatch" if self.taken else "diverge", span))
+            targets = self.dispatch_targets(node)
+            self.dispatches.append((self.place("indirect_dispatch" if targets else "diverge", span), targets))
         else:
             self.gotos.append((self.place("goto", span), self.tree.word(node.lo + 1)))
 
+    def dispatch_targets(self, node: Node) -> list[str]:
+        """Labels a computed goto may reach: those of a table or variable that is set once and never written or passed on, else all whose address is taken."""
+        target = node.kids[0] if node.kids else None
+        while target is not None and target.tag == "paren_expr" and target.kids:
+            target = target.kids[0]
+        if target is not None and target.tag == "label_addr":
+            return [self.tree.word(target.lo + 1)]
+        index = None
+        if target is not None and target.tag == "postfix_expr" and len(target.kids) == 2 and target.kids[1].tag == "index_suffix":
+            index, target = target.kids[1].kids[:1], target.kids[0]
+        if target is None or target.tag != "name_ref":
+            return self.taken
+        name = self.tree.word(target.lo)
+        set_by: list[Node] = []
+        for n in self.function.walk():
+            if n.tag == "decl":
+                for d, value in zip(n.kids, [*n.kids[1:], None], strict=True):
+                    declared = next((x for x in d.walk() if x.tag == "decl_name"), None) if d.tag == "declarator" else None
+                    if declared is not None and self.tree.word(declared.lo) == name:
+                        if value is None or value.tag != "initializer":
+                            return self.taken
+                        set_by.append(value.kids[0])
+        uses = sum(n.tag == "name_ref" and self.tree.word(n.lo) == name for n in self.function.walk())
+        jumps = sum(n.tag == "goto_stmt" and any(k.tag == "name_ref" and self.tree.word(k.lo) == name for x in n.kids for k in x.walk()) for n in self.function.walk())
+        if len(set_by) != 1 or uses != jumps:
+            return self.taken
+        values = set_by[0].kids if set_by[0].tag == "init_list" else [set_by[0]]
+        if not values or any(v.tag != "label_addr" for v in values) or (set_by[0].tag == "init_list") != (index is not None):
+            return self.taken
+        names = [self.tree.word(v.lo + 1) for v in values]
+        number = self.tree.word(index[0].lo) if index and index[0].tag == "literal" else ""
+        if number.isdigit() and int(number) < len(names):
+            return [names[int(number)]]
+        return sorted({*names})
+
     def finish(self) -> None:
         for n, name in self.gotos:
             if name in self.labels:
@@ -423,8 +460,8 @@ class Walker:
             else:
                 self.g.notes.append(f"label {name} is not defined")
                 self.g.kinds[n] = "diverge"
-        for n in self.dispatches:
-            for name in self.taken:
+        for n, targets in self.dispatches:
+            for name in targets:
                 if name in self.labels:
                     self.edge(n, self.labels[name], "jump")
         for src, how in self.frontier:

@@ -54,6 +54,18 @@ def test_computed_goto():
     assert "indirect_dispatch" in g.kinds and g.kinds.count("label") == 2
     assert graph("goto *p;").kinds[2] == "diverge"
 
+    def targets(body):
+        g = graph(body)
+        n = g.kinds.index("indirect_dispatch")
+        return sum(e[0] == n for e in g.edges)
+
+    labels = "x: return 1; y: return 2; z: return 3;"
+    assert targets("static void *t[] = {&&x, &&y}; void *u = &&z; goto *t[a]; " + labels) == 2
+    assert targets("static void *t[] = {&&x, &&y}; void *u = &&z; goto *t[1]; " + labels) == 1
+    assert targets("void *t[] = {&&x, &&y}; void *u = &&z; t[0] = u; goto *t[a]; " + labels) == 3
+    assert targets("void *p = &&x; void *q = &&y; goto *p; " + labels) == 1
+    assert targets("void *p = &&x; if (a) p = &&y; goto *p; " + labels) == 2
+
 
 def test_strays_diverge():
     for body in ("break;", "continue;", "goto nowhere;"):

@@ -118,6 +118,12 @@ def test_graph_operators(spark):
     assert {r.kind for r in pdg.collect()} == {"data", "control_true", "control_false"}
 
 
+def test_coverage_flags(spark):
+    rows = flow.coverage(flow.data_flow(sources(spark, "int a(int x){return x;} int b(int *p){return *p;} int c(void){ asm(\"nop\"); return 1; } int d(void){ return ) 1; }")))
+    got = {r.function: r[3:] for r in rows.collect()}
+    assert got["a"] == (True, True, True) and got["b"] == (True, True, False) and got["c"] == (True, False, True) and not got["d"][0]
+
+
 def test_evaluation(spark):
     rows = spark.createDataFrame([("a", v) for v in (5, 1, 4, 2)] + [("b", None), ("c", 9)], "k string, v int")
     assert sorted(r[:] for r in evaluation.distribution(rows, ["k"], "v").collect()) == [("a", 4, 2, 5, 5), ("c", 1, 9, 9, 9)]
