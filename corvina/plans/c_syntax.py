@@ -31,6 +31,8 @@ PREFIX = {"++", "--", "+", "-", "!", "~", "*", "&", "sizeof", "_Alignof", "__ext
 STATEMENT_WORDS = {"if", "while", "do", "for", "switch", "case", "default", "goto", "break", "continue", "return"}
 CLOSING = {"(": ")", "[": "]", "{": "}"}
 DEEP = 200_000
+#: Tokens before a body among which a function's name is looked for.
+HEAD = 400
 
 
 class Node:
@@ -94,6 +96,7 @@ class Parser:
         self.tree, self.t, self.i = tree, tree.tokens, 0
         self.kinds = [x.kind for x in tree.tokens] + [END] * 4
         self.match = self._pairs()
+        self.ahead = 0, 0  # where salvage looked from and what it found
 
     def _pairs(self) -> dict[int, int]:
         """Closing bracket of each opening one; a missing one ends where its surroundings end."""
@@ -150,7 +153,7 @@ class Parser:
     def line_end(self, i: int) -> int:
         """First token after the line (with continuations) that token i stands on."""
         text, at = self.tree.text, self.t[i].hi
-        while (at := text.find("\n", at)) >= 0 and text[:at].rstrip("\r").endswith("\\"):
+        while (at := text.find("\n", at)) >= 0 and text[max(0, at - 2) : at].rstrip("\r").endswith("\\"):
             at += 1
         if at < 0:
             return len(self.t)
@@ -158,6 +161,10 @@ class Parser:
             i += 1
         return i
 
+    def new_line(self) -> bool:
+        """Whether the token here stands on a later line than the one before it."""
+        return self.i >= len(self.t) or self.tree.text.find("\n", self.t[self.i - 1].hi, self.t[self.i].lo) >= 0
+
     def directive(self) -> Node:
         node = Node("pp_directive", self.i)
         self.i = max(self.line_end(self.i), self.i + 1)
@@ -396,7 +403,7 @@ class Parser:
                 return self.done(node)
             if not top and (self.kinds[self.i] in STATEMENT_WORDS or self.at("{")):
                 break
-            if self.line_end(self.i - 1) <= self.i and self.i > before:  # a missing ';' at a line's end
+            if self.i > before and self.new_line():  # a missing ';' at a line's end
                 break
             node.kids.append(self.error_to(";", "}", "{"))
             if self.i == before:
@@ -416,12 +423,15 @@ class Parser:
         The name is the first word with a parenthesis after which only words and
         parentheses come before the body.
         """
-        end = self.i
-        while self.kinds[end] not in ("{", ";", "}", "=", END):
-            end = self.match.get(end, end) + 1
+        begin, end = self.ahead
+        if not begin <= self.i < end:
+            end = self.i
+            while self.kinds[end] not in ("{", ";", "}", "=", END):
+                end = self.match.get(end, end) + 1
+            self.ahead = self.i, end
         if self.kinds[end] != "{":
             return False
-        at = node.lo
+        at = max(node.lo, end - HEAD)
         while at < end:
             if self.kinds[at] == IDENT and self.kinds[at + 1] == "(" and at + 1 in self.match:
                 rest = self.match[at + 1] + 1
@@ -645,7 +655,7 @@ class Parser:
     def end_statement(self, node: Node) -> None:
         if self.at(";"):
             self.take()
-        elif self.at("}", END) or self.kinds[self.i] in STATEMENT_WORDS or self.i > node.lo and self.line_end(self.i - 1) <= self.i:
+        elif self.at("}", END) or self.kinds[self.i] in STATEMENT_WORDS or self.i > node.lo and self.new_line():
             self.note("expected ';'", "warning")
         else:
             node.kids.append(self.error_to(";", "}"))
