@@ -475,3 +475,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in ("graphml", "json", "mermaid")}
+
+#: Whole-number columns of the queries above; both sides give them as 64-bit numbers.
+WHOLE = {
+    "metrics_graph": "cfg_nodes cfg_edges reachable_nodes unreachable_nodes dead_end_nodes cyclomatic decision_points back_edges loops",
+    "metrics_shape": "cognitive max_nesting max_loop_depth statements calls n_callees parameters unreachable_statements short_circuits",
+    "metrics_size": "lines code_lines tokens bytes",
+    "halstead_counts": "halstead_distinct_operators halstead_distinct_operands halstead_total_operators halstead_total_operands halstead_vocabulary halstead_length",
+    "node_census": "n",
+    "edge_census": "n",
+    "hotspots_topk": "cyclomatic cognitive lines",
+    "report_totals": "functions structured_functions gotos unreachable_statements",
+    "report_compare": "before_cyclomatic after_cyclomatic before_cognitive after_cognitive before_lines after_lines before_statements after_statements delta_cyclomatic delta_cognitive delta_lines delta_statements",
+    "compare_totals": "before after delta",
+    "tokens_by_kind": "n",
+    "control_dependence": "n_edges n_self",
+    "post_dominators": "n_placed n_dead_ends",
+    "control_depth": "depth n_inside",
+    "descendants": "n",
+    "backward_slices": "n",
+    "node_degrees": "in_degree out_degree n",
+    "chain_contraction": "n_blocks",
+    "graph_problems": "n",
+    "ged_size_delta": "distance",
+    "parity_resolve": "n_nodes",
+    "data_flow_counts": "n_definitions n_uses n_issues",
+    "declared_types": "pointer_depth array_rank",
+    "mutation_totality": "severity specimens",
+    "loop_bounds": "n",
+    "constant_loops": "start step",
+    "dead_stores": "n_dead",
+    "call_summaries": "arity n_transfers",
+    "file_lines": "lines bytes counted",
+    "split_lines": "doc_id n_lines",
+    "normalize_decompiled": "o_orderkey",
+    "escape_controls": "o_orderkey",
+    "eval_distribution": "n median p95 maximum",
+    "eval_strata": "specimens recovered",
+    "eval_overlaps": "user_id n",
+    "eval_accuracy": "l_orderkey",
+    "eval_problems": "id",
+}
+
+
+def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+    return wide
+
+
+QUERIES = {name: _wide(query) for name, query in QUERIES.items()}
+ORACLE = {name: f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in WHOLE[name].split())}) FROM ({sql})" if name in WHOLE else sql for name, sql in ORACLE.items()}
