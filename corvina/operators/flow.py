@@ -90,6 +90,20 @@ def query_reaches(sources: DataFrame, policy: str = "unknown") -> DataFrame:
     return _rows(sources, schema, make, ["from_function", "parameter", "to_function"])
 
 
+def query_reaches_by_id(sources: DataFrame, policy: str = "unknown") -> DataFrame:
+    """`query_reaches` with functions by number, from columns `from_id, parameter, to_id`."""
+    schema = "source_id string, from_id int, parameter int, to_id int, claim string, path array<struct<function_id:int,parameter:int>>, explored int, uncertainty array<string>"
+
+    def make(tree: Tree, r):
+        got = c_dataflow.reaches_by_id(c_dataflow.summaries(tree, policy), r["from_id"], r["parameter"], r["to_id"])
+        yield {
+            "from_id": r["from_id"], "parameter": r["parameter"], "to_id": r["to_id"], "claim": CLAIMS[got["verdict"]], "path": [{"function_id": f, "parameter": p} for f, p in got["path"]],
+            "explored": got["explored"], "uncertainty": got["uncertainty"],
+        }
+
+    return _rows(sources, schema, make, ["from_id", "parameter", "to_id"])
+
+
 def flow_edges(flows: DataFrame) -> DataFrame:
     return flows.select("source_id", "function_id", "function", F.explode("edges").alias("e")).select("source_id", "function_id", "function", "e.*")
 

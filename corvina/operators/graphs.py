@@ -212,3 +212,16 @@ def resolve_for_units(blocks: DataFrame) -> DataFrame:
     every = units.join(best, F.lit(True))
     joined = every.join(own, ["unit", "name"], "left")
     return joined.select("unit", "name", F.when(F.col("own_nodes").isNull(), F.col("best_id")).otherwise(F.col("unit")).alias("source_id"), F.coalesce("own_nodes", "best_nodes").alias("nodes"))
+
+
+def compare_versions(before: DataFrame, after: DataFrame, most: int = c_depend.GED_MOST) -> DataFrame:
+    """`name, distance, approximated` of functions that two corpora have by name; of one name in a corpus the best graph counts."""
+    a, b = shapes(best_by_name(before)), shapes(best_by_name(after))
+    pairs = a.select(F.col("name").alias("pair_id"), F.col("nodes").alias("left"), F.col("n_edges").alias("left_edges")).join(
+        b.select(F.col("name").alias("pair_id"), F.col("nodes").alias("right"), F.col("n_edges").alias("right_edges")), "pair_id")
+    return similarity(pairs, most).withColumnRenamed("pair_id", "name")
+
+
+def agreement(compared: DataFrame) -> DataFrame:
+    """One row: functions compared, those without distance, the sum of distances, how many were approximated."""
+    return compared.agg(F.count("*").alias("compared"), F.count_if(F.col("distance") == 0).alias("equal"), F.coalesce(F.sum("distance"), F.lit(0)).alias("total"), F.count_if("approximated").alias("approximated"))

@@ -20,6 +20,10 @@ DEFINITION_KINDS = "parameter declaration assignment compound_assignment inc_dec
 WEAK = {"memory_write"}
 UNREAD = {"sizeof_type", "alignof_type", "type_name", "attribute", "asm", "static_assert", "decl_specifiers", "label_addr", "member_suffix", "param_list"}
 BUDGET = 16
+# Compiler built-ins by number of arguments; all but constant_p give back something of their first.
+BUILTINS = {"__builtin_constant_p": 1, "__builtin_expect": 2, "__builtin_expect_with_probability": 3}
+BUILTINS |= {f"__builtin_bswap{bits}": 1 for bits in (16, 32, 64, 128)}
+BUILTINS |= {f"__builtin_{name}{size}": 1 for name in ("popcount", "parity", "clz", "ctz", "ffs") for size in ("", "l", "ll")}
 
 
 @dataclass
@@ -331,7 +335,12 @@ def summaries(tree: Tree, policy: str = "unknown") -> list[Summary]:
     complete = list(local)
     while True:
         again = [
-            complete[i] and all(c["callee"] in by_name and complete[by_name[c["callee"]]] and len(c["arguments"]) == made[by_name[c["callee"]]].arity or policy == "assume_pure_no_flow" and c["callee"] not in names for c in flows[i][0].calls)
+            complete[i]
+            and all(
+                c["callee"] in by_name and complete[by_name[c["callee"]]] and len(c["arguments"]) == made[by_name[c["callee"]]].arity
+                or c["callee"] not in names and (policy == "assume_pure_no_flow" or BUILTINS.get(c["callee"]) == len(c["arguments"]))
+                for c in flows[i][0].calls
+            )
             for i in range(len(functions))
         ]
         if again == complete:
@@ -367,6 +376,8 @@ def _trace(flow: Flow, graph: c_graph.Graph, prepared: dict, mine: Summary, made
 
     def carries(call: dict, argument: int) -> bool:
         target = by_name.get(call["callee"])
+        if target is None and BUILTINS.get(call["callee"]) == len(call["arguments"]):
+            return argument == 0 and call["callee"] != "__builtin_constant_p"
         if target is None:
             return policy == "taint_return"
         return argument in made[target].returns
@@ -440,6 +451,8 @@ def reaches(made: list[Summary], source: str, parameter: int, sink: str) -> dict
             continue
         seen.add((name, p))
         here = named.get(name, [])
+        if name in BUILTINS and not here:
+            continue
         if len(here) != 1:
             uncertain.add("ambiguous_callee" if here else "missing_callee")
             continue
@@ -449,3 +462,38 @@ def reaches(made: list[Summary], source: str, parameter: int, sink: str) -> dict
             if q == p:
                 stack.append([*path, (callee, argument)])
     return {"verdict": "unknown" if uncertain else "no", "path": [], "explored": len(seen), "uncertainty": sorted(uncertain)}
+
+
+def reaches_by_id(made: list[Summary], source: int, parameter: int, sink: int) -> dict:
+    """`reaches` for functions given by number, so that names defined twice can be told apart at both ends."""
+    by_id = {m.function_id: m for m in made}
+    if source not in by_id or sink not in by_id:
+        return {"verdict": "unknown", "path": [], "explored": 0, "uncertainty": ["missing_source" if source not in by_id else "missing_sink"]}
+    start = by_id[source]
+    if parameter >= start.arity:
+        return {"verdict": "no" if start.complete else "unknown", "path": [], "explored": 0, "uncertainty": [] if start.complete else ["incomplete_arity"]}
+    named: dict[str, list[Summary]] = {}
+    for m in made:
+        named.setdefault(m.name, []).append(m)
+    uncertain: set[str] = set()
+    seen: set[tuple[int, int]] = set()
+    stack = [[(source, parameter)]]
+    while stack:
+        path = stack.pop()
+        number, p = path[-1]
+        if number == sink:
+            return {"verdict": "yes", "path": path, "explored": len(seen) + 1, "uncertainty": sorted(uncertain)}
+        if (number, p) in seen:
+            continue
+        seen.add((number, p))
+        if not by_id[number].complete:
+            uncertain.add("incomplete_summary")
+        for q, callee, argument in sorted(by_id[number].transfers, reverse=True):
+            if q != p or callee in BUILTINS and callee not in named:
+                continue
+            found = named.get(callee, [])
+            if len(found) == 1:
+                stack.append([*path, (found[0].function_id, argument)])
+            else:
+                uncertain.add("ambiguous_callee" if found else "missing_callee")
+    return {"verdict": "unknown" if uncertain else "no", "path": [], "explored": len(seen), "uncertainty": sorted(uncertain)}

@@ -87,3 +87,17 @@ def test_what_is_unknown_stays_unknown():
     assert summaries("int f(int x){ return ext(x); }", "assume_pure_no_flow")[0].complete
     with pytest.raises(ValueError):
         summaries("", "maybe")
+
+
+def test_builtins_are_known():
+    made = summaries("int f(int x){ return __builtin_expect(x, 1); } int g(int x){ return __builtin_constant_p(x); } int h(int x){ return __builtin_clzll(x, x); }")
+    assert [(m.complete, m.returns) for m in made] == [(True, {0}), (True, set()), (False, set())]
+    assert len(c_dataflow.BUILTINS) == 22
+
+
+def test_reaching_by_number():
+    made = summaries("int d(int x){ return 1; } int d(int y){ return g(y); } int g(int z){ return z; } int c(int x){ return d(x); }")
+    assert c_dataflow.reaches_by_id(made, 1, 0, 2)["path"] == [(1, 0), (2, 0)]
+    assert c_dataflow.reaches_by_id(made, 0, 0, 2)["verdict"] == "no"
+    assert c_dataflow.reaches_by_id(made, 3, 0, 2) == {"verdict": "unknown", "path": [], "explored": 1, "uncertainty": ["ambiguous_callee", "incomplete_summary"]}
+    assert c_dataflow.reaches_by_id(made, 1, 0, 9)["uncertainty"] == ["missing_sink"]

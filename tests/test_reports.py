@@ -189,3 +189,22 @@ def test_nothing_imports_the_corpus_operators():
         if "llm" not in path.relative_to(ROOT).parts:
             assert "llm" not in path.read_text()
     assert importlib.import_module("corvina.queries")
+
+
+def test_versions_of_graphs(spark):
+    a = stage.functions(stage.parse(sources(spark, "int f(int x){ if (x) return 1; return 0; } int g(void){ return 1; }")))
+    b = stage.functions(stage.parse(sources(spark, "int f(int x){ while (x) x--; return 0; } int g(void){ return 2; } int h(void){ return 1; }")))
+    compared = graphs.compare_versions(a, b)
+    got = {r.name: r.distance for r in compared.collect()}
+    assert got["g"] == 0 and got["f"] > 0 and len(got) == 2
+    assert graphs.agreement(compared).first()[:] == (2, 1, got["f"], 0)
+
+
+def test_decompiled_output(spark):
+    from corvina.operators import decompiled
+
+    df = sources(spark, "undefined1 [16] f(int a @ rdi)\n{ if (a > 1) { g(a); } return a; }\nvoid stop() __noreturn { exit(1); }", "#define BODY int made(void) { int a = 1; a++; return a; }\nBODY\nint own(int x) { return x; }\n")
+    got = {r.name: (r.origin, len(r.nodes)) for r in decompiled.analyze_decompiled(df).collect()}
+    assert got["f"][0] == "source" and got["stop"][0] == "source" and got["own"][0] == "source"
+    if "made" in got:  # only where the host has a C preprocessor
+        assert got["made"][0] == "generated"
