@@ -37,7 +37,13 @@ UNIGRAM, BPE = 1, 2
 #: Longer words go one by one: few words share such a length.
 LONG = 256
 #: Pairs whose agreement is kept at most; beyond it the store starts anew.
-PAIRS = 400_000
+PAIRS = 2_000_000
+#: Pairs gathered before they are sorted in, words whose ids are kept, bits of the filter before the search.
+NEWEST = 20_000
+WORDS = 500_000
+FILTER_BITS = 20
+#: Text handled at once: words repeat more in more text.
+SLICE = 6 << 20
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -79,6 +85,8 @@ class Pieces:
         self.keys, self.key_ids = keys[order], usable[order]
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)  # which hashes can be those of pieces, by their upper bits
+        self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
         self.lengths = np.concatenate([lengths, [1]])  # the last: a character without a piece
         self.lowest = self.score[usable].min() - 10
         self.apart = not any("\n" in n and len(n) > 1 for n in self.id_of)
@@ -87,7 +95,8 @@ class Pieces:
         self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.agree: dict[int, bool] = {}
-        self.memo = WordMemo(self.encode_words)
+        self.pair_keys, self.pair_values = np.zeros(0, np.int64), np.zeros(0, bool)  # the same, sorted, but for the newest
+        self.memo = WordMemo(self.encode_words, WORDS)
 
     def _hash(self, text: str) -> int:
         h = 0
@@ -127,20 +136,32 @@ class Pieces:
                 offer(left[a], a)
         return [p for p in parts if p]
 
-    def _agrees(self, first: np.ndarray, second: np.ndarray, text) -> np.ndarray:
+    def _agrees(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether pieces may stand side by side; ids from `size` up are characters without a piece."""
-        keys, back = np.unique(first * np.int64(1 << 22) + second, return_inverse=True)
-        out = np.empty(len(keys), bool)
-        for n, k in enumerate(keys.tolist()):
-            known = self.agree.get(k)
-            if known is None:
-                a, b = text(k >> 22), text(k & ((1 << 22) - 1))
-                known = self.merge(a + b) == [a, b]
-                if len(self.agree) >= PAIRS:
-                    self.agree.clear()
-                self.agree[k] = known
-            out[n] = known
-        return out[back]
+        keys = first * np.int64(1 << 22) + second
+        out = np.zeros(len(keys), bool)
+        if len(self.pair_keys):
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            known = self.pair_keys[at] == keys
+            out[known] = self.pair_values[at[known]]
+            rest = np.flatnonzero(~known)
+        else:
+            rest = np.arange(len(keys))
+        for i, k in zip(rest.tolist(), keys[rest].tolist(), strict=True):
+            found = self.agree.get(k)
+            if found is None:
+                a, b = self._text(k >> 22), self._text(k & ((1 << 22) - 1))
+                found = self.agree[k] = self.merge(a + b) == [a, b]
+            out[i] = found
+        if len(self.agree) >= NEWEST:
+            if len(self.pair_keys) >= PAIRS:
+                self.pair_keys, self.pair_values = self.pair_keys[:0], self.pair_values[:0]
+            keys = np.concatenate([self.pair_keys, np.fromiter(self.agree, np.int64, len(self.agree))])
+            values = np.concatenate([self.pair_values, np.fromiter(self.agree.values(), bool, len(self.agree))])
+            order = keys.argsort(kind="stable")
+            self.pair_keys, self.pair_values = keys[order], values[order]
+            self.agree.clear()
+        return out
 
     def _text(self, i: int) -> str:
         return self.names[i] if i < self.size else chr(i - self.size)
@@ -158,9 +179,12 @@ class Pieces:
             for size in range(1, min(self.longest, j) + 1):
                 i = j - size
                 probe = prefix[j] - prefix[i] * self.powers[size]
-                at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-                rows = np.flatnonzero((self.keys[at] == probe) & np.isfinite(score[i]))
-                piece = self.key_ids[at[rows]]
+                rows = np.flatnonzero(self.maybe[probe >> np.uint64(64 - FILTER_BITS)] & (last[i] >= 0 if i else True))
+                if not len(rows) and size > 1:
+                    continue
+                at = np.minimum(np.searchsorted(self.keys, probe[rows]), len(self.keys) - 1)
+                sure = self.keys[at] == probe[rows]
+                rows, piece = rows[sure], self.key_ids[at[sure]]
                 same = (self.lengths[piece] == size) & (self.chars[piece, :size] == codes[rows, i:j]).all(1)
                 rows, piece = rows[same], piece[same]
                 gain = self.score[piece]
@@ -172,7 +196,7 @@ class Pieces:
                     piece = np.concatenate([piece, codes[rest, i].astype(np.int64) + self.size])
                     gain = np.concatenate([gain, np.full(len(rest), self.lowest)])
                 if i and self.bpe and len(rows):
-                    fit = self._agrees(last[i, rows], piece, self._text)
+                    fit = self._agrees(last[i, rows], piece)
                     rows, piece, gain = rows[fit], piece[fit], gain[fit]
                 total = score[i, rows] + gain
                 better = total > score[j, rows]
@@ -274,7 +298,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, counts = model.encode(batch.column("text"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
