@@ -31,8 +31,11 @@ from ._common import WordMemo, gather, mapped, slices, split_words, strings
 
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 64
-#: Pieces that wait for a place in a sequence, as a share of one sequence's tokens times this.
+#: Pieces that wait for a place in a sequence.
 WINDOW = 512
+#: Words whose ids a worker keeps, and text that it handles at once: words repeat more in more text.
+KEPT = 600_000
+SLICE = 6 << 20
 
 
 @dataclass
@@ -161,7 +164,7 @@ def word_encoder(path: str) -> WordMemo:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        stems = WordMemo(lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)], 500_000)
+        stems = WordMemo(lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)], KEPT)
 
         def encode(words: list[str]) -> list[np.ndarray]:
             cut = [w[-1:] in (".", ",") and w[-2:-1].isalpha() for w in words]
@@ -170,7 +173,7 @@ def word_encoder(path: str) -> WordMemo:
             ids = dict(zip([*parts, ".", ","], np.split(flat, np.cumsum(lengths)[:-1]), strict=True))
             return [np.concatenate([ids[w[:-1]], ids[w[-1]]]) if c else ids[w] for w, c in zip(words, cut, strict=True)]
 
-        _memo[path] = WordMemo(encode)
+        _memo[path] = WordMemo(encode, KEPT)
     return _memo[path]
 
 
@@ -220,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits |
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, counts = token_ids(batch.column("text"), tokenizer_path)
             ends = np.cumsum(counts)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends - counts, ends, strict=True):
