@@ -2,12 +2,13 @@
 
 A tolerant reader turns each page into blocks of text, each with the path of
 containers around it: tags with their classes, digits generalised ("div.post-N").
-First pass: every container path of a page is scored by the text that stands in
-it outside links, half as much one level up and so on; a page spreads one vote
-over its paths in proportion.  Spark adds the votes of a host by path, so a hot
-host is summed before the shuffle.  Second pass: every page is read again and
-gives the blocks under the host's winning path, the strongest that the page has;
-a page that has none of them uses its own best path.
+First pass: a page votes for the lowest container that holds nearly all of its text
+outside links, raised where title, lead or lists stand beside it.  Spark adds the
+votes of a host by path, and the pages that have the path, so a hot host is summed
+before the shuffle.  A path wins where most of the pages that have it vote for it.
+Second pass: every page is read again and gives the blocks under its own path if
+that has won, else under the host's strongest winning path that it has, else under
+its own path.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out wherever they stand.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +32,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center", "details", "header", "footer", "nav", "aside", "form", "fieldset", "table", "ul", "ol", "dl", "menu", "dialog", "figure"}
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "address", "figcaption", "caption", "summary", "tr", "th", "thead", "tbody", "tfoot", "hgroup", "legend", "head", "option", "label"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCKS = CONTAINERS | HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "address", "figcaption", "caption", "summary", "tr", "th", "thead", "tbody", "tfoot", "hgroup", "legend", "head", "option", "label"}
 #: An opening tag of these ends an open tag of the second set, up to the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DROPPED_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "input", "label", "fieldset"}
@@ -43,7 +46,11 @@ DROPPED_WORDS = set(
 KEPT_TAGS = {"html", "body", "main", "article"}
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: A path must have this share of a host's votes to be one of its winning paths.
+#: Containers whose text is a part of what stands around them; cells with a class may be columns of the page.
+FLOW = {"ul", "ol", "dl", "table", "td", "figure", "header", "details"}
+#: The lowest container with this share of a page's unlinked text is its own.
+NEARLY = 0.95
+#: A path must have this share of a host's votes to overrule the own paths of other pages.
 SHARE = 0.1
 #: Hosts up to this many are sent to every task; beyond it the paths are joined by host.
 BROADCAST_HOSTS = 20_000
@@ -68,9 +75,9 @@ def _boilerplate(tag: str, a: dict[str, str], inside: bool) -> bool:
     return any(w in DROPPED_WORDS for w in words) or "header" in words and not inside
 
 
-def blocks(html: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of a page's blocks, in order, without furniture."""
-    out: list[tuple[str, str, int]] = []
+def blocks(html: str) -> list[tuple[str, str, int, str]]:
+    """(path, text, characters in links, tag if a heading) of a page's blocks, in order, without furniture."""
+    out: list[tuple[str, str, int, str]] = []
     stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, and path, dropped, in a link, inside an article before it
     path, dropped, linked, inside = "", False, False, False
     text: list[str] = []
@@ -80,7 +87,12 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
         nonlocal links
         if text:
             if joined := " ".join("".join(text).split()):
-                out.append((path, joined, min(links, len(joined))))
+                heading = ""
+                for name, *_ in reversed(stack):
+                    if name in HEADINGS or name in CONTAINERS:
+                        heading = name if name in HEADINGS else ""
+                        break
+                out.append((path, joined, min(links, len(joined)), heading))
             text.clear()
             links = 0
 
@@ -147,7 +159,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
         stack.append((tag, path, dropped, linked, inside))
         a = _attributes(m[3]) if m[3].strip(" /") else {}
         if tag in CONTAINERS:
-            classes = ".".join(sorted({re.sub(r"\d+", "N", c) for c in a.get("class", "").split()}))
+            classes = ".".join(sorted({re.sub(r"\d+", "N", c).replace("/", "_") for c in a.get("class", "").split()}))
             path = f"{path}/{tag}" + (f".{classes}" if classes else "")
         dropped = dropped or (tag in BLOCKS or bool(a)) and _boilerplate(tag, a, inside) or tag in DROPPED_TAGS
         linked = linked or tag == "a"
@@ -156,33 +168,83 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
-    """Score of each container path: unlinked characters of its blocks, half of them one level up, and so on."""
-    direct: dict[str, float] = {}
-    for path, text, linked in found:
+@lru_cache(maxsize=50_000)
+def _holder(path: str) -> str:
+    """The path without lists, tables, figures and headers at its end."""
+    while path:
+        above, _, last = path.rpartition("/")
+        tag, _, classes = last.partition(".")
+        if tag not in FLOW or tag == "td" and classes:
+            break
+        path = above
+    return path
+
+
+def _under(path: str, top: str) -> bool:
+    return path == top or path.startswith(top + "/")
+
+
+def _raised(path: str, found: list[tuple[str, str, int, str]]) -> str:
+    """The path, or the one above it that holds what belongs to its text.
+
+    Nothing below an article, or main without one, is a text of its own.  Headings and
+    unlinked text directly in a container around it belong to it, and so does an
+    unlinked h1 elsewhere if it has none.
+    """
+    for tag in ("article", "main"):
+        if m := re.search(rf"/{tag}(?=[./]|$)", path):
+            path = path[: (path.find("/", m.end()) + 1 or len(path) + 1) - 1]
+            break
+    top = path = _holder(path)
+    titled = any(h == "h1" and _under(p, path) for p, _, _, h in found)
+    for p, text, linked, heading in found:
+        if _under(p, path):
+            continue
+        above = _holder(p)
+        if not path.startswith(above + "/"):
+            if titled or heading != "h1" or 2 * linked >= len(text):
+                continue
+            while not path.startswith(above + "/"):
+                above = above.rpartition("/")[0]
+        elif not heading and 2 * linked >= len(text):
+            continue
+        top = min(top, above, key=len)
+    return top
+
+
+def own(found: list[tuple[str, str, int, str]]) -> str | None:
+    """The lowest container that holds nearly all unlinked text, raised to what belongs to it; None without such text."""
+    direct: dict[str, int] = {}
+    for path, text, linked, _ in found:
         direct[path] = direct.get(path, 0) + len(text) - linked
-    total: dict[str, float] = {}
-    for path, n in direct.items():
-        while n >= 1:
-            total[path] = total.get(path, 0) + n
-            cut = path.rfind("/")
-            if cut < 0:
-                break
-            path, n = path[:cut], n / 2
-    return total
-
-
-def best(total: dict[str, float]) -> str | None:
-    return min(total, key=lambda p: (-total[p], p)) if total else None
-
-
-def extract(found: list[tuple[str, str, int]], winners: list[str]) -> str:
-    """Blocks under the first of the winning paths that the page has, else under its own best path."""
-    under = []
-    for path in [*winners, best(scores(found))]:
-        if path is not None and (under := [t for p, t, _ in found if p == path or p.startswith(path + "/")]):
+    total = sum(direct.values())
+    if not total:
+        return None
+    # what holds more than half of the text holds the middle of it, in the order of the tree
+    ordered = sorted((p.split("/"), n) for p, n in direct.items())
+    before = 0
+    for middle, n in ordered:
+        before += n
+        if 2 * before >= total:
             break
-    return "\n\n".join(under)
+    held = [0] * (len(middle) + 1)
+    for parts, n in ordered:
+        held[next((k for k, (a, b) in enumerate(zip(parts, middle, strict=False)) if a != b), min(len(parts), len(middle)))] += n
+    k, inside = len(middle), held[-1]
+    while inside < NEARLY * total:
+        k -= 1
+        inside += held[k]
+    return _raised("/".join(middle[:k]), found)
+
+
+def extract(found: list[tuple[str, str, int, str]], winners: list[str]) -> str:
+    """Blocks under the page's own path if it has won, else under the first winning path that the page has, else under its own."""
+    mine = own(found)
+    for path in [mine] if mine in winners else [*winners, mine]:
+        if path is not None and any(_under(p, path) for p, *_ in found):
+            path = _raised(path, found)
+            return "\n\n".join(t for p, t, *_ in found if _under(p, path))
+    return ""
 
 
 def host_of(url: Column) -> Column:
@@ -195,19 +257,28 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            votes: dict[tuple[str, str], float] = {}
+            seen: dict[tuple[str, str], list[int]] = {}
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                total = scores(blocks(html or ""))
-                weight = sum(total.values())
-                for path, n in total.items():
-                    votes[host, path] = votes.get((host, path), 0) + round(1_000_000 * n / weight)
-            keys = list(votes)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
-
-    votes = mapped(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    # A share of the host's votes leaves at most 1 / SHARE paths, whatever the host's pages hold.
+                found = blocks(html or "")
+                mine = own(found)
+                has: set[str] = set()
+                for path in {p for p, *_ in found}:
+                    while path not in has:
+                        has.add(path)
+                        path = path.rpartition("/")[0]
+                for path in has:
+                    x = seen.setdefault((host, path), [0, 0])
+                    x[0] += path == mine
+                    x[1] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()), pa.array([v for v, _ in seen.values()], pa.int64()), pa.array([n for _, n in seen.values()], pa.int64())], ["host", "path", "votes", "pages"]
+            )
+
+    made = mapped(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, votes long, pages long")
+    votes = made.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages")).filter("votes > 0")
+    # A share of the host's votes leaves at most 1 / SHARE paths, whatever the host's pages hold; other paths hold for pages whose own they are.
     most = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"))
-    kept = votes.join(most, "host").filter(F.col("votes") >= SHARE * F.col("all_votes"))
+    kept = votes.join(most, "host").filter((F.col("votes") >= SHARE * F.col("all_votes")) & (2 * F.col("votes") >= F.col("pages")))
     ranked = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))).alias("x"))
     return ranked.select("host", F.col("x.path").alias("paths"))
 

@@ -49,3 +49,26 @@ def test_many_hosts_are_joined(spark, monkeypatch):
     usual = sorted((r.page_id, r.text) for r in run(spark, rows))
     monkeypatch.setattr(html_consensus, "BROADCAST_HOSTS", 2)
     assert sorted((r.page_id, r.text) for r in run(spark, rows)) == usual
+
+
+def test_title_and_lead_stay_with_a_long_part(spark):
+    lead, words = "An intro to the parts. " * 4, "part of the text " * 60
+    pages = {
+        1: f"<article><h1>T</h1><p>{lead}</p><ul><li>{words}</ul></article>",
+        2: f"<article><header><h1>T</h1><p>{lead}</p></header><div class=entry-content><p>{words}</p></div></article>",
+        3: f"<div class=post><h2><a href=/>T</a></h2><p>{lead}</p><table><tr><td>{words}</table></div>",
+        4: f"<div class=post><div class=head><h1>T</h1></div><div class=lead><p>{lead}</p></div><div class=entry><p>{words}</p></div></div>",
+        5: f"<article><div class=head><h1>T</h1></div><div class=lead><p>{lead}</p></div><section><p>{words * 9}</p></section></article>",
+    }
+    rows = [(k, f"http://h{k}.example/{i}", f"<html><body><div class=page>{p}</div></body></html>") for k, p in pages.items() for i in range(4)]
+    for r in run(spark, rows):
+        assert r.text.split("\n\n") == ["T", lead.strip(), (words * 9 if r.page_id == 5 else words).strip()], r.page_id
+
+
+def test_rare_templates_keep_their_own_text(spark):
+    """A box that every page has is the text of some pages only, and no template has a tenth of the votes."""
+    box = "<div class=latest><p>Latest of all the news.</p></div>"
+    rows = [(k, "http://h.example/", f"<body><div class=kind-{chr(97 + k)}><p>{f'text of kind {chr(97 + k)} ' * 60}</p></div>{box}</body>") for k in range(16)]
+    rows += [(99, "http://h.example/", f"<body>{box}</body>")] * 3
+    for r in run(spark, rows):
+        assert r.text == ("Latest of all the news." if r.page_id == 99 else f"text of kind {chr(97 + r.page_id)} " * 60).strip()
