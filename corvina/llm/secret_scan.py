@@ -24,8 +24,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 #: Weak candidates: an identifier is of capitals and digits, a secret has a small letter too, so no run is both.
-WEAK_ID = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}(?![A-Za-z0-9+/_=-])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: Either may follow the '=' of a key (KEY=value), or the '_' or '-' of a prefix.
+WEAK_ID = r"(?<![A-Za-z0-9+/])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{3,}"
 BREAK = r"\n[ \t\r]*\n"
 
