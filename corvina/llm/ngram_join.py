@@ -124,7 +124,7 @@ def band_keys(values: np.ndarray, counts: np.ndarray, bands: int, rows: int) ->
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
-    """`doc_id, key, node, bands` of every row: its set's id and its band keys (none without words)."""
+    """`doc_id, key, tie, node, bands` of every row: its set's id and its band keys (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -132,9 +132,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
             keys = band_keys(values, counts, bands, rows)
             offsets = np.concatenate([[0], np.cumsum((counts > 0) * bands)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(set_ids(values, counts), pa.binary()), lists], ["doc_id", "key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("tie"), pa.array(set_ids(values, counts), pa.binary()), lists], ["doc_id", "key", "tie", "node", "bands"])
 
-    return mapped(docs, run, "doc_id long, key long, node binary, bands array<long>")
+    return mapped(docs, run, "doc_id long, key long, tie long, node binary, bands array<long>")
 
 
 def payloads(rows: DataFrame, n: int = N) -> DataFrame:
@@ -206,17 +206,22 @@ def _key(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
 
 
+def _tie(docs: DataFrame) -> Column:
+    """What tells rows with one key apart: the hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _linked(docs: DataFrame, threshold: float, recall: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their nodes, nodes, verified links)."""
     bands, rows = bands_for(threshold, recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), _tie(docs).alias("tie"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(signatures(docs, bands, rows, n))
-    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key")).alias("k")).select("node", "copies", "first", F.col("k.key").alias("key"))
+    nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key", "tie")).alias("k")).select("node", "copies", "first", "k.key", "k.tie")
     members = checkpointed(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))))
 
     # One text for each node in a bucket; the rows that repeat it go where the join has brought them.
     wanted = members.select("node").distinct().join(nodes, "node").select("key", "node", "copies")
-    found = docs.select("key", "text", F.xxhash64("text").alias("tie")).join(wanted, "key").dropDuplicates(["key", "node", "tie"])
+    found = docs.select("key", "text", "tie").join(wanted, "key").dropDuplicates(["key", "node", "tie"])
     links = checkpointed(verify(tiles(members, payloads(found, n)), jaccard_at_least(threshold)))
     return signed, nodes, links
 
@@ -225,17 +230,17 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """The rows of `docs` with all their columns, one of each class: that with the least id.
 
     Rows without an id stay only where their class has no row with one, and of
-    several of them one stays; of rows that repeat an id one stays for each text.
+    several of them one stays; rows that repeat an id are judged each by its own text.
     """
     signed, nodes, links = _linked(docs, threshold, recall, n)
     roots = components(links.filter("other is not null").select("node", "other"))
-    known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first").isNull().alias("none"), "key").alias("who"))
-    chosen = checkpointed(known.groupBy("root").agg(F.min("who").alias("who")).select("root", F.col("who.key").alias("stays")))
+    known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct(F.col("first").isNull().alias("none"), "key", "tie").alias("who"))
+    chosen = checkpointed(known.groupBy("root").agg(F.min("who").alias("who")).select("root", F.struct("who.key", "who.tie").alias("stays")))
     stays = known.join(chosen, "root").select("node", "stays")
-    gone = checkpointed(signed.select("key", "node").join(stays, "node").filter("key <> stays").select("key").distinct())
-    left = docs.withColumn("_row_key", _key(docs)).join(gone.withColumnRenamed("key", "_row_key"), "_row_key", "left_anti")
-    if signed.groupBy("key").count().filter("count > 1").limit(1).count():
-        left = left.withColumn("_row_tie", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["_row_key", "_row_tie"])
+    gone = checkpointed(signed.select("key", "tie", "node").join(stays, "node").filter("key <> stays.key or tie <> stays.tie").select("key", "tie").distinct())
+    left = docs.withColumns({"_row_key": _key(docs), "_row_tie": _tie(docs)}).join(gone.withColumnsRenamed({"key": "_row_key", "tie": "_row_tie"}), ["_row_key", "_row_tie"], "left_anti")
+    if signed.groupBy("key", "tie").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates(["_row_key", "_row_tie"])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

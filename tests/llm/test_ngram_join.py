@@ -90,3 +90,12 @@ def test_representatives(spark):
     assert {r.doc_id for r in kept.collect()} == want
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "d e f"), (None, "d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in ngram_join.representatives(twice).collect()) == [(0, "d e f"), (1, "a b c")]
+
+
+def test_representatives_of_repeated_ids(spark):
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", " ".join(f"w{i}" for i in range(60)))
+    rows = [(1, a), (2, a), (2, b), (5, c), (5, c + " more"), (5, c.upper()), (7, b), (8, None), (8, ""), (None, a), (None, "only here")]
+    out = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted((r.doc_id or 0, r.text or "") for r in out)
+    assert [x for x in got if x[0] != 5] == [(0, "only here"), (1, a), (2, b), (8, "")]
+    assert len([x for x in got if x[0] == 5]) == 1
