@@ -43,6 +43,18 @@ DROPPED_WORDS = set(
     "adslot sponsor sponsored promo promotion comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login breadcrumb "
     "breadcrumbs pagination pager popup modal overlay paywall copyright masthead toolbar skip".split()
 )
+#: Words that may stand beside those in a name; with any other word the name is a phrase of its own.
+QUALIFIERS = set(
+    "site page main primary secondary top bottom left right upper lower inner outer mobile desktop sticky fixed global local list area box container wrapper wrap section block blocks link links bar button buttons btn icon "
+    "icons item items post posts article articles entry entries content col column columns panel group row holder unit slot zone text title heading head body label form message msg policy js by us id nav previous prev next "
+    "first last root media network networks follow tools actions meta info count more also stories story news letter popular latest recent sub toggle wide full close header".split()
+)
+#: A name with one of these says something about an element, not what it is.
+STATES = {"has", "with", "without", "no", "not", "is"}
+#: Readers' comments, which may be longer than the text.
+COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: As ids of sections these are made from headings.
+TITLES = {"discussion", "related", "notice", "notices", "alert", "alerts", "promotion", "navigation", "copyright", "subscription", "share", "sharing", "social", "advertising", "advertisement"}
 KEPT_TAGS = {"html", "body", "main", "article"}
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -61,46 +73,64 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(source)}
 
 
-def _boilerplate(tag: str, a: dict[str, str], inside: bool) -> bool:
-    """Whether an element is furniture; `inside`: within article or main, where a header holds the title."""
-    if tag in DROPPED_TAGS or tag == "header" and not inside:
-        return True
+#: What _boilerplate() finds: always left out; left out unless it holds the page's text; comments.
+NONE, ALWAYS, UNLESS_MOST, COMMENTS = range(4)
+
+
+def _named(words: list[str], inside: bool) -> int:
+    if not words or not STATES.isdisjoint(words) or not all(w in DROPPED_WORDS or w in QUALIFIERS or len(w) == 1 for w in words):
+        return NONE
+    if not COMMENT_WORDS.isdisjoint(words):
+        return COMMENTS
+    return UNLESS_MOST if not DROPPED_WORDS.isdisjoint(words) or "header" in words and not inside else NONE
+
+
+def _boilerplate(tag: str, a: dict[str, str], inside: bool) -> int:
+    """Which kind of furniture an element is; `inside`: within article or main, where a header holds the title."""
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
+        return ALWAYS
+    if tag in DROPPED_TAGS or tag == "header" and not inside:
+        return UNLESS_MOST if tag in ("form", "fieldset", "aside", "header") else ALWAYS
     if tag in KEPT_TAGS or not a:
-        return False
-    if a.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    words = WORD.findall(CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower())
-    return any(w in DROPPED_WORDS for w in words) or "header" in words and not inside
+        return NONE
+    if (role := a.get("role", "").lower()) in DROPPED_ROLES:
+        return UNLESS_MOST if role == "form" else ALWAYS
+    names = [WORD.findall(CAMEL.sub(" ", name).lower()) for name in a.get("class", "").split()]
+    if tag not in HEADINGS:
+        words = WORD.findall(CAMEL.sub(" ", a.get("id", "")).lower())
+        if tag != "section" or not TITLES.issuperset(words):
+            names.append(words)
+    return max((_named(words, inside) for words in names), default=NONE)
 
 
 def blocks(html: str) -> list[tuple[str, str, int, str]]:
     """(path, text, characters in links, tag if a heading) of a page's blocks, in order, without furniture."""
-    out: list[tuple[str, str, int, str]] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, and path, dropped, in a link, inside an article before it
+    out: list[tuple[str, str, int, str, tuple[int, ...]]] = []
+    stack: list[tuple] = []  # tag, and path, dropped, in a link, inside an article, furniture around before it
     path, dropped, linked, inside = "", False, False, False
-    text: list[str] = []
-    links = 0
+    around: tuple[int, ...] = ()
+    kinds: list[int] = []  # of furniture that may yet hold the page's text
+    holds: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}  # the furniture around each
+    text: dict[tuple[int, ...], list[str]] = {}
+    linked_text: dict[tuple[int, ...], int] = {}
 
     def end_block() -> None:
-        nonlocal links
-        if text:
-            if joined := " ".join("".join(text).split()):
+        for where, pieces in text.items():
+            if joined := " ".join("".join(pieces).split()):
                 heading = ""
                 for name, *_ in reversed(stack):
                     if name in HEADINGS or name in CONTAINERS:
                         heading = name if name in HEADINGS else ""
                         break
-                out.append((path, joined, min(links, len(joined)), heading))
-            text.clear()
-            links = 0
+                out.append((path, joined, min(linked_text.get(where, 0), len(joined)), heading, where))
+        text.clear()
+        linked_text.clear()
 
     def pop_to(k: int) -> None:
-        nonlocal path, dropped, linked, inside
+        nonlocal path, dropped, linked, inside, around
         if any(s[0] in BLOCKS for s in stack[k:]):
             end_block()
-        _, path, dropped, linked, inside = stack[k]
+        _, path, dropped, linked, inside, around = stack[k]
         del stack[k:]
 
     pos, size = 0, len(html)
@@ -113,14 +143,14 @@ def blocks(html: str) -> list[tuple[str, str, int, str]]:
             if piece[0] != "<" or piece == "<":
                 if not dropped:
                     piece = unescape(piece) if "&" in piece else piece
-                    text.append(piece)
+                    text.setdefault(around, []).append(piece)
                     if linked:
-                        links += len(piece)
+                        linked_text[around] = linked_text.get(around, 0) + len(piece)
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                text.append(" ")
+                text.setdefault(around, []).append(" ")
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
@@ -130,7 +160,7 @@ def blocks(html: str) -> list[tuple[str, str, int, str]]:
             continue
         if tag in VOID:
             if tag == "br" and not dropped:
-                text.append(" ")
+                text.setdefault(around, []).append(" ")
             elif tag == "hr":
                 end_block()
             continue
@@ -156,16 +186,36 @@ def blocks(html: str) -> list[tuple[str, str, int, str]]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        stack.append((tag, path, dropped, linked, inside))
+        stack.append((tag, path, dropped, linked, inside, around))
         a = _attributes(m[3]) if m[3].strip(" /") else {}
         if tag in CONTAINERS:
             classes = ".".join(sorted({re.sub(r"\d+", "N", c).replace("/", "_") for c in a.get("class", "").split()}))
             path = f"{path}/{tag}" + (f".{classes}" if classes else "")
-        dropped = dropped or (tag in BLOCKS or bool(a)) and _boilerplate(tag, a, inside) or tag in DROPPED_TAGS
+        if not dropped:
+            kind = _boilerplate(tag, a, inside) if tag in BLOCKS or a or tag in DROPPED_TAGS else NONE
+            if kind == ALWAYS:
+                dropped = True
+            elif kind:
+                around = (*around, len(kinds))
+                kinds.append(kind)
+            if tag in holds:
+                holds[tag].append(around)
         linked = linked or tag == "a"
         inside = inside or tag in ("article", "main")
     end_block()
-    return out
+    if not kinds:
+        return [x[:4] for x in out]
+    # furniture with most of the text, with main or with the only articles is none
+    mass, total = [0] * len(kinds), 0
+    for _, joined, n, _, where in out:
+        if not any(kinds[k] == COMMENTS for k in where):
+            total += len(joined) - n
+            for k in where:
+                mass[k] += len(joined) - n
+    kept = {k for k, kind in enumerate(kinds) if kind != COMMENTS and 2 * mass[k] > total} | {k for where in holds["main"] for k in where}
+    if () not in holds["article"]:
+        kept |= {k for where in holds["article"] for k in where if not any(kinds[x] == COMMENTS for x in where)}
+    return [x[:4] for x in out if kept.issuperset(x[4])]
 
 
 @lru_cache(maxsize=50_000)
@@ -276,6 +326,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     made = mapped(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, votes long, pages long")
     votes = made.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages")).filter("votes > 0")
+    votes = checkpointed(votes)  # read twice
     # A share of the host's votes leaves at most 1 / SHARE paths, whatever the host's pages hold; other paths hold for pages whose own they are.
     most = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"))
     kept = votes.join(most, "host").filter((F.col("votes") >= SHARE * F.col("all_votes")) & (2 * F.col("votes") >= F.col("pages")))

@@ -72,3 +72,18 @@ def test_rare_templates_keep_their_own_text(spark):
     rows += [(99, "http://h.example/", f"<body>{box}</body>")] * 3
     for r in run(spark, rows):
         assert r.text == ("Latest of all the news." if r.page_id == 99 else f"text of kind {chr(97 + r.page_id)} " * 60).strip()
+
+
+def test_names_that_are_no_furniture(spark):
+    words = "words of the text " * 20
+    pages = {
+        1: f'<div class="content has-sidebar"><article><h1>T</h1><p>{words}</p></article></div>',
+        2: f'<div class="with-sidebar"><p>{words}</p></div>',
+        3: f'<article><p>{words}</p><h2 id="related-work">Related work</h2><p>a</p><h2 id=discussion>Discussion</h2><section id=discussion><p>b</p></section><div id="comments-on-x"><p>c</p></div></article>',
+        4: f'<div class="sidebar"><main><p>{words}</p></main></div><p class="site-footer">gone</p>',
+        5: f'<form id=all><div class=menu><p>gone</p></div><div class=text><p>{words}</p></div></form>',
+        6: f'<article><p>{words}</p></article><div id=comments><article class="comment-body"><p>{words * 9}</p></article></div><div class="related-posts"><article><p>gone</p></article></div>',
+    }
+    got = {r.page_id: r.text for r in run(spark, [(k, f"http://n{k}.example/", f"<body>{p}</body>") for k, p in pages.items()])}
+    w = words.strip()
+    assert got == {1: "T\n\n" + w, 2: w, 3: "\n\n".join([w, "Related work", "a", "Discussion", "b", "c"]), 4: w, 5: w, 6: w}
