@@ -1,3 +1,6 @@
+import random
+import time
+
 from corvina.llm import html_consensus
 
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head>
@@ -47,7 +50,7 @@ def test_edge_rows(spark):
 def test_many_hosts_are_joined(spark, monkeypatch):
     rows = [(i, f"http://h{i % 5}/", PAGE) for i in range(20)]
     usual = sorted((r.page_id, r.text) for r in run(spark, rows))
-    monkeypatch.setattr(html_consensus, "BROADCAST_HOSTS", 2)
+    monkeypatch.setattr(html_consensus, "BROADCAST_BYTES", 2)
     assert sorted((r.page_id, r.text) for r in run(spark, rows)) == usual
 
 
@@ -87,3 +90,76 @@ def test_names_that_are_no_furniture(spark):
     got = {r.page_id: r.text for r in run(spark, [(k, f"http://n{k}.example/", f"<body>{p}</body>") for k, p in pages.items()])}
     w = words.strip()
     assert got == {1: "T\n\n" + w, 2: w, 3: "\n\n".join([w, "Related work", "a", "Discussion", "b", "c"]), 4: w, 5: w, 6: w}
+
+
+def test_words_alone_empty_no_page(spark):
+    w = ("words of the text " * 20).strip()
+    pages = {
+        1: f'<div class="with-sidebar content"><p>{w}</p></div>',
+        2: f'<div class="entry ad-free"><p>{w}</p></div>',
+        3: f'<article><p>{w}</p><section class="discussion"><p>{w}</p></section></article>',
+        4: f'<div id="related-work"><p>{w}</p></div>',
+        5: f'<div class="share-price"><p>{w}</p></div>',
+        6: f"<header><h1>T</h1></header><div class=x><p>{w}</p></div>",
+        7: f"<header><h1>Site</h1><a href=/>home</a></header><div class=x><h1>T</h1><p>{w}</p></div>",
+        8: f'<div class="comments"><p>{w}</p></div>',
+    }
+    got = {r.page_id: r.text for r in run(spark, [(k, f"http://e{k}.example/", f"<body>{p}</body>") for k, p in pages.items()])}
+    assert got == {1: w, 2: w, 3: f"{w}\n\n{w}", 4: w, 5: w, 6: f"T\n\n{w}", 7: f"T\n\n{w}", 8: w}
+
+
+HOSTILE = [
+    '<a "', "<b>x</i>", "<div>x", "<p", "</p>", "<li>x<div>", "<script>", "<!-", "&amp", '<a href="x"', '<div class="nav">', "<form>x", "<b><h2>", "<i><div><b></i>", "<b><a>x</a>", "<div><h1>x</h1>", "<!x", "</script ", "<svg>",
+    "&#00000", "&#1111111", '<p class="', "<table><tr><td>", "<a href=x><p>", "<main><div class=comment>z", "<a x='", "<header><h1>w",
+]
+
+
+def test_hostile_pages_take_linear_time():
+    for part in HOSTILE:
+        began = time.process_time()
+        html_consensus.extract(html_consensus.read((part * (500_000 // len(part)))[:500_000]), [b"x" * html_consensus.KEY_BYTES])
+        assert time.process_time() - began < 10, part  # a quadratic reader takes minutes
+
+
+def brute(rows):
+    """Texts by the method in plain words: paths as strings, votes counted a host at a time."""
+    pages = []
+    for page_id, host, html in rows:
+        page = html_consensus.read(html)
+        paths = [""]
+        for k in range(1, len(page.up)):
+            paths.append(paths[page.up[k]] + "/" + next(part for (above, part), made in page.known.items() if made == k))
+        mine = html_consensus.own(page)
+        has = {p for p in paths if any(paths[k] == p or paths[k].startswith(p + "/") for k, *_ in page.blocks)}
+        pages.append((page_id, host, page, paths, None if mine is None else paths[mine], has))
+    out = {}
+    for page_id, host, page, paths, mine, has in pages:
+        others = [x for x in pages if x[1] == host]
+        votes = {p: sum(x[4] == p for x in others) for p in {x[4] for x in others} - {None}}
+        strong = [p for p, n in votes.items() if n >= html_consensus.SHARE * sum(votes.values()) and 2 * n >= sum(p in x[5] for x in others)]
+        strong = [p for p in strong if p in has]
+        most = [p for p in strong if votes[p] == max(votes[x] for x in strong)]
+        chosen = {mine} if mine in strong or not strong else set(most)
+        texts = set()
+        for path in chosen - {None}:
+            top = paths[html_consensus._raised(page, paths.index(path))]
+            texts.add("\n\n".join(t for k, t, *_ in page.blocks if paths[k] == top or paths[k].startswith(top + "/")))
+        out[page_id] = texts or {""}
+    return out
+
+
+def test_votes_against_brute_force(spark):
+    rng = random.Random(8)
+
+    def part(depth):
+        tag = rng.choice(["div", "div class=a", "div class=b7", "section", "ul", "table", "article"])
+        inner = "".join(part(depth - 1) if depth and rng.random() < 0.6 else f"<p>{'word ' * rng.randrange(1, 40)}{rng.randrange(99)}</p>" for _ in range(rng.randrange(1, 4)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    rows = []
+    for host in range(8):
+        templates = [part(3) for _ in range(3)]
+        rows += [(len(rows) + k, f"h{host}.example", "<body>" + rng.choice([*templates, templates[0], part(2)]) + (part(1) if k % 3 == 0 else "") + "</body>") for k in range(14)]
+    want = brute(rows)
+    for r in run(spark, [(i, f"http://{h}/{i}", html) for i, h, html in rows]):
+        assert r.text in want[r.page_id], r.page_id
