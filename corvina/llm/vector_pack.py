@@ -36,6 +36,10 @@ WINDOW = 512
 #: Words whose ids a worker keeps, and text that it handles at once: words repeat more in more text.
 KEPT = 600_000
 SLICE = 6 << 20
+#: Letters before this one are letters to every version of the character tables.
+SURE_LETTERS = "\u0590"
+#: Tokens of a conversation that are one example at most; longer ones go on as further examples.
+EXAMPLE = 1 << 16
 
 
 @dataclass
@@ -44,6 +48,10 @@ class Limits:
     segments: int = MAX_SEGMENTS
     loss: int = MAX_TOKENS
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError("every limit must be 1 or more")
+
 
 class Packer:
     """Places pieces (example, start, length, loss tokens) into sequences.
@@ -157,7 +165,8 @@ _memo: dict[str, WordMemo] = {}
 def word_encoder(path: str) -> WordMemo:
     """Encoder of single words; kept for the life of a worker.
 
-    The tokenizer never merges a letter with a mark after it, so a final stop or comma is encoded apart.
+    The tokenizer never merges a letter with a mark after it, so a final stop or comma is encoded apart,
+    after letters that stay letters in small letters (a dotted capital I ends in a mark there).
     """
     if path not in _memo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,7 +176,7 @@ def word_encoder(path: str) -> WordMemo:
         stems = WordMemo(lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)], KEPT)
 
         def encode(words: list[str]) -> list[np.ndarray]:
-            cut = [w[-1:] in (".", ",") and w[-2:-1].isalpha() for w in words]
+            cut = [w[-1:] in (".", ",") and "\0" < w[-2:-1] < SURE_LETTERS and w[-2].isalpha() and len(w[-2].lower()) == 1 for w in words]
             parts = list(dict.fromkeys(w[:-1] if c else w for w, c in zip(words, cut, strict=True)))
             lengths, flat = stems([*parts, ".", ","])
             ids = dict(zip([*parts, ".", ","], np.split(flat, np.cumsum(lengths)[:-1]), strict=True))
@@ -182,17 +191,52 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     The tokenizer drops white space, so words are encoded one by one, each distinct
     one once.  It also lower-cases all but its special tokens, written in lower case
-    between <| and |>: without these, words that differ in case are one.
+    between <| and |>: in texts without these, words that differ in case are one.  It
+    composes marks with letters before that, so capitals before marks stay as they are.
     """
     texts = strings(texts)
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        texts = pc.ascii_lower(texts)
+    kept = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"[A-Z]\pM"))
+    texts = pc.if_else(kept, texts, pc.ascii_lower(texts)) if pc.any(kept).as_py() else pc.ascii_lower(texts)
     counts, codes, words = split_words(texts)
     lengths, flat = word_encoder(path)(words.to_pylist())
     return gather(counts, codes, lengths, flat)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+TURN_SCHEMA = "conv_id long, turn long, start long, length long, ids_crc32 long, loss_tokens long, example_tokens long, sequence_id long, offset long"
+
+
+class _Held:
+    """Examples that wait for places, and the packer that places them: head columns, ids, tokens that bear loss before each id."""
+
+    def __init__(self, limits: Limits, schema: str):
+        self.examples: dict[int, list] = {}
+        self.packer = Packer(limits, TaskContext.get().partitionId() << 33, loss_of=lambda e, start, length: int(self.examples[e][2][start + length] - self.examples[e][2][start]) if self.examples[e][2] is not None else length)
+        self.names = [x.split()[0] for x in schema.split(", ")]
+        self.made = 0
+
+    def add(self, head: tuple, ids: np.ndarray, loss: np.ndarray | None = None) -> None:
+        before = None if loss is None else np.concatenate([[0], np.cumsum(loss)])
+        self.examples[self.made] = [head, ids.astype("<u4"), before, len(ids)]
+        self.packer.add(self.made, len(ids))
+        self.made += 1
+
+    def placed(self) -> pa.RecordBatch:
+        rows = []
+        for example, start, length, sequence, offset in self.packer.out:
+            head, ids, before, _ = held = self.examples[example]
+            loss = () if before is None else (int(before[start + length] - before[start]),)
+            rows.append((*head, start, length, zlib.crc32(ids[start : start + length].tobytes()), *loss, len(ids), sequence, offset))
+            held[3] -= length
+            if not held[3]:
+                del self.examples[example]
+        self.packer.out.clear()
+        columns = zip(*rows, strict=True) if rows else [[]] * len(self.names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], self.names)
+
+    def rest(self) -> pa.RecordBatch:
+        self.packer.finish()
+        return self.placed()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits | None = None) -> DataFrame:
@@ -206,32 +250,57 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits |
     limits = limits or Limits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(limits, TaskContext.get().partitionId() << 33)
-        docs: dict[int, list] = {}  # waiting examples: doc_id, ids, tokens not yet placed
-        made = 0
-
-        def placed() -> pa.RecordBatch:
-            rows = []
-            for example, start, length, sequence, offset in packer.out:
-                doc = docs[example]
-                rows.append((doc[0], start, length, zlib.crc32(doc[1][start : start + length].tobytes()), len(doc[1]), sequence, offset))
-                doc[2] -= length
-                if not doc[2]:
-                    del docs[example]
-            packer.out.clear()
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
+        held = _Held(limits, SCHEMA)
         for batch in slices(batches, "text", SLICE):
             ids, counts = token_ids(batch.column("text"), tokenizer_path)
             ends = np.cumsum(counts)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends - counts, ends, strict=True):
-                docs[made] = [doc_id, np.append(ids[a:b], end_id).astype("<u4"), int(b - a) + 1]
-                packer.add(made, int(b - a) + 1)
-                made += 1
-            yield placed()
-        packer.finish()
-        yield placed()
+                held.add((doc_id,), np.append(ids[a:b], end_id))
+            yield held.placed()
+        yield held.rest()
 
     return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, SCHEMA)
+
+
+def pack_turns(turns: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Tokenise instruction data `conv_id, turn, role, text` and pack it under all three limits; one row per piece.
+
+    The turns of a conversation are one example, in order, each with the end id after
+    it; the ids of turns whose role is one of `loss_roles` bear loss.  Rows are dealt
+    by ranges of (conv_id, turn) and stream through in that order, so a conversation is
+    never gathered: what is longer than `EXAMPLE` tokens or lies on two ranges goes on
+    as a further example.  `turn` is that of an example's first row; start and length
+    count from there.  A null text is empty, null ids are a conversation of their own,
+    null roles bear no loss; repeated rows are packed once each, equal turns by role and
+    text; other columns are ignored; an empty table gives no rows.
+    """
+    limits = limits or Limits()
+    rows = turns.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text")
+    order = ["conv_id", "turn", "role", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(limits, TURN_SCHEMA)
+        head: tuple | None = None
+        ids: list[np.ndarray] = []
+        loss: list[np.ndarray] = []
+
+        def close() -> None:
+            if ids:
+                held.add(head, np.concatenate(ids), np.concatenate(loss))
+                ids.clear()
+                loss.clear()
+
+        for batch in slices(batches, "text", SLICE):
+            found, counts = token_ids(batch.column("text"), tokenizer_path)
+            ends = np.cumsum(counts)
+            for conv, turn, role, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role")), ends - counts, ends, strict=True):
+                if not ids or head[0] != conv or sum(map(len, ids)) >= EXAMPLE:
+                    close()
+                    head = (conv, turn)
+                ids.append(np.append(found[a:b], end_id))
+                loss.append(np.full(len(ids[-1]), role in loss_roles))
+            yield held.placed()
+        close()
+        yield held.rest()
+
+    return mapped(rows.repartitionByRange("conv_id", "turn").sortWithinPartitions(*order), run, TURN_SCHEMA)

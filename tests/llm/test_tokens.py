@@ -126,3 +126,56 @@ def test_packing_edge_rows(spark):
     rows = vector_pack.pack(spark.createDataFrame([(None, None, 1), (2, "", 1), (2, "", 1)], "doc_id long, text string, start int"), WORDS).collect()
     assert sorted((r.doc_id or 0, r.length, r.doc_tokens) for r in rows) == [(0, 1, 1), (2, 1, 1), (2, 1, 1)]
     assert vector_pack.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
+
+
+def test_word_ids_of_letters_before_stops():
+    """Letters that lower-casing or composition changes, each before a stop and a comma."""
+    letters = [chr(c) for c in [*range(0x41, 0x590), 0x1E9E, 0x1F88, 0x212A, 0x2160, 0x24B6, 0x10400, 0x1E900, 0x3042, 0x0E01, 0xAC00, 0xFB01] if chr(c).strip()]
+    texts = [f"{a}{x}{b}" for x in letters for a in ("", "w", "W") for b in (".", ",", "...")]
+    texts += [f"e{chr(m)}." for m in range(0x300, 0x370)] + [f"e{chr(m)}s," for m in range(0x300, 0x370)]
+    ids, counts = vector_pack.token_ids(pa.array(texts), WORDS)
+    assert split(ids, counts) == reference_ids(texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abIİıſßΣς.,'  \n<|>"), st.characters(exclude_categories=["Cs"])), max_size=40), min_size=1, max_size=4))
+def test_word_ids_of_random_texts(texts):
+    ids, counts = vector_pack.token_ids(pa.array(texts, pa.string()), WORDS)
+    assert split(ids, counts) == reference_ids(texts)
+
+
+def test_turns_under_all_limits(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma,", "delta.", "Épsilon"]
+    rows = [(c, t, "user" if t % 2 else "assistant", " ".join(words[(c * k + t) % 5] for k in range(1, (c * 37 + t * 53) % 200 + 1)), "x") for c in range(40) for t in range(1 + c % 5)]
+    rows += [(7, 99, "assistant", "long answer " * 900, "x"), (None, None, None, None, "x"), (5, 0, "user", None, "x"), (5, 0, "user", None, "x")]
+    limits = vector_pack.Limits(tokens=512, segments=6, loss=200)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start string")
+    got = vector_pack.pack_turns(df.repartition(3), WORDS, limits=limits).collect()
+    wanted = {}
+    for c, _, role, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        wanted.setdefault(c, []).extend((x, role == "assistant") for x in [*reference_ids([text or ""])[0], 2])
+    examples, sequences = {}, {}
+    for r in got:
+        examples.setdefault((r.conv_id, r.turn), []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for c, ids in wanted.items():
+        at = 0
+        for key in sorted((k for k in examples if k[0] == c), key=lambda k: k[1] or 0):
+            begin = at
+            for r in sorted(examples[key], key=lambda r: r.start):
+                part = ids[at : at + r.length]
+                assert r.start == at - begin and r.loss_tokens == sum(x[1] for x in part)
+                assert r.ids_crc32 == zlib.crc32(np.array([x[0] for x in part], "<u4").tobytes())
+                at += r.length
+            assert at - begin == examples[key][0].example_tokens
+        assert at == len(ids)
+    loss = []
+    for parts in sequences.values():
+        parts.sort(key=lambda r: r.offset)
+        assert [r.offset for r in parts] == [sum(x.length for x in parts[:k]) for k in range(len(parts))]
+        assert sum(r.length for r in parts) <= 512 and len(parts) <= 6
+        loss.append(sum(r.loss_tokens for r in parts))
+    assert 190 <= max(loss) <= 200  # the limit binds
+    assert vector_pack.pack_turns(df.limit(0), WORDS).count() == 0
+    with pytest.raises(ValueError):
+        vector_pack.Limits(loss=0)
