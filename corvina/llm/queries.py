@@ -35,8 +35,9 @@ def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     primary = checkpointed(warc_fixity.layout(table(spark, sf_dir, "pages")))
     hurt = F.when(F.col("page_id") % 101 == 7, F.sha2("digest", 256)).otherwise(F.col("digest"))
     replica = primary.filter("page_id is null or page_id % 503 <> 11").withColumn("digest", hurt)
-    found = warc_fixity.audit(primary, replica)
-    rows = primary.join(found.select("file", "offset", "status", "replica_digest"), ["file", "offset"], "left").join(warc_fixity.roots(primary), "file")
+    built = warc_fixity.trees(primary)
+    found = warc_fixity.audit(built, warc_fixity.trees(replica))
+    rows = primary.join(found.select("file", "offset", "status", "replica_digest"), ["file", "offset"], "left").join(warc_fixity.roots(built), "file")
     return rows.select("page_id", "file", "offset", "length", "digest", "copies", F.coalesce("status", F.lit("ok")).alias("status"), F.when(F.col("status").isNull(), F.col("digest")).otherwise(F.col("replica_digest")).alias("replica_digest"), "root")
 
 

@@ -11,8 +11,10 @@ at further, and in the end the records of differing leaves.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,11 @@ LEVELS = 6
 FILE_PAGES = 256
 DATE = "2024-01-01T00:00:00Z"
 NEWLINE = "\r\n"
+GAP, GZIP = b"\r\n\r\n", b"\x1f\x8b\x08"
+#: Where a record may begin after damage.
+START = re.compile(rb"WARC/\d\.\d+\r\n|\x1f\x8b\x08[\x00-\x1f]")
+#: Bytes of a compressed record that are unpacked at once at most, and bytes of payload in a batch.
+BLOCK, BATCH = 1 << 16, 8 << 20
 
 
 def record(url: Column, page_id: Column, html: Column) -> Column:
@@ -66,12 +73,24 @@ def parents(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file", F.shiftright("node", FAN_BITS).alias("up")).agg(F.sha2(F.concat_ws("\n", text), 256).alias("hash")).withColumnRenamed("up", "node")
 
 
-def trees(records: DataFrame) -> list[DataFrame]:
-    """Levels of the trees, leaves first; the last has one node per file for files up to 2**(LEAF_BITS + FAN_BITS * LEVELS) bytes."""
+@dataclass
+class Trees:
+    """Records of one replica and the levels of its files' trees, leaves first, each written once."""
+
+    records: DataFrame
+    levels: list[DataFrame]
+
+
+def trees(records: DataFrame) -> Trees:
+    """Trees of records `file, offset, length, digest`; those with a null file or offset can't be located and are left out.
+
+    The last level has one node per file for files up to 2**(LEAF_BITS + FAN_BITS * LEVELS) bytes.
+    """
+    records = checkpointed(records.select("file", "offset", "length", "digest").filter("file is not null and offset is not null"))
     levels = [checkpointed(leaves(records))]
     for _ in range(LEVELS):
-        levels.append(parents(levels[-1]))
-    return levels
+        levels.append(checkpointed(parents(levels[-1])))
+    return Trees(records, levels)
 
 
 def _differing(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -80,71 +99,107 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataF
     return both.groupBy(*keys).agg(F.max("a").alias("a"), F.max("b").alias("b")).filter(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
+def audit(primary: Trees, replica: Trees) -> DataFrame:
     """`file, offset, status, digest, replica_digest` of the records that differ.
 
-    Both sides have `file, offset, length, digest`, one record at an offset (of
-    several the greatest digest counts).  status: corrupt, missing (in the replica)
-    or extra.  Records with a null file or offset can't be located and are left out;
-    repeated rows count once; equal or empty replicas give no rows.
+    One record stands at an offset (of several the greatest digest counts).  status:
+    corrupt, missing (in the replica) or extra.  Repeated rows count once; equal or
+    empty replicas give no rows.
     """
-    columns = ["file", "offset", "length", "digest"]
-    a, b = (checkpointed(x.select(*columns).filter("file is not null and offset is not null")) for x in (primary, replica))
-    up, down = trees(a), trees(b)
-    suspects = _differing(up[-1], down[-1], ["file", "node"], "hash").select("file", "node")
+    sides = (primary, replica)
+    suspects = _differing(*(x.levels[-1] for x in sides), ["file", "node"], "hash").select("file", "node")
     for level in range(LEVELS - 1, -1, -1):
         marked = suspects.withColumnRenamed("node", "up")
-        children = [side[level].withColumn("up", F.shiftright("node", FAN_BITS)).join(marked, ["file", "up"], "left_semi") for side in (up, down)]
+        children = [x.levels[level].withColumn("up", F.shiftright("node", FAN_BITS)).join(marked, ["file", "up"], "left_semi") for x in sides]
         suspects = checkpointed(_differing(*children, ["file", "node"], "hash").select("file", "node"))
     marked = suspects.withColumnRenamed("node", "up")
-    inside = [x.withColumn("up", F.shiftright("offset", LEAF_BITS)).join(marked, ["file", "up"], "left_semi").withColumn("all", F.concat_ws(" ", "digest", "length")) for x in (a, b)]
+    inside = [x.records.withColumn("up", F.shiftright("offset", LEAF_BITS)).join(marked, ["file", "up"], "left_semi").withColumn("all", F.concat_ws(" ", "digest", "length")) for x in sides]
     found = _differing(*inside, ["file", "offset"], "all")
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
     return found.select("file", "offset", status.alias("status"), F.substring_index("a", " ", 1).alias("digest"), F.substring_index("b", " ", 1).alias("replica_digest"))
 
 
-def roots(records: DataFrame) -> DataFrame:
+def roots(built: Trees) -> DataFrame:
     """`file, root` of every file."""
-    return trees(records)[-1].groupBy("file").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("hash"))), 256).alias("root"))
+    return built.levels[-1].groupBy("file").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("hash"))), 256).alias("root"))
+
+
+def _unpacked(data: bytes, pos: int) -> tuple[bytes, int] | None:
+    """The gzip member of a record at a place, by growing blocks, and where it ends; None if it is broken or none."""
+    unpack, out, block = zlib.decompressobj(31), [], 512
+    try:
+        while not unpack.eof and pos < len(data):
+            out.append(unpack.decompress(data[pos : pos + block]))
+            pos += block
+            block = min(2 * block, BLOCK)
+            if len(out) == 1 and not out[0].startswith(b"WARC/"):
+                return None
+        out.append(unpack.flush())
+    except zlib.error:
+        return None
+    return b"".join(out), min(pos, len(data)) - len(unpack.unused_data)
+
+
+def _headers(head: bytes) -> tuple[dict[str, str], int | None]:
+    """Headers in small letters, and the payload's length; None if it is no number."""
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    size = headers.get("content-length", "0") or "0"
+    return headers, int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers in small letters, payload) of the records of a WARC file, plain or gzip by record.
 
-    What is no record ends the reading; a record cut short has the payload that is there.
+    Together the records cover the file.  A stretch that is no record, or whose length
+    is no number, is given up to the next beginning of a record, with the headers that
+    it has and no payload; a record cut short has the payload that is there.  Time is
+    linear in the file.
     """
-    pos = 0
-    while pos < len(data):
-        start = pos
-        if data[pos : pos + 2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            try:
-                whole = unpack.decompress(data[pos:]) + unpack.flush()
-            except zlib.error:
-                return
-            end = len(data) - len(unpack.unused_data)
-        else:
-            whole, end = data[pos:], 0
-        head, gap, body = whole.partition(b"\r\n\r\n")
-        if not head.startswith(b"WARC/") or not gap:
-            return
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("content-length", "0") or 0)
-        end = end or min(pos + len(head) + 4 + size + 4, len(data))
-        yield start, end - start, headers, body[:size]
+    pos, size = 0, len(data)
+    last_gap = data.rfind(GAP)
+    while pos < size:
+        headers: dict[str, str] = {}
+        if data.startswith(b"WARC/", pos):
+            gap = data.find(GAP, pos) if pos <= last_gap else -1
+            if gap >= 0:
+                headers, length = _headers(data[pos:gap])
+                if length is not None:
+                    begin = gap + len(GAP)
+                    end = min(begin + length + len(GAP), size)
+                    yield pos, end - pos, headers, data[begin : begin + length]
+                    pos = end
+                    continue
+        elif data.startswith(GZIP, pos):
+            found = _unpacked(data, pos)
+            if found and GAP in found[0]:
+                head, _, body = found[0].partition(GAP)
+                headers, length = _headers(head)
+                yield pos, found[1] - pos, headers, body[: length or 0]
+                pos = found[1]
+                continue
+        again = START.search(data, pos + 1)
+        end = again.start() if again else size
+        yield pos, end - pos, headers, b""
         pos = end
 
 
 def read(files: DataFrame) -> DataFrame:
     """`file, offset, length, digest, uri, payload` of the records in files of Spark's binaryFile source; digest is of the stored bytes."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["file", "offset", "length", "digest", "uri", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(path, o, n, hashlib.sha256(data[o : o + n]).hexdigest(), h.get("warc-target-uri"), body) for o, n, h, body in parse(data or b"")]
-                for k in range(0, len(rows), 256):
-                    part = list(zip(*rows[k : k + 256], strict=True))
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, kinds, strict=True)], ["file", "offset", "length", "digest", "uri", "payload"])
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows, held = [], 0
+                for offset, length, headers, body in parse(data := content.as_py() or b""):
+                    rows.append((path, offset, length, hashlib.sha256(memoryview(data)[offset : offset + length]).hexdigest(), headers.get("warc-target-uri"), body))
+                    held += len(body)
+                    if held >= BATCH or len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return mapped(files.select("path", "content"), run, "file string, offset long, length long, digest string, uri string, payload binary")
