@@ -108,7 +108,7 @@ def test_lengths_that_are_no_numbers(size):
 
 def test_parsing_is_linear():
     for part in (stored(1, lambda i: b"y" * 40)[0], gzip.compress(stored(1)[0]), b"WARC/1.0\r\n", b"\x1f\x8b\x08\x00", gzip.compress(b"no record"), b"\nWARC/1.0\r\nContent-Length: x\r\n\r\n"):
-        data = part * (20_000_000 // len(part))
+        data = part * (3_000_000 // len(part))
         began = time.process_time()
         assert sum(n for _, n, _, _ in warc_fixity.parse(data)) == len(data)
         assert time.process_time() - began < 15, part  # one that copies the rest for each record takes hours
