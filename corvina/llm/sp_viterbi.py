@@ -13,8 +13,12 @@ at most one arc is admissible at each position and the maximum is over one value
 ids are then exactly the library's.  Which pairs agree is found once for each pair
 and kept.
 
-Models that normalise text beyond the dummy prefix and the white-space mark, or
-that have user-defined pieces or pieces over several words, are refused.
+A word too long to have others of its length beside it is a batch of its own: all its
+substrings are probed at once and only the maxima are taken one position at a time.
+
+Models that normalise text beyond the dummy prefix and the white-space mark have the
+library normalise it; models with user-defined pieces or pieces over several words
+are refused.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Longer words go one by one: few words share such a length.
+#: Longer words are batches of their own: few words share such a length.  The method is the same.
 LONG = 256
 #: Pairs whose agreement is kept at most; beyond it the store starts anew.
 PAIRS = 2_000_000
@@ -58,22 +62,27 @@ class Pieces:
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
         self.bpe, spec = model.trainer_spec.model_type == BPE, model.normalizer_spec
-        if model.trainer_spec.model_type not in (UNIGRAM, BPE) or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("this model's type or normalisation isn't supported")
+        if model.trainer_spec.model_type not in (UNIGRAM, BPE) or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("this model's type or white space isn't supported")
+        self.normalise = None
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces:
+            from sentencepiece import SentencePieceProcessor
+
+            self.normalise = SentencePieceProcessor(model_file=path).Normalize
         self.kinds = np.array([p.type for p in model.pieces])
         self.prefix = spec.add_dummy_prefix
         self.names = [p.piece for p in model.pieces]
-        if (self.kinds == USER).any() or any(SPACE in name.lstrip(SPACE) for name in self.names):
-            raise ValueError("user-defined pieces and pieces over several words aren't supported")
+        if (self.kinds == USER).any() or self.bpe and (self.kinds == UNUSED).any() or any(SPACE in name.lstrip(SPACE) for name in self.names):
+            raise ValueError("user-defined pieces, unused pieces of BPE models and pieces over several words aren't supported")
         self.size = len(self.names)
         self.unk = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
         self.byte_ids = np.full(256, self.unk)
         for i in np.flatnonzero(self.kinds == BYTE):
             self.byte_ids[int(self.names[i][1:-1], 16)] = i
         self.byte_fallback = bool((self.kinds == BYTE).any())
-        usable = np.flatnonzero(np.isin(self.kinds, (NORMAL, UNUSED)))
+        usable = np.flatnonzero(self.kinds == NORMAL)
         self.id_of = {self.names[i]: int(i) for i in usable}
-        self.score = np.array([p.score for p in model.pieces], float)
+        self.score = np.array([p.score for p in model.pieces], np.float32)  # sums are rounded as the library rounds them
         lengths = np.array([len(n) for n in self.names])
         self.longest = int(lengths[usable].max())
         self.chars = np.zeros((self.size, self.longest), np.uint32)
@@ -88,13 +97,14 @@ class Pieces:
         self.maybe = np.zeros(1 << FILTER_BITS, bool)  # which hashes can be those of pieces, by their upper bits
         self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
         self.lengths = np.concatenate([lengths, [1]])  # the last: a character without a piece
-        self.lowest = self.score[usable].min() - 10
+        self.lowest = self.score[usable].min() - np.float32(10)
         self.apart = not any("\n" in n and len(n) > 1 for n in self.id_of)
         self.raw = [self._bytes(i) for i in range(self.size)]
         self.raw_lengths = np.array([len(x) for x in self.raw])
         self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.agree: dict[int, bool] = {}
+        self.agree_one: dict[int, bool] = {}
         self.pair_keys, self.pair_values = np.zeros(0, np.int64), np.zeros(0, bool)  # the same, sorted, but for the newest
         self.memo = WordMemo(self.encode_words, WORDS)
 
@@ -172,11 +182,11 @@ class Pieces:
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
-        score = np.full((length + 1, n), -np.inf)
+        score = np.full((length + 1, n), -np.inf, np.float32)
         score[0] = 0
         last = np.full((length + 1, n), -1, np.int64)
         for j in range(1, length + 1):
-            for size in range(1, min(self.longest, j) + 1):
+            for size in range(min(self.longest, j), 0, -1):  # of equal sums the longer last piece counts
                 i = j - size
                 probe = prefix[j] - prefix[i] * self.powers[size]
                 rows = np.flatnonzero(self.maybe[probe >> np.uint64(64 - FILTER_BITS)] & (last[i] >= 0 if i else True))
@@ -211,6 +221,64 @@ class Pieces:
         steps = np.array(out[::-1]).T.tolist() if out else [[]] * n
         return [[x for x in row if x >= 0] if ok else None for row, ok in zip(steps, found, strict=True)]
 
+    def _arcs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, pieces) of all arcs of one word, by end, longer pieces first."""
+        length = len(codes)
+        prefix = np.zeros(length + 1, np.uint64)
+        for j, c in enumerate(codes.tolist()):
+            prefix[j + 1] = (int(prefix[j]) * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+        ends, found = [], []
+        for size in range(min(self.longest, length), 0, -1):
+            probe = prefix[size:] - prefix[:-size] * self.powers[size]
+            begins = np.flatnonzero(self.maybe[probe >> np.uint64(64 - FILTER_BITS)])
+            at = np.minimum(np.searchsorted(self.keys, probe[begins]), len(self.keys) - 1)
+            sure = self.keys[at] == probe[begins]
+            begins, piece = begins[sure], self.key_ids[at[sure]]
+            same = self.lengths[piece] == size
+            for k in range(size):
+                same &= self.chars[piece, k] == codes[begins + k]
+            begins, piece = begins[same], piece[same]
+            if size == 1:  # a character without a piece is an arc of its own
+                rest = np.ones(length, bool)
+                rest[begins] = False
+                rest = np.flatnonzero(rest)
+                begins, piece = np.concatenate([begins, rest]), np.concatenate([piece, codes[rest].astype(np.int64) + self.size])
+            ends.append(begins + size)
+            found.append(piece)
+        ends, found = np.concatenate(ends), np.concatenate(found)
+        order = ends.argsort(kind="stable")
+        return ends[order], found[order]
+
+    def _advance_one(self, codes: np.ndarray) -> list[int] | None:
+        """Ids of one long word; None if no sequence of pieces agrees."""
+        length = len(codes)
+        score, last = [np.float32(-np.inf)] * (length + 1), [-1] * (length + 1)
+        score[0] = np.float32(0)
+        lengths, gains, known = self.lengths.tolist(), list(self.score), self.agree_one
+        for j, piece in zip(*(x.tolist() for x in self._arcs(codes)), strict=True):
+            i = j - (lengths[piece] if piece < self.size else 1)
+            if i and last[i] < 0:
+                continue
+            if i and self.bpe:
+                key = last[i] << 22 | piece
+                fit = known.get(key)
+                if fit is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    fit = known[key] = bool(self._agrees(np.array([last[i]]), np.array([piece]))[0])
+                if not fit:
+                    continue
+            total = score[i] + (gains[piece] if piece < self.size else self.lowest)
+            if total > score[j]:
+                score[j], last[j] = total, piece
+        out, j = [], length
+        while j:
+            if last[j] < 0:
+                return None
+            out.append(last[j])
+            j -= lengths[last[j]] if last[j] < self.size else 1
+        return out[::-1]
+
     def _out(self, pieces: list[int]) -> list[int]:
         if max(pieces, default=0) < self.size:
             return pieces
@@ -233,25 +301,26 @@ class Pieces:
         for length, members in by.items():
             if not length:
                 continue
-            alone = [i for i in members if self.bpe and (length > LONG or SPACE * 2 in words[i])]
-            for i in alone:  # runs of marks tie in score; there and in very long words the merges are done as such
-                out[i] = self._out([self.id_of.get(p, self.size + ord(p[0])) for p in self.merge(words[i])])
-            members = [i for i in members if not self.bpe or not (length > LONG or SPACE * 2 in words[i])]
-            if members:
-                codes = np.frombuffer("".join(words[i] for i in members).encode("utf-32-le"), np.uint32).reshape(len(members), length)
-                for i, pieces in zip(members, self._advance(codes), strict=True):
-                    out[i] = self._out(pieces if pieces is not None else [self.id_of.get(p, self.size + ord(p[0])) for p in self.merge(words[i])])
+            codes = np.frombuffer("".join(words[i] for i in members).encode("utf-32-le"), np.uint32).reshape(len(members), length)
+            found = map(self._advance_one, codes) if length > LONG else self._advance(codes)
+            for i, pieces in zip(members, found, strict=True):
+                if pieces is None:
+                    raise ValueError(f"no pieces of this model agree on {words[i][:80]!r}")
+                out[i] = self._out(pieces)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each counted)."""
         texts = strings(texts)
-        some = pc.greater(pc.binary_length(texts), 0)
-        # a space at the beginning makes a run with the prefix
-        runs = any(pc.any(f(texts, x)).as_py() for f, x in ((pc.match_substring, "  "), (pc.match_substring, SPACE), (pc.starts_with, " ")))
-        texts = pc.replace_substring(texts, " ", SPACE if runs else " " + SPACE)
-        if self.prefix:
-            texts = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
+        if self.normalise:
+            runs, texts = True, pa.array([self.normalise(t) for t in texts.to_pylist()], pa.large_string())
+        else:
+            some = pc.greater(pc.binary_length(texts), 0)
+            # a space at the beginning makes a run with the prefix
+            runs = any(pc.any(f(texts, x)).as_py() for f, x in ((pc.match_substring, "  "), (pc.match_substring, SPACE), (pc.starts_with, " ")))
+            texts = pc.replace_substring(texts, " ", SPACE if runs else " " + SPACE)
+            if self.prefix:
+                texts = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
         if runs:
             texts = pc.replace_substring_regex(texts, f"({SPACE}+)", r" \1")
         if self.apart:  # no piece holds a line end and another character
@@ -260,7 +329,14 @@ class Pieces:
         coded = lists.flatten().dictionary_encode()
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         lengths, flat = self.memo(coded.dictionary.to_pylist())
-        return gather(counts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths, flat)
+        ids, counts = gather(counts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths, flat)
+        if self.byte_fallback or not (ids == self.unk).any():
+            return ids, counts
+        # a run of unknown characters of a text is one id
+        owner = np.repeat(np.arange(len(counts)), counts)
+        keep = np.ones(len(ids), bool)
+        keep[1:] = (ids[1:] != self.unk) | (ids[:-1] != self.unk) | (owner[1:] != owner[:-1])
+        return ids[keep], np.bincount(owner[keep], minlength=len(counts))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of ids; bytes that are no UTF-8 each give U+FFFD, ids out of range raise."""

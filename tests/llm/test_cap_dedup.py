@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from corvina.llm import cap_dedup
 
 
@@ -28,16 +29,31 @@ def test_against_all_pairs(spark):
     assert np.mean(agree) > 0.98 and all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_recall_at_the_threshold():
-    code = cap_dedup.code_for(64, 14, 0.95, 0.999)
+@pytest.mark.parametrize(("dim", "power"), [(2, 17), (3, 10), (4, 17), (5, 10), (6, 17), (8, 17), (12, 17), (16, 17), (64, 14), (64, 17), (64, 30)])
+def test_recall_at_the_threshold(dim, power):
+    code = cap_dedup.code_for(dim, power, 0.95, 0.999)
     rng = np.random.default_rng(99)
-    a = rng.standard_normal((1500, 64))
+    a = rng.standard_normal((800, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.standard_normal((1500, 64))
+    b = rng.standard_normal((800, dim))
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.95 * a + math.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b), strict=True)]
     assert np.mean(met) >= 0.99
+    # codebooks stay small whatever the number of vectors
+    assert sum(book.nbytes for books in code.rounds for book in books) < 64 << 20
+
+
+@pytest.mark.parametrize("dim", [2, 5])
+def test_few_dimensions_against_all_pairs(spark, dim):
+    x = np.random.default_rng(dim).standard_normal((800, dim)).astype(np.float32)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = run(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    found = sum(r.n_links for r in got)
+    assert 0.995 * near.sum() <= found <= near.sum()
+    assert all(r.n_links <= near[r.vec_id].sum() for r in got)
 
 
 def test_edge_rows(spark):

@@ -60,6 +60,48 @@ def test_encode_table(spark, library):
     assert sp_viterbi.encode(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
 
 
+def model_file(path, kind, fallback=False, rule=None, pieces=()):
+    """A small model made of given pieces, with the library's default normalisation if a rule is named."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    if rule:
+        model.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True).serialized_model_proto())
+    else:
+        model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, fallback
+    specials = [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256 if fallback else 0))]
+    for name, score, code in [*((n, 0.0, c) for n, c in specials), *((p, x, 1) for p, x in pieces)]:
+        made = model.pieces.add()
+        made.piece, made.score, made.type = name, score, code
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+PARTS = ["▁", "a", "b", "c", "x", "▁a", "ab", "bc", "abc", "▁ab", "ca", "xx", "xxxx", "fin", "f", "i", "n", "fi", "1", "cab", "▁x", "▁▁"]
+
+
+@pytest.mark.parametrize(("kind", "fallback", "rule"), [(k, f, r) for k in (1, 2) for f in (False, True) for r in (None, "nmt_nfkc")])
+def test_other_models(tmp_path, kind, fallback, rule):
+    import sentencepiece
+
+    pieces = [(p, -float(i % 7) - i / 16 - len(p) / 4 if kind == 1 else -float(i)) for i, p in enumerate(PARTS) if not (rule and p == "▁▁")]
+    path = model_file(tmp_path / "m.model", kind, fallback, rule, pieces)
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), sp_viterbi.pieces(path)
+    rng = np.random.default_rng(5)
+    texts = ["", "中文中文", "a中 中b", "  ﬁn  a ① ", "\n\n", "x" * 700, "abc" * 300 + "中" * 300] + ["".join(rng.choice(list("aabbcx  中fin1é"), rng.integers(1, 400))) for _ in range(60)]
+    ids, counts = model.encode(pa.array(texts))
+    assert split(ids, counts) == lib.encode(texts)
+
+
+def test_a_very_long_word(library):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshrd▁日é0"), n)) for n in (257, 5000, 120_000)]
+    ids, counts = sp_viterbi.pieces(MODEL).encode(pa.array(words))
+    assert split(ids, counts) == library.encode(words)
+
+
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
