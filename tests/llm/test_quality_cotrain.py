@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from corvina.llm import quality_cotrain
+from pyspark.sql import functions as F
 
 
 def corpus(n=600, seed=1):
@@ -45,15 +46,50 @@ def test_good_keeps_rows_whole(tables):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_cotrain.score(docs, model).filter("keep").collect()}
 
 
-def test_views_hand_over_labels():
-    rng = np.random.default_rng(2)
-    y = rng.integers(0, 2, 1500).astype(float)
-    a = np.column_stack([y * 3 + rng.standard_normal(1500), rng.standard_normal(1500)])
-    b = np.column_stack([y * 3 + rng.standard_normal(1500), rng.standard_normal(1500)])
-    model = quality_cotrain.cotrain((a[:60], b[:60]), y[:60], (a[60:1000], b[60:1000]))
-    p = model.probabilities(a[1000:], b[1000:])
-    right = [((x >= 0.5) == y[1000:]).mean() for x in p]
-    assert right[2] >= max(right[:2]) - 0.01 and right[2] > 0.95
+def two_views(seed, n=6000, width=12):
+    """Views that are independent given the label; most of each is noise."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.6).astype(float)
+    made = []
+    for strength in (1.6, 1.6):
+        x = rng.standard_normal((n, width))
+        x[:, :3] += strength * (y[:, None] - 0.5)
+        made.append(x)
+    return made[0], made[1], y
+
+
+def test_rounds_help():
+    gains = []
+    for seed in range(6):
+        a, b, y = two_views(seed)
+        test = slice(3000, None)
+        right = []
+        for rounds in (0, quality_cotrain.ROUNDS):
+            model = quality_cotrain.cotrain((a[:60], b[:60]), y[:60], lambda views, a=a, b=b: quality_cotrain.handed(views, a[60:3000], b[60:3000]), rounds)
+            p = model.probabilities(a[test], b[test])
+            right.append([((x >= 0.5) == y[test]).mean() for x in p])
+        gains.append(np.array(right[1]) - np.array(right[0]))
+        assert right[1][2] >= max(right[1][:2])
+    assert (np.mean(gains, 0)[:2] > 0.01).all() and np.mean(gains, 0)[2] > 0
+
+
+def test_sums_on_spark_equal_those_of_all_rows_at_once(spark, tables):
+    docs, labels, _ = tables
+    table = quality_cotrain._tabled(docs.repartition(5))
+    model = quality_cotrain.train(docs, labels, rounds=0)
+    views = (model.content, model.metadata)
+    got = quality_cotrain._gathered(table, views)
+    want = quality_cotrain.handed(views, *quality_cotrain._both(table.toArrow().combine_chunks().to_batches()[0]))
+    assert sum(h.number for sums in want for h in sums) > 100
+    for x, y in zip(sum(got, []), sum(want, []), strict=True):
+        assert x.number == y.number and np.allclose(x.gradient, y.gradient) and np.allclose(x.hessian, y.hessian)
+
+
+def test_repeated_ids_train_alike_in_any_order(spark, tables):
+    docs, labels, _ = tables
+    again = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" ### ### ###"))))
+    a, b = (quality_cotrain.train(x, labels) for x in (again.repartition(2), again.repartition(7, "text")))
+    assert np.allclose(a.content.weights, b.content.weights) and np.allclose(a.metadata.weights, b.metadata.weights)
 
 
 def test_edge_rows(spark, tables):
