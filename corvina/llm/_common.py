@@ -38,12 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without that
-    setting and without a folder of its own (tests) gets a temporary one.
+    The folder comes from ``spark.checkpoint.dir``; only a local session without that
+    setting and without a folder of its own (tests) gets a temporary one, a cluster's
+    raises RuntimeError.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

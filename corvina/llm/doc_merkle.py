@@ -3,9 +3,11 @@
 Sections end at blank lines, paragraphs at line ends, leaves are sentences or at
 most `PIECE` code points of one.  A node is the SHA-256 of its children's digests,
 so equal roots mean equal texts, and differing branches locate an edit.  The
-fingerprint is the root followed by the tree of shortened leaf digests: sections
-are parted by ";", paragraphs by ",".  The likeness of two fingerprints is the
-share of leaves they have in common (twice the common ones over all of both).
+fingerprint is the root followed by the tree of shortened digests: sections are
+parted by ";" and paragraphs by ",", a section's own digest ends in "=", a
+paragraph's in "/", leaves follow.  `edits` compares two fingerprints from the root
+down, only below branches that differ.  The likeness of two fingerprints is the share
+of leaves they have in common (twice the common ones over all of both).
 
 The next document in the order of ids comes by one shuffle: ids are cut into many
 ranges at approximate percentiles, each range is a window of its own, and the first
@@ -18,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = 40
-LEAF_HEX = 6
+#: Digits of a leaf's digest, and of a section's or paragraph's, in a fingerprint.
+LEAF_HEX, INNER_HEX = 8, 8
 LEAF = rf"[^.!?]{{1,{PIECE}}}[.!?]*|[.!?]+"
 #: Documents a range holds about, and the most ranges there are; both only balance work.
 RANGE_ROWS = 256
@@ -35,19 +38,73 @@ def tree(text: Column) -> Column:
 
 
 def fingerprint(nodes: Column) -> Column:
-    """Root and shortened leaves of a tree of digests."""
+    """Root and shortened digests of a tree of digests."""
 
     def digest(children: Column) -> Column:
         return F.sha2(F.concat_ws("", children), 256)
 
-    root = digest(F.transform(nodes, lambda section: digest(F.transform(section, digest))))
-    leaves = F.concat_ws(";", F.transform(nodes, lambda s: F.concat_ws(",", F.transform(s, lambda p: F.concat_ws("", F.transform(p, lambda x: F.substring(x, 1, LEAF_HEX)))))))
-    return F.concat(root, F.lit(":"), leaves)
+    def paragraph(p: Column) -> Column:
+        own = digest(p)
+        return F.struct(own.alias("d"), F.concat(F.substring(own, 1, INNER_HEX), F.lit("/"), F.concat_ws("", F.transform(p, lambda x: F.substring(x, 1, LEAF_HEX)))).alias("s"))
+
+    def section(made: Column) -> Column:
+        own = digest(F.transform(made, lambda p: p["d"]))
+        return F.struct(own.alias("d"), F.concat(F.substring(own, 1, INNER_HEX), F.lit("="), F.concat_ws(",", F.transform(made, lambda p: p["s"]))).alias("s"))
+
+    made = F.transform(F.transform(nodes, lambda s: F.transform(s, paragraph)), section)
+    return F.aggregate(F.array(made), F.lit(""), lambda _, m: F.concat(digest(F.transform(m, lambda s: s["d"])), F.lit(":"), F.concat_ws(";", F.transform(m, lambda s: s["s"]))))
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Where two fingerprints differ: array of struct(section, paragraph, leaf), from 0, in order; empty for equal roots.
+
+    Branches are compared by place, and only those below differing ones; a leaf that
+    only one side has differs, and so does a paragraph without leaves that only one
+    side has (leaf null).
+    """
+
+    def places(x: Column, y: Column) -> Column:
+        both = F.greatest(F.size(x), F.size(y))
+        every = F.when(both > 0, F.sequence(F.lit(0), both - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)))
+
+    def parts(x: Column, mark: str, separator: str) -> Column:
+        inner = F.substring(x, INNER_HEX + 2, 1 << 30) if mark else F.substring(x, 66, 1 << 30)
+        return F.coalesce(F.split(inner, separator, -1), F.array().cast("array<string>"))
+
+    def leaves(x: Column) -> Column:
+        return F.coalesce(F.regexp_extract_all(F.substring(x, INNER_HEX + 2, 1 << 30), F.lit(f"[0-9a-f]{{{LEAF_HEX}}}"), F.lit(0)), F.array().cast("array<string>"))
+
+    sa, sb = parts(a, "", ";"), parts(b, "", ";")
+
+    def of_section(i: Column) -> Column:
+        pa, pb = parts(F.get(sa, i), "=", ","), parts(F.get(sb, i), "=", ",")
+
+        def of_paragraph(j: Column) -> Column:
+            found = places(leaves(F.get(pa, j)), leaves(F.get(pb, j)))
+            found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("int")))
+            return F.transform(found, lambda k: F.struct(i.alias("section"), j.alias("paragraph"), k.alias("leaf")))
+
+        return F.flatten(F.transform(places(pa, pb), of_paragraph))
+
+    return F.flatten(F.transform(places(sa, sb), of_section))
+
+
+def compare(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`key, section, paragraph, leaf` of every difference of the `text`s that two tables have under one key.
+
+    Keys on one side alone, null keys and equal texts give no rows; repeated keys are
+    compared each with each; null texts are empty; other columns are ignored.
+    """
+    sides = [x.select(F.col(key).alias("key"), fingerprint(tree(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias(n)) for x, n in ((left, "a"), (right, "b"))]
+    both = sides[0].join(sides[1], "key").filter(F.substring("a", 1, 64) != F.substring("b", 1, 64))
+    return both.select(F.col("key").alias(key), F.explode(edits(F.col("a"), F.col("b"))).alias("x")).select(key, "x.*")
 
 
 def leaf_set(printed: Column) -> Column:
     """Shortened leaves of a fingerprint, the n-th repetition of one marked n."""
-    leaves = F.regexp_extract_all(F.substring(printed, 66, 1 << 30), F.lit(f"[0-9a-f]{{{LEAF_HEX}}}"), F.lit(0))
+    bare = F.regexp_replace(F.substring(printed, 66, 1 << 30), f"[0-9a-f]{{{INNER_HEX}}}[=/]", "")
+    leaves = F.regexp_extract_all(bare, F.lit(f"[0-9a-f]{{{LEAF_HEX}}}"), F.lit(0))
     runs = F.regexp_extract_all(F.concat_ws(",", F.sort_array(leaves), F.array(F.lit(""))), F.lit(rf"([0-9a-f]{{{LEAF_HEX}}},)\1*"), F.lit(0))
     marked = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), (F.length(r) / (LEAF_HEX + 1)).cast("int")), lambda n: F.concat_ws("x", F.substring(r, 1, LEAF_HEX), n)))
     return F.flatten(marked)

@@ -220,8 +220,8 @@ def _linked(docs: DataFrame, threshold: float, recall: float, n: int) -> tuple[D
     members = checkpointed(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))))
 
     # One text for each node in a bucket; the rows that repeat it go where the join has brought them.
-    wanted = members.select("node").distinct().join(nodes, "node").select("key", "node", "copies")
-    found = docs.select("key", "text", "tie").join(wanted, "key").dropDuplicates(["key", "node", "tie"])
+    wanted = members.select("node").distinct().join(nodes, "node").select("key", "tie", "node", "copies")
+    found = docs.select("key", "text", "tie").join(wanted, ["key", "tie"]).dropDuplicates(["key", "node", "tie"])
     links = checkpointed(verify(tiles(members, payloads(found, n)), jaccard_at_least(threshold)))
     return signed, nodes, links
 

@@ -111,13 +111,20 @@ def _merkle_sql() -> str:
     def tree(text: str) -> str:
         return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{doc_merkle.LEAF}'), lambda x: sha256(x))))"
 
+    def joined(values: str, separator: str) -> str:
+        return f"coalesce(list_aggregate({values}, 'string_agg', '{separator}'), '')"
+
     def printed(t: str) -> str:
-        root = f"sha256(list_aggregate(list_transform({t}, lambda s: sha256(list_aggregate(list_transform(s, lambda p: sha256(coalesce(list_aggregate(p, 'string_agg', ''), ''))), 'string_agg', ''))), 'string_agg', ''))"
-        leaves = f"list_aggregate(list_transform({t}, lambda s: list_aggregate(list_transform(s, lambda p: coalesce(list_aggregate(list_transform(p, lambda x: left(x, {doc_merkle.LEAF_HEX})), 'string_agg', ''), '')), 'string_agg', ',')), 'string_agg', ';')"
-        return f"{root} || ':' || {leaves}"
+        digest = "sha256(" + joined("{}", "") + ")"
+        paragraphs = f"list_transform(s, lambda p: {{'d': {digest.format('p')}, 's': left({digest.format('p')}, {doc_merkle.INNER_HEX}) || '/' || {joined(f'list_transform(p, lambda x: left(x, {doc_merkle.LEAF_HEX}))', '')}}})"
+        inner = digest.format("list_transform(q, lambda p: p.d)")
+        text = joined("list_transform(q, lambda p: p.s)", ",")
+        sections = f"list_transform(list_transform({t}, lambda s: {paragraphs}), lambda q: {{'d': {inner}, 's': left({inner}, {doc_merkle.INNER_HEX}) || '=' || {text}}})"
+        return f"{digest.format(f'list_transform({sections}, lambda s: s.d)')} || ':' || {joined(f'list_transform({sections}, lambda s: s.s)', ';')}"
 
     def counted(text: str) -> str:  # leaves with their number of repetitions, from a row's text
-        return f"SELECT doc_id, leaf, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(substr({text}, 66), '[0-9a-f]{{{doc_merkle.LEAF_HEX}}}')) AS leaf FROM d) GROUP BY ALL"
+        bare = f"regexp_replace(substr({text}, 66), '[0-9a-f]{{{doc_merkle.INNER_HEX}}}[=/]', '', 'g')"
+        return f"SELECT doc_id, leaf, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({bare}, '[0-9a-f]{{{doc_merkle.LEAF_HEX}}}')) AS leaf FROM d) GROUP BY ALL"
 
     near = "CASE WHEN {p} = {q} THEN 1.0 WHEN coalesce(a.n, 0) + coalesce({t}.n, 0) = 0 THEN 0.0 ELSE 2.0 * coalesce({c}.n, 0) / (coalesce(a.n, 0) + coalesce({t}.n, 0)) END::DOUBLE"
     total = "(SELECT doc_id, sum(n)::BIGINT AS n FROM {t} GROUP BY doc_id)"

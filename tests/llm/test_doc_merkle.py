@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from corvina.llm import doc_merkle
 
@@ -61,3 +62,39 @@ def test_no_python_in_the_plan(spark):
     df = doc_merkle.fingerprints(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_edits_are_located(spark):
+    text = "One. Two. Three.\nFour. Five.\n\nSix. Seven.\nEight.\n\nNine."
+    right = {1: text, 2: text.replace("Five", "5"), 3: text.replace("Eight", "8").replace("One", "1"), 4: text + "\n\nTen.", 5: text.replace("\n\nNine.", ""), 6: None, 7: "x", 8: ""}
+    left = [(k, text, "k") for k in (1, 2, 3, 4, 5)] + [(6, "", "k"), (7, None, "k"), (8, "\n", "k"), (9, "alone", "k"), (None, "n", "k")]
+    a = spark.createDataFrame(left, "doc_id long, text string, section string")
+    b = spark.createDataFrame([*right.items(), (None, "m")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.section, r.paragraph, -1 if r.leaf is None else r.leaf) for r in doc_merkle.compare(a, b).collect())
+    assert got == [(2, 0, 1, 1), (3, 0, 0, 0), (3, 1, 1, 0), (4, 3, 0, 0), (5, 2, 0, 0), (7, 0, 0, 0), (8, 0, 1, -1)]
+    plan = doc_merkle.compare(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_edits_against_brute_force(spark):
+    rng = random.Random(9)
+
+    def parts(t):
+        return {(i, j, k): leaf for i, s in enumerate(t.split("\n\n")) for j, p in enumerate(s.split("\n")) for k, leaf in enumerate(re.findall(doc_merkle.LEAF, p))}
+
+    def text():
+        return "".join(rng.choice(["ab. ", "cd! ", "word ", "\n", "\n\n"]) for _ in range(rng.randrange(30)))
+
+    pairs = {}
+    for i in range(80):
+        x = text()
+        at = rng.randrange(len(x) + 1)
+        pairs[i] = x, rng.choice([x, text(), x[:at] + "z" + x[at:]])
+    a, b = (spark.createDataFrame([(i, p[k]) for i, p in pairs.items()], "doc_id long, text string") for k in (0, 1))
+    got = {}
+    for r in doc_merkle.compare(a, b).collect():
+        if r.leaf is not None:
+            got.setdefault(r.doc_id, set()).add((r.section, r.paragraph, r.leaf))
+    for i, (x, y) in pairs.items():
+        x, y = parts(x), parts(y)
+        assert got.get(i, set()) == {k for k in x.keys() | y.keys() if x.get(k) != y.get(k)}
