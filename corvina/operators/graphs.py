@@ -6,43 +6,59 @@ shuffle, in parallel over functions.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import c_depend
-from ..plans.stage import arrow_schema, mapped
+from ..plans import c_depend, c_measure
+from ..plans.stage import BATCH, Unparsed, arrow_schema, mapped, portions
 
 
-def per_function(functions: DataFrame, solve, fields: str, extra: list[str] | None = None) -> DataFrame:
-    """Rows that `solve(nodes, edges, row)` gives for each function, after `source_id, function_id, function`."""
+def per_function(functions: DataFrame | Unparsed, solve, fields: str, extra: list[str] | None = None) -> DataFrame:
+    """Rows that `solve(nodes, edges, row)` gives for each function, after `source_id, function_id, function`.
+
+    `functions` are rows with graphs, or sources that are parsed and solved in one pass.
+    """
     extra = extra or []
-    kinds = dict(functions.dtypes)
     schema = f"source_id string, function_id int, function string, {fields}"
-    arrow = arrow_schema(functions, schema)
+    df = functions.sources if isinstance(functions, Unparsed) else functions
+    arrow = arrow_schema(df, schema)
+
+    def solved(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for r in rows:
+            head = {"source_id": r["source_id"], "function_id": r["function_id"], "function": r["name"]}
+            out += [head | x for x in solve(r["cfg_nodes"], r["cfg_edges"], r)]
+            if len(out) >= 20_000:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, arrow)
+
+    if isinstance(functions, Unparsed):
+
+        def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in portions(batches):
+                held = {c: batch.column(c).to_pylist() for c in ("source_id", "text", *extra)}
+                yield from solved({c: held[c][k] for c in extra} | {"source_id": held["source_id"][k]} | f for k, text in enumerate(held["text"]) for f in c_measure.unit(text or "")["functions"])
+
+        return mapped(df.select(F.col("source_id").cast("string").alias("source_id"), "text", *extra), parsed, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                head = {"source_id": r["source_id"], "function_id": r["function_id"], "function": r["name"]}
-                rows += [head | x for x in solve(r["cfg_nodes"], r["cfg_edges"], r)]
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+            for k in range(0, batch.num_rows, BATCH):
+                yield from solved(batch.slice(k, BATCH).to_pylist())
 
-    assert all(c in kinds for c in extra)
-    return mapped(functions.select("source_id", "function_id", "name", "cfg_nodes", "cfg_edges", *extra), run, schema)
+    return mapped(df.select("source_id", "function_id", "name", "cfg_nodes", "cfg_edges", *extra), run, schema)
 
 
 def _pairs(edges: list[dict]) -> list[tuple[int, int]]:
     return [(e["src"], e["dst"]) for e in edges]
 
 
-def post_dominators(functions: DataFrame) -> DataFrame:
+def post_dominators(functions: DataFrame | Unparsed) -> DataFrame:
     """`node, ipdom` (null for roots) `, dead_end` of every node."""
 
     def solve(nodes, edges, _):
@@ -57,17 +73,17 @@ def _dependence(nodes, edges):
     return c_depend.control_dependence(len(nodes), [(e["src"], e["dst"], e["kind"]) for e in edges], ipdom)
 
 
-def control_dependence(functions: DataFrame) -> DataFrame:
+def control_dependence(functions: DataFrame | Unparsed) -> DataFrame:
     """`on, node, kind`: edges of the control dependence graph."""
     return per_function(functions, lambda n, e, _: [{"on": a, "node": b, "kind": k} for a, b, k in _dependence(n, e)], "`on` int, node int, kind string")
 
 
-def control_depth(functions: DataFrame) -> DataFrame:
+def control_depth(functions: DataFrame | Unparsed) -> DataFrame:
     """`node, depth`: how many layers of decisions stand above each node."""
     return per_function(functions, lambda n, e, _: [{"node": i, "depth": d} for i, d in enumerate(c_depend.depths(len(n), _dependence(n, e)))], "node int, depth int")
 
 
-def backward_slice(functions: DataFrame, seed_column: str, data_edges: str | None = None) -> DataFrame:
+def backward_slice(functions: DataFrame | Unparsed, seed_column: str, data_edges: str | None = None) -> DataFrame:
     """`node` of the slice of each function from the node in `seed_column`, over control and, if a column of (src, dst) is named, data dependence."""
 
     def solve(nodes, edges, row):
@@ -79,7 +95,7 @@ def backward_slice(functions: DataFrame, seed_column: str, data_edges: str | Non
     return per_function(functions, solve, "seed int, node int", [seed_column, *([data_edges] if data_edges else [])])
 
 
-def reaching(functions: DataFrame, start_column: str, backward: bool = False) -> DataFrame:
+def reaching(functions: DataFrame | Unparsed, start_column: str, backward: bool = False) -> DataFrame:
     """`node` of every descendant (or ancestor) of the node in `start_column`, itself excluded even on a cycle."""
 
     def solve(nodes, edges, row):
@@ -99,12 +115,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy(*keys, "x.node").agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"))
 
 
-def chains(functions: DataFrame) -> DataFrame:
+def chains(functions: DataFrame | Unparsed) -> DataFrame:
     """`node, block`: straight-line chains contracted; entry and exit stay apart."""
     return per_function(functions, lambda n, e, _: [{"node": i, "block": b} for i, b in enumerate(c_depend.chains(len(n), _pairs(e)))], "node int, block int")
 
 
-def problems(functions: DataFrame) -> DataFrame:
+def problems(functions: DataFrame | Unparsed) -> DataFrame:
     """`problem, node` where a graph breaks a rule: nodes off the entry, kinds of edges that don't fit their source, a missing end."""
 
     def solve(nodes, edges, _):
@@ -129,17 +145,14 @@ def problems(functions: DataFrame) -> DataFrame:
     return per_function(functions, solve, "problem string, node int")
 
 
-def shapes(functions: DataFrame) -> DataFrame:
+def shapes(functions: DataFrame | Unparsed) -> DataFrame:
     """`source_id, function_id, name, nodes, n_edges`: degrees and roles of each function's nodes, for comparisons."""
-    edges, nodes = F.col("cfg_edges"), F.col("cfg_nodes")
-    shape = F.transform(
-        nodes,
-        lambda n: F.struct(
-            F.size(F.filter(edges, lambda e: e["dst"] == n["id"])).alias("in"), F.size(F.filter(edges, lambda e: e["src"] == n["id"])).alias("out"),
-            (n["kind"] == "entry").alias("is_entry"), (n["kind"] == "exit").alias("is_exit"),
-        ),
-    )
-    return functions.select("source_id", "function_id", "name", shape.alias("nodes"), F.size(edges).alias("n_edges"))
+
+    def solve(nodes, edges, _):
+        into, out = Counter(e["dst"] for e in edges), Counter(e["src"] for e in edges)
+        yield {"nodes": [{"in": into[n["id"]], "out": out[n["id"]], "is_entry": n["kind"] == "entry", "is_exit": n["kind"] == "exit"} for n in nodes], "n_edges": len(edges)}
+
+    return per_function(functions, solve, "nodes array<struct<`in`:int,`out`:int,is_entry:boolean,is_exit:boolean>>, n_edges int").withColumnRenamed("function", "name")
 
 
 def similarity(pairs: DataFrame, most: int = c_depend.GED_MOST) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.c_graph import NODE_KINDS
+from ..plans.stage import GRAPH
 
 # Measures that can be ranked, and those compared by default.
 RANKABLE = (
@@ -22,6 +23,9 @@ FEATURES = (
 ).split() + [f"nodes_{k}" for k in NODE_KINDS]
 
 
+GRAPH_COLUMNS = [{"n_nodes": "cfg_nodes", "n_edges": "cfg_edges"}.get(c, c) for c in GRAPH]
+
+
 def _count(items: Column, test) -> Column:
     return F.size(F.filter(items, test))
 
@@ -48,12 +52,14 @@ def graph_metrics(functions: DataFrame) -> DataFrame:
 
 
 def measures(functions: DataFrame) -> DataFrame:
-    """All measures of functions as flat columns."""
-    rows = graph_metrics(functions).drop("cfg_nodes", "cfg_edges").withColumnRenamed("n_nodes", "cfg_nodes").withColumnRenamed("n_edges", "cfg_edges")
+    """All measures of functions as flat columns, from rows with graphs or from `stage.measured`; without its graph measures these are left out."""
+    rows = graph_metrics(functions).drop("cfg_nodes", "cfg_edges") if "cfg_nodes" in functions.columns else functions
+    rows = rows.withColumnRenamed("n_nodes", "cfg_nodes").withColumnRenamed("n_edges", "cfg_edges")
     vocabulary, length = F.col("n1") + F.col("n2"), F.col("total_operators") + F.col("total_operands")
     volume = F.when(vocabulary == 0, F.lit(0.0)).otherwise(length * F.log2(vocabulary.cast("double")))
     difficulty = F.when(F.col("n2") == 0, F.lit(0.0)).otherwise(F.col("n1") / 2.0 * (F.col("total_operands") / F.greatest(F.col("n2"), F.lit(1))))
-    return rows.select(
+    made = rows.select("*", *[F.lit(None).cast("int").alias(c) for c in (*GRAPH_COLUMNS, "short_circuits", "unreachable_statements") if c not in rows.columns])
+    whole = made.select(
         "source_id", "function_id", "name", "first_line", "last_line", (F.col("last_line") - F.col("first_line") + 1).alias("lines"), "code_lines", "tokens", (F.col("hi") - F.col("lo")).alias("bytes"),
         "parameters", "cfg_nodes", "cfg_edges", "reachable_nodes", "unreachable_nodes", "dead_end_nodes", "cyclomatic", "decision_points", "back_edges", "loops", "max_nesting", "max_loop_depth", "cognitive",
         "calls", "callees", "statements", "ast_nodes", "short_circuits", "unreachable_statements", "has_body", "truncated", "tag_counts",
@@ -62,6 +68,7 @@ def measures(functions: DataFrame) -> DataFrame:
         difficulty.alias("halstead_difficulty"), (difficulty * volume).alias("halstead_effort"), *[f"nodes_{k}" for k in NODE_KINDS],
         F.col("nodes_goto").alias("gotos"), (F.col("nodes_goto") == 0).alias("is_structured"),
     )
+    return whole if "cfg_nodes" in rows.columns else whole.drop(*GRAPH_COLUMNS, "short_circuits", "unreachable_statements", "gotos", "is_structured")
 
 
 def features(measured: DataFrame) -> DataFrame:
@@ -98,44 +105,46 @@ def totals(measured: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_names(functions: DataFrame) -> DataFrame:
-    return functions.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+def _once(count: Column, name: Column, value: Column) -> Column:
+    """The value, or an error that names a function which is defined twice."""
+    return F.when(count > 1, F.raise_error(F.concat(F.lit("function '"), name, F.lit("' is defined more than once")))).otherwise(value)
 
 
 def call_graph(functions: DataFrame, strict: bool = True) -> DataFrame:
-    """`caller, callee` of directly named calls; strict: names that are defined twice raise ValueError."""
-    if strict and (twice := duplicate_names(functions).select("name").limit(1).collect()):
-        raise ValueError(f"function {twice[0][0]!r} is defined more than once")
-    return functions.select(F.col("name").alias("caller"), F.explode("callees").alias("callee")).distinct()
+    """`caller, callee` of directly named calls; strict: a name that is defined twice fails the query."""
+    if not strict:
+        return functions.select(F.col("name").alias("caller"), F.explode("callees").alias("callee")).distinct()
+    named = functions.groupBy("name").agg(F.count("*").alias("n"), F.first("callees").alias("callees"))
+    return named.select(F.col("name").alias("caller"), F.explode(_once(F.col("n"), F.col("name"), F.col("callees"))).alias("callee"))
 
 
 def defined_names(functions: DataFrame) -> DataFrame:
     return functions.select("name").distinct()
 
 
-def compare(before: DataFrame, after: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+def compare(before: DataFrame, after: DataFrame, metrics: list[str] | None = None, ordered: bool = True) -> DataFrame:
     """Functions of two reports by name: `name, status, before_<m>, after_<m>, delta_<m>, largest`.
 
     status is matched, added or removed; `largest` is the greatest absolute delta.
-    Names that repeat on a side, unknown and repeated measures raise ValueError.
+    Unknown and repeated measures raise ValueError, a name that repeats on a side fails
+    the query.  `ordered`: the largest first, then by name.
     """
     metrics = list(COMPARED if metrics is None else metrics)
     for m in metrics:
         _known(m, [*RANKABLE, "gotos"])
     if len({*metrics}) < len(metrics):
         raise ValueError("a measure is named twice")
-    # kept, so that neither side is parsed once for its names and once more for its measures
-    before, after = (side.select("name", *metrics).persist() for side in (before, after))
-    for side in (before, after):
-        if twice := duplicate_names(side).select("name").limit(1).collect():
-            raise ValueError(f"function {twice[0][0]!r} is defined more than once")
-    a = before.select("name", F.lit(True).alias("in_a"), *[F.col(m).alias(f"before_{m}") for m in metrics])
-    b = after.select("name", F.lit(True).alias("in_b"), *[F.col(m).alias(f"after_{m}") for m in metrics])
-    status = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").otherwise("matched")
+    sides = [side.select("name", F.lit(k).alias("side"), *metrics) for k, side in enumerate((before, after))]
+    seen = [F.count_if(F.col("side") == k).alias(f"n_{k}") for k in (0, 1)]
+    values = [F.max(F.when(F.col("side") == k, F.col(m))).alias(f"{n}_{m}") for m in metrics for k, n in enumerate(("before", "after"))]
+    both = sides[0].unionByName(sides[1]).groupBy("name").agg(*seen, *values)
+    most = F.greatest("n_0", "n_1")
+    status = F.when(F.col("n_0") == 0, "added").when(F.col("n_1") == 0, "removed").otherwise("matched")
     deltas = [(F.col(f"after_{m}") - F.col(f"before_{m}")).alias(f"delta_{m}") for m in metrics]
-    both = a.join(b, "name", "full_outer").select("name", status.alias("status"), *[c for m in metrics for c in (f"before_{m}", f"after_{m}")], *deltas)
+    both = both.select("name", _once(most, F.col("name"), status).alias("status"), *[c for m in metrics for c in (f"before_{m}", f"after_{m}")], *deltas)
     largest = reduce(F.greatest, [F.abs(F.col(f"delta_{m}")) for m in metrics], F.lit(0)) if metrics else F.lit(0)
-    return both.select("*", F.when(F.col("status") == "matched", largest).alias("largest")).orderBy(F.col("largest").desc_nulls_last(), "name")
+    made = both.select("*", F.when(F.col("status") == "matched", largest).alias("largest"))
+    return made.orderBy(F.col("largest").desc_nulls_last(), "name") if ordered else made
 
 
 def compare_totals(compared: DataFrame, metrics: list[str] | None = None) -> DataFrame:

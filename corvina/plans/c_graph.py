@@ -8,6 +8,7 @@ label or case in them is a target; the `syntactic` coverage places them all.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from .c_syntax import EXPRESSIONS, Node, Tree
@@ -50,18 +51,20 @@ class Graph:
         """Nodes from which the exit or a diverging node is reached."""
         return self.reach([1, *(i for i, k in enumerate(self.kinds) if k == "diverge")], reverse=True)
 
-    def metrics(self) -> dict[str, int]:
-        live, ends = self.live(), self.ends()
-        inside = [e for e in self.edges if live[e[0]] and live[e[1]]]
-        nodes = sum(live)
-        out: dict[int, int] = {}
-        for e in inside:
-            out[e[0]] = out.get(e[0], 0) + 1
+    def metrics(self, live: list[bool] | None = None, ends: list[bool] | None = None) -> dict[str, int]:
+        """Measures of the graph, from its reached nodes and those that reach an end; an edge from a reached node ends in one."""
+        live, ends = live or self.live(), ends or self.ends()
+        nodes, inside, out = sum(live), 0, set()
+        for e in self.edges:
+            if live[e[0]]:
+                inside += 1
+                out.add(e[0])
+        kinds = Counter(self.kinds)
         return {
-            "cfg_nodes": len(self.kinds), "cfg_edges": len(self.edges), "reachable_nodes": nodes, "unreachable_nodes": len(self.kinds) - nodes,
-            "dead_end_nodes": sum(a and not b for a, b in zip(live, ends, strict=True)), "cyclomatic": max(1, len(inside) - nodes + 2),
-            "decision_points": sum(max(0, n - 1) for n in out.values()), "back_edges": sum(e[3] for e in self.edges), "loops": len({e[1] for e in self.edges if e[3]}),
-        }
+            "n_nodes": len(self.kinds), "n_edges": len(self.edges), "reachable_nodes": nodes, "unreachable_nodes": len(self.kinds) - nodes,
+            "dead_end_nodes": sum(a and not b for a, b in zip(live, ends, strict=True)), "cyclomatic": max(1, inside - nodes + 2),
+            "decision_points": inside - len(out), "back_edges": sum(e[3] for e in self.edges), "loops": len({e[1] for e in self.edges if e[3]}),
+        } | {f"nodes_{k}": kinds[k] for k in NODE_KINDS}
 
 
 def forks(tree: Tree, node: Node) -> str | None:

@@ -6,9 +6,11 @@ from collections import Counter
 
 from . import c_graph
 from .c_syntax import STATEMENTS, Node, Tree
-from .c_tokens import OPERANDS, Positions, is_operator
+from .c_tokens import NO_OPERATORS, OPERANDS, Positions, Token, tokenize
 
 LOOPS = {"while_stmt", "do_while_stmt", "for_stmt"}
+#: Nodes that count for more than themselves.
+WEIGHED = LOOPS | {"if_stmt", "switch_stmt", "cond_expr", "goto_stmt", "postfix_expr", "binary_expr"}
 VISITS = 2_000_000
 
 
@@ -16,21 +18,31 @@ def shape(tree: Tree, body: Node) -> dict:
     """Nesting, cognitive complexity, statement, call and tag counts of a body."""
     tags: Counter[str] = Counter()
     callees: set[str] = set()
-    cognitive = deepest = loops = statements = calls = visits = 0
+    cognitive = deepest = loops = calls = visits = 0
     # node, nesting, loop depth, whether it is an else-if, operator of the logical chain above
     stack: list[tuple[Node, int, int, bool, str]] = [(body, 0, 0, False, "")]
     truncated = False
     while stack:
-        if visits == VISITS:
+        if visits >= VISITS:
             truncated = True
             break
         node, nesting, depth, else_if, above = stack.pop()
         visits += 1
-        tag = node.tag
+        tag, kids = node.tag, node.kids
         tags[tag] += 1
-        statements += tag in STATEMENTS
-        deepest, loops = max(deepest, nesting), max(loops, depth)
-        below = [(k, nesting, depth, False, "") for k in node.kids]
+        if nesting > deepest:
+            deepest = nesting
+        if depth > loops:
+            loops = depth
+        if tag not in WEIGHED:
+            for k in reversed(kids):
+                if k.kids or k.tag in WEIGHED:
+                    stack.append((k, nesting, depth, False, ""))
+                else:  # it adds nothing but itself
+                    visits += 1
+                    tags[k.tag] += 1
+            continue
+        below = [(k, nesting, depth, False, "") for k in kids]
         if tag == "if_stmt":
             cognitive += 1 if else_if else 1 + nesting
             arms = [(k, nesting + 1, depth, False, "") for k in node.arms]
@@ -43,24 +55,23 @@ def shape(tree: Tree, body: Node) -> dict:
         elif tag in LOOPS or tag == "switch_stmt":
             cognitive += 1 + nesting
             inner = depth + (tag in LOOPS)
-            below = [(k, nesting + 1, inner, False, "") if k.tag in STATEMENTS else (k, nesting, depth, False, "") for k in node.kids]
+            below = [(k, nesting + 1, inner, False, "") if k.tag in STATEMENTS else (k, nesting, depth, False, "") for k in kids]
         elif tag == "cond_expr":
             cognitive += 1 + nesting
-            below = [(k, nesting + (i > 0), depth, False, "") for i, k in enumerate(node.kids)]
+            below = [(k, nesting + (i > 0), depth, False, "") for i, k in enumerate(kids)]
         elif tag == "goto_stmt":
             cognitive += 1
         elif tag == "postfix_expr":
-            here = [i for i, k in enumerate(node.kids) if k.tag == "call_args"]
+            here = [i for i, k in enumerate(kids) if k.tag == "call_args"]
             calls += len(here)
-            if 1 in here and node.kids[0].tag == "name_ref":
-                callees.add(tree.word(node.kids[0].lo))
-        elif tag == "binary_expr" and tree.kind(node.main) in ("&&", "||"):
-            operator = tree.kind(node.main)
+            if 1 in here and kids[0].tag == "name_ref":
+                callees.add(tree.word(kids[0].lo))
+        elif tag == "binary_expr" and (operator := tree.kind(node.main)) in ("&&", "||"):
             cognitive += operator != above
-            below = [(k, nesting, depth, False, operator) for k in node.kids]
+            below = [(k, nesting, depth, False, operator) for k in kids]
         stack += reversed(below)
     return {
-        "cognitive": cognitive, "max_nesting": deepest, "max_loop_depth": loops, "statements": statements, "ast_nodes": visits,
+        "cognitive": cognitive, "max_nesting": deepest, "max_loop_depth": loops, "statements": sum(n for t, n in tags.items() if t in STATEMENTS), "ast_nodes": visits,
         "calls": calls, "callees": sorted(callees), "tag_counts": dict(tags), "truncated": truncated,
     }
 
@@ -88,18 +99,45 @@ def parameters(tree: Tree, function: Node) -> list[str]:
     return names
 
 
-def unit(text: str, graphs: bool = True, tokens: bool = False) -> dict:
-    """Functions, file lines, diagnostics and, if wanted, tokens of a text.  Offsets are of bytes; never raises on content."""
+def starts_of(tokens: list[Token], where: Positions) -> list[int]:
+    """The line each token begins on."""
+    out, breaks, line, count = [], where.breaks, 0, len(where.breaks)
+    for t in tokens:
+        lo = t[2]
+        while line < count and breaks[line] <= lo:
+            line += 1
+        out.append(line + 1)
+    return out
+
+
+def file_lines(text: str, where: Positions, coded: set[int]) -> dict:
+    """Line counts of a text, given the lines that tokens begin on."""
+    lines = text.split("\n")
+    blank = sum(not line.strip() for i, line in enumerate(lines) if i + 1 not in coded)
+    return {"lines": len(lines), "code_lines": len(coded), "blank_lines": blank, "other_lines": len(lines) - len(coded) - blank, "bytes": where.byte(len(text))}
+
+
+def lines_only(text: str) -> dict:
+    """Line counts of a text; no parser."""
+    where = Positions(text)
+    return file_lines(text, where, {*starts_of(tokenize(text)[0], where)})
+
+
+def unit(text: str, graphs: bool | str = True, tokens: bool = False) -> dict:
+    """Functions, file lines, diagnostics and, if wanted, tokens of a text.  Offsets are of bytes; never raises on content.
+
+    `graphs` "counts" gives the graphs' measures in place of their nodes and edges.
+    """
     tree = Tree(text)
     where = Positions(text)
-    starts = [where.line(t.lo) for t in tree.tokens]
+    starts = starts_of(tree.tokens, where)
     functions = []
     for number, f in enumerate(tree.functions()):
         lo, hi = tree.span(f)
         body = f.first("compound_stmt")
         own = tree.tokens[f.lo : f.hi]
-        operators = [t.kind for t in own if is_operator(t.kind)]
-        operands = [t.text for t in own if t.kind in OPERANDS]
+        operators = [t[0] for t in own if t[0] not in NO_OPERATORS]
+        operands = [t[1] for t in own if t[0] in OPERANDS]
         row = {
             "function_id": number, "name": tree.name_of(f), "lo": where.byte(lo), "hi": where.byte(hi), "has_body": body is not None, "parameters": len(parameters(tree, f)),
             "first_line": where.line(lo), "last_line": where.line(max(lo, hi - 1)), "code_lines": len({*starts[f.lo : f.hi]}), "tokens": len(own),
@@ -112,14 +150,15 @@ def unit(text: str, graphs: bool = True, tokens: bool = False) -> dict:
             # without a statement left out the second graph would be the first
             dead = c_graph.graph_of(tree, f, syntactic=True).live().count(False) if g.left_out else live.count(False)
             row |= {"short_circuits": g.short_circuits, "unreachable_statements": dead}
+            if graphs == "counts":
+                row |= g.metrics(live, ends)
+                functions.append(row)
+                continue
             row["cfg_nodes"] = [{"id": i, "kind": k, "lo": where.byte(s[0]), "hi": where.byte(s[1]), "internal": x, "live": a, "ends": b} for i, (k, s, x, a, b) in enumerate(zip(g.kinds, g.spans, g.internal, live, ends, strict=True))]
             row["cfg_edges"] = [{"ord": i, "src": e[0], "dst": e[1], "kind": e[2], "back": e[3]} for i, e in enumerate(g.edges)]
         functions.append(row)
-    lines = text.split("\n")
-    coded = {*starts}
-    blank = sum(not line.strip() for i, line in enumerate(lines) if i + 1 not in coded)
     return {
-        "functions": functions, "lines": len(lines), "code_lines": len(coded), "blank_lines": blank, "other_lines": len(lines) - len(coded) - blank, "bytes": where.byte(len(text)),
+        "functions": functions, **file_lines(text, where, {*starts}),
         "diagnostics": [{"severity": n.severity, "message": n.message, "lo": where.byte(n.lo), "hi": where.byte(n.hi)} for n in sorted(tree.notes, key=lambda n: (n.lo, n.hi))],
         "tokens": [{"idx": i, "kind": t.kind, "lo": where.byte(t.lo), "hi": where.byte(t.hi), "line": starts[i], "lexeme": t.text} for i, t in enumerate(tree.tokens)] if tokens else [],
     }

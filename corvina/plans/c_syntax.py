@@ -28,7 +28,13 @@ ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="}
 LEVELS = [{"||"}, {"&&"}, {"|"}, {"^"}, {"&"}, {"==", "!="}, {"<", ">", "<=", ">="}, {"<<", ">>"}, {"+", "-"}, {"*", "/", "%"}]
 LEVEL_OF = {op: n for n, ops in enumerate(LEVELS) for op in ops}
 PREFIX = {"++", "--", "+", "-", "!", "~", "*", "&", "sizeof", "_Alignof", "__extension__", "__real__", "__imag__"}
+BLOCK_ENDS = {"}", END}
+SUFFIXES = {"(", "[", ".", "->", "++", "--"}
 STATEMENT_WORDS = {"if", "while", "do", "for", "switch", "case", "default", "goto", "break", "continue", "return"}
+#: Operands of one token, and what after one shows that it is all of the operand.
+LEAVES = {IDENT: "name_ref", INT: "literal", FLOAT: "literal", CHAR: "literal"}
+ENDS = {";", ",", ")", "]"}
+AFTER_LEAF = ENDS | LEVEL_OF.keys() | ASSIGN | {"?", ":"}
 CLOSING = {"(": ")", "[": "]", "{": "}"}
 DEEP = 200_000
 #: Tokens before a body among which a function's name is looked for.
@@ -65,7 +71,8 @@ class Node:
 class Tree:
     def __init__(self, text: str):
         self.text = text
-        self.tokens, self.notes = tokenize(text)
+        self.tokens, self.notes, resumed = tokenize(text)
+        self.resumed = frozenset(resumed)  # tokens that begin anew at the top level
         self.has_label_addresses = False
         self.may_fork = any(t.kind in ("&&", "||", "?") for t in self.tokens)
         # nesting costs heap, not stack; the walks over the tree go as deep as the parser
@@ -93,7 +100,7 @@ class Tree:
 
 class Parser:
     def __init__(self, tree: Tree):
-        self.tree, self.t, self.i = tree, tree.tokens, 0
+        self.tree, self.t, self.i, self.size = tree, tree.tokens, 0, len(tree.tokens)
         self.kinds = [x.kind for x in tree.tokens] + [END] * 4
         self.match = self._pairs()
         self.ahead = 0, 0  # where salvage looked from and what it found
@@ -102,7 +109,10 @@ class Parser:
         """Closing bracket of each opening one; a missing one ends where its surroundings end."""
         out: dict[int, int] = {}
         stack: list[int] = []
+        resumed = self.tree.resumed
         for i, k in enumerate(self.kinds):
+            if resumed and i in resumed:
+                stack.clear()
             if k in CLOSING:
                 stack.append(i)
             elif k in (")", "]", "}"):
@@ -117,7 +127,8 @@ class Parser:
         return self.kinds[self.i] in kinds
 
     def take(self) -> int:
-        self.i = min(self.i + 1, len(self.t))
+        if self.i < self.size:
+            self.i += 1
         return self.i - 1
 
     def note(self, message: str, severity: str = "error", lo: int | None = None) -> None:
@@ -133,16 +144,17 @@ class Parser:
         return False
 
     def done(self, node: Node) -> Node:
-        node.hi = max(self.i, node.lo)
+        node.hi = self.i if self.i > node.lo else node.lo
         return node
 
     def error_to(self, *stops: str) -> Node:
         """An error node up to one of the stops outside brackets."""
         node = Node("error", self.i)
         self.note("unrecognised text")
-        while not self.at(END, *stops):
+        resumed = self.tree.resumed
+        while not self.at(END, *stops) and self.i not in resumed:
             self.skip_one()
-        if self.i == node.lo and not self.at(END):
+        if self.i == node.lo and not self.at(END) and self.i not in resumed:
             self.take()
         return self.done(node)
 
@@ -338,7 +350,7 @@ class Parser:
             if close is None:  # a missing bracket costs this declarator only
                 self.note("missing closing bracket")
                 self.take()
-                while not self.at(END, "{", ";"):
+                while not self.at(END, "{", ";") and self.i not in self.tree.resumed:
                     self.take()
                 node.kids.append(Node("param_list" if call else "array_suffix", lo, self.i))
                 break
@@ -513,14 +525,15 @@ class Parser:
         node = Node("compound_stmt", self.i)
         close = self.match.get(self.i)
         self.take()
-        while not self.at("}", END):
+        resumed = self.tree.resumed
+        while self.kinds[self.i] not in BLOCK_ENDS and (not resumed or self.i not in resumed):
             before = self.i
             node.kids.append(self.statement())
             if self.i == before:
                 self.take()
         if close is None or not self.at("}"):
             self.note("expected '}'")
-        if self.at("}"):
+        if self.at("}") and self.i not in resumed:
             self.take()
         return self.done(node)
 
@@ -556,6 +569,11 @@ class Parser:
         k, node = self.kinds[self.i], Node("", self.i)
         if k == "{":
             return self.compound()
+        if k == IDENT and self.kinds[self.i + 1] in ASSIGN:
+            node.tag = "expr_stmt"
+            node.kids.append(self.expression())
+            self.end_statement(node)
+            return self.done(node)
         if k == "#":
             return self.directive()
         if k == ";":
@@ -699,6 +717,10 @@ class Parser:
         return self.done(node)
 
     def assignment(self) -> Node:
+        i = self.i
+        if self.kinds[i + 1] in ENDS and (tag := LEAVES.get(self.kinds[i])):
+            self.i = i + 1
+            return Node(tag, i, i + 1, None, i)
         left = self.conditional()
         if self.kinds[self.i] not in ASSIGN:
             return left
@@ -723,7 +745,7 @@ class Parser:
     def binary(self) -> Node:
         """Flat chains; levels are climbed in a loop so that a plain operand costs one call."""
         chains: list[tuple[int, Node]] = []  # level, open chain
-        left = self.cast()
+        left = self.operand()
         while True:
             k = self.kinds[self.i]
             found = LEVEL_OF.get(k, -1)
@@ -739,7 +761,14 @@ class Parser:
             else:
                 chains.append((found, Node("binary_expr", left.lo, kids=[left], main=self.i)))
             self.take()
-            left = self.cast()
+            left = self.operand()
+
+    def operand(self) -> Node:
+        i = self.i
+        if self.kinds[i + 1] in AFTER_LEAF and (tag := LEAVES.get(self.kinds[i])):
+            self.i = i + 1
+            return Node(tag, i, i + 1, None, i)
+        return self.cast()
 
     def type_in_parens(self) -> bool:
         """Whether "(" here opens a type name."""
@@ -810,6 +839,9 @@ class Parser:
 
     def primary(self) -> Node:
         k, lo = self.kinds[self.i], self.i
+        if lo in self.tree.resumed:
+            self.note("expected an expression")
+            return Node("error", lo, lo)
         if k == IDENT:
             self.take()
             while self.at("::") and self.kinds[self.i + 1] == IDENT:
@@ -854,13 +886,15 @@ class Parser:
         return self.done(node)
 
     def suffixes(self, base: Node) -> Node:
+        if self.kinds[self.i] not in SUFFIXES or self.i in self.tree.resumed:
+            return base
         node = None
-        while self.at("(", "[", ".", "->", "++", "--"):
+        while self.kinds[self.i] in SUFFIXES:
             lo, k = self.i, self.kinds[self.i]
             if k in ("(", "[") and self.match.get(self.i) is None:
                 self.note("missing closing bracket")
                 suffix = Node("call_args" if k == "(" else "index_suffix", self.take())
-                while not self.at(";", "{", "}", ")", END):
+                while not self.at(";", "{", "}", ")", END) and self.i not in self.tree.resumed:
                     self.take()
                 suffix = self.done(suffix)
             elif k == "(":

@@ -30,6 +30,8 @@ IDENT, INT, FLOAT, CHAR, STRING, UNKNOWN, REGISTER, END = "identifier", "integer
 OPERANDS = {IDENT, INT, FLOAT, CHAR, STRING}
 CLOSERS = {")", "]", "}"}
 ARTEFACTS = {UNKNOWN, REGISTER}
+#: Tokens that are no Halstead operators: all but keywords and punctuators, and closing brackets.
+NO_OPERATORS = OPERANDS | CLOSERS | ARTEFACTS | {END}
 
 SCAN = re.compile(
     r"""
@@ -67,18 +69,35 @@ class Note(NamedTuple):
     hi: int
 
 
-def tokenize(text: str) -> tuple[list[Token], list[Note]]:
-    """Tokens of a text, without white space and comments, and what was odd about it."""
+#: Kinds of tokens seen so far, by their text; "" for white space.  Texts with a diagnostic are not kept.
+_seen: dict[str, str] = {}
+SEEN = 100_000
+
+
+def tokenize(text: str) -> tuple[list[Token], list[Note], list[int]]:
+    """Tokens of a text, without white space and comments, what was odd about it, and the tokens at which reading went on after an open comment."""
     out: list[Token] = []
     notes: list[Note] = []
+    resumed: list[int] = []
+    seen, append, new = _seen.get, out.append, tuple.__new__
+    if len(_seen) > SEEN:
+        _seen.clear()
     pos = 0
     while pos < len(text):
         for m in SCAN.finditer(text, pos):
+            piece = m[0]
+            kind = seen(piece)
+            if kind is not None:
+                if kind:
+                    append(new(Token, (kind, piece, *m.span())))
+                continue
             group = m.lastgroup
             if group == "space" or group == "comment":
+                if len(piece) < 64:
+                    _seen[piece] = ""
                 continue
             lo, pos = m.span()
-            piece = m[0]
+            sound = True
             if group == "word":
                 kind = CANONICAL.get(piece, IDENT)
             elif group == "punct":
@@ -87,32 +106,40 @@ def tokenize(text: str) -> tuple[list[Token], list[Note]]:
                 hexadecimal = piece[:2] in ("0x", "0X")
                 kind = FLOAT if HEX_FLOAT.match(piece) or not hexadecimal and re.search(r"[.eE]", piece) else INT
             elif group == "string":
-                kind = STRING
-                if not m["s_end"]:
+                kind, sound = STRING, bool(m["s_end"])
+                if not sound:
                     notes.append(Note("error", "unterminated string literal", lo, pos))
             elif group == "char":
-                kind = CHAR
-                if not m["c_end"]:
+                kind, sound = CHAR, bool(m["c_end"])
+                if not sound:
                     notes.append(Note("error", "unterminated character literal", lo, pos))
             elif group == "register":
                 kind = REGISTER
             elif group == "open":
-                again = RESUME.search(text, pos)
-                pos = again.start() if again else len(text)
+                pos = _resumed(text, pos)
                 notes.append(Note("error", "unterminated comment", lo, pos))
+                resumed.append(len(out))
                 break
             else:
-                kind = UNKNOWN
+                kind, sound = UNKNOWN, False
                 notes.append(Note("error", "unexpected character", lo, pos))
-            out.append(Token(kind, piece, lo, pos))
+            if sound and len(piece) < 64:
+                _seen[piece] = kind
+            append(new(Token, (kind, piece, lo, pos)))
         else:
             break
-    return out, notes
+    return out, notes, resumed
+
+
+def _resumed(text: str, pos: int) -> int:
+    """Where reading goes on after a comment that nothing ends: behind its line, where a function begins, or at the end."""
+    again = RESUME.search(text, pos)
+    return again.start() if again else len(text)
 
 
 def is_operator(kind: str) -> bool:
-    """Whether a token counts as a Halstead operator: keywords and punctuators but for closing brackets."""
-    return kind not in OPERANDS and kind not in CLOSERS and kind not in ARTEFACTS and kind != END
+    """Whether a token counts as a Halstead operator."""
+    return kind not in NO_OPERATORS
 
 
 class Positions:

@@ -6,11 +6,13 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import c_measure
+from . import c_graph, c_measure
 
 COUNTS = "lo hi parameters first_line last_line code_lines tokens n1 n2 N1 N2 cognitive max_nesting max_loop_depth statements ast_nodes calls short_circuits unreachable_statements".split()
 NODE = "struct<id:int,kind:string,lo:int,hi:int,internal:boolean,live:boolean,ends:boolean>"
@@ -53,8 +55,30 @@ def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-#: Rows that a worker turns into one batch; texts differ much in size.
-BATCH = 64
+#: Measures of a function's graph, beside `COUNTS`.
+GRAPH = "n_nodes n_edges reachable_nodes unreachable_nodes dead_end_nodes cyclomatic decision_points back_edges loops".split() + [f"nodes_{k}" for k in c_graph.NODE_KINDS]
+WITHOUT_GRAPH = [c for c in COUNTS if c not in ("short_circuits", "unreachable_statements")]
+#: Rows that a worker turns into one batch at most, and bytes of text: texts differ much in size.
+BATCH, BATCH_BYTES = 64, 1 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of few rows and of few bytes of text; one row at least."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < batch.num_rows:
+            end = int(np.searchsorted(size, (size[k - 1] if k else 0) + BATCH_BYTES, side="right"))
+            end = max(k + 1, min(end, k + BATCH))
+            yield batch.slice(k, end - k)
+            k = end
+
+
+class Unparsed:
+    """Sources whose graphs are wanted only inside one pass: operators on graphs solve there, so no graph leaves the worker."""
+
+    def __init__(self, sources: DataFrame):
+        self.sources = sources
 
 
 def parse(sources: DataFrame, graphs: bool = True, tokens: bool = False) -> DataFrame:
@@ -65,20 +89,52 @@ def parse(sources: DataFrame, graphs: bool = True, tokens: bool = False) -> Data
     schema = arrow_schema(sources, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("source_id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(ids), BATCH):
-                rows = []
-                for i, text in zip(ids[k : k + BATCH], texts[k : k + BATCH], strict=True):
-                    u = c_measure.unit(text or "", graphs, tokens)
-                    for f in u["functions"]:
-                        f["total_operators"], f["total_operands"] = f.pop("N1"), f.pop("N2")
-                    rows.append(u | {"source_id": i})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+        for batch in portions(batches):
+            rows = []
+            for i, text in zip(batch.column("source_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                u = c_measure.unit(text or "", graphs, tokens)
+                for f in u["functions"]:
+                    f["total_operators"], f["total_operands"] = f.pop("N1"), f.pop("N2")
+                rows.append(u | {"source_id": i})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return mapped(sources.select(F.col("source_id").cast("string").alias("source_id"), "text"), run, SCHEMA)
 
 
+def measured(sources: DataFrame, graphs: bool = True) -> DataFrame:
+    """One row per function with its measures alone, as flat columns; without `graphs` those of the graph are left out."""
+    counts = [*COUNTS, *GRAPH] if graphs else WITHOUT_GRAPH
+    named = {"total_operators": "N1", "total_operands": "N2"}
+    whole = ["function_id", *("total_operators" if c == "N1" else "total_operands" if c == "N2" else c for c in counts)]
+    schema = "source_id string, name string, has_body boolean, truncated boolean, " + ", ".join(f"{c} int" for c in whole) + ", callees array<string>, tag_counts map<string,int>"
+    nested = (pa.list_(pa.string()), pa.map_(pa.string(), pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            ids, rows = [], []
+            for i, text in zip(batch.column("source_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = c_measure.unit(text or "", "counts" if graphs else False)["functions"]
+                ids += [i] * len(found)
+                rows += found
+            flat = [pa.array(ids, pa.string()), pa.array([r["name"] for r in rows], pa.string()), *(pa.array([r[c] for r in rows], pa.bool_()) for c in ("has_body", "truncated"))]
+            flat += [pa.array([r[named.get(c, c)] for r in rows], pa.int32()) for c in whole]
+            flat += [pa.array([r["callees"] for r in rows], nested[0]), pa.array([list(r["tag_counts"].items()) for r in rows], nested[1])]
+            yield pa.RecordBatch.from_arrays(flat, ["source_id", "name", "has_body", "truncated", *whole, "callees", "tag_counts"])
+
+    return mapped(sources.select(F.col("source_id").cast("string").alias("source_id"), "text"), run, schema)
+
+
+def file_lines(sources: DataFrame) -> DataFrame:
+    """`source_id, lines, code_lines, blank_lines, other_lines, bytes` of each source: tokens only, no parser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            rows = [c_measure.lines_only(text or "") for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("source_id"), *(pa.array([r[c] for r in rows], pa.int32()) for c in FILE)], ["source_id", *FILE])
+
+    return mapped(sources.select(F.col("source_id").cast("string").alias("source_id"), "text"), run, "source_id string, " + ", ".join(f"{c} int" for c in FILE))
+
+
 def functions(units: DataFrame) -> DataFrame:
     """One row per function, measures as columns."""
     return units.select("source_id", F.explode("functions").alias("f")).select("source_id", "f.*")

@@ -29,8 +29,12 @@ def _functions(spark: SparkSession, sf_dir: str, loops: int = LOOPS, graphs: boo
     return stage.functions(stage.parse(corpus.order_sources(spark, sf_dir, loops), graphs=graphs))
 
 
-def _measures(spark: SparkSession, sf_dir: str, loops: int = LOOPS) -> DataFrame:
-    return metrics.measures(_functions(spark, sf_dir, loops))
+def _measures(spark: SparkSession, sf_dir: str, loops: int = LOOPS, graphs: bool = True) -> DataFrame:
+    return metrics.measures(stage.measured(corpus.order_sources(spark, sf_dir, loops), graphs))
+
+
+def _unparsed(spark: SparkSession, sf_dir: str, loops: int = LOOPS) -> stage.Unparsed:
+    return stage.Unparsed(corpus.order_sources(spark, sf_dir, loops))
 
 
 # -- measures -----------------------------------------------------------------------
@@ -45,12 +49,12 @@ def metrics_shape(spark, sf_dir):
 
 
 def metrics_size(spark, sf_dir):
-    return _measures(spark, sf_dir).select("name", "lines", "code_lines", "tokens", "bytes")
+    return _measures(spark, sf_dir, graphs=False).select("name", "lines", "code_lines", "tokens", "bytes")
 
 
 def halstead_counts(spark, sf_dir):
     columns = "halstead_distinct_operators halstead_distinct_operands halstead_total_operators halstead_total_operands halstead_vocabulary halstead_length".split()
-    return _measures(spark, sf_dir).select("name", *columns, F.round("halstead_volume", 6).alias("volume"), F.round("halstead_difficulty", 6).alias("difficulty"))
+    return _measures(spark, sf_dir, graphs=False).select("name", *columns, F.round("halstead_volume", 6).alias("volume"), F.round("halstead_difficulty", 6).alias("difficulty"))
 
 
 def node_census(spark, sf_dir):
@@ -76,21 +80,21 @@ def report_totals(spark, sf_dir):
 
 
 def call_graph(spark, sf_dir):
-    return metrics.call_graph(_functions(spark, sf_dir, graphs=False).select("name", "callees").persist())
+    return metrics.call_graph(stage.measured(corpus.order_sources(spark, sf_dir), graphs=False))
 
 
 def defined_names(spark, sf_dir):
-    return metrics.defined_names(_functions(spark, sf_dir, graphs=False))
+    return metrics.defined_names(stage.measured(corpus.order_sources(spark, sf_dir), graphs=False))
 
 
 def report_compare(spark, sf_dir):
     before, after = _measures(spark, sf_dir), _measures(spark, sf_dir, LOOPS_AFTER)
-    return metrics.compare(before, after, ["cyclomatic", "cognitive", "lines", "statements"]).drop("largest")
+    return metrics.compare(before, after, ["cyclomatic", "cognitive", "lines", "statements"], ordered=False).drop("largest")
 
 
 def compare_totals(spark, sf_dir):
     chosen = ["cyclomatic", "cognitive", "lines", "statements"]
-    return metrics.compare_totals(metrics.compare(_measures(spark, sf_dir), _measures(spark, sf_dir, LOOPS_AFTER), chosen), chosen)
+    return metrics.compare_totals(metrics.compare(_measures(spark, sf_dir), _measures(spark, sf_dir, LOOPS_AFTER), chosen, ordered=False), chosen)
 
 
 def feature_vectors(spark, sf_dir):
@@ -106,15 +110,15 @@ def tokens_by_kind(spark, sf_dir):
 
 
 def control_dependence(spark, sf_dir):
-    return graphs.control_dependence(_functions(spark, sf_dir)).groupBy("function").agg(F.count("*").alias("n_edges"), F.count_if(F.col("on") == F.col("node")).alias("n_self"))
+    return graphs.control_dependence(_unparsed(spark, sf_dir)).groupBy("function").agg(F.count("*").alias("n_edges"), F.count_if(F.col("on") == F.col("node")).alias("n_self"))
 
 
 def post_dominators(spark, sf_dir):
-    return graphs.post_dominators(_functions(spark, sf_dir)).groupBy("function").agg(F.count("ipdom").alias("n_placed"), F.count_if("dead_end").alias("n_dead_ends"))
+    return graphs.post_dominators(_unparsed(spark, sf_dir)).groupBy("function").agg(F.count("ipdom").alias("n_placed"), F.count_if("dead_end").alias("n_dead_ends"))
 
 
 def control_depth(spark, sf_dir):
-    return graphs.control_depth(_functions(spark, sf_dir)).groupBy("function").agg(F.max("depth").alias("depth"), F.count_if(F.col("depth") == 1).alias("n_inside"))
+    return graphs.control_depth(_unparsed(spark, sf_dir)).groupBy("function").agg(F.max("depth").alias("depth"), F.count_if(F.col("depth") == 1).alias("n_inside"))
 
 
 def descendants(spark, sf_dir):
@@ -133,16 +137,16 @@ def node_degrees(spark, sf_dir):
 
 
 def chain_contraction(spark, sf_dir):
-    return graphs.chains(_functions(spark, sf_dir)).groupBy("function").agg(F.countDistinct("block").alias("n_blocks"))
+    return graphs.chains(_unparsed(spark, sf_dir)).groupBy("function").agg(F.countDistinct("block").alias("n_blocks"))
 
 
 def graph_problems(spark, sf_dir):
-    return graphs.problems(_functions(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("n"))
+    return graphs.problems(_unparsed(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def _shape_pairs(spark, sf_dir):
     """Each function beside the next of its source by id."""
-    rows = graphs.shapes(_functions(spark, sf_dir))
+    rows = graphs.shapes(_unparsed(spark, sf_dir))
     order = Window.partitionBy("source_id").orderBy("function_id")
     both = rows.select(F.col("name").alias("pair_id"), F.col("nodes").alias("left"), F.col("n_edges").alias("left_edges"), F.lead("nodes").over(order).alias("right"), F.lead("n_edges").over(order).alias("right_edges"))
     return both.filter("right is not null")
@@ -284,7 +288,7 @@ def manifest_identity(spark, sf_dir):
 
 def file_lines(spark, sf_dir):
     """Line counts of prose read as C: any text has them."""
-    return stage.parse(corpus.from_texts(_read(spark, sf_dir, "documents"), "doc_id", "text"), graphs=False).select("source_id", "lines", "bytes", (F.col("code_lines") + F.col("blank_lines") + F.col("other_lines")).alias("counted"))
+    return stage.file_lines(corpus.from_texts(_read(spark, sf_dir, "documents"), "doc_id", "text")).select("source_id", "lines", "bytes", (F.col("code_lines") + F.col("blank_lines") + F.col("other_lines")).alias("counted"))
 
 
 def split_lines(spark, sf_dir):

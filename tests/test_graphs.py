@@ -38,7 +38,7 @@ def edges(g):
 )
 def test_graph_measures(body, nodes, n_edges, cyclomatic, back):
     m = graph(body).metrics()
-    assert (m["cfg_nodes"], m["cfg_edges"], m["cyclomatic"], m["back_edges"]) == (nodes, n_edges, cyclomatic, back)
+    assert (m["n_nodes"], m["n_edges"], m["cyclomatic"], m["back_edges"]) == (nodes, n_edges, cyclomatic, back)
     assert m["unreachable_nodes"] == 0
 
 

@@ -114,3 +114,22 @@ def test_damaged_sources():
             k = rng.randrange(len(text))
             text[k] = rng.choice("{}();,*&'\"/ \n#x1\0é")
         c_measure.unit("".join(text))
+
+
+def names(text):
+    return [f["name"] for f in c_measure.unit(text)["functions"]]
+
+
+def test_reading_goes_on_after_an_open_comment():
+    rest = "int second(void) { return 1; }\nstatic int third(int n)\n{\n  if (n) return 2;\n  return 3;\n}\n"
+    for begin in ("int first(void) { /* open\n", "int first(void) { if (1) { go(/* open\n", "int first(void) { int k = /* open\n", "int first(int a) { while (a) { a--; /* open { ( [\n"):
+        assert names(begin + rest) == ["first", "second", "third"], begin
+    assert names("/* open\n" + rest) == ["second", "third"]
+    assert names("int first(void) { return 0; } /* open, and no function") == ["first"]
+
+
+def test_measures_are_the_same_with_and_without_graphs():
+    text = "int f(int a, int b) { if (a && b) { for (;;) { if (a) break; g(a, b ? 1 : 2); } } switch (a) { case 1: return 2; default: goto end; } end: return 0; }"
+    whole, flat, bare = (c_measure.unit(text, g)["functions"][0] for g in (True, "counts", False))
+    assert all(flat[k] == v for k, v in bare.items()) and all(whole[k] == flat[k] for k in flat.keys() & whole.keys())
+    assert flat["n_nodes"] == len(whole["cfg_nodes"]) and flat["n_edges"] == len(whole["cfg_edges"])
