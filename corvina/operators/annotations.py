@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import subprocess
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import c_loops
 from ..plans.c_syntax import Node, Tree
 from ..plans.c_tokens import Positions
+from ..plans.stage import arrow_schema, mapped, portions
 from .flow import _rows
 
 NODE = "node int, parent int, child_ix int, tag string, lo int, hi int, subtree_end int"
@@ -104,11 +105,6 @@ def identity(text: str) -> str:
     return f"{''.join(hashes)}-{len(data)}"
 
 
-def identities(sources: DataFrame) -> DataFrame:
-    """`source_id, identity` of each source."""
-    return _rows(sources, "source_id string, identity string", lambda tree, _: [{"identity": identity(tree.text)}])
-
-
 def provenance(functions: DataFrame, original_names: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """`name, origin, recovery_qualified` of each name: found in the original text or made by expansion; the largest body of a name counts."""
     order = Window.partitionBy("source_id", "name").orderBy((F.col("hi") - F.col("lo")).desc(), "function_id")
@@ -119,38 +115,82 @@ def provenance(functions: DataFrame, original_names: DataFrame, diagnostics: Dat
     return both.select("source_id", "name", F.when(F.col("known"), "source").otherwise("generated").alias("origin"), F.coalesce("touched", F.lit(False)).alias("recovery_qualified"))
 
 
-CONTROL = re.compile(r"(?m)^[ \t]*#[ \t]*(?:define|undef|if|ifdef|ifndef|elif|else|endif|include)\b")
-INCLUDE = re.compile(r"(?m)^[ \t]*#[ \t]*include\b[^\n]*(?:\n|\Z)")
+#: Directives that decide what a text says; headers are never read, so a text that only includes needs no preprocessor.
+DECISIVE = frozenset("define undef if ifdef ifndef elif else endif".split())
+PREPROCESSED = "text string, status string, compiler string, command array<string>, stderr string, includes_removed boolean"
 
 
-def preprocess_one(text: str, compiler: str | None = None, timeout: float = 30.0) -> dict:
-    """A text after the host's C preprocessor, without its includes; whatever fails leaves the text as it was and says so in `status`."""
-    out = {"text": text, "status": "not-needed", "compiler": None, "command": [], "stderr": "", "includes_removed": False}
-    if not CONTROL.search(text):
-        return out
-    found = shutil.which(compiler) if compiler else shutil.which("gcc") or shutil.which("cc")
-    if not found:
-        return out | {"status": "unavailable", "stderr": f"not found: {compiler}" if compiler else "no host C preprocessor"}
-    plain = INCLUDE.sub("\n", text)
-    out |= {"compiler": found, "command": [found, "-E", "-P", "-x", "c"], "includes_removed": plain != text}
+def _directives(lines: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(first line, line after the last, name) of each directive, continued lines included."""
+    at = 0
+    while at < len(lines):
+        first, at = at, at + 1
+        head = lines[first].lstrip(" \t")
+        if head.startswith("#"):
+            while lines[at - 1].rstrip("\r").endswith("\\") and at < len(lines):
+                at += 1
+            name = head[1:].lstrip(" \t")
+            end = next((k for k, c in enumerate(name) if not (c.isalnum() or c == "_")), len(name))
+            yield first, at, name[:end]
+
+
+def _expanded(compiler: str, text: str, timeout: float) -> dict:
+    """What a compiler's preprocessor makes of a text that it reads from its standard input."""
+    command = [compiler, "-E", "-P", "-x", "c", "-"]
+    report = {"compiler": compiler, "command": command}
     try:
-        with tempfile.NamedTemporaryFile("w", suffix=".c") as file:  # the worker's own, gone at once
-            file.write(plain)
-            file.flush()
-            done = subprocess.run([*out["command"], file.name], capture_output=True, text=True, timeout=timeout, check=False)
-    except subprocess.TimeoutExpired as error:
-        return out | {"status": "timed-out", "stderr": str(error)}
+        ended = subprocess.run(command, input=text.encode("utf-8", "replace"), capture_output=True, timeout=timeout, check=False)
+    except subprocess.TimeoutExpired:
+        return report | {"status": "timed-out", "stderr": f"no end within {timeout:g} seconds"}
     except OSError as error:
-        return out | {"status": "failed", "stderr": str(error)}
-    if done.returncode or not done.stdout.strip():
-        return out | {"status": "failed", "stderr": done.stderr.strip() or f"ended with {done.returncode} and no output"}
-    return out | {"text": done.stdout, "status": "preprocessed", "stderr": done.stderr.strip()}
+        return report | {"status": "failed", "stderr": str(error)}
+    made, said = (x.decode("utf-8", "replace") for x in (ended.stdout, ended.stderr))
+    if ended.returncode == 0 and made.strip():
+        return report | {"status": "preprocessed", "text": made, "stderr": said.strip()}
+    return report | {"status": "failed", "stderr": said.strip() or f"exit code {ended.returncode}, no output"}
+
+
+def preprocess_one(text: str, compiler: str | None = None, timeout: float = 30.0) -> dict:
+    """A text after the host's C preprocessor, without its includes; `status` is one of
+
+    not-needed (no directive that decides anything), unavailable (no compiler),
+    timed-out, failed, preprocessed; with all but the last the text is as it was.
+    """
+    lines = text.split("\n") if "#" in text else []
+    found = list(_directives(lines))
+    kept = {"text": text, "compiler": None, "command": [], "stderr": "", "includes_removed": False}
+    if DECISIVE.isdisjoint(name for _, _, name in found):
+        return kept | {"status": "not-needed"}
+    path = next(filter(None, map(shutil.which, [compiler] if compiler else ["gcc", "cc"])), None)
+    if path is None:
+        return kept | {"status": "unavailable", "stderr": f"no {compiler or 'C compiler'} on this host"}
+    for first, end, name in found:
+        if name == "include":
+            lines[first:end] = [""] * (end - first)
+            kept["includes_removed"] = True
+    return kept | _expanded(path, "\n".join(lines), timeout)
+
+
+def _per_text(sources: DataFrame, schema: str, make) -> DataFrame:
+    """One row of `make(text)` for each source; the text isn't parsed."""
+    arrow = arrow_schema(sources, f"source_id string, {schema}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            rows = [{"source_id": i} | make(t or "") for i, t in zip(batch.column("source_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return mapped(sources.select(F.col("source_id").cast("string").alias("source_id"), "text"), run, f"source_id string, {schema}")
 
 
 def preprocess(sources: DataFrame, compiler: str | None = None, timeout: float = 30.0) -> DataFrame:
     """Outcome of preprocessing each source on the executors: `text, status, compiler, command, stderr, includes_removed`."""
-    schema = "source_id string, text string, status string, compiler string, command array<string>, stderr string, includes_removed boolean"
-    return _rows(sources, schema, lambda tree, _: [preprocess_one(tree.text, compiler, timeout)])
+    return _per_text(sources, PREPROCESSED, lambda text: preprocess_one(text, compiler, timeout))
+
+
+def identities(sources: DataFrame) -> DataFrame:
+    """`source_id, identity` of each source."""
+    return _per_text(sources, "identity string", lambda text: {"identity": identity(text)})
 
 
 def line_column(offset: Column, starts: Column) -> Column:

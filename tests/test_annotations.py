@@ -48,6 +48,10 @@ def test_identity_and_rendering():
 
 def test_preprocessing():
     assert annotations.preprocess_one("int a;")["status"] == "not-needed"
+    for text in ("#include <a.h>\nint a;", "# include \\\n <a.h>\n#pragma once\n#line 3\n", "x # define\n", "#defined\n"):
+        got = annotations.preprocess_one(text)
+        assert (got["status"], got["text"], got["includes_removed"]) == ("not-needed", text, False)
+    assert list(annotations._directives(["# if A \\", "&& B", "int a;", "\t#\telse", "#"])) == [(0, 2, "if"), (3, 4, "else"), (4, 5, "")]
     got = annotations.preprocess_one("#include <x.h>\n#define A 1\nint f(void) { return A; }\n", compiler="no-such-compiler")
     assert got["status"] == "unavailable" and got["text"].startswith("#include")
     got = annotations.preprocess_one("#include <x.h>\n#define A 1\nint f(void) { return A; }\n")
