@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -48,6 +49,20 @@ def grouped(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(function, schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A copy of df in the shared checkpoint folder, so that rounds don't repeat those before them.
+
+    The folder comes from ``spark.checkpoint.dir``; only a local session without that setting gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

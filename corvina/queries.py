@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import c_types
 from .functions import text as texts
-from .operators import annotations, declared, evaluation, exports, flow, graphs, metrics
+from .operators import annotations, declared, evaluation, exports, flow, graphs, memory, metrics
 from .plans import stage
 from .sources import corpus
 
@@ -283,6 +283,61 @@ def manifest_identity(spark, sf_dir):
     return evaluation.manifest_identity(_read(spark, sf_dir, "nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
 
 
+# -- memory -----------------------------------------------------------------------------------
+
+
+def _pointers(spark, sf_dir):
+    """(functions with their steps, targets of their pointers) of the pointer corpus."""
+    functions = stage.written(memory.steps(corpus.pointer_sources(spark, sf_dir)))
+    return functions, memory.points_to(functions)
+
+
+def mem_points_to(spark, sf_dir):
+    functions, targets = _pointers(spark, sf_dir)
+    return targets.join(functions, memory.KEYS).filter("place not like '\\%%'").select("function", "place", "target")
+
+
+def mem_accesses(spark, sf_dir):
+    """Strong and weak writes to the two variables, and reads of them through the pointer or directly."""
+    functions, targets = _pointers(spark, sf_dir)
+    rows = memory.accesses(functions, targets).filter("region in ('x', 'y')").join(functions, memory.KEYS)
+    writes, strong = F.col("op") == "write", F.col("strong")
+    return rows.groupBy("function").agg(F.count_if(writes & strong).alias("n_strong"), F.count_if(writes & ~strong).alias("n_weak"), F.count_if(~writes).alias("n_reads"))
+
+
+def mem_flows(spark, sf_dir):
+    """Writes that reach reads of the two variables, and those that reach the last read."""
+    functions, targets = _pointers(spark, sf_dir)
+    rows = memory.flows(functions, targets).filter("read_region in ('x', 'y') and via = 'same'")
+    last = F.max("read").over(Window.partitionBy(*memory.KEYS))
+    return rows.withColumn("last", last).groupBy("function").agg(F.count("*").alias("n"), F.count_if(F.col("read") == F.col("last")).alias("n_last"))
+
+
+def mem_effects(spark, sf_dir):
+    """What functions do to what their parameters refer to, through a callee too."""
+    functions, targets = _pointers(spark, sf_dir)
+    return memory.effects(functions, targets).select("function", "parameter", "op")
+
+
+def _small(spark, sf_dir, text):
+    orders = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism)
+    return stage.written(memory.steps(orders.select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))))
+
+
+def mem_overlaps(spark, sf_dir):
+    """Orders as functions with a union, nested structures or two pointers, by their key."""
+    kind = F.col("o_orderkey") % 3
+    text = F.when(kind == 0, "float f(void) { union u v; v.i = 1; return v.f; }").when(kind == 1, "int f(void) { struct s t; t.a.b = 2; g(t.a); return t.c; }").otherwise("void f(int *p, int *q) { *p = 1; *q = 2; }")
+    functions = _small(spark, sf_dir, text)
+    return memory.overlaps(functions, memory.points_to(functions)).select("source_id", "region", "other", "why")
+
+
+def mem_uninitialised(spark, sf_dir):
+    """Orders as functions that set a pointer on one branch or on both."""
+    text = F.concat(F.lit("int f(int b) { int *p, x = 1; if (b) p = &x; "), F.when(F.col("o_orderkey") % 2 == 0, "else p = &b; ").otherwise(""), F.lit("return *p; }"))
+    return memory.uninitialised(_small(spark, sf_dir, text)).select("source_id", "place")
+
+
 # -- texts -------------------------------------------------------------------------------------
 
 
@@ -463,6 +518,17 @@ ORACLE: dict[str, str] = {
     "eval_problems": """WITH res AS (SELECT l_orderkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END AS id, count(*) AS n FROM lineitem WHERE l_linenumber >= 4 GROUP BY 1)
       SELECT coalesce(o_orderkey, id) AS id, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem FROM orders FULL JOIN res ON o_orderkey = id WHERE o_orderkey IS NULL OR n IS NULL OR n > 1""",
 }
+_POINTERS = f"""WITH items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    p = &y;' WHEN l_quantity > {LOOPS} THEN '    *p = ' || CAST(floor(l_quantity) AS BIGINT) || ';' ELSE '    b = *p;' END AS s FROM lineitem),
+  placed AS (SELECT l_orderkey, k, count(*) FILTER (k = 'w') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s ROWS UNBOUNDED PRECEDING) AS before FROM items),
+  f AS (SELECT o_orderkey, 'order_' || o_orderkey AS name, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'w') AS w, count(*) FILTER (k = 'c') AS c, coalesce(sum(before) FILTER (k = 'c'), 0) AS seen, o_orderkey % 2 AS odd FROM orders LEFT JOIN placed ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
+ORACLE |= {
+    "mem_points_to": _POINTERS + " SELECT name AS function, 'in' AS place, '*in' AS target FROM f UNION ALL SELECT name, 'p', 'x' FROM f UNION ALL SELECT name, 'p', 'y' FROM f WHERE r > 0 UNION ALL SELECT 'touch_' || o_orderkey, 'q', '*q' FROM f WHERE odd = 0",
+    "mem_accesses": _POINTERS + " SELECT name AS function, 2 + CASE WHEN r = 0 THEN w ELSE 0 END AS n_strong, CASE WHEN r > 0 THEN 2 * w ELSE 0 END AS n_weak, 1 + CASE WHEN r > 0 THEN 2 * c ELSE c END AS n_reads FROM f",
+    "mem_flows": _POINTERS + " SELECT name AS function, CASE WHEN r > 0 THEN 2 * (c + seen) + (1 + w) * (1 + odd) ELSE c + 1 + odd END + odd AS n, CASE WHEN r > 0 THEN 1 + w ELSE 1 END + odd AS n_last FROM f",
+    "mem_effects": "SELECT 'touch_' || o_orderkey AS function, 0 AS parameter, 'write' AS op FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'order_' || o_orderkey, 0, 'write' FROM orders WHERE o_orderkey % 2 = 0",
+    "mem_overlaps": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['v.f'] WHEN 1 THEN ['t.a.b'] ELSE ['*p'] END) AS region, CASE o_orderkey % 3 WHEN 0 THEN 'v.i' WHEN 1 THEN 't.a' ELSE '*q' END AS other, CASE o_orderkey % 3 WHEN 0 THEN 'union' WHEN 1 THEN 'containment' ELSE 'parameters' END AS why FROM orders",
+    "mem_uninitialised": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'p' AS place FROM orders WHERE o_orderkey % 2 <> 0",
+}
 ORACLE["strip_headers_by_window"] = ORACLE["strip_headers"]
 ORACLE["eval_closure"] = (
     f"WITH {_base()}, d AS (SELECT name, o_orderkey FROM (SELECT name, o_orderkey, {_N} AS n, {_E} AS e, lead({_N}) OVER w AS m, lead({_E}) OVER w AS x FROM f WINDOW w AS (PARTITION BY floor(o_orderkey / 16) ORDER BY o_orderkey)) WHERE abs(n - m) + abs(e - x) > 0) "
@@ -475,7 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, export_dot, data_flow_counts,
         declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
-        eval_problems, eval_closure,
+        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised,
     )
 }
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in ("graphml", "json", "mermaid")}
@@ -519,6 +585,9 @@ WHOLE = {
     "eval_overlaps": "user_id n",
     "eval_accuracy": "l_orderkey",
     "eval_problems": "id",
+    "mem_accesses": "n_strong n_weak n_reads",
+    "mem_flows": "n n_last",
+    "mem_effects": "parameter",
 }
 
 

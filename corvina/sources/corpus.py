@@ -74,3 +74,23 @@ def order_sources(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> Dat
     return grouped.select("source_id", F.concat(F.col("source_id"), F.lit(".c")).alias("path"), F.lit("ordinary").alias("dialect"), F.array_join(F.col("x.body"), "\n").alias("text"))
 
 
+def pointer_sources(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> DataFrame:
+    """One source per order, with a function that works through a pointer.
+
+    A returned line item turns the pointer to another variable, another of more than
+    `loop_above` pieces writes through it, any other reads through it; even orders pass
+    their parameter to a function that writes to it, odd ones pass a variable's address
+    to one that the text doesn't define.
+    """
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    quantity = F.col("l_quantity").cast("int")
+    statement = F.when(F.col("l_returnflag") == "R", F.lit("    p = &y;\n")).when(F.col("l_quantity") > loop_above, F.format_string("    *p = %d;\n", quantity)).otherwise(F.lit("    b = *p;\n"))
+    lines = read("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", statement.alias("s")).alias("x")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("items"))
+    body = F.coalesce(F.array_join(F.col("items.s"), ""), F.lit(""))
+    even = F.col("o_orderkey") % 2 == 0
+    helper = F.when(even, F.format_string("void touch_%d(int *q)\n{\n    *q = 1;\n}\n", F.col("o_orderkey"))).otherwise("")
+    call = F.when(even, F.format_string("    touch_%d(in);\n", F.col("o_orderkey"))).otherwise("    outside(&x);\n")
+    text = F.concat(helper, F.format_string("int order_%d(int *in, int b)\n{\n    int x = 0;\n    int y = 0;\n    int *p = &x;\n", F.col("o_orderkey")), body, call, F.lit("    return x;\n}\n"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    orders = read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").repartition(tasks, "o_orderkey")
+    return orders.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(None).cast("string").alias("path"), F.lit("ordinary").alias("dialect"), text.alias("text"))
