@@ -109,26 +109,44 @@ def tokens_by_kind(spark, sf_dir):
 # -- graphs ----------------------------------------------------------------------------
 
 
+def _branches(spark: SparkSession, sf_dir: str) -> stage.Unparsed:
+    return stage.Unparsed(corpus.branch_sources(spark, sf_dir))
+
+
+def graph_nodes(spark, sf_dir):
+    rows = stage.cfg_nodes(stage.parse(corpus.branch_sources(spark, sf_dir)))
+    return rows.select("function", "id", "kind", "internal", "live", "ends")
+
+
+def graph_edges(spark, sf_dir):
+    return stage.cfg_edges(stage.parse(corpus.branch_sources(spark, sf_dir))).select("function", "src", "dst", "kind", "back")
+
+
+def branch_measures(spark, sf_dir):
+    rows = metrics.measures(stage.measured(corpus.branch_sources(spark, sf_dir)))
+    return rows.select("name", "cfg_nodes", "cfg_edges", "cyclomatic", "decision_points", "back_edges", "loops", "cognitive", "max_nesting", "max_loop_depth", "statements", "short_circuits", "gotos", "nodes_case", "nodes_switch", "nodes_break", "nodes_continue", "nodes_label")
+
+
 def control_dependence(spark, sf_dir):
-    return graphs.control_dependence(_unparsed(spark, sf_dir)).groupBy("function").agg(F.count("*").alias("n_edges"), F.count_if(F.col("on") == F.col("node")).alias("n_self"))
+    return graphs.control_dependence(_branches(spark, sf_dir)).select("function", "on", "node", "kind")
 
 
 def post_dominators(spark, sf_dir):
-    return graphs.post_dominators(_unparsed(spark, sf_dir)).groupBy("function").agg(F.count("ipdom").alias("n_placed"), F.count_if("dead_end").alias("n_dead_ends"))
+    return graphs.post_dominators(_branches(spark, sf_dir)).select("function", "node", "ipdom", "dead_end")
 
 
 def control_depth(spark, sf_dir):
-    return graphs.control_depth(_unparsed(spark, sf_dir)).groupBy("function").agg(F.max("depth").alias("depth"), F.count_if(F.col("depth") == 1).alias("n_inside"))
+    return graphs.control_depth(_unparsed(spark, sf_dir)).select("function", "node", "depth")
 
 
 def descendants(spark, sf_dir):
-    rows = _functions(spark, sf_dir).withColumn("start", F.lit(0))
-    return graphs.reaching(rows, "start").groupBy("function").agg(F.count("*").alias("n"))
+    """What the last statement's first node reaches."""
+    return graphs.reaching(_branches(spark, sf_dir), "start").select("function", "node")
 
 
 def backward_slices(spark, sf_dir):
-    rows = _functions(spark, sf_dir).withColumn("seed", F.size("cfg_nodes") - 1)
-    return graphs.backward_slice(rows, "seed").groupBy("function").agg(F.count("*").alias("n"))
+    """What the last statement's last node depends on."""
+    return graphs.backward_slice(_branches(spark, sf_dir), "seed").select("function", "node")
 
 
 def node_degrees(spark, sf_dir):
@@ -200,7 +218,7 @@ def data_flow_counts(spark, sf_dir):
 
 
 def dead_stores(spark, sf_dir):
-    return _flows(spark, sf_dir).select("function", F.size("dead_stores").alias("n_dead"), F.array_sort("unused").alias("unused"))
+    return flow.data_flow(corpus.branch_sources(spark, sf_dir)).select("function", F.size("dead_stores").alias("n_dead"), F.array_sort("unused").alias("unused"))
 
 
 def flow_edges(spark, sf_dir):
@@ -213,7 +231,7 @@ def call_summaries(spark, sf_dir):
 
 def reach_claims(spark, sf_dir):
     tasks = 2 * spark.sparkContext.defaultParallelism
-    rows = corpus.order_functions(spark, sf_dir).repartition(tasks).select(F.col("name").alias("source_id"), F.col("body").alias("text"), F.col("name").alias("from_function"), F.lit(0).alias("parameter"), F.lit("nowhere").alias("to_function"))
+    rows = corpus.order_functions(spark, sf_dir).repartition(tasks).select(F.col("name").alias("source_id"), F.col("body").alias("text"), F.col("name").alias("from_function"), F.lit(0).alias("parameter"), F.lit("supplier_7").alias("to_function"))
     return flow.query_reaches(rows).select("from_function", "claim", F.array_join("uncertainty", ",").alias("uncertainty"))
 
 
@@ -492,18 +510,11 @@ ORACLE: dict[str, str] = {
       d AS (SELECT 0 AS i, 1 AS o FROM f UNION ALL SELECT 1, 0 FROM f UNION ALL SELECT 1, 1 FROM f UNION ALL SELECT 1, 1 FROM f WHERE r + w + c = 0 UNION ALL SELECT CASE WHEN k = 'r' THEN 2 ELSE 1 END, 1 FROM p WHERE next IS NULL
         UNION ALL SELECT i + CASE WHEN k = 'w' THEN 1 ELSE 0 END, CASE WHEN k = 'c' THEN 1 ELSE 2 END FROM p UNION ALL SELECT 1, 1 FROM p WHERE k <> 'c')
       SELECT i AS in_degree, o AS out_degree, count(*) AS n FROM d GROUP BY ALL""",
-    "control_dependence": _sql("SELECT name AS function, r + 2 * w AS n_edges, w AS n_self FROM f WHERE r + w > 0"),
-    "post_dominators": _sql(f"SELECT name AS function, {_N} - 1 AS n_placed, 0 AS n_dead_ends FROM f"),
-    "control_depth": _sql("SELECT name AS function, CASE WHEN r + w > 0 THEN 1 ELSE 0 END AS depth, r + w AS n_inside FROM f"),
-    "descendants": _sql(f"SELECT name AS function, {_N} - 1 AS n FROM f"),
-    "backward_slices": _sql("SELECT name AS function, 1 AS n FROM f"),
     "graph_problems": "SELECT 'x' AS problem, 0 AS n WHERE false",
     "ged_size_delta": _sql(f"SELECT name AS pair_id, abs(n - m) + abs(e - d) AS distance FROM (SELECT name, {_N} AS n, {_E} AS e, lead({_N}) OVER w AS m, lead({_E}) OVER w AS d FROM f WINDOW w AS (PARTITION BY floor(o_orderkey / 16) ORDER BY o_orderkey)) WHERE m IS NOT NULL"),
     "parity_resolve": f"WITH {_base()}, {_base(LOOPS_AFTER, 'g')}, a AS (SELECT name, {_N} AS n FROM f), b AS (SELECT name, {_N} AS n FROM g) SELECT a.name AS name, CASE WHEN a.n >= b.n THEN 'a' ELSE 'b' END AS version, greatest(a.n, b.n) AS n_nodes FROM a JOIN b ON a.name = b.name",
     "data_flow_counts": _sql("SELECT name AS function, 3 + r + w + c AS n_definitions, 1 + 2 * r + 2 * w + 2 * c AS n_uses, 0 AS n_issues, true AS complete FROM f"),
-    "dead_stores": _sql("SELECT name AS function, 0 AS n_dead, CASE WHEN r + c = 0 THEN ['a', 'b'] ELSE ['b'] END AS unused FROM f"),
     "call_summaries": _sql("SELECT name AS function, 2 AS arity, c = 0 AS complete, callees AS n_transfers FROM f"),
-    "reach_claims": _sql("SELECT name AS from_function, CASE WHEN c = 0 THEN 'no_may_path' ELSE 'unknown' END AS claim, CASE WHEN c = 0 THEN '' ELSE 'incomplete_summary,missing_callee' END AS uncertainty FROM f"),
     "file_lines": "SELECT CAST(doc_id AS VARCHAR) AS source_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, strlen(text) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS counted FROM documents",
     "split_lines": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')) - CASE WHEN regexp_matches(text, '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]$') THEN 1 ELSE 0 END END AS n_lines FROM documents",
     "strip_headers": "SELECT CAST(l_orderkey AS VARCHAR) AS source_id, coalesce(string_agg('int v' || l_linenumber || ';', chr(10) ORDER BY l_linenumber, l_partkey) FILTER (l_returnflag <> 'R'), '') || chr(10) AS text FROM lineitem GROUP BY l_orderkey",
@@ -518,10 +529,71 @@ ORACLE: dict[str, str] = {
     "eval_problems": """WITH res AS (SELECT l_orderkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END AS id, count(*) AS n FROM lineitem WHERE l_linenumber >= 4 GROUP BY 1)
       SELECT coalesce(o_orderkey, id) AS id, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem FROM orders FULL JOIN res ON o_orderkey = id WHERE o_orderkey IS NULL OR n IS NULL OR n > 1""",
 }
+#: What the graph of each of `corpus.BRANCHES` must be: its nodes (with * inside expressions), its edges (-1 is the next
+#: statement's first node), immediate post-dominators, control dependence, all numbered within the statement.
+_SHAPES = [
+    ("cond* stmt* cond stmt", "0 1 true,0 2 false,1 2 fall,2 3 true,2 -1 false,3 -1 fall", "2 2 -1 -1", "0 1 true,2 3 true"),
+    ("cond* stmt* stmt* stmt* stmt", "0 1 true,0 2 false,1 3 fall,2 3 fall,3 4 fall,4 -1 fall", "3 3 3 4 -1", "0 1 true,0 2 false"),
+    ("switch case stmt case stmt break case stmt", "0 1 case,0 3 case,0 6 default,1 2 fall,2 3 fall_through,3 4 fall,4 5 fall,5 -1 jump,6 7 fall,7 -1 fall", "-1 2 3 4 5 -1 7 -1", "0 1 case,0 2 case,0 3 case,0 4 case,0 5 case,0 6 default,0 7 default"),
+    ("stmt loop_header cond continue stmt stmt", "0 1 fall,1 2 true,1 -1 false,2 3 true,2 4 false,3 5 jump,4 5 fall,5 1 fall back", "1 -1 5 5 5 1", "1 1 true,1 2 true,1 5 true,2 3 true,2 4 false"),
+    ("loop_header stmt", "0 1 true back,0 -1 false,1 0 fall", "-1 0", "0 0 true,0 1 true"),
+    ("cond loop_header stmt stmt", "0 1 true,0 3 false,1 2 true,1 -1 false,2 1 fall back,3 -1 fall", "-1 -1 1 -1", "0 1 true,0 3 false,1 1 true,1 2 true"),
+    ("loop_header cond* stmt* cond cond break stmt break", "0 1 true,0 -1 false,1 2 false,1 3 true,2 3 fall,3 4 true,3 7 false,4 5 true,4 6 false,5 -1 jump,6 0 fall back,7 -1 jump", "-1 3 3 -1 -1 -1 0 -1", "0 1 true,0 3 true,1 2 false,3 4 true,3 7 false,4 0 false,4 5 true,4 6 false"),
+    ("cond goto stmt label stmt", "0 1 true,0 2 false,1 3 jump,2 3 fall,3 4 fall,4 -1 fall", "3 3 3 4 -1", "0 1 true,0 2 false"),
+]
+_FIRST = "CASE WHEN k = 4 THEN 1 ELSE 0 END"  # a do loop begins with its body
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in r) + ")" for r in rows) + ")"
+
+
+_BRANCHED = f"""WITH sized AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST((l_linenumber + l_partkey) % 8 AS BIGINT) AS k, ([{', '.join(map(str, corpus.BRANCH_NODES))}])[CAST((l_linenumber + l_partkey) % 8 AS BIGINT) + 1] AS size FROM lineitem),
+  put AS (SELECT *, CAST(3 + sum(size) OVER o - size AS BIGINT) AS base, lead(k) OVER o AS next_k, first_value(CASE WHEN k <> 5 THEN k END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_k, row_number() OVER o AS place
+    FROM sized WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, k ROWS UNBOUNDED PRECEDING)),
+  b AS (SELECT o_orderkey, 'order_' || o_orderkey AS function, put.*, base + size + CASE WHEN next_k = 4 THEN 1 ELSE 0 END AS next, next_k IS NULL AS final FROM orders JOIN put ON o_orderkey = l_orderkey),
+  t AS (SELECT o_orderkey, 'order_' || o_orderkey AS function, CAST(3 + coalesce(sum(size), 0) AS BIGINT) AS ret, min_by(k, place) AS first_k FROM orders LEFT JOIN put ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+  nodes(k, n, kind, internal) AS {_values([(k, n, x.rstrip('*'), 1 if x.endswith('*') else 0) for k, s in enumerate(_SHAPES) for n, x in enumerate(s[0].split())])},
+  edges(k, s, d, kind, back) AS {_values([(k, int(e.split()[0]), int(e.split()[1]), e.split()[2], 1 if e.endswith('back') else 0) for k, s in enumerate(_SHAPES) for e in s[1].split(',')])},
+  ipdoms(k, n, d) AS {_values([(k, n, int(d)) for k, s in enumerate(_SHAPES) for n, d in enumerate(s[2].split())])},
+  depends(k, s, d, kind) AS {_values([(k, int(e.split()[0]), int(e.split()[1]), e.split()[2]) for k, s in enumerate(_SHAPES) for e in s[3].split(',')])}"""
+_EDGES = """SELECT function, 0 AS src, 2 AS dst, 'fall' AS kind, false AS back FROM t UNION ALL SELECT function, 2, 3 + CASE WHEN first_k = 4 THEN 1 ELSE 0 END, 'fall', false FROM t UNION ALL SELECT function, ret, 1, 'jump', false FROM t
+  UNION ALL SELECT function, base + s, CASE WHEN d < 0 THEN next ELSE base + d END, kind, back = 1 FROM b JOIN edges USING (k)"""
+
+
+def _slices() -> list[tuple]:
+    """Statements' nodes that the last node of each depends on, itself included."""
+    out = []
+    for k, s in enumerate(_SHAPES):
+        ties = [tuple(map(int, e.split()[:2])) for e in s[3].split(",")]
+        found = {len(s[0].split()) - 1}
+        while more := {a for a, b in ties if b in found} - found:
+            found |= more
+        out += [(k, n) for n in sorted(found)]
+    return out
+
+
+_COUNTED = [(k, len(s[1].split(",")), s[1].count("back"), len({e.split()[1] for e in s[1].split(",") if e.endswith("back")}), c, n, d, st, sc) for k, (s, (c, n, d, st, sc)) in enumerate(zip(_SHAPES, [(2, 1, 0, 3, 1), (1, 1, 0, 1, 1), (1, 1, 0, 9, 0), (3, 2, 1, 5, 0), (1, 1, 1, 3, 0), (4, 2, 1, 7, 0), (4, 2, 1, 5, 1), (2, 1, 0, 5, 0)], strict=True))]
 _POINTERS = f"""WITH items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    p = &y;' WHEN l_quantity > {LOOPS} THEN '    *p = ' || CAST(floor(l_quantity) AS BIGINT) || ';' ELSE '    b = *p;' END AS s FROM lineitem),
   placed AS (SELECT l_orderkey, k, count(*) FILTER (k = 'w') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s ROWS UNBOUNDED PRECEDING) AS before FROM items),
   f AS (SELECT o_orderkey, 'order_' || o_orderkey AS name, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'w') AS w, count(*) FILTER (k = 'c') AS c, coalesce(sum(before) FILTER (k = 'c'), 0) AS seen, o_orderkey % 2 AS odd FROM orders LEFT JOIN placed ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
 ORACLE |= {
+    "graph_nodes": _BRANCHED + " SELECT function, id, kind, internal, true AS live, true AS ends FROM (SELECT function, unnest([0, 1, 2, ret]) AS id, unnest(['entry', 'exit', 'stmt', 'return']) AS kind, false AS internal FROM t UNION ALL SELECT function, base + n, kind, internal = 1 FROM b JOIN nodes USING (k))",
+    "graph_edges": _BRANCHED + " " + _EDGES,
+    "branch_measures": _BRANCHED + f", c(k, e, backs, heads, cognitive, nesting, depth, statements, shorts) AS {_values(_COUNTED)}, m AS (SELECT t.function AS name, ret + 1 AS cfg_nodes, coalesce(sum(e), 0) + 3 AS cfg_edges, coalesce(sum(backs), 0) AS back_edges, coalesce(sum(heads), 0) AS loops, coalesce(sum(cognitive), 0) AS cognitive, "
+    "coalesce(max(nesting), 0) AS max_nesting, coalesce(max(depth), 0) AS max_loop_depth, coalesce(sum(statements), 0) + 2 AS statements, coalesce(sum(shorts), 0) AS short_circuits, count(*) FILTER (b.k = 7) AS gotos, 3 * count(*) FILTER (b.k = 2) AS nodes_case, count(*) FILTER (b.k = 2) AS nodes_switch, "
+    "count(*) FILTER (b.k = 2) + 2 * count(*) FILTER (b.k = 6) AS nodes_break, count(*) FILTER (b.k = 3) AS nodes_continue, count(*) FILTER (b.k = 7) AS nodes_label FROM t LEFT JOIN b ON t.o_orderkey = b.o_orderkey LEFT JOIN c ON b.k = c.k GROUP BY t.function, ret) SELECT *, cfg_edges - cfg_nodes + 2 AS cyclomatic, cfg_edges - cfg_nodes + 1 AS decision_points FROM m",
+    "control_dependence": _BRANCHED + ' SELECT function, base + s AS "on", base + d AS node, kind FROM b JOIN depends USING (k)',
+    "post_dominators": _BRANCHED + " SELECT function, node, ipdom, false AS dead_end FROM (SELECT function, 0 AS node, 2 AS ipdom FROM t UNION ALL SELECT function, 1, NULL FROM t UNION ALL SELECT function, 2, 3 + CASE WHEN first_k = 4 THEN 1 ELSE 0 END FROM t UNION ALL SELECT function, ret, 1 FROM t UNION ALL SELECT function, base + n, CASE WHEN d < 0 THEN next ELSE base + d END FROM b JOIN ipdoms USING (k))",
+    "control_depth": f"""WITH items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    if' WHEN l_quantity > {LOOPS} THEN '    while' ELSE '    total' END AS s FROM lineitem),
+      p AS (SELECT l_orderkey, k, CAST(3 + sum(CASE k WHEN 'c' THEN 1 ELSE 2 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s, k ROWS UNBOUNDED PRECEDING) - CASE k WHEN 'c' THEN 1 ELSE 2 END AS BIGINT) AS base FROM items),
+      n AS (SELECT o_orderkey, CAST(3 + coalesce(sum(CASE k WHEN 'c' THEN 1 WHEN 'r' THEN 2 WHEN 'w' THEN 2 END), 0) AS BIGINT) AS ret FROM orders LEFT JOIN p ON o_orderkey = l_orderkey GROUP BY 1)
+      SELECT 'order_' || o_orderkey AS function, node, CAST(node IN (SELECT base + 1 FROM p WHERE l_orderkey = o_orderkey AND k <> 'c') AS BIGINT) AS depth FROM (SELECT o_orderkey, unnest(range(ret + 1)) AS node FROM n)""",
+    "descendants": _BRANCHED + " SELECT function, unnest([1, ret]) AS node FROM t UNION ALL SELECT function, base + unnest(range(1, size)) FROM b WHERE final",
+    "backward_slices": _BRANCHED + f", kept(k, n) AS {_values(_slices())} SELECT function, base + n AS node FROM b JOIN kept USING (k) WHERE final UNION ALL SELECT function, 2 FROM t WHERE ret = 3",
+    "dead_stores": _BRANCHED + """, w AS (SELECT o_orderkey, CASE WHEN after_k IN (1, 2, 7) THEN 1 ELSE 0 END AS dies, k FROM b), d AS (SELECT t.o_orderkey, t.function, sum(CASE k WHEN 0 THEN dies WHEN 1 THEN dies WHEN 2 THEN 1 + 2 * dies WHEN 5 THEN dies WHEN 7 THEN 1 + dies ELSE 0 END) AS n,
+      count(*) FILTER (k IN (0, 2, 5, 6, 7)) AS a, count(*) FILTER (k IN (0, 1, 3, 5, 6)) AS b FROM t LEFT JOIN w ON t.o_orderkey = w.o_orderkey GROUP BY 1, 2), begun AS (SELECT o_orderkey, min_by(k, place) FILTER (k <> 5) AS k FROM b GROUP BY 1)
+      SELECT function, coalesce(n, 0) + CASE WHEN begun.k IN (1, 2, 7) THEN 1 ELSE 0 END AS n_dead, list_concat(CASE WHEN a = 0 THEN ['a'] ELSE [] END, CASE WHEN b = 0 THEN ['b'] ELSE [] END) AS unused FROM d LEFT JOIN begun ON d.o_orderkey = begun.o_orderkey""",
     "mem_points_to": _POINTERS + " SELECT name AS function, 'in' AS place, '*in' AS target FROM f UNION ALL SELECT name, 'p', 'x' FROM f UNION ALL SELECT name, 'p', 'y' FROM f WHERE r > 0 UNION ALL SELECT 'touch_' || o_orderkey, 'q', '*q' FROM f WHERE odd = 0",
     "mem_accesses": _POINTERS + " SELECT name AS function, 2 + CASE WHEN r = 0 THEN w ELSE 0 END AS n_strong, CASE WHEN r > 0 THEN 2 * w ELSE 0 END AS n_weak, 1 + CASE WHEN r > 0 THEN 2 * c ELSE c END AS n_reads FROM f",
     "mem_flows": _POINTERS + " SELECT name AS function, CASE WHEN r > 0 THEN 2 * (c + seen) + (1 + w) * (1 + odd) ELSE c + 1 + odd END + odd AS n, CASE WHEN r > 0 THEN 1 + w ELSE 1 END + odd AS n_last FROM f",
@@ -539,7 +611,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
-        tokens_by_kind, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, export_dot, data_flow_counts,
+        tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, export_dot, data_flow_counts,
         declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised,
     )
@@ -559,11 +631,11 @@ WHOLE = {
     "report_compare": "before_cyclomatic after_cyclomatic before_cognitive after_cognitive before_lines after_lines before_statements after_statements delta_cyclomatic delta_cognitive delta_lines delta_statements",
     "compare_totals": "before after delta",
     "tokens_by_kind": "n",
-    "control_dependence": "n_edges n_self",
-    "post_dominators": "n_placed n_dead_ends",
-    "control_depth": "depth n_inside",
-    "descendants": "n",
-    "backward_slices": "n",
+    "control_dependence": "on node",
+    "post_dominators": "node ipdom",
+    "control_depth": "node depth",
+    "descendants": "node",
+    "backward_slices": "node",
     "node_degrees": "in_degree out_degree n",
     "chain_contraction": "n_blocks",
     "graph_problems": "n",
@@ -585,6 +657,9 @@ WHOLE = {
     "eval_overlaps": "user_id n",
     "eval_accuracy": "l_orderkey",
     "eval_problems": "id",
+    "graph_nodes": "id",
+    "graph_edges": "src dst",
+    "branch_measures": "cfg_nodes cfg_edges cyclomatic decision_points back_edges loops cognitive max_nesting max_loop_depth statements short_circuits gotos nodes_case nodes_switch nodes_break nodes_continue nodes_label",
     "mem_accesses": "n_strong n_weak n_reads",
     "mem_flows": "n n_last",
     "mem_effects": "parameter",
@@ -600,4 +675,4 @@ def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES = {name: _wide(query) for name, query in QUERIES.items()}
-ORACLE = {name: f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in WHOLE[name].split())}) FROM ({sql})" if name in WHOLE else sql for name, sql in ORACLE.items()}
+ORACLE = {name: f"SELECT * REPLACE ({', '.join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in WHOLE[name].split())}) FROM ({sql})" if name in WHOLE else sql for name, sql in ORACLE.items()}

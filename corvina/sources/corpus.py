@@ -94,3 +94,36 @@ def pointer_sources(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> D
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     orders = read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").repartition(tasks, "o_orderkey")
     return orders.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(None).cast("string").alias("path"), F.lit("ordinary").alias("dialect"), text.alias("text"))
+
+
+#: Statements of `branch_sources` by number: short circuits, a conditional, a switch that falls through, loops of all
+#: kinds with jumps out of them, nesting, and a goto.  `#` becomes the statement's place in its function.
+BRANCHES = (
+    "if (a && b) { total = total + 1; }",
+    "total = b ? 1 : 2;",
+    "switch (a) { case 1: total = 1; case 2: total = 2; break; default: total = 3; }",
+    "for (int i = 0; i < b; i++) { if (i) continue; total = total + i; }",
+    "do { total--; } while (total);",
+    "if (a) { while (b) { b--; } } else { total = 0; }",
+    "while (a || b) { if (total) break; a--; }",
+    "if (a) goto L#; total = 5; L#: total = 6;",
+)
+#: Nodes of each statement's graph.
+BRANCH_NODES = (4, 5, 8, 6, 2, 4, 8, 5)
+
+
+def branch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per order with a function of one of `BRANCHES` per line item; `start` is the first node of the last, `seed` the last node of it."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    kind = ((F.col("l_linenumber") + F.col("l_partkey")) % len(BRANCHES)).cast("int")
+    lines = read("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", kind.alias("k")))).alias("items"))
+    orders = read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    kinds = F.coalesce(F.col("items.k"), F.array().cast("array<int>"))
+    statements, sizes = F.array(*map(F.lit, BRANCHES)), F.array(*map(F.lit, BRANCH_NODES))
+    body = F.array_join(F.transform(kinds, lambda k, i: F.concat(F.lit("    "), F.replace(F.get(statements, k), F.lit("#"), i.cast("string")), F.lit("\n"))), "")
+    nodes = F.aggregate(kinds, F.lit(3), lambda n, k: n + F.get(sizes, k))
+    last = F.when(F.size(kinds) > 0, F.get(sizes, F.get(kinds, F.size(kinds) - 1))).otherwise(1)
+    text = F.concat(F.format_string("int order_%d(int a, int b)\n{\n    int total = 0;\n", F.col("o_orderkey")), body, F.lit("    return total;\n}\n"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    made = orders.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(None).cast("string").alias("path"), F.lit("ordinary").alias("dialect"), text.alias("text"), (nodes - last).alias("start"), (nodes - 1).alias("seed"))
+    return made.repartition(tasks, "source_id")
