@@ -17,9 +17,14 @@ def _attrs(**values: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()])
 
 
-def cfg_views(functions: DataFrame) -> DataFrame:
-    """Control-flow graphs as views."""
-    nodes = F.transform("cfg_nodes", lambda n: F.struct(n["id"].alias("id"), n["kind"].alias("label"), _attrs(start=n["lo"], end=n["hi"], expression_internal=n["internal"]).alias("attrs")))
+def cfg_views(functions: DataFrame, positions: bool = True) -> DataFrame:
+    """Control-flow graphs as views, with or without where nodes stand in the text."""
+
+    def attrs(n: Column) -> Column:
+        where = {"start": n["lo"], "end": n["hi"]} if positions else {}
+        return _attrs(**where, expression_internal=n["internal"])
+
+    nodes = F.transform("cfg_nodes", lambda n: F.struct(n["id"].alias("id"), n["kind"].alias("label"), attrs(n).alias("attrs")))
     edges = F.transform("cfg_edges", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["kind"].alias("label"), F.when(e["back"], _attrs(back=F.lit("true"))).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("attrs")))
     return functions.select("source_id", "function_id", "name", nodes.alias("nodes"), edges.alias("edges"))
 

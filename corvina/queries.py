@@ -175,7 +175,8 @@ def ged_size_delta(spark, sf_dir):
 
 
 def ged_distance(spark, sf_dir):
-    return graphs.similarity(_shape_pairs(spark, sf_dir))
+    # comparing costs far more than moving: a stated number of partitions isn't merged by size
+    return graphs.similarity(_shape_pairs(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism))
 
 
 def parity_resolve(spark, sf_dir):
@@ -195,13 +196,10 @@ def parity_units(spark, sf_dir):
     return graphs.resolve_for_units(a.unionByName(b)).groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("unit") == F.col("source_id")).alias("own"))
 
 
-def export_dot(spark, sf_dir):
-    return exports.render(exports.cfg_views(_functions(spark, sf_dir)), "dot").select("name", (F.length("text") - F.length(F.replace("text", F.lit("->"), F.lit("-")))).alias("n_edges"), F.sha2("text", 256).alias("sha"))
-
-
 def _export(fmt: str):
     def query(spark, sf_dir):
-        return exports.render(exports.cfg_views(_functions(spark, sf_dir)), fmt).select("name", "text")
+        functions = stage.functions(stage.parse(corpus.branch_sources(spark, sf_dir)))
+        return exports.render(exports.cfg_views(functions, positions=False), fmt).select("name", "text")
 
     return query
 
@@ -577,7 +575,46 @@ _COUNTED = [(k, len(s[1].split(",")), s[1].count("back"), len({e.split()[1] for
 _POINTERS = f"""WITH items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    p = &y;' WHEN l_quantity > {LOOPS} THEN '    *p = ' || CAST(floor(l_quantity) AS BIGINT) || ';' ELSE '    b = *p;' END AS s FROM lineitem),
   placed AS (SELECT l_orderkey, k, count(*) FILTER (k = 'w') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s ROWS UNBOUNDED PRECEDING) AS before FROM items),
   f AS (SELECT o_orderkey, 'order_' || o_orderkey AS name, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'w') AS w, count(*) FILTER (k = 'c') AS c, coalesce(sum(before) FILTER (k = 'c'), 0) AS seen, o_orderkey % 2 AS odd FROM orders LEFT JOIN placed ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
+_VIEWS = (
+    _BRANCHED + """, vn AS (SELECT function, id, kind, CASE WHEN internal THEN 'true' ELSE 'false' END AS inside FROM (SELECT function, unnest([0, 1, 2, ret]) AS id, unnest(['entry', 'exit', 'stmt', 'return']) AS kind, false AS internal FROM t UNION ALL SELECT function, base + n, kind, internal = 1 FROM b JOIN nodes USING (k))),
+  ve AS (SELECT *, row_number() OVER (PARTITION BY function ORDER BY src, ord) - 1 AS i, max(CAST(back AS INT)) OVER (PARTITION BY function) AS looped FROM (SELECT function, 0 AS src, 2 AS dst, 'fall' AS kind, false AS back, 0 AS ord FROM t UNION ALL SELECT function, 2, 3 + CASE WHEN first_k = 4 THEN 1 ELSE 0 END, 'fall', false, 0 FROM t
+    UNION ALL SELECT function, ret, 1, 'jump', false, 0 FROM t UNION ALL SELECT function, base + s, CASE WHEN d < 0 THEN next ELSE base + d END, kind, back = 1, ord FROM b JOIN (SELECT *, row_number() OVER () AS ord FROM edges) USING (k)))"""
+)
+_NL = "chr(10)"
+
+
+def _text(head: str, node: str, edge: str, tail: str, between: str = "''") -> str:
+    return _VIEWS + f" SELECT t.function AS name, {head} || (SELECT string_agg({node}, {between} ORDER BY id) FROM vn WHERE vn.function = t.function) || {edge} || {tail} AS text FROM t"
+
+
+def _ties(edge: str, between: str = "''") -> str:
+    return f"(SELECT string_agg({edge}, {between} ORDER BY i) FROM ve WHERE ve.function = t.function)"
+
+
 ORACLE |= {
+    "export_dot": _text(f"'digraph \"' || t.function || '\" {{' || {_NL} || '  node [shape=box, fontname=monospace, fontsize=10];' || {_NL}", f"'  n' || id || ' [label=\"' || kind || '\", expression_internal=\"' || inside || '\"];' || {_NL}",
+        _ties(f"'  n' || src || ' -> n' || dst || ' [label=\"' || kind || '\"' || CASE WHEN back THEN ', back=\"true\"' ELSE '' END || '];' || {_NL}"), f"'}}' || {_NL}"),
+    "export_mermaid": _text(f"'flowchart TD' || {_NL}", f"'  n' || id || '[\"' || kind || '\"]' || {_NL}", _ties(f"'  n' || src || ' -->|' || kind || '| n' || dst || {_NL}"), "''"),
+    "export_json": _VIEWS + " SELECT t.function AS name, '{\"directed\": true, \"edges\": [' || " + _ties("'{' || CASE WHEN back THEN '\"back\": \"true\", ' ELSE '' END || '\"label\": \"' || kind || '\", \"source\": ' || src || ', \"target\": ' || dst || '}'", "', '")
+        + " || '], \"graph\": {\"name\": \"' || t.function || '\"}, \"multigraph\": true, \"nodes\": [' || (SELECT string_agg('{\"expression_internal\": \"' || inside || '\", \"id\": ' || id || ', \"label\": \"' || kind || '\"}', ', ' ORDER BY id) FROM vn WHERE vn.function = t.function) || ']}' AS text FROM t",
+    "export_graphml": _text(
+        f"'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || {_NL} || '<graphml xmlns=\"http://graphml.graphdrawing.org/xmlns\">' || {_NL} || '  <key id=\"nd0\" for=\"node\" attr.name=\"label\" attr.type=\"string\"/>' || {_NL} || '  <key id=\"nd1\" for=\"node\" attr.name=\"expression_internal\" attr.type=\"string\"/>' || {_NL} "
+        f"|| '  <key id=\"ed0\" for=\"edge\" attr.name=\"label\" attr.type=\"string\"/>' || {_NL} || (SELECT CASE WHEN max(looped) = 1 THEN '  <key id=\"ed1\" for=\"edge\" attr.name=\"back\" attr.type=\"string\"/>' || {_NL} ELSE '' END FROM ve WHERE ve.function = t.function) || '  <graph id=\"' || t.function || '\" edgedefault=\"directed\">' || {_NL}",
+        f"'    <node id=\"n' || id || '\">' || {_NL} || '      <data key=\"nd0\">' || kind || '</data>' || {_NL} || '      <data key=\"nd1\">' || inside || '</data>' || {_NL} || '    </node>' || {_NL}",
+        _ties(f"'    <edge id=\"e' || i || '\" source=\"n' || src || '\" target=\"n' || dst || '\">' || {_NL} || '      <data key=\"ed0\">' || kind || '</data>' || {_NL} || CASE WHEN back THEN '      <data key=\"ed1\">true</data>' || {_NL} ELSE '' END || '    </edge>' || {_NL}"),
+        f"'  </graph>' || {_NL} || '</graphml>' || {_NL}"),
+    "parity_blocks": ORACLE["chain_contraction"].replace("SELECT name AS function,", "SELECT name, n AS n_blocks, n - 1 + r + w AS n_edges, n <= 1 AS degenerate FROM (SELECT name, r, w,").replace("AS n_blocks FROM f LEFT JOIN m ON o_orderkey = l_orderkey", "- 2 AS n FROM f LEFT JOIN m ON o_orderkey = l_orderkey)"),
+    "parity_units": f"WITH {_base()}, {_base(LOOPS_AFTER, 'g')} SELECT 'a' AS unit, count(*) AS n, count(*) AS own FROM f UNION ALL SELECT 'b', count(*), count(*) FILTER (r + w > 0) FROM g",
+    "ast_tags": _sql("SELECT tag, n FROM (SELECT unnest(['func_def', 'decl_specifiers', 'declarator', 'decl_name', 'param_list', 'param_decl', 'compound_stmt', 'decl', 'initializer', 'literal', 'return_stmt', 'name_ref', 'if_stmt', 'while_stmt', 'binary_expr', 'expr_stmt', 'assign_expr', 'postfix_expr', 'call_args']) AS tag, "
+        "unnest([count(*), 2 * count(*), 2 * count(*), 2 * count(*), count(*), 2 * count(*), sum(1 + r + w), count(*), count(*), sum(1 + 2 * r + 2 * w + c), count(*), sum(1 + 3 * r + 3 * w + 4 * c), sum(r), sum(w), sum(2 * r + 2 * w + c), sum(r + w + c), sum(r + w + c), sum(c), sum(c)])::BIGINT AS n FROM f) WHERE n > 0"),
+    "flow_edges": f"""WITH {_base()}, items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    if (a > ' || CAST(floor(l_quantity) AS BIGINT) WHEN l_quantity > {LOOPS} THEN '    while (total < ' || CAST(floor(l_quantity) AS BIGINT) ELSE '    total = ' END AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+      g AS (SELECT *, count(*) FILTER (k = 'c') OVER o - CASE WHEN k = 'c' THEN 1 ELSE 0 END AS run FROM items WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s, k ROWS UNBOUNDED PRECEDING)),
+      h AS (SELECT l_orderkey, k, run, row_number() OVER (PARTITION BY l_orderkey, run ORDER BY l_linenumber, l_partkey, s, k) AS defs FROM g),
+      ends AS (SELECT o_orderkey, 1 + coalesce((SELECT count(*) FROM g WHERE g.l_orderkey = f.o_orderkey AND k <> 'c' AND run = f.c), 0) AS defs FROM f)
+      SELECT 'a' AS variable, sum(r + c)::BIGINT AS n FROM f HAVING sum(r + c) > 0 UNION ALL SELECT 'total', ((SELECT sum(CASE k WHEN 'w' THEN 2 * (defs + 1) ELSE defs END) FROM h) + (SELECT sum(defs) FROM ends))::BIGINT""",
+    # callees are looked at by name, until the one that is asked for
+    "reach_claims": f"""WITH {_base()}, s AS (SELECT l_orderkey, bool_or(s = 7) AS found, min('supplier_' || s) AS least FROM f_items WHERE k = 'c' GROUP BY 1)
+      SELECT name AS from_function, CASE WHEN c = 0 THEN 'no_may_path' WHEN found THEN 'found_may_path' ELSE 'unknown' END AS claim, CASE WHEN c = 0 THEN '' WHEN found AND least >= 'supplier_7' THEN 'incomplete_summary' ELSE 'incomplete_summary,missing_callee' END AS uncertainty FROM f LEFT JOIN s ON o_orderkey = l_orderkey""",
     "graph_nodes": _BRANCHED + " SELECT function, id, kind, internal, true AS live, true AS ends FROM (SELECT function, unnest([0, 1, 2, ret]) AS id, unnest(['entry', 'exit', 'stmt', 'return']) AS kind, false AS internal FROM t UNION ALL SELECT function, base + n, kind, internal = 1 FROM b JOIN nodes USING (k))",
     "graph_edges": _BRANCHED + " " + _EDGES,
     "branch_measures": _BRANCHED + f", c(k, e, backs, heads, cognitive, nesting, depth, statements, shorts) AS {_values(_COUNTED)}, m AS (SELECT t.function AS name, ret + 1 AS cfg_nodes, coalesce(sum(e), 0) + 3 AS cfg_edges, coalesce(sum(backs), 0) AS back_edges, coalesce(sum(heads), 0) AS loops, coalesce(sum(cognitive), 0) AS cognitive, "
@@ -611,12 +648,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
-        tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, export_dot, data_flow_counts,
+        tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
         declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised,
     )
 }
-QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in ("graphml", "json", "mermaid")}
+QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in exports.FORMATS}
 
 #: Whole-number columns of the queries above; both sides give them as 64-bit numbers.
 WHOLE = {
@@ -657,6 +694,10 @@ WHOLE = {
     "eval_overlaps": "user_id n",
     "eval_accuracy": "l_orderkey",
     "eval_problems": "id",
+    "parity_blocks": "n_blocks n_edges",
+    "parity_units": "n own",
+    "ast_tags": "n",
+    "flow_edges": "n",
     "graph_nodes": "id",
     "graph_edges": "src dst",
     "branch_measures": "cfg_nodes cfg_edges cyclomatic decision_points back_edges loops cognitive max_nesting max_loop_depth statements short_circuits gotos nodes_case nodes_switch nodes_break nodes_continue nodes_label",
