@@ -38,6 +38,29 @@ def overlapping(slices: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return slices.withColumn("_reach", F.max(end).over(before)).filter(F.col("_reach") > F.col(start)).drop("_reach")
 
 
+def manifest_problems(manifest: DataFrame, sources: DataFrame) -> DataFrame:
+    """`id, problem` of rows `id, source_path, source_sha256, start_byte, end_byte` against sources `source_path, content`.
+
+    Problems: duplicate_id, missing_source, malformed_hash, hash_drift, bad_slice (empty
+    or beyond the source), overlap (with a slice of the source that begins no later).
+    """
+    known = sources.select("source_path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), F.octet_length("content").alias("size"))
+    joined = manifest.join(known, "source_path", "left")
+    before = Window.partitionBy("source_path").orderBy("start_byte", "end_byte", "id").rowsBetween(Window.unboundedPreceding, -1)
+    sound = F.col("start_byte") < F.col("end_byte")
+    joined = joined.withColumn("reach", F.max(F.when(sound, F.col("end_byte"))).over(before)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    tests = {
+        "duplicate_id": F.col("n") > 1,
+        "missing_source": F.col("digest").isNull(),
+        "malformed_hash": ~F.coalesce(F.col("source_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+        "hash_drift": F.col("source_sha256").rlike("^[0-9a-f]{64}$") & (F.col("source_sha256") != F.col("digest")),
+        "bad_slice": ~F.coalesce(sound & (F.col("start_byte") >= 0), F.lit(False)) | (F.col("end_byte") > F.col("size")),
+        "overlap": sound & (F.col("reach") > F.col("start_byte")),
+    }
+    found = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
+    return joined.select("id", F.explode(found).alias("problem")).distinct()
+
+
 def result_problems(manifest: DataFrame, results: DataFrame) -> DataFrame:
     """`id, problem`: specimens without a result, with several, and results of none."""
     counts = results.groupBy("id").agg(F.count("*").alias("n"))

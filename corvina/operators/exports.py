@@ -29,13 +29,26 @@ def cfg_views(functions: DataFrame, positions: bool = True) -> DataFrame:
     return functions.select("source_id", "function_id", "name", nodes.alias("nodes"), edges.alias("edges"))
 
 
-def cdg_views(functions: DataFrame, dependence: DataFrame) -> DataFrame:
-    """Control dependence graphs as views, from `graphs.control_dependence` rows."""
+def cdg_views(functions: DataFrame, dependence: DataFrame, depth: DataFrame | None = None, dominators: DataFrame | None = None) -> DataFrame:
+    """Control dependence graphs as views, from `graphs.control_dependence` rows.
+
+    With `graphs.control_depth` and `graphs.post_dominators` rows, nodes tell their depth,
+    immediate post-dominator (empty for a root) and whether they reach an end.
+    """
+    if depth is not None and dominators is not None:
+        keys = ["source_id", "function_id"]
+        told = depth.select(*keys, "node", "depth").join(dominators.select(*keys, "node", "ipdom"), [*keys, "node"])
+        told = told.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("depth", "ipdom")))).alias("told"))
+        functions = functions.join(told, keys, "left")
+        more = lambda n: _attrs(depth=F.col("told")[n["id"]]["depth"], ipdom=F.coalesce(F.col("told")[n["id"]]["ipdom"].cast("string"), F.lit("")), reaches_exit=n["ends"])
+        nodes = F.transform("cfg_nodes", lambda n: F.struct(n["id"].alias("id"), n["kind"].alias("label"), F.concat(_attrs(start=n["lo"], end=n["hi"], expression_internal=n["internal"]), more(n)).alias("attrs")))
+        shown = functions.select("source_id", "function_id", "name", nodes.alias("nodes"))
+    else:
+        shown = cfg_views(functions).drop("edges")
     found = dependence.groupBy("source_id", "function_id").agg(F.sort_array(F.collect_list(F.struct(F.col("on").alias("src"), F.col("node").alias("dst"), F.col("kind").alias("label")))).alias("x"))
     empty = F.array().cast("array<struct<k:string,v:string>>")
     edges = F.transform(F.coalesce("x", F.array().cast("array<struct<src:int,dst:int,label:string>>")), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["label"].alias("label"), empty.alias("attrs")))
-    views = cfg_views(functions).drop("edges").join(found, ["source_id", "function_id"], "left")
-    return views.select("source_id", "function_id", "name", "nodes", edges.alias("edges"))
+    return shown.join(found, ["source_id", "function_id"], "left").select("source_id", "function_id", "name", "nodes", edges.alias("edges"))
 
 
 def flow_views(flows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import c_depend, c_measure
@@ -215,6 +215,52 @@ def parity_blocks(sources: DataFrame) -> DataFrame:
     return scoreable(_rows(sources, schema, make)).withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
+BLOCK_GRAPH = "struct<nodes:array<int>,edges:array<array<int>>,entry:array<int>,exit:array<int>,degenerate:boolean>"
+
+
+def parity_json(blocks: DataFrame) -> DataFrame:
+    """Adds `json`, a block graph as one line of JSON with its fields in a fixed order."""
+
+    def numbers(name: str) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.col(name).cast("array<string>"), ","), F.lit("]"))
+
+    edges = F.array_join(F.transform("edges", lambda e: F.concat(F.lit("["), e["src"].cast("string"), F.lit(","), e["dst"].cast("string"), F.lit("]"))), ",")
+    fields = {"nodes": numbers("nodes"), "edges": F.concat(F.lit("["), edges, F.lit("]")), "entry": numbers("entry"), "exit": numbers("exit"), "degenerate": F.col("degenerate").cast("string")}
+    return blocks.withColumn("json", F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}")))
+
+
+def from_serialized(rows: DataFrame, key: str = "name") -> DataFrame:
+    """`key, nodes, n_edges`, as `shapes` gives them, of block graphs in a column `json`.
+
+    Nodes without edges stay; parallel edges are one; an edge of a node that isn't
+    there fails the query; text that is no graph gives a null graph, left out here.
+    """
+    graph = rows.select(key, F.from_json("json", BLOCK_GRAPH).alias("g")).filter("g.nodes is not null")
+    ties = graph.select(key, F.explode(F.array_distinct("g.edges")).alias("e")).select(key, F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"))
+    ends = ties.select(key, F.explode(F.array(F.struct(F.col("src").alias("n"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("n"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x")).groupBy(key, "x.n").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+    nodes = graph.select(key, "g.entry", "g.exit", F.explode(F.array_distinct("g.nodes")).alias("n"))
+    both = nodes.join(ends, [key, "n"], "full_outer").withColumn("n", F.when(F.col("entry").isNull(), F.raise_error(F.format_string("an edge names node %d, which isn't there", "n"))).otherwise(F.col("n")))
+    shape = F.struct(F.coalesce("i", F.lit(0)).cast("int").alias("in"), F.coalesce("o", F.lit(0)).cast("int").alias("out"), F.array_contains("entry", F.col("n")).alias("is_entry"), F.array_contains("exit", F.col("n")).alias("is_exit"))
+    return both.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", shape.alias("s")))), lambda x: x["s"]).alias("nodes"), F.coalesce(F.sum("o"), F.lit(0)).cast("int").alias("n_edges"))
+
+
+def isomorphic(before: DataFrame, after: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """`name, isomorphic` of functions that two corpora have by name: whether one graph is the other with its nodes renamed, roles kept; null where the time is up."""
+    sides = [best_by_name(x).select("name", F.transform("cfg_nodes", lambda n: n["kind"]).alias(f"{k}_roles"), F.transform("cfg_edges", lambda e: F.struct(e["src"], e["dst"])).alias(f"{k}_edges")) for x, k in ((before, "a"), (after, "b"))]
+    pairs = sides[0].join(sides[1], "name")
+    arrow = arrow_schema(pairs, "name string, isomorphic boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                a, b = ([tuple(e.values()) for e in r[k]] for k in ("a_edges", "b_edges"))
+                rows.append({"name": r["name"], "isomorphic": c_depend.isomorphic(r["a_roles"], a, r["b_roles"], b, seconds)})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return mapped(pairs, run, "name string, isomorphic boolean")
+
+
 def resolve_for_units(blocks: DataFrame) -> DataFrame:
     """`unit, name, source_id, nodes`: each unit's own graph of a name, or the best of all units where its own is degenerate or missing."""
     order = Window.partitionBy("name").orderBy("degenerate", F.size("nodes").desc(), "source_id")

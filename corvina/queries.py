@@ -54,7 +54,7 @@ def metrics_size(spark, sf_dir):
 
 def halstead_counts(spark, sf_dir):
     columns = "halstead_distinct_operators halstead_distinct_operands halstead_total_operators halstead_total_operands halstead_vocabulary halstead_length".split()
-    return _measures(spark, sf_dir, graphs=False).select("name", *columns, F.round("halstead_volume", 6).alias("volume"), F.round("halstead_difficulty", 6).alias("difficulty"))
+    return _measures(spark, sf_dir, graphs=False).select("name", *columns, F.round("halstead_volume", 6).alias("volume"), F.round("halstead_difficulty", 6).alias("difficulty"), F.round("halstead_effort", 6).alias("effort"))
 
 
 def node_census(spark, sf_dir):
@@ -71,8 +71,8 @@ def hotspots_topk(spark, sf_dir):
 
 
 def summary_distribution(spark, sf_dir):
-    rows = metrics.summary(_measures(spark, sf_dir)).filter("metric not like 'halstead%'")
-    return rows.select("metric", "min", "median", F.round("mean", 6).alias("mean"), "max")
+    rows = metrics.summary(_measures(spark, sf_dir))
+    return rows.select("metric", *[F.round(c, 6).alias(c) for c in ("min", "median", "mean", "max")])
 
 
 def report_totals(spark, sf_dir):
@@ -99,7 +99,7 @@ def compare_totals(spark, sf_dir):
 
 def feature_vectors(spark, sf_dir):
     rows = metrics.features(_measures(spark, sf_dir))
-    return rows.select("name", *[c for c in metrics.FEATURES if not c.startswith("halstead_") and c not in ("bytes", "ast_nodes")])
+    return rows.select("name", *[F.round(c, 6).alias(c) for c in metrics.FEATURES])
 
 
 def tokens_by_kind(spark, sf_dir):
@@ -196,6 +196,38 @@ def parity_units(spark, sf_dir):
     return graphs.resolve_for_units(a.unionByName(b)).groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("unit") == F.col("source_id")).alias("own"))
 
 
+def parity_rebuilt(spark, sf_dir):
+    """Block graphs written as JSON and read back."""
+    written = graphs.parity_json(graphs.parity_blocks(corpus.order_sources(spark, sf_dir)))
+    return graphs.from_serialized(written).select("name", F.size("nodes").alias("n_blocks"), "n_edges", F.size(F.filter("nodes", lambda n: n["is_entry"])).alias("n_entries"))
+
+
+def graphs_alike(spark, sf_dir):
+    """Which functions of the two versions of the corpus have the same graph."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return graphs.isomorphic(_functions(spark, sf_dir).repartition(tasks), _functions(spark, sf_dir, LOOPS_AFTER).repartition(tasks)).select("name", "isomorphic")
+
+
+def damaged_graphs(spark, sf_dir):
+    """Problems of graphs of even orders that have lost their edges for what is false."""
+    functions = stage.functions(stage.parse(corpus.branch_sources(spark, sf_dir)))
+    kept = F.when(F.col("source_id").cast("long") % 2 == 0, F.filter("cfg_edges", lambda e: e["kind"] != "false")).otherwise(F.col("cfg_edges"))
+    return graphs.problems(functions.withColumn("cfg_edges", kept)).select("function", "problem", "node")
+
+
+def manifest_problems(spark, sf_dir):
+    """Orders as slices of their customers' texts: some with another hash, beyond the end, twice, of no source, or over the slice before."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sources = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_path"), F.concat(F.col("c_name"), F.repeat(F.lit("x"), 100)).alias("content"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = orders.withColumn("place", place).withColumn("source_path", F.when(F.col("o_orderkey") % 17 == 0, "none").otherwise(F.col("o_custkey").cast("string")))
+    rows = rows.join(sources, "source_path", "left").withColumn("source_sha256", F.when(F.col("o_orderkey") % 7 == 0, F.sha2(F.lit("x"), 256)).when(F.col("o_orderkey") % 19 == 0, "ABC").otherwise(F.coalesce(F.sha2("content", 256), F.sha2(F.lit("y"), 256))))
+    rows = rows.withColumn("start_byte", F.col("place") % 40).withColumn("end_byte", F.when(F.col("o_orderkey") % 11 == 0, 1000).otherwise(F.col("start_byte") + 1))
+    rows = rows.select(F.col("o_orderkey").alias("id"), "source_path", "source_sha256", "start_byte", "end_byte")
+    twice = rows.filter("id % 13 = 0").withColumn("source_path", F.lit("none"))
+    return evaluation.manifest_problems(rows.unionByName(twice), sources).filter("problem <> 'overlap'")
+
+
 def _export(fmt: str):
     def query(spark, sf_dir):
         functions = stage.functions(stage.parse(corpus.branch_sources(spark, sf_dir)))
@@ -447,7 +479,8 @@ _NEST, _DEPTH = "CASE WHEN r + w > 0 THEN 1 ELSE 0 END", "CASE WHEN w > 0 THEN 1
 _N1 = "7 + CASE WHEN r > 0 THEN 2 ELSE 0 END + CASE WHEN w > 0 THEN 2 ELSE 0 END + CASE WHEN r + w + c > 0 THEN 1 ELSE 0 END"
 _N2 = "4 + len(literals) + callees"
 _NN1, _NN2 = "11 + 7 * r + 7 * w + 5 * c", "6 + 5 * (r + w + c)"
-_PER = "greatest(r + w + c, 0)"
+_VOLUME, _DIFFICULTY = f"({_NN1} + {_NN2}) * log2({_N1} + {_N2})", f"({_N1}) / 2.0 * (({_NN2}) / ({_N2})::DOUBLE)"
+_EFFORT = f"({_DIFFICULTY}) * ({_VOLUME})"
 
 
 def _sql(select: str, **more: str) -> str:
@@ -461,6 +494,10 @@ _INTS = {
 _KINDS = {"entry": "1", "exit": "1", "stmt": "1 + r + w + c", "cond": "r", "loop_header": "w", "return": "1"}
 _FEATURES = _INTS | {"cfg_nodes": _N, "cfg_edges": _E, "reachable_nodes": _N, "dead_end_nodes": "0", "back_edges": "w", "short_circuits": "0"}
 _FEATURES |= {f"nodes_{k}": _KINDS.get(k, "0") for k in "entry exit stmt cond loop_header switch indirect_dispatch case label goto break continue return diverge".split()}
+_FEATURES |= {
+    "bytes": "length(name) + 59 + body_bytes", "ast_nodes": "9 + 11 * r + 11 * w + 10 * c", "halstead_distinct_operators": _N1, "halstead_distinct_operands": _N2, "halstead_total_operators": _NN1, "halstead_total_operands": _NN2,
+    "halstead_vocabulary": f"{_N1} + {_N2}", "halstead_length": f"{_NN1} + {_NN2}", "halstead_volume": _VOLUME, "halstead_difficulty": _DIFFICULTY, "halstead_effort": _EFFORT,
+}
 _COMPARE = ["cyclomatic", "cognitive", "lines", "statements"]
 _COMPARED = "SELECT f.name AS name, 'matched' AS status, " + ", ".join(f"{_sub} AS {_as}" for m in _COMPARE for _sub, _as in ((f"fm.{m}", f"before_{m}"), (f"gm.{m}", f"after_{m}"), (f"gm.{m} - fm.{m}", f"delta_{m}")))
 _TWO = f"WITH {_base()}, {_base(LOOPS_AFTER, 'g')}, fm AS (SELECT name, " + ", ".join(f"{_INTS[m]} AS {m}" for m in _COMPARE) + " FROM f), gm AS (SELECT name, " + ", ".join(f"{_INTS[m]} AS {m}" for m in _COMPARE) + " FROM g) "
@@ -471,18 +508,18 @@ ORACLE: dict[str, str] = {
     "metrics_size": _sql(f"SELECT name, {_LINES} AS lines, {_LINES} AS code_lines, {_TOKENS} AS tokens, length(name) + 59 + body_bytes AS bytes FROM f"),
     "halstead_counts": _sql(
         f"SELECT name, {_N1} AS halstead_distinct_operators, {_N2} AS halstead_distinct_operands, {_NN1} AS halstead_total_operators, {_NN2} AS halstead_total_operands, {_N1} + {_N2} AS halstead_vocabulary, {_NN1} + {_NN2} AS halstead_length, "
-        f"round(({_NN1} + {_NN2}) * log2({_N1} + {_N2}), 6) AS volume, round(({_N1}) / 2.0 * (({_NN2}) / ({_N2})::DOUBLE), 6) AS difficulty FROM f"),
+        f"round(({_NN1} + {_NN2}) * log2({_N1} + {_N2}), 6) AS volume, round(({_N1}) / 2.0 * (({_NN2}) / ({_N2})::DOUBLE), 6) AS difficulty, round({_EFFORT}, 6) AS effort FROM f"),
     "node_census": _sql("SELECT kind, n FROM (SELECT unnest(['entry', 'exit', 'stmt', 'cond', 'loop_header', 'return']) AS kind, unnest([count(*), count(*), sum(1 + r + w + c)::BIGINT, sum(r)::BIGINT, sum(w)::BIGINT, count(*)]) AS n FROM f) WHERE n > 0"),
     "edge_census": _sql("SELECT kind, back, n FROM (SELECT unnest(['fall', 'fall', 'true', 'false', 'jump']) AS kind, unnest([false, true, false, false, false]) AS back, unnest([sum(2 + r + c)::BIGINT, sum(w)::BIGINT, sum(r + w)::BIGINT, sum(r + w)::BIGINT, count(*)]) AS n FROM f) WHERE n > 0"),
     "hotspots_topk": _sql(f"SELECT name, 1 + r + w AS cyclomatic, r + w AS cognitive, {_LINES} AS lines FROM f ORDER BY 2 DESC, 1 LIMIT 10"),
     "summary_distribution": _sql(
-        "SELECT metric, min(v)::DOUBLE AS min, median(v)::DOUBLE AS median, round(avg(v), 6) AS mean, max(v)::DOUBLE AS max FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, ({x})::DOUBLE AS v FROM f" for m, x in _INTS.items()) + ") GROUP BY metric"),
+        "SELECT metric, round(min(v), 6) AS min, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, ({x})::DOUBLE AS v FROM f" for m, x in (_INTS | {"halstead_volume": _VOLUME, "halstead_difficulty": _DIFFICULTY, "halstead_effort": _EFFORT}).items()) + ") GROUP BY metric"),
     "report_totals": _sql("SELECT count(*) AS functions, count(*) AS structured_functions, 0 AS gotos, 0 AS unreachable_statements FROM f"),
     "call_graph": _sql("SELECT DISTINCT 'order_' || l_orderkey AS caller, 'supplier_' || s AS callee FROM f_items JOIN orders ON l_orderkey = o_orderkey WHERE k = 'c'"),
     "defined_names": "SELECT 'order_' || o_orderkey AS name FROM orders",
     "report_compare": _TWO + _COMPARED + " FROM f JOIN fm ON f.name = fm.name JOIN gm ON f.name = gm.name",
     "compare_totals": _TWO + " UNION ALL ".join(f"SELECT '{m}' AS metric, sum(fm.{m})::BIGINT AS before, sum(gm.{m})::BIGINT AS after, (sum(gm.{m}) - sum(fm.{m}))::BIGINT AS delta FROM fm JOIN gm ON fm.name = gm.name" for m in _COMPARE),
-    "feature_vectors": _sql("SELECT name, " + ", ".join(f"({x})::DOUBLE AS {c}" for c, x in _FEATURES.items()) + " FROM f"),
+    "feature_vectors": _sql("SELECT name, " + ", ".join(f"round(({x})::DOUBLE, 6) AS {c}" for c, x in _FEATURES.items()) + " FROM f"),
     "declared_types": _sql("SELECT name AS function, n AS name, CASE n WHEN 'total' THEN 'local' ELSE 'parameter' END AS role, 'int' AS type, 0 AS pointer_depth, 0 AS array_rank, false AS is_const FROM f, (SELECT unnest(['a', 'b', 'total']) AS n)"),
     "type_conflicts": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'x' AS name, 'char * []|long  ' AS shapes FROM orders WHERE o_orderkey % 3 = 0",
     "usual_conversions": """WITH t AS (SELECT * FROM (VALUES ('_Bool', 0, 1, false), ('char', 1, 8, true), ('signed char', 1, 8, true), ('unsigned char', 1, 8, false), ('short', 2, 16, true), ('unsigned short', 2, 16, false), ('int', 3, 32, true), ('unsigned int', 3, 32, false),
@@ -604,6 +641,9 @@ ORACLE |= {
         _ties(f"'    <edge id=\"e' || i || '\" source=\"n' || src || '\" target=\"n' || dst || '\">' || {_NL} || '      <data key=\"ed0\">' || kind || '</data>' || {_NL} || CASE WHEN back THEN '      <data key=\"ed1\">true</data>' || {_NL} ELSE '' END || '    </edge>' || {_NL}"),
         f"'  </graph>' || {_NL} || '</graphml>' || {_NL}"),
     "parity_blocks": ORACLE["chain_contraction"].replace("SELECT name AS function,", "SELECT name, n AS n_blocks, n - 1 + r + w AS n_edges, n <= 1 AS degenerate FROM (SELECT name, r, w,").replace("AS n_blocks FROM f LEFT JOIN m ON o_orderkey = l_orderkey", "- 2 AS n FROM f LEFT JOIN m ON o_orderkey = l_orderkey)"),
+    "graphs_alike": f"SELECT 'order_' || o_orderkey AS name, NOT coalesce(bool_or(l_returnflag <> 'R' AND l_quantity > {LOOPS} AND l_quantity <= {LOOPS_AFTER}), false) AS isomorphic FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+    "damaged_graphs": _BRANCHED + " SELECT function, 'condition_arms' AS problem, base + n AS node FROM b JOIN nodes USING (k) WHERE kind = 'cond' AND o_orderkey % 2 = 0",
+    "manifest_problems": "SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'duplicate_id' END, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 13 = 0 THEN 'missing_source' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 = 0 THEN 'malformed_hash' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 17 <> 0 THEN 'hash_drift' END, CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 17 <> 0 THEN 'bad_slice' END], lambda x: x IS NOT NULL)) AS problem FROM orders",
     "parity_units": f"WITH {_base()}, {_base(LOOPS_AFTER, 'g')} SELECT 'a' AS unit, count(*) AS n, count(*) AS own FROM f UNION ALL SELECT 'b', count(*), count(*) FILTER (r + w > 0) FROM g",
     "ast_tags": _sql("SELECT tag, n FROM (SELECT unnest(['func_def', 'decl_specifiers', 'declarator', 'decl_name', 'param_list', 'param_decl', 'compound_stmt', 'decl', 'initializer', 'literal', 'return_stmt', 'name_ref', 'if_stmt', 'while_stmt', 'binary_expr', 'expr_stmt', 'assign_expr', 'postfix_expr', 'call_args']) AS tag, "
         "unnest([count(*), 2 * count(*), 2 * count(*), 2 * count(*), count(*), 2 * count(*), sum(1 + r + w), count(*), count(*), sum(1 + 2 * r + 2 * w + c), count(*), sum(1 + 3 * r + 3 * w + 4 * c), sum(r), sum(w), sum(2 * r + 2 * w + c), sum(r + w + c), sum(r + w + c), sum(c), sum(c)])::BIGINT AS n FROM f) WHERE n > 0"),
@@ -638,6 +678,7 @@ ORACLE |= {
     "mem_overlaps": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['v.f'] WHEN 1 THEN ['t.a.b'] ELSE ['*p'] END) AS region, CASE o_orderkey % 3 WHEN 0 THEN 'v.i' WHEN 1 THEN 't.a' ELSE '*q' END AS other, CASE o_orderkey % 3 WHEN 0 THEN 'union' WHEN 1 THEN 'containment' ELSE 'parameters' END AS why FROM orders",
     "mem_uninitialised": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'p' AS place FROM orders WHERE o_orderkey % 2 <> 0",
 }
+ORACLE["parity_rebuilt"] = f"SELECT name, n_blocks, n_edges, 1 AS n_entries FROM ({ORACLE['parity_blocks']})"
 ORACLE["strip_headers_by_window"] = ORACLE["strip_headers"]
 ORACLE["eval_closure"] = (
     f"WITH {_base()}, d AS (SELECT name, o_orderkey FROM (SELECT name, o_orderkey, {_N} AS n, {_E} AS e, lead({_N}) OVER w AS m, lead({_E}) OVER w AS x FROM f WINDOW w AS (PARTITION BY floor(o_orderkey / 16) ORDER BY o_orderkey)) WHERE abs(n - m) + abs(e - x) > 0) "
@@ -650,7 +691,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
         declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
-        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised,
+        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems,
     )
 }
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in exports.FORMATS}
@@ -695,6 +736,9 @@ WHOLE = {
     "eval_accuracy": "l_orderkey",
     "eval_problems": "id",
     "parity_blocks": "n_blocks n_edges",
+    "parity_rebuilt": "n_blocks n_edges n_entries",
+    "damaged_graphs": "node",
+    "manifest_problems": "id",
     "parity_units": "n own",
     "ast_tags": "n",
     "flow_edges": "n",

@@ -77,7 +77,7 @@ class AnalysisSession:
         views = {
             "ast": lambda: exports.ast_views(self.ast, self.functions),
             "cfg": lambda: exports.cfg_views(self.functions),
-            "cdg": lambda: exports.cdg_views(self.functions, self.control_dependence),
+            "cdg": lambda: exports.cdg_views(self.functions, self.control_dependence, graphs.control_depth(self.functions), graphs.post_dominators(self.functions)),
             "ddg": lambda: exports.flow_views(self.data_flow),
             "pdg": lambda: exports.pdg_views(self.functions, flow.pdg_edges(self.data_flow, self.control_dependence)),
         }

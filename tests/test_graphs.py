@@ -1,7 +1,9 @@
+import hashlib
 import itertools
 import random
 
 import pytest
+from corvina.operators import evaluation, graphs
 from corvina.plans import c_depend, c_graph, c_measure, c_syntax
 
 
@@ -177,3 +179,44 @@ def test_chains_and_slices():
     assert c_depend.backward_slice(4, [(0, 1), (1, 2), (3, 2)], 2) == [0, 1, 2, 3]
     with pytest.raises(KeyError):
         c_depend.backward_slice(2, [], 5)
+
+
+def test_graphs_alike_against_all_renamings():
+    rng = random.Random(6)
+    for _ in range(150):
+        n = rng.randrange(1, 6)
+        a = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 7))]
+        roles = [rng.choice("xy") for _ in range(n)]
+        if rng.random() < 0.5:
+            names = rng.sample(range(n), n)
+            b, other = [(names[s], names[d]) for s, d in a], [roles[names.index(i)] for i in range(n)]
+        else:
+            b, other = [(rng.randrange(n), rng.randrange(n)) for _ in a], [rng.choice("xy") for _ in range(n)]
+        want = any(sorted((p[s], p[d]) for s, d in a) == sorted(b) and all(roles[i] == other[p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+        assert c_depend.isomorphic(roles, a, other, b, 5.0) is want
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    assert c_depend.isomorphic(["x"] * 40, ring, ["x"] * 40, ring, 0.0) is None
+
+
+def test_serialised_graphs(spark):
+    rows = [("a", '{"nodes":[0,1,2],"edges":[[0,1],[0,1]],"entry":[0],"exit":[1],"degenerate":false}'), ("b", '{"nodes":[0],"edges":[],"entry":[0],"exit":[0],"degenerate":true}'), ("c", "no graph"), ("d", None)]
+    got = {r.name: ([tuple(n) for n in r.nodes], r.n_edges) for r in graphs.from_serialized(spark.createDataFrame(rows, "name string, json string")).collect()}
+    assert got == {"a": ([(0, 1, True, False), (1, 0, False, True), (0, 0, False, False)], 1), "b": ([(0, 0, True, True)], 0)}
+    bad = spark.createDataFrame([("a", '{"nodes":[0],"edges":[[0,7]],"entry":[0],"exit":[0],"degenerate":false}')], "name string, json string")
+    with pytest.raises(Exception, match="node 7"):
+        graphs.from_serialized(bad).collect()
+    sources = spark.createDataFrame([("s", "int f(int a) { if (a) return 1; return 0; } int g(void) { return 1; }")], "source_id string, text string")
+    text = {r.name: r.json for r in graphs.parity_json(graphs.parity_blocks(sources)).collect()}
+    assert text["g"] == '{"nodes":[0],"edges":[],"entry":[0],"exit":[0],"degenerate":true}'
+    assert text["f"].startswith('{"nodes":[0,1,2],"edges":[[0,1],[0,2]],"entry":[0]')
+
+
+def test_manifest_problems(spark):
+    text = "some source"
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    rows = [(1, "p", digest, 0, 4), (2, "p", digest, 3, 6), (3, "p", digest, 6, 99), (4, "p", "0" * 64, 6, 7), (5, "q", digest, 0, 1), (6, "p", "X", 8, 8), (7, "p", digest, 9, 10), (7, "p", digest, 10, 11), (8, None, None, None, None)]
+    manifest = spark.createDataFrame(rows, "id int, source_path string, source_sha256 string, start_byte int, end_byte int")
+    sources = spark.createDataFrame([("p", text)], "source_path string, content string")
+    got = sorted((r.id, r.problem) for r in evaluation.manifest_problems(manifest, sources).collect())
+    assert got == [(2, "overlap"), (3, "bad_slice"), (3, "overlap"), (4, "hash_drift"), (5, "missing_source"), (6, "bad_slice"), (6, "malformed_hash"), (7, "duplicate_id"), (7, "overlap"), (8, "bad_slice"), (8, "malformed_hash"), (8, "missing_source")]
+    assert evaluation.manifest_problems(manifest.limit(0), sources).count() == 0
