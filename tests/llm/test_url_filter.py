@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from corvina.llm import url_filter
 from corvina.llm.queries import URL_RULES
 
@@ -52,3 +53,20 @@ def test_empty_table_and_repeats(spark):
     df = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string")
     assert url_filter.judge(df, URL_RULES).count() == 2
     assert [r.verdict for r in url_filter.judge(df, []).collect()] == ["allow", "allow"]
+
+
+def test_scores_by_hand():
+    """The model's log-odds, added up in plain Python from the same hashes."""
+    weights, bias = np.random.default_rng(1).standard_normal(url_filter.BUCKETS), -0.5
+    urls = [("a.example", "/x"), ("", ""), ("ü.de", "/ß/" + "y" * 300), ("x", "")]
+    got = url_filter.scores([h for h, _ in urls], [p for _, p in urls], weights, bias)
+    for (host, path), z in zip(urls, got, strict=True):
+        found = []
+        for salt, text in enumerate((f"\x02{host}\x03".encode(), f"\x04{path}\x05".encode())):
+            for n in url_filter.SIZES:
+                for i in range(len(text) - n + 1):
+                    h = salt * 7919 + n
+                    for byte in text[i : i + n]:
+                        h = (h * 0x100000001B3 & (1 << 64) - 1) ^ byte
+                    found.append(((h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48) % url_filter.BUCKETS)
+        assert abs(z - (weights[found].sum() / max(len(found), 1) ** 0.5 + bias)) < 1e-9
