@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import mapped, portions
+
 
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """`n, median, p95, maximum` by keys: the lower median and the nearest-rank 95th percentile, both values that occur.
@@ -61,6 +66,28 @@ def manifest_problems(manifest: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select("id", F.explode(found).alias("problem")).distinct()
 
 
+def timed(sources: DataFrame, analyse, repeats: int = 5) -> DataFrame:
+    """`source_id, bytes, median_seconds, least_seconds` of `analyse(text)` over each source's text, measured in the executors."""
+    arrow = pa.schema([("source_id", pa.string()), ("bytes", pa.int64()), ("median_seconds", pa.float64()), ("least_seconds", pa.float64())])
+
+    def run(batches):
+        for batch in portions(batches):
+            rows = []
+            for i, text in zip(batch.column("source_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                taken = []
+                for _ in range(repeats):
+                    began = time.perf_counter()
+                    analyse(text or "")
+                    taken.append(time.perf_counter() - began)
+                taken.sort()
+                rows.append({"source_id": i, "bytes": len((text or "").encode()), "median_seconds": taken[(repeats - 1) // 2], "least_seconds": taken[0]})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    if repeats < 1:
+        raise ValueError("repeats must be 1 or more")
+    return mapped(sources.select(F.col("source_id").cast("string").alias("source_id"), "text"), run, "source_id string, bytes long, median_seconds double, least_seconds double")
+
+
 def result_problems(manifest: DataFrame, results: DataFrame) -> DataFrame:
     """`id, problem`: specimens without a result, with several, and results of none."""
     counts = results.groupBy("id").agg(F.count("*").alias("n"))

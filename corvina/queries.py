@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import c_types
 from .functions import text as texts
 from .operators import annotations, declared, evaluation, exports, flow, graphs, memory, metrics
-from .plans import stage
+from .plans import c_measure, stage
 from .sources import corpus
 
 #: Line items above this many pieces give loops, in the report before and in the one after.
@@ -215,6 +215,19 @@ def damaged_graphs(spark, sf_dir):
     return graphs.problems(functions.withColumn("cfg_edges", kept)).select("function", "problem", "node")
 
 
+def shape_measures(spark, sf_dir):
+    """Measures of the timing shapes, for every size that parts have."""
+    rows = corpus.shape_sources(_read(spark, sf_dir, "part").select(F.col("p_size").alias("n")))
+    measured = metrics.measures(stage.measured(rows.repartition(2 * spark.sparkContext.defaultParallelism)))
+    return measured.select("source_id", "parameters", "cyclomatic", "cognitive", "max_nesting", "max_loop_depth", "calls", "gotos", "nodes_case")
+
+
+def shape_times(spark, sf_dir):
+    """The timing shapes with their sizes in bytes; every one takes some time."""
+    rows = corpus.shape_sources(_read(spark, sf_dir, "part").select(F.col("p_size").alias("n")))
+    return evaluation.timed(rows, lambda text: c_measure.unit(text), 3).select("source_id", "bytes", (F.col("least_seconds") > 0).alias("timed"), (F.col("least_seconds") <= F.col("median_seconds")).alias("ordered"))
+
+
 def manifest_problems(spark, sf_dir):
     """Orders as slices of their customers' texts: some with another hash, beyond the end, twice, of no source, or over the slice before."""
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -644,6 +657,10 @@ ORACLE |= {
     "graphs_alike": f"SELECT 'order_' || o_orderkey AS name, NOT coalesce(bool_or(l_returnflag <> 'R' AND l_quantity > {LOOPS} AND l_quantity <= {LOOPS_AFTER}), false) AS isomorphic FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
     "damaged_graphs": _BRANCHED + " SELECT function, 'condition_arms' AS problem, base + n AS node FROM b JOIN nodes USING (k) WHERE kind = 'cond' AND o_orderkey % 2 = 0",
     "manifest_problems": "SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'duplicate_id' END, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 13 = 0 THEN 'missing_source' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 = 0 THEN 'malformed_hash' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 17 <> 0 THEN 'hash_drift' END, CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 17 <> 0 THEN 'bad_slice' END], lambda x: x IS NOT NULL)) AS problem FROM orders",
+    "shape_measures": "WITH s AS (SELECT DISTINCT p_size AS n, unnest([" + ", ".join(f"'{x}'" for x in corpus.SHAPES) + "]) AS shape FROM part) SELECT shape || ':' || n AS source_id, CASE WHEN shape IN ('parameters', 'function_pointers') THEN n WHEN shape LIKE 'nested%' OR shape IN ('branches', 'cases') THEN 2 WHEN shape = 'declarators' THEN 0 ELSE 1 END AS parameters, "
+    "CASE WHEN shape LIKE 'nested%' OR shape IN ('branches', 'cases', 'gotos') THEN n + 1 ELSE 1 END AS cyclomatic, CASE WHEN shape LIKE 'nested%' THEN n * (n + 1) // 2 WHEN shape = 'branches' THEN n WHEN shape = 'gotos' THEN 2 * n WHEN shape = 'cases' THEN 1 ELSE 0 END AS cognitive, "
+    "CASE WHEN shape LIKE 'nested%' THEN n WHEN shape IN ('branches', 'cases', 'gotos') THEN 1 ELSE 0 END AS max_nesting, CASE WHEN shape = 'nested_loops' THEN n ELSE 0 END AS max_loop_depth, CASE WHEN shape = 'calls' THEN n ELSE 0 END AS calls, CASE WHEN shape = 'gotos' THEN n ELSE 0 END AS gotos, CASE WHEN shape = 'cases' THEN n ELSE 0 END AS nodes_case FROM s",
+    "shape_times": "WITH s AS (SELECT DISTINCT p_size AS n, shape, x0, x1, x2, x3 FROM part, " + _values([(k, *v) for k, v in corpus.SHAPES.items()]) + " AS t(shape, x0, x1, x2, x3)) SELECT shape || ':' || n AS source_id, strlen(x0 || coalesce(array_to_string(list_transform(range(n), lambda i: replace(x1, '#', CAST(i AS VARCHAR))), x3), '') || replace(x2, '{closing}', repeat('}', n))) AS bytes, true AS timed, true AS ordered FROM s",
     "parity_units": f"WITH {_base()}, {_base(LOOPS_AFTER, 'g')} SELECT 'a' AS unit, count(*) AS n, count(*) AS own FROM f UNION ALL SELECT 'b', count(*), count(*) FILTER (r + w > 0) FROM g",
     "ast_tags": _sql("SELECT tag, n FROM (SELECT unnest(['func_def', 'decl_specifiers', 'declarator', 'decl_name', 'param_list', 'param_decl', 'compound_stmt', 'decl', 'initializer', 'literal', 'return_stmt', 'name_ref', 'if_stmt', 'while_stmt', 'binary_expr', 'expr_stmt', 'assign_expr', 'postfix_expr', 'call_args']) AS tag, "
         "unnest([count(*), 2 * count(*), 2 * count(*), 2 * count(*), count(*), 2 * count(*), sum(1 + r + w), count(*), count(*), sum(1 + 2 * r + 2 * w + c), count(*), sum(1 + 3 * r + 3 * w + 4 * c), sum(r), sum(w), sum(2 * r + 2 * w + c), sum(r + w + c), sum(r + w + c), sum(c), sum(c)])::BIGINT AS n FROM f) WHERE n > 0"),
@@ -691,7 +708,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
         declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
-        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems,
+        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in exports.FORMATS}
@@ -737,6 +754,8 @@ WHOLE = {
     "eval_problems": "id",
     "parity_blocks": "n_blocks n_edges",
     "parity_rebuilt": "n_blocks n_edges n_entries",
+    "shape_times": "bytes",
+    "shape_measures": "parameters cyclomatic cognitive max_nesting max_loop_depth calls gotos nodes_case",
     "damaged_graphs": "node",
     "manifest_problems": "id",
     "parity_units": "n own",

@@ -127,3 +127,28 @@ def branch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     made = orders.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(None).cast("string").alias("path"), F.lit("ordinary").alias("dialect"), text.alias("text"), (nodes - last).alias("start"), (nodes - 1).alias("seed"))
     return made.repartition(tasks, "source_id")
+
+
+#: Shapes of functions for timing, by name: what stands before, for each of n (`#` is its number), after, and between.
+SHAPES = {
+    "declarators": ("int f(void) { ", "int v# = #; ", "return 0; }", ""),
+    "parameters": ("int f(", "int p#", ") { return 0; }", ", "),
+    "function_pointers": ("int f(", "int (*p#)(int)", ") { return 0; }", ", "),
+    "branches": ("int f(int a, int b) { ", "if (a) b = #; ", "return b; }", ""),
+    "nested_branches": ("int f(int a, int b) { ", "if (a) { ", "b = 1; {closing} return b; }", ""),
+    "nested_loops": ("int f(int a, int b) { ", "while (a) { ", "a--; {closing} return b; }", ""),
+    "cases": ("int f(int a, int b) { switch (a) { ", "case #: b = #; break; ", "} return b; }", ""),
+    "gotos": ("int f(int a) { ", "if (a) goto end; ", "end: return a; }", ""),
+    "calls": ("int f(int a) { ", "g#(a); ", "return a; }", ""),
+    "operands": ("int f(int a) { return ", "a", "; }", " + "),
+}
+
+
+def shape_sources(sizes: DataFrame) -> DataFrame:
+    """Sources `source_id, shape, n, text` of every shape in `SHAPES` for every `n` of a table."""
+    listed = F.array(*[F.struct(F.lit(k).alias("shape"), *[F.lit(x).alias(f"x{i}") for i, x in enumerate(v)]) for k, v in SHAPES.items()])
+    rows = sizes.select(F.col("n").cast("int").alias("n")).distinct().select("n", F.explode(listed).alias("s")).select("n", "s.*")
+    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.replace("x1", F.lit("#"), i.cast("string")))
+    joined = F.aggregate(each, F.lit(""), lambda done, x: F.when(done == "", x).otherwise(F.concat(done, F.col("x3"), x)))
+    text = F.concat("x0", F.when(F.col("n") > 0, joined).otherwise(""), F.replace("x2", F.lit("{closing}"), F.repeat(F.lit("}"), F.col("n"))))
+    return rows.select(F.concat_ws(":", "shape", "n").alias("source_id"), "shape", "n", text.alias("text"))
