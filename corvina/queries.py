@@ -660,7 +660,7 @@ ORACLE |= {
     "shape_measures": "WITH s AS (SELECT DISTINCT p_size AS n, unnest([" + ", ".join(f"'{x}'" for x in corpus.SHAPES) + "]) AS shape FROM part) SELECT shape || ':' || n AS source_id, CASE WHEN shape IN ('parameters', 'function_pointers') THEN n WHEN shape LIKE 'nested%' OR shape IN ('branches', 'cases') THEN 2 WHEN shape = 'declarators' THEN 0 ELSE 1 END AS parameters, "
     "CASE WHEN shape LIKE 'nested%' OR shape IN ('branches', 'cases', 'gotos') THEN n + 1 ELSE 1 END AS cyclomatic, CASE WHEN shape LIKE 'nested%' THEN n * (n + 1) // 2 WHEN shape = 'branches' THEN n WHEN shape = 'gotos' THEN 2 * n WHEN shape = 'cases' THEN 1 ELSE 0 END AS cognitive, "
     "CASE WHEN shape LIKE 'nested%' THEN n WHEN shape IN ('branches', 'cases', 'gotos') THEN 1 ELSE 0 END AS max_nesting, CASE WHEN shape = 'nested_loops' THEN n ELSE 0 END AS max_loop_depth, CASE WHEN shape = 'calls' THEN n ELSE 0 END AS calls, CASE WHEN shape = 'gotos' THEN n ELSE 0 END AS gotos, CASE WHEN shape = 'cases' THEN n ELSE 0 END AS nodes_case FROM s",
-    "shape_times": "WITH s AS (SELECT DISTINCT p_size AS n, shape, x0, x1, x2, x3 FROM part, " + _values([(k, *v) for k, v in corpus.SHAPES.items()]) + " AS t(shape, x0, x1, x2, x3)) SELECT shape || ':' || n AS source_id, strlen(x0 || coalesce(array_to_string(list_transform(range(n), lambda i: replace(x1, '#', CAST(i AS VARCHAR))), x3), '') || replace(x2, '{closing}', repeat('}', n))) AS bytes, true AS timed, true AS ordered FROM s",
+    "shape_times": "WITH s AS (SELECT DISTINCT p_size AS n, shape, x0, x1, x2, x3 FROM part, " + _values([(k, *v) for k, v in corpus.SHAPES.items()]) + " AS t(shape, x0, x1, x2, x3)) SELECT shape || ':' || n AS source_id, strlen(x0 || list_reduce(list_transform(range(n), lambda i: replace(x1, '#', CAST(i AS VARCHAR))), lambda a, b: a || x3 || b) || replace(x2, '{closing}', repeat('}', n))) AS bytes, true AS timed, true AS ordered FROM s",
     "parity_units": f"WITH {_base()}, {_base(LOOPS_AFTER, 'g')} SELECT 'a' AS unit, count(*) AS n, count(*) AS own FROM f UNION ALL SELECT 'b', count(*), count(*) FILTER (r + w > 0) FROM g",
     "ast_tags": _sql("SELECT tag, n FROM (SELECT unnest(['func_def', 'decl_specifiers', 'declarator', 'decl_name', 'param_list', 'param_decl', 'compound_stmt', 'decl', 'initializer', 'literal', 'return_stmt', 'name_ref', 'if_stmt', 'while_stmt', 'binary_expr', 'expr_stmt', 'assign_expr', 'postfix_expr', 'call_args']) AS tag, "
         "unnest([count(*), 2 * count(*), 2 * count(*), 2 * count(*), count(*), 2 * count(*), sum(1 + r + w), count(*), count(*), sum(1 + 2 * r + 2 * w + c), count(*), sum(1 + 3 * r + 3 * w + 4 * c), sum(r), sum(w), sum(2 * r + 2 * w + c), sum(r + w + c), sum(r + w + c), sum(c), sum(c)])::BIGINT AS n FROM f) WHERE n > 0"),
