@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import c_typing
 from ..plans.c_syntax import QUALIFIERS, STORAGE, Node, Tree
 from ..plans.c_tokens import Positions
 from .flow import _rows
@@ -67,3 +68,17 @@ def type_conflicts(declared: DataFrame) -> DataFrame:
     shape = F.concat_ws(" ", "type", F.repeat(F.lit("*"), F.col("pointer_depth")), F.repeat(F.lit("[]"), F.col("array_rank")))
     found = declared.filter("name <> ''").groupBy("source_id", "function_id", "name").agg(F.sort_array(F.collect_set(shape)).alias("shapes"))
     return found.filter(F.size("shapes") > 1)
+
+
+def typed_operations(sources: DataFrame) -> DataFrame:
+    """One row per operation, in the order of evaluation from the inside out: operator, type of its value (null: unknown), and each operand's type and what it is converted to (null: not at all)."""
+    schema = "source_id string, function_id int, function string, `ord` int, lo int, hi int, op string, type string, operands array<struct<type:string,converted:string>>"
+
+    def make(tree: Tree, _):
+        where = Positions(tree.text)
+        for number, f in enumerate(tree.functions()):
+            for row in c_typing.operations(tree, f):
+                span = {"lo": where.byte(tree.tokens[row["lo"]].lo), "hi": where.byte(tree.tokens[max(row["lo"], row["hi"] - 1)].hi)}
+                yield {"function_id": number, "function": tree.name_of(f)} | row | span
+
+    return _rows(sources, schema, make)

@@ -17,6 +17,8 @@ from .operators import annotations, declared, evaluation, exports, flow, graphs,
 from .plans import c_measure, stage
 from .sources import corpus
 
+#: Types of `typed_operations`.
+TYPED = ("_Bool", "char", "unsigned char", "short", "unsigned short", "int", "unsigned int", "long", "unsigned long", "long long", "unsigned long long")
 #: Line items above this many pieces give loops, in the report before and in the one after.
 LOOPS, LOOPS_AFTER = 25, 35
 
@@ -322,6 +324,16 @@ def type_conflicts(spark, sf_dir):
     return declared.type_conflicts(declared.declared_types(rows)).select("source_id", "name", F.array_join("shapes", "|").alias("shapes"))
 
 
+def typed_operations(spark, sf_dir):
+    """Operations on two integer types, chosen by an order's keys."""
+    kinds = F.array(*map(F.lit, TYPED))
+    a, b = (F.get(kinds, (F.col(c) % len(TYPED)).cast("int")) for c in ("o_orderkey", "o_custkey"))
+    text = F.concat(F.lit("void f("), a, F.lit(" a, "), b, F.lit(" b) { long r; r = a + b; r = a << b; r = a < b; r = -a; }"))
+    rows = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism).select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))
+    made = declared.typed_operations(rows)
+    return made.select("source_id", "ord", "op", "type", F.array_join("operands.type", "|").alias("operands"), F.array_join("operands.converted", "|", "-").alias("converted"))
+
+
 def usual_conversions(spark, sf_dir):
     return c_types.conversion_table(spark)
 
@@ -695,6 +707,13 @@ ORACLE |= {
     "mem_overlaps": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['v.f'] WHEN 1 THEN ['t.a.b'] ELSE ['*p'] END) AS region, CASE o_orderkey % 3 WHEN 0 THEN 'v.i' WHEN 1 THEN 't.a' ELSE '*q' END AS other, CASE o_orderkey % 3 WHEN 0 THEN 'union' WHEN 1 THEN 'containment' ELSE 'parameters' END AS why FROM orders",
     "mem_uninitialised": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'p' AS place FROM orders WHERE o_orderkey % 2 <> 0",
 }
+ORACLE["typed_operations"] = (
+    f"WITH c AS ({ORACLE['usual_conversions']}), o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_orderkey % {len(TYPED)} AS INT) + 1] AS a, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_custkey % {len(TYPED)} AS INT) + 1] AS b FROM orders), "
+    "p AS (SELECT id, o.a AS a, o.b AS b, c.common AS m, x.common AS pa, y.common AS pb FROM o JOIN c ON c.a = o.a AND c.b = o.b JOIN c x ON x.a = o.a AND x.b = '_Bool' JOIN c y ON y.a = o.b AND y.b = '_Bool'), "
+    "q AS (SELECT *, CASE WHEN a = m THEN '-' ELSE m END || '|' || CASE WHEN b = m THEN '-' ELSE m END AS two FROM p) "
+    "SELECT id AS source_id, unnest([0, 1, 2, 3, 4, 5, 6, 7])::BIGINT AS ord, unnest(['+', '=', '<<', '=', '<', '=', '-', '=']) AS op, unnest([m, 'long', pa, 'long', 'int', 'long', pa, 'long']) AS type, unnest([a || '|' || b, m, a || '|' || b, pa, a || '|' || b, 'int', a, pa]) AS operands, "
+    "unnest([two, CASE WHEN m = 'long' THEN '-' ELSE 'long' END, CASE WHEN a = pa THEN '-' ELSE pa END || '|' || CASE WHEN b = pb THEN '-' ELSE pb END, CASE WHEN pa = 'long' THEN '-' ELSE 'long' END, two, 'long', CASE WHEN a = pa THEN '-' ELSE pa END, CASE WHEN pa = 'long' THEN '-' ELSE 'long' END]) AS converted FROM q"
+)
 ORACLE["parity_rebuilt"] = f"SELECT name, n_blocks, n_edges, 1 AS n_entries FROM ({ORACLE['parity_blocks']})"
 ORACLE["strip_headers_by_window"] = ORACLE["strip_headers"]
 ORACLE["eval_closure"] = (
@@ -707,7 +726,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
-        declared_types, type_conflicts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        declared_types, type_conflicts, typed_operations, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
