@@ -134,7 +134,8 @@ def control_dependence(spark, sf_dir):
 
 
 def post_dominators(spark, sf_dir):
-    return graphs.post_dominators(_branches(spark, sf_dir)).select("function", "node", "ipdom", "dead_end")
+    """Every node's immediate post-dominator, -1 for the exit, which has none."""
+    return graphs.post_dominators(_branches(spark, sf_dir)).select("function", "node", F.coalesce("ipdom", F.lit(-1)).alias("ipdom"), "dead_end")
 
 
 def control_depth(spark, sf_dir):
@@ -690,7 +691,7 @@ ORACLE |= {
     "coalesce(max(nesting), 0) AS max_nesting, coalesce(max(depth), 0) AS max_loop_depth, coalesce(sum(statements), 0) + 2 AS statements, coalesce(sum(shorts), 0) AS short_circuits, count(*) FILTER (b.k = 7) AS gotos, 3 * count(*) FILTER (b.k = 2) AS nodes_case, count(*) FILTER (b.k = 2) AS nodes_switch, "
     "count(*) FILTER (b.k = 2) + 2 * count(*) FILTER (b.k = 6) AS nodes_break, count(*) FILTER (b.k = 3) AS nodes_continue, count(*) FILTER (b.k = 7) AS nodes_label FROM t LEFT JOIN b ON t.o_orderkey = b.o_orderkey LEFT JOIN c ON b.k = c.k GROUP BY t.function, ret) SELECT *, cfg_edges - cfg_nodes + 2 AS cyclomatic, cfg_edges - cfg_nodes + 1 AS decision_points FROM m",
     "control_dependence": _BRANCHED + ' SELECT function, base + s AS "on", base + d AS node, kind FROM b JOIN depends USING (k)',
-    "post_dominators": _BRANCHED + " SELECT function, node, ipdom, false AS dead_end FROM (SELECT function, 0 AS node, 2 AS ipdom FROM t UNION ALL SELECT function, 1, NULL FROM t UNION ALL SELECT function, 2, 3 + CASE WHEN first_k = 4 THEN 1 ELSE 0 END FROM t UNION ALL SELECT function, ret, 1 FROM t UNION ALL SELECT function, base + n, CASE WHEN d < 0 THEN next ELSE base + d END FROM b JOIN ipdoms USING (k))",
+    "post_dominators": _BRANCHED + " SELECT function, node, ipdom, false AS dead_end FROM (SELECT function, 0 AS node, 2 AS ipdom FROM t UNION ALL SELECT function, 1, -1 FROM t UNION ALL SELECT function, 2, 3 + CASE WHEN first_k = 4 THEN 1 ELSE 0 END FROM t UNION ALL SELECT function, ret, 1 FROM t UNION ALL SELECT function, base + n, CASE WHEN d < 0 THEN next ELSE base + d END FROM b JOIN ipdoms USING (k))",
     "control_depth": f"""WITH items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    if' WHEN l_quantity > {LOOPS} THEN '    while' ELSE '    total' END AS s FROM lineitem),
       p AS (SELECT l_orderkey, k, CAST(3 + sum(CASE k WHEN 'c' THEN 1 ELSE 2 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s, k ROWS UNBOUNDED PRECEDING) - CASE k WHEN 'c' THEN 1 ELSE 2 END AS BIGINT) AS base FROM items),
       n AS (SELECT o_orderkey, CAST(3 + coalesce(sum(CASE k WHEN 'c' THEN 1 WHEN 'r' THEN 2 WHEN 'w' THEN 2 END), 0) AS BIGINT) AS ret FROM orders LEFT JOIN p ON o_orderkey = l_orderkey GROUP BY 1)
