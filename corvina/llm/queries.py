@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_dedup, doc_merkle, html_consensus, ngram_join, quality_cotrain, secret_scan, sp_viterbi, url_filter, vector_pack, warc_fixity
+from . import cap_dedup, doc_merkle, html_consensus, ngram_join, ppm_score, quality_cotrain, secret_scan, sp_viterbi, url_filter, vector_pack, warc_fixity
 from ._common import checkpointed, table
 
 
@@ -73,6 +73,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_near_vectors": op9_near_vectors,
     "op10_packing": op10_packing,
+    "op11_scores": op11_scores,
 }
 
 ORACLE: dict[str, str] = {}
