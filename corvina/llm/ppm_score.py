@@ -33,7 +33,9 @@ ORDER = 6
 #: The end mark, a byte that no UTF-8 text has, and the number of symbols.
 END, SYMBOLS = 0xFF, 256
 #: Bytes of text of a block, and of a window whose n-grams are looked up at once.
-BLOCK, WINDOW = 32 << 20, 1 << 20
+BLOCK, WINDOW = 96 << 20, 1 << 20
+#: N-grams that a task holds before it counts them.
+RAW = 8 << 20
 #: What a word counts before it is seen.
 PRIOR = 0.1
 WHAT = {"word": 0, "gram": 1, "text": 2}
@@ -93,14 +95,26 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
     (`word`) and each distinct n-gram (`gram`); `n` counts the training occurrences.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", held_out(F.col("doc_id")).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    # the larger a block, the fewer n-grams it has for its length
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.coalesce(size // BLOCK + 1).select(F.spark_partition_id().cast("long").alias("part"), "doc_id", held_out(F.col("doc_id")).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     schema = _ASKED.format(id=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Table] = []
         grams: list[tuple[np.ndarray, np.ndarray]] = []
+        raw: dict[int, list[np.ndarray]] = {0: [], 1: []}
         block, size, types = None, 0, {}
 
+        def count(least: int) -> None:
+            for counted, found in raw.items():
+                if found and sum(map(len, found)) >= least:
+                    keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                    found.clear()
+                    grams.append((keys, counts * counted))
+            if len(grams) > 2 and sum(len(x) for x, _ in grams[1:]) > max(RAW, len(grams[0][0])):
+                grams[:] = [_summed(grams)]
+
         def out(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
             full = {"block": pa.repeat(pa.scalar(block, pa.int64()), n)} | columns
@@ -110,6 +124,7 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if words:
                 total = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).combine_chunks()
                 yield from (out(word=x["word"].combine_chunks().cast(pa.string()), n=x["n_sum"].combine_chunks()) for x in (total.slice(i, 100_000) for i in range(0, len(total), 100_000)))
+            count(0)
             keys, counts = _summed(grams)
             for i in range(0, len(keys), 100_000):
                 yield out(gram=pa.array(keys[i : i + 100_000]), n=pa.array(counts[i : i + 100_000]))
@@ -127,12 +142,10 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if not len(texts):
                     continue
                 for found, _ in windows(texts, order):
-                    keys, counts = np.unique(found, return_counts=True)
-                    grams.append((keys, counts * counted))
+                    raw[counted].append(found)
+                    count(RAW)
                 _, codes, names = split_words(texts)
                 words.append(pa.table({"word": names, "n": pa.array(np.bincount(codes, minlength=len(names)) * counted, pa.int64())}).filter(pc.field("word") != ""))
-            if sum(len(x) for x, _ in grams) > 4 << 20:
-                grams[:] = [_summed(grams)]
             size += batch.column("text").nbytes
             if size >= BLOCK:
                 yield from close()
@@ -158,9 +171,10 @@ def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
     Level k has the n-grams' last k + 1 bytes.  A context has at most 256 symbols and a
     suffix at most 256 bytes before it, so no group of a window or join exceeds that.
     """
-    below = None
-    for k in range(order + 1):
-        short = grams if k == order else grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+    below, levels = None, [grams]
+    for k in range(order, 0, -1):
+        levels.append(stored(levels[-1].groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))))
+    for k, short in enumerate(reversed(levels)):
         level = short.select("gram", F.col("n").cast("double").alias("c"), F.shiftright("gram", 8).alias("context"))
         own = Window.partitionBy("context")
         level_sums = [F.sum("c").over(own).alias("t"), F.sum(F.when(F.col("c") > 0, 1.0).otherwise(0.0)).over(own).alias("q")]
@@ -221,7 +235,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     texts = rows.filter("text is not null")
     words = rows.filter("word is not null").select("block", "word", "n")
     per_word = Window.partitionBy("word")
-    words = words.select("block", "word", F.sum("n").over(per_word).cast("double").alias("c"), (F.row_number().over(per_word.orderBy("block")) == 1).alias("first"))
+    words = words.select("block", "word", F.sum("n").over(per_word).cast("double").alias("c"), (F.min("block").over(per_word) == F.col("block")).alias("first"))
     ends = texts.agg(F.coalesce(F.sum(F.when(F.col("held"), 0).otherwise(1)), F.lit(0)).cast("double").alias("ends"))
     seen = words.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("n"), F.count("*").alias("v"))
     totals = ends.crossJoin(seen).select("ends", (F.col("n") + F.col("ends")).alias("total"), (F.col("v") + F.when(F.col("ends") > 0, 1).otherwise(0)).alias("distinct"))

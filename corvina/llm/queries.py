@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_dedup, doc_merkle, html_consensus, ngram_join, ppm_score, quality_cotrain, secret_scan, sp_viterbi, url_filter, vector_pack, warc_fixity
+from . import cap_dedup, doc_merkle, html_consensus, ngram_join, ppm_score, quality_cotrain, secret_scan, source_divergence, sp_viterbi, url_filter, vector_pack, vector_whiten, warc_fixity
 from ._common import checkpointed, table
 
 
@@ -77,6 +77,14 @@ def op11_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_packing": op10_packing,
     "op11_scores": op11_scores,
+    "op12_divergence": op12_divergence,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {}
@@ -157,4 +167,16 @@ _VECTOR_SQL = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding A
   links AS (SELECT p.id AS a, q.id AS b FROM ok p JOIN ok q ON p.id <> q.id AND len(p.v) = len(q.v) WHERE list_cosine_similarity(p.v, q.v) >= {cap_dedup.THRESHOLD}), {_REACH}
   SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_links, min(other) AS component_id, nodes.id = min(other) AS kept FROM nodes JOIN reach ON nodes.id = reach.id GROUP BY nodes.id"""
 
-ORACLE |= {"op3_fixity": _fixity_sql(), "op7_fingerprints": _merkle_sql(), "op8_ngram_join": _JOIN_SQL, "op9_near_vectors": _VECTOR_SQL}
+_DIVERGENCE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+  k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {source_divergence.MIN_DOCS}), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+  g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+  gn AS (SELECT lang, source, sum(n) AS t FROM c GROUP BY ALL), l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL), ln AS (SELECT lang, sum(n) AS t FROM c GROUP BY ALL),
+  p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(t, 0) + 2 * v) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+  q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (t + 2 * v) AS q FROM l JOIN ln USING (lang) JOIN v USING (lang)),
+  s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  f AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+    UNION ALL SELECT a.lang, a.source, 'pair', b.source, coalesce(value, 0) FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f QUALIFY part = 'pair' OR rank <= {source_divergence.BEST}"""
+
+ORACLE |= {"op3_fixity": _fixity_sql(), "op7_fingerprints": _merkle_sql(), "op8_ngram_join": _JOIN_SQL, "op9_near_vectors": _VECTOR_SQL, "op12_divergence": _DIVERGENCE_SQL}
