@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import mapped, slices, split_words, stored, strings
 
 #: Bytes of the longest context (six at most: an n-gram is one long).
-ORDER = 6
+ORDER = 5
 #: The end mark, a byte that no UTF-8 text has, and the number of symbols.
 END, SYMBOLS = 0xFF, 256
 #: Bytes of text of a block, and of a window whose n-grams are looked up at once.

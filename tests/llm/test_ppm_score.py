@@ -108,7 +108,7 @@ def test_no_training_and_no_rows(spark):
 
 
 def test_held_out_scores_beat_the_base(spark):
-    rows = QUERIES["op11_scores"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    rows = QUERIES["op11_scores"](spark, "/root/testdata/sf0.1").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
