@@ -9,8 +9,7 @@ shorter, in which the symbols of the longer context are excluded from T and q.
 the empty context all symbols not yet excluded are alike.  The probabilities of the next
 symbol sum to one in each context.
 
-The trie is a table with a row for each context and symbol; lower orders are sums over
-it.  Texts never meet the whole trie: the documents of a block ask for their distinct
+The trie has a row for each context and symbol; lower orders are sums over it.  Texts never meet the whole trie: the documents of a block ask for their distinct
 n-grams, a join gives the log-probability of each, and the answers go back to the
 block.  What a task holds is one block's answers, however large the trie is.
 The unigram base is found in the same way, with words for n-grams.
@@ -29,11 +28,13 @@ from pyspark.sql import functions as F
 from ._common import mapped, slices, split_words, stored, strings
 
 #: Bytes of the longest context (six at most: an n-gram is one long).
-ORDER = 5
+ORDER = 6
 #: The end mark, a byte that no UTF-8 text has, and the number of symbols.
 END, SYMBOLS = 0xFF, 256
 #: Bytes of text of a block, and of a window whose n-grams are looked up at once.
 BLOCK, WINDOW = 96 << 20, 1 << 20
+#: Bytes of context up to which levels are tables, and rows of branches that are solved at once.
+SHORT, BRANCHES = 3, 1 << 19
 #: N-grams that a task holds before it counts them.
 RAW = 8 << 20
 #: What a word counts before it is seen.
@@ -164,16 +165,21 @@ def _escape(different: Column, total: Column) -> Column:
     return F.log10(F.try_divide(different, 2 * total))
 
 
-def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """`gram, logp`: log10 of the probability of the last byte of each n-gram after the others.
+def _low(x: Column, size: int) -> Column:
+    return x.bitwiseAND((1 << 8 * size) - 1)
+
+
+def lower_levels(grams: DataFrame, order: int) -> DataFrame:
+    """`gram, c, t, q, logp, escaped` for n-grams of `order` + 1 bytes from their counts `n`.
 
-    `grams` has distinct `gram` and its training count `n`, which may be 0.
+    `t` and `q` are the context's symbols and different symbols, `logp` is the last byte's
+    log10 probability in the context, `escaped` that after escaping from the context.
     Level k has the n-grams' last k + 1 bytes.  A context has at most 256 symbols and a
     suffix at most 256 bytes before it, so no group of a window or join exceeds that.
     """
     below, levels = None, [grams]
     for k in range(order, 0, -1):
-        levels.append(stored(levels[-1].groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))))
+        levels.append(levels[-1].groupBy(_low(F.col("gram"), k).alias("gram")).agg(F.sum("n").alias("n")))
     for k, short in enumerate(reversed(levels)):
         level = short.select("gram", F.col("n").cast("double").alias("c"), F.shiftright("gram", 8).alias("context"))
         own = Window.partitionBy("context")
@@ -182,14 +188,82 @@ def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
             level = level.select("*", *level_sums).withColumn("escaped", -F.log10(F.greatest(SYMBOLS - F.col("q"), F.lit(1.0)))).withColumn("lower", F.col("escaped"))
         else:
             under = below.select(F.col("gram").alias("suffix"), F.col("c").alias("c1"), F.col("t").alias("t1"), F.col("q").alias("q1"), F.col("logp").alias("lower"), F.col("escaped").alias("escaped1"))
-            level = level.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(under, "suffix")
+            level = level.withColumn("suffix", _low(F.col("gram"), k)).join(under, "suffix")
             level = level.select("*", *level_sums, F.sum(F.when(F.col("c") > 0, F.col("c1")).otherwise(0.0)).over(own).alias("excluded"))
             rest, left = F.col("t1") - F.col("excluded"), F.col("q1") - F.col("q")  # what escaping from this context leaves in the shorter one
             further = F.when(left > 0, _escape(left, rest)).otherwise(0.0) + F.col("escaped1")
             level = level.withColumn("escaped", F.when(F.col("c1") > 0, _seen(F.col("c1"), rest)).otherwise(further))
         known = F.when(F.col("c") > 0, _seen(F.col("c"), F.col("t"))).otherwise(_escape(F.col("q"), F.col("t")) + F.col("escaped"))
         below = level.select("gram", "c", "t", "q", F.when(F.col("t") == 0, F.col("lower")).otherwise(known).alias("logp"), "escaped")
-    return below.select("gram", "logp")
+    return below
+
+
+def _next_level(grams: np.ndarray, c: np.ndarray, under: tuple[np.ndarray, ...], suffix: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(c, t, q, logp, escaped) of sorted n-grams whose suffixes are the rows `suffix` of `under`."""
+    _, context = np.unique(grams >> 8, return_inverse=True)
+    c1, t1, q1, lower, escaped1 = (x[suffix] for x in under)
+    t, q, excluded = (np.bincount(context, x)[context] for x in (c, c > 0, np.where(c > 0, c1, 0)))
+    rest, left = t1 - excluded, q1 - q
+    with np.errstate(divide="ignore", invalid="ignore"):
+        further = np.where(left > 0, np.log10(left / (2 * rest)), 0) + escaped1
+        escaped = np.where(c1 > 0, np.log10((2 * c1 - 1) / (2 * rest)), further)
+        known = np.where(c > 0, np.log10((2 * c - 1) / (2 * t)), np.log10(q / (2 * t)) + escaped)
+    return c, t, q, np.where(t == 0, lower, known), escaped
+
+
+def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """`gram, logp`: log10 of the probability of the last byte of each n-gram after the others.
+
+    `grams` has distinct `gram` and its training count `n`, which may be 0.  Levels of
+    up to `SHORT` bytes of context are tables; longer contexts are branches below their
+    last `SHORT` + 1 bytes, dealt to tasks and solved in arrays.  A branch of the default
+    order has at most 2**24 n-grams, however large the corpus is.
+    """
+    short = min(order, SHORT)
+    low = grams if short == order else stored(grams.groupBy(_low(F.col("gram"), short + 1).alias("gram")).agg(F.sum("n").alias("n")))
+    low = lower_levels(low, short)
+    if short == order:
+        return low.select("gram", "logp")
+    cells = grams.select(_low(F.shiftright("gram", 8), short + 1).alias("branch"), "gram", F.col("n").cast("double").alias("c"))
+    heads = cells.select("branch", _low(F.col("branch"), short).alias("context")).distinct().join(low.withColumn("context", F.shiftright("gram", 8)), "context")
+    values = ["t", "q", "logp", "escaped"]
+    heads = heads.select("branch", F.lit(0).alias("what"), F.shiftleft("branch", 8).bitwiseOR(_low(F.col("gram"), 1)).alias("gram"), "c", *values)
+    rows = heads.unionAll(cells.select("branch", F.lit(1).alias("what"), "gram", "c", *(F.lit(None).cast("double").alias(v) for v in values)))
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        what = table["what"].to_numpy() == 1
+        gram, c = table["gram"].to_numpy()[what], table["c"].to_numpy()[what]
+        names = table["gram"].to_numpy()[~what]
+        level = tuple(table[v].to_numpy()[~what] for v in ["c", *values])
+        place = np.argsort(names)
+        names, level = names[place], tuple(x[place] for x in level)
+        for k in range(short + 1, order + 1):
+            keys, at = np.unique(gram & (1 << 8 * (k + 1)) - 1, return_inverse=True)
+            suffix = keys if k == short + 1 else keys & (1 << 8 * k) - 1
+            level = _next_level(keys, np.bincount(at, c), level, np.searchsorted(names, suffix))
+            names = keys
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(level[3])], ["gram", "logp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            branch = _numpy(batch.column("branch"))
+            if size >= BRANCHES and len(branch):
+                last = held[-1].column("branch")[-1].as_py()
+                cut = int(np.argmax(branch != last)) if branch[-1] != last else len(branch)
+                held.append(batch.slice(0, cut))
+                batch, size = batch.slice(cut), size + cut
+                if batch.num_rows:
+                    yield solved(pa.Table.from_batches(held))
+                    held, size = [], 0
+            held.append(batch)
+            held = [x for x in held if x.num_rows]
+            size += batch.num_rows
+        if held:
+            yield solved(pa.Table.from_batches(held))
+
+    return mapped(rows.repartition("branch").sortWithinPartitions("branch"), run, "gram long, logp double")
 
 
 class Answers:

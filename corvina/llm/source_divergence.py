@@ -107,7 +107,7 @@ class _Tile:
         head = head.sort_by([("side", "ascending"), ("source", "ascending")])
         self.lang, self.alone = head["lang"][0].as_py(), head["i"][0].as_py() == head["j"][0].as_py()
         self.sources, self.total = head["source"].combine_chunks(), head["n"].to_numpy()
-        self.terms, self.lang_total = head["terms"][0].as_py(), head["lang_n"][0].as_py()
+        self.terms, self.lang_total, self.absent = (head[c][0].as_py() for c in ("terms", "lang_n", "here"))
         side = head["side"].to_numpy()
         first = len(side) if self.alone else int((side == head["i"][0].as_py()).sum())
         self.rows, self.columns = np.arange(first), np.arange(0 if self.alone else first, len(side))
@@ -119,6 +119,7 @@ class _Tile:
         name, source = rows["term"].combine_chunks(), pc.index_in(rows["source"].combine_chunks(), value_set=self.sources).to_numpy()
         first = np.flatnonzero(np.concatenate([[True], _numpy(pc.not_equal(name.slice(1), name.slice(0, len(name) - 1)))]))
         term = np.repeat(np.arange(len(first)), np.diff([*first, len(name)]))
+        self.absent -= len(first)
         n, lang_n = rows["n"].to_numpy(), rows["lang_n"].to_numpy()[first]
         count = np.zeros((len(self.sources), len(first)), np.int64)
         count[source, term] = n
@@ -137,6 +138,9 @@ class _Tile:
 
     def out(self) -> pa.RecordBatch:
         names = self.sources.to_pylist()
+        if self.absent:  # terms of the block that only other sources have
+            p = scaled(np.zeros(len(names), np.int64), self.total, self.terms)
+            self.sums += self.absent * apart(p[self.rows, None], p[None, self.columns])
         a, b = np.nonzero(self.rows[:, None] < self.columns[None, :])
         pairs = list(zip(self.rows[a].tolist(), self.columns[b].tolist(), self.sums[a, b].tolist(), strict=True))
         rows = [(names[x], "pair", names[y], v) for a, b, v in pairs for x, y in ((a, b), (b, a))]
@@ -206,11 +210,15 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     side = F.pmod(F.xxhash64("source"), F.col("sides")).cast("int").alias("side")
     salted = langs.select("lang", "blocks", "sides", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     cells = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
-    cells = cells.select("lang", F.pmod(F.xxhash64("term", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "sides", side, "source", "term", "n", "lang_n", F.lit(None).cast("long").alias("terms"))
-    heads = groups.select("lang", "source", "n").join(langs, "lang")
-    heads = heads.select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sides", side, "source", F.lit(None).cast("string").alias("term"), "n", "lang_n", "terms")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("term", F.lit(1)), F.col("blocks")).cast("int"))
+    none = F.lit(None).cast("long")
+    here = cells.groupBy("lang", "block").agg(F.sum("first").alias("here"))
+    cells = cells.select("lang", "block", "sides", side, "source", "term", "n", "lang_n", none.alias("terms"), none.alias("here"))
+    heads = langs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(here, ["lang", "block"], "left")
+    heads = groups.select("lang", "source", "n").join(heads, "lang")
+    heads = heads.select("lang", "block", "sides", side, "source", F.lit(None).cast("string").alias("term"), "n", "lang_n", "terms", F.coalesce("here", F.lit(0)).cast("long").alias("here"))
     rows = cells.unionAll(heads).select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
-    rows = rows.select("lang", "block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "source", "term", "n", "lang_n", "terms")
+    rows = rows.select("lang", "block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "source", "term", "n", "lang_n", "terms", "here")
     dealt = rows.repartition("lang", "block", "i", "j").sortWithinPartitions("lang", "block", "i", "j", F.col("term").asc_nulls_first())
     found = mapped(dealt, _tiles, "lang string, source string, part string, item string, value long")
     best = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
