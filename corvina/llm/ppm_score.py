@@ -36,7 +36,7 @@ BLOCK, WINDOW = 96 << 20, 1 << 20
 #: Bytes of context up to which levels are tables, and rows of branches that are solved at once.
 SHORT, BRANCHES = 3, 1 << 19
 #: N-grams that a task holds before it counts them.
-RAW = 8 << 20
+RAW = 4 << 20
 #: What a word counts before it is seen.
 PRIOR = 0.1
 WHAT = {"word": 0, "gram": 1, "text": 2}
@@ -267,31 +267,31 @@ def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Answers:
-    """Values by n-gram: open addressing in arrays."""
+    """Values by n-gram: sorted by a hash, with a table of where its leading bits begin."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
-        bits = max(int(len(grams) * 3).bit_length(), 8)
+        bits = max(len(grams).bit_length(), 8)
         self.shift = np.uint64(64 - bits)
         slots = self._slots(grams)
-        order = np.argsort(slots, kind="stable")
-        at = np.arange(len(grams))
-        places = np.maximum.accumulate(slots[order] - at) + at if len(at) else at
-        self.grams = np.full(max(1 << bits, int(places[-1]) + 1 if len(at) else 0) + 1, -1, np.int64)
-        self.values = np.zeros(len(self.grams))
-        self.grams[places], self.values[places] = grams[order], values[order]
+        order = np.argsort(slots)
+        sizes = np.bincount(slots, minlength=1 << bits)
+        self.longest = int(sizes.max())
+        self.first = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.grams, self.values = np.append(grams[order], -1), np.append(values[order], 0.0)
 
     def _slots(self, grams: np.ndarray) -> np.ndarray:
         return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        at = self._slots(grams)
+        at = self.first[self._slots(grams)]
         off = np.flatnonzero(self.grams[at] != grams)
-        while len(off):
-            at[off] += 1
-            seen = self.grams[at[off]]
-            if (seen == -1).any():
-                raise KeyError("an n-gram without an answer")
-            off = off[seen != grams[off]]
+        for _ in range(self.longest - 1):
+            if not len(off):
+                break
+            at[off] = np.minimum(at[off] + 1, len(self.grams) - 1)
+            off = off[self.grams[at[off]] != grams[off]]
+        if len(off):
+            raise KeyError("an n-gram without an answer")
         return self.values[at]
 
 
