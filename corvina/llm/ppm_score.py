@@ -39,7 +39,9 @@ SHORT, BRANCHES = 3, 1 << 19
 RAW = 4 << 20
 #: What a word counts before it is seen.
 PRIOR = 0.1
-WHAT = {"word": 0, "gram": 1, "text": 2}
+#: Most answers are alike and aren't sent: the only symbol of a context seen once, and a word seen once.
+USUAL, USUAL_COUNT = float(np.log10(0.5)), 1.0
+WHAT = {"word": 0, "gram": 1, "texts": 2}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,36 +78,37 @@ def windows(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and the sums of their counts."""
+    """Distinct n-grams and the sums of their counts; each part is sorted and distinct."""
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, counts = map(np.concatenate, zip(*parts, strict=True))
-    order = np.argsort(grams, kind="stable")
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    return grams[first], np.add.reduceat(counts, first)
+    grams = np.unique(np.concatenate([x for x, _ in parts]))
+    counts = np.zeros(len(grams), np.int64)
+    for x, n in parts:
+        counts[np.searchsorted(grams, x)] += n
+    return grams, counts
 
 
-_ASKED = "block long, doc_id {id}, held boolean, text string, word string, gram long, n long"
+def _counted(words: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
 
 
 def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """The documents dealt to blocks (null text: empty), and what each block asks for.
 
-    A block has a row for each document (`doc_id, held, text`), for each distinct word
-    (`word`) and each distinct n-gram (`gram`); `n` counts the training occurrences.
+    A block has rows of packed documents (`texts`: ids, whether held out, small-letter
+    texts), and a row for each distinct word (`word`) and each distinct n-gram (`gram`).
+    `n` counts the training texts, words or n-grams.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     # the larger a block, the fewer n-grams it has for its length
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.coalesce(size // BLOCK + 1).select(F.spark_partition_id().cast("long").alias("part"), "doc_id", held_out(F.col("doc_id")).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = _ASKED.format(id=kind)
+    types = {"block": pa.int64(), "texts": pa.binary(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Table] = []
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         raw: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        block, size, types = None, 0, {}
+        block, size = None, 0
 
         def count(least: int) -> None:
             for counted, found in raw.items():
@@ -123,23 +126,26 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if words:
-                total = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).combine_chunks()
-                yield from (out(word=x["word"].combine_chunks().cast(pa.string()), n=x["n_sum"].combine_chunks()) for x in (total.slice(i, 100_000) for i in range(0, len(total), 100_000)))
+                total = _counted(words)
+                words.clear()
+                yield from (out(word=x["word"].combine_chunks().cast(pa.string()), n=x["n"].combine_chunks()) for x in (total.slice(i, 100_000) for i in range(0, len(total), 100_000)))
             count(0)
             keys, counts = _summed(grams)
+            grams.clear()
             for i in range(0, len(keys), 100_000):
                 yield out(gram=pa.array(keys[i : i + 100_000]), n=pa.array(counts[i : i + 100_000]))
-            words.clear()
-            grams.clear()
 
         for batch in slices(batches, "text"):
-            types = types or {"block": pa.int64(), "doc_id": batch.schema.field("doc_id").type, "held": pa.bool_(), "text": pa.string(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64()}
             if block is None:
                 block = batch.column("part")[0].as_py() << 32
-            yield out(doc_id=batch.column("doc_id"), held=batch.column("held"), text=batch.column("text").cast(pa.string()))
-            held = batch.column("held")
+            held, whole = batch.column("held"), pc.ascii_lower(strings(batch.column("text")))
+            sink = pa.BufferOutputStream()
+            packed = pa.RecordBatch.from_arrays([batch.column("doc_id"), held, whole], ["doc_id", "held", "text"])
+            with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(packed)
+            yield out(texts=pa.array([sink.getvalue().to_pybytes()], pa.binary()), n=pa.array([pc.sum(pc.invert(held)).as_py()], pa.int64()))
             for some, counted in ((pc.invert(held), 1), (held, 0)):
-                texts = pc.ascii_lower(strings(batch.column("text").filter(some)))
+                texts = pa.concat_arrays([whole.filter(some)])
                 if not len(texts):
                     continue
                 for found, _ in windows(texts, order):
@@ -147,6 +153,8 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     count(RAW)
                 _, codes, names = split_words(texts)
                 words.append(pa.table({"word": names, "n": pa.array(np.bincount(codes, minlength=len(names)) * counted, pa.int64())}).filter(pc.field("word") != ""))
+            if sum(map(len, words[1:])) > max(RAW // 4, len(words[0])):
+                words[:] = [_counted(words)]
             size += batch.column("text").nbytes
             if size >= BLOCK:
                 yield from close()
@@ -154,7 +162,7 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if block is not None:
             yield from close()
 
-    return mapped(rows, run, schema)
+    return mapped(rows, run, "block long, texts binary, word string, gram long, n long")
 
 
 def _seen(c: Column, total: Column) -> Column:
@@ -211,19 +219,19 @@ def _next_level(grams: np.ndarray, c: np.ndarray, under: tuple[np.ndarray, ...],
     return c, t, q, np.where(t == 0, lower, known), escaped
 
 
-def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
+def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """`gram, logp`: log10 of the probability of the last byte of each n-gram after the others.
 
-    `grams` has distinct `gram` and its training count `n`, which may be 0.  Levels of
+    `counts` has `gram` and training counts `n`, which may be 0; counts of one n-gram add up.  Levels of
     up to `SHORT` bytes of context are tables; longer contexts are branches below their
     last `SHORT` + 1 bytes, dealt to tasks and solved in arrays.  A branch of the default
     order has at most 2**24 n-grams, however large the corpus is.
     """
     short = min(order, SHORT)
-    low = grams if short == order else stored(grams.groupBy(_low(F.col("gram"), short + 1).alias("gram")).agg(F.sum("n").alias("n")))
-    low = lower_levels(low, short)
+    low = lower_levels(stored(counts.groupBy(_low(F.col("gram"), short + 1).alias("gram")).agg(F.sum("n").alias("n"))), short)
     if short == order:
         return low.select("gram", "logp")
+    grams = counts.groupBy("gram").agg(F.sum("n").alias("n"))
     cells = grams.select(_low(F.shiftright("gram", 8), short + 1).alias("branch"), "gram", F.col("n").cast("double").alias("c"))
     heads = cells.select("branch", _low(F.col("branch"), short).alias("context")).distinct().join(low.withColumn("context", F.shiftright("gram", 8)), "context")
     values = ["t", "q", "logp", "escaped"]
@@ -267,7 +275,7 @@ def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Answers:
-    """Values by n-gram: sorted by a hash, with a table of where its leading bits begin."""
+    """Values by n-gram, `USUAL` for those without one: sorted by a hash, with a table of where its leading bits begin."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
         bits = max(len(grams).bit_length(), 8)
@@ -277,7 +285,7 @@ class Answers:
         sizes = np.bincount(slots, minlength=1 << bits)
         self.longest = int(sizes.max())
         self.first = (np.cumsum(sizes) - sizes).astype(np.int32)
-        self.grams, self.values = np.append(grams[order], -1), np.append(values[order], 0.0)
+        self.grams, self.values = np.append(grams[order], -1), np.append(values[order], USUAL)
 
     def _slots(self, grams: np.ndarray) -> np.ndarray:
         return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
@@ -290,8 +298,7 @@ class Answers:
                 break
             at[off] = np.minimum(at[off] + 1, len(self.grams) - 1)
             off = off[self.grams[at[off]] != grams[off]]
-        if len(off):
-            raise KeyError("an n-gram without an answer")
+        at[off] = len(self.grams) - 1
         return self.values[at]
 
 
@@ -306,36 +313,33 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(asked(docs, order))
-    texts = rows.filter("text is not null")
-    words = rows.filter("word is not null").select("block", "word", "n")
+    texts = rows.filter("texts is not null").select("block", "texts", "n")
     per_word = Window.partitionBy("word")
-    words = words.select("block", "word", F.sum("n").over(per_word).cast("double").alias("c"), (F.min("block").over(per_word) == F.col("block")).alias("first"))
-    ends = texts.agg(F.coalesce(F.sum(F.when(F.col("held"), 0).otherwise(1)), F.lit(0)).cast("double").alias("ends"))
+    words = rows.filter("word is not null").select("block", "word", "n").select("block", "word", F.sum("n").over(per_word).cast("double").alias("c"), (F.min("block").over(per_word) == F.col("block")).alias("first"))
+    ends = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("ends"))
     seen = words.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("n"), F.count("*").alias("v"))
     totals = ends.crossJoin(seen).select("ends", (F.col("n") + F.col("ends")).alias("total"), (F.col("v") + F.when(F.col("ends") > 0, 1).otherwise(0)).alias("distinct"))
-    grams = rows.filter("gram is not null").select("block", "gram", "n")
-    known = trie(stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order)
-    answers = grams.select("block", "gram").join(known, "gram")
-    empty = {"word": "string", "gram": "long", "value": "double", "doc_id": kind, "held": "boolean", "text": "string"}
+    grams = rows.filter("gram is not null").select("block", "gram", "n").repartition("gram")  # dealt once: for the sums and for the answers
+    answers = grams.join(trie(grams, order).filter(F.col("logp") != USUAL), "gram")
+    empty = {"word": "string", "gram": "long", "value": "double", "texts": "binary"}
 
-    def shaped(df: DataFrame, what: str, **columns: Column) -> DataFrame:
-        return df.select("block", F.lit(WHAT[what]).alias("what"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in empty.items()))
+    def shaped(df: DataFrame, what: str, **columns: str) -> DataFrame:
+        return df.select("block", F.lit(WHAT[what]).alias("what"), *(F.col(columns[c]).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
 
-    parts = shaped(words, "word", word=F.col("word"), value=F.col("c")).unionAll(shaped(answers, "gram", gram=F.col("gram"), value=F.col("logp")))
-    parts = parts.unionAll(shaped(texts, "text", **{c: F.col(c) for c in ("doc_id", "held", "text")}))
+    parts = shaped(words.filter(F.col("c") != USUAL_COUNT), "word", word="word", value="c").unionAll(shaped(answers, "gram", gram="gram", value="logp")).unionAll(shaped(texts, "texts", texts="texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
         block, names, counts, answer = None, None, None, None
 
         def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text = pc.ascii_lower(strings(batch.column("text")))
+            text = strings(batch.column("text"))
             logp = np.zeros(len(text))
             for found, owner in windows(text, order):
                 logp += np.bincount(owner, answer(found), len(text))
             per_text, codes, distinct = split_words(text)
             at = _numpy(pc.fill_null(pc.index_in(distinct, value_set=names), -1)).astype(np.int64)
-            c = np.where(at >= 0, counts[at], 0.0) if len(counts) else np.zeros(len(at))
+            c = np.append(counts, USUAL_COUNT)[at]
             real = _numpy(pc.not_equal(distinct, ""))
             owner = np.repeat(np.arange(len(text)), per_text)
 
@@ -357,7 +361,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if b != block:
                     block, answer = b, None
                     held[0].clear(), held[1].clear()
-                if what < WHAT["text"]:
+                if what < WHAT["texts"]:
                     held[what].append(part.select(["word", "gram", "value"]))
                     continue
                 if answer is None:
@@ -366,7 +370,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     names, counts = pa.concat_arrays([words_of["word"].combine_chunks().cast(pa.large_string())]), words_of["value"].to_numpy()
                     answer = Answers(grams_of["gram"].to_numpy(), grams_of["value"].to_numpy())
                     held[0].clear(), held[1].clear()
-                yield from map(scored, slices([part], "text"))
+                for packed in part.column("texts"):
+                    yield from map(scored, pa.ipc.open_stream(packed.as_buffer()))
 
     dealt = parts.repartition("block").sortWithinPartitions("block", "what")
     found = mapped(dealt, run, f"doc_id {kind}, held_out boolean, words long, known long, base double, score double")

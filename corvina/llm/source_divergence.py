@@ -27,7 +27,7 @@ MIN_DOCS, BEST = 10, 10
 #: Terms and sources of a block, and the differences that a tile holds at once.
 TERMS, SOURCES, ENTRIES = 8192, 128, 1 << 20
 #: Counts that a task holds before it gives them out.
-HELD = 2 << 20
+HELD = 3 << 18
 SALTS = 64
 #: ASCII letters in small letters, other ASCII as spaces, all else as it is.
 LETTERS = bytes(i | 32 if 65 <= i <= 90 else i if i > 127 or 97 <= i <= 122 else 32 for i in range(256))
