@@ -81,7 +81,8 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     """Distinct n-grams and the sums of their counts; each part is sorted and distinct."""
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = np.unique(np.concatenate([x for x, _ in parts]))
+    grams = np.sort(np.concatenate([x for x, _ in parts]))
+    grams = grams[np.append(True, grams[1:] != grams[:-1])]
     counts = np.zeros(len(grams), np.int64)
     for x, n in parts:
         counts[np.searchsorted(grams, x)] += n
@@ -89,7 +90,9 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counted(words: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
+    coded = pa.concat_arrays([c for t in words for c in t["word"].chunks]).dictionary_encode()
+    n = np.bincount(_numpy(coded.indices), np.concatenate([t["n"].to_numpy() for t in words]), len(coded.dictionary))
+    return pa.table({"word": coded.dictionary, "n": pa.array(n.astype(np.int64))})
 
 
 def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
