@@ -1,9 +1,9 @@
 """Memory: what pointers refer to, regions and which of them overlap, and what reaches reads through memory.
 
-The parse gives each function's steps (`plans.c_memory`); what follows is joins over
-the steps of all functions at once.  The targets of pointers are a closure without
-regard to order: copies, loads and stores are joined with the facts found last until
-none is new.  Reads and writes then fall on regions; a write whose pointer has one
+The parse gives each function's steps (`plans.c_memory`).  The targets of pointers are a
+closure without regard to order (`plans.c_targets`): a function's steps stand in one row,
+so it is solved where the row is, without rounds or shuffles.  What follows is joins
+over the regions of all functions at once.  Reads and writes then fall on regions; a write whose pointer has one
 known target that is one object ends what was there, any other is weak.  Functions
 that the text calls and defines stand in for their calls by what they do to what
 their parameters refer to; calls of others may write all that their arguments reach.
@@ -17,16 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import c_memory
+from ..plans import c_memory, c_targets
 from ..plans.c_syntax import Tree
 from ..plans.stage import arrow_schema, mapped, portions, written
 
 KEYS = ["source_id", "function_id"]
 STEP = "struct<ord:int,op:string,dst:string,src:string,path:string,at:int,node:int,number:int,callee:string>"
-SCHEMA = f"source_id string, function_id int, function string, n_nodes int, steps array<{STEP}>, edges array<struct<src:int,dst:int>>, unions array<string>"
-#: A target that nothing is known of.
-UNKNOWN = "?"
-ROUNDS = 200
+SCHEMA = f"source_id string, function_id int, function string, n_nodes int, steps array<{STEP}>, edges array<struct<src:int,dst:int>>, unions array<string>, locals array<string>"
+UNKNOWN = c_targets.UNKNOWN
 
 
 def steps(sources: DataFrame) -> DataFrame:
@@ -48,34 +46,41 @@ def _flat(functions: DataFrame) -> DataFrame:
     return functions.select(*KEYS, F.explode("steps").alias("s")).select(*KEYS, "s.*")
 
 
-def _below(target: Column, path: Column) -> Column:
-    return F.when(target == UNKNOWN, UNKNOWN).otherwise(F.concat(target, path))
-
-
 def points_to(functions: DataFrame) -> DataFrame:
     """`source_id, function_id, place, target` of every place that may hold a pointer; target "?" is anything.
 
-    Parameters that are pointers begin with the region of their own, "*p".
+    Parameters that are pointers begin with the region of their own, "*p".  Memory that
+    comes from outside, or that outsiders may have written, holds "?" as well; so do
+    members and elements of which no pointer is known.  Each function ends by itself:
+    paths that repeat a member fold into one region, "*p.in+".
     """
-    flat = written(_flat(functions).filter("op in ('parameter', 'addr', 'copy', 'load', 'store', 'gep', 'unknown')"))
-    known = flat.filter("op in ('parameter', 'addr', 'unknown')").select(*KEYS, F.col("dst").alias("place"), F.when(F.col("op") == "unknown", UNKNOWN).otherwise(F.col("src")).alias("target"))
-    known = written(known.distinct())
-    moved = flat.filter("op in ('copy', 'gep')").select(*KEYS, F.col("src").alias("place"), "dst", "path")
-    loads, stores = (flat.filter(F.col("op") == op).select(*KEYS, "src", "dst", "path") for op in ("load", "store"))
-    for _ in range(ROUNDS):
-        held = known.select(*KEYS, F.col("place").alias("cell"), F.col("target").alias("value"))
-        copied = known.join(moved, [*KEYS, "place"]).select(*KEYS, F.col("dst").alias("place"), _below(F.col("target"), F.col("path")).alias("target"))
-        cells = known.join(loads.withColumnRenamed("src", "place"), [*KEYS, "place"]).select(*KEYS, "dst", _below(F.col("target"), F.col("path")).alias("cell"))
-        loaded = cells.filter(F.col("cell") != UNKNOWN).join(held, [*KEYS, "cell"]).select(*KEYS, F.col("dst").alias("place"), F.col("value").alias("target"))
-        lost = cells.filter(F.col("cell") == UNKNOWN).select(*KEYS, F.col("dst").alias("place"), F.lit(UNKNOWN).alias("target"))
-        into = known.join(stores.withColumnRenamed("dst", "place"), [*KEYS, "place"]).select(*KEYS, _below(F.col("target"), F.col("path")).alias("into"), F.col("src").alias("cell")).filter(F.col("into") != UNKNOWN)
-        stored = into.join(held, [*KEYS, "cell"]).select(*KEYS, F.col("into").alias("place"), F.col("value").alias("target"))
-        new = copied.unionByName(loaded).unionByName(lost).unionByName(stored).distinct().join(known, [*KEYS, "place", "target"], "left_anti")
-        new = written(new)
-        if not new.limit(1).count():
-            return known
-        known = written(known.unionByName(new))
-    raise RuntimeError(f"pointers are still found after {ROUNDS} rounds")
+    schema = "source_id string, function_id int, place string, target string"
+    arrow = arrow_schema(functions, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                head = {c: row[c] for c in KEYS}
+                found = c_targets.targets(row["steps"] or [], set(row["locals"] or ()), row["unions"] or [])
+                yield pa.RecordBatch.from_pylist([head | {"place": p, "target": t} for p, t in found], arrow)
+
+    return mapped(functions.select(*KEYS, "steps", "locals", "unions"), run, schema)
+
+
+def _fallen(functions: DataFrame, targets: DataFrame) -> DataFrame:
+    """Accesses through pointers on each of their targets, with the regions that the paths below them name."""
+    schema = "source_id string, function_id int, ord int, op string, node int, at int, region string"
+    arrow = arrow_schema(functions, schema)
+    flat = _flat(functions).filter("op in ('read', 'write') and node is not null and dst is null")
+    through = flat.join(targets.withColumnRenamed("place", "src"), [*KEYS, "src"], "left").select(*KEYS, "ord", "op", "node", "at", F.coalesce("target", F.lit(UNKNOWN)).alias("target"), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions = [c_targets.below(t, p) for t, p in zip(batch.column("target").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEYS, "ord", "op", "node", "at")), pa.array(regions, pa.string())], schema=arrow)
+
+    return mapped(through, run, schema)
 
 
 def accesses(functions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -84,14 +89,11 @@ def accesses(functions: DataFrame, targets: DataFrame) -> DataFrame:
     An access through a pointer falls on each of its targets; region "?" is anything,
     also where nothing is known of the pointer.
     """
-    flat = _flat(functions).filter("op in ('read', 'write') and node is not null")
-    direct = flat.filter("dst is not null").select(*KEYS, "ord", "op", "node", "at", F.col("dst").alias("region"), (~F.col("dst").contains(c_memory.ELEMENTS)).alias("strong"))
-    through = flat.filter("dst is null").join(targets.withColumnRenamed("place", "src"), [*KEYS, "src"], "left")
-    through = through.select(*KEYS, "ord", "op", "node", "at", _below(F.coalesce("target", F.lit(UNKNOWN)), F.col("path")).alias("region"))
+    direct = _flat(functions).filter("op in ('read', 'write') and node is not null and dst is not null")
+    direct = direct.select(*KEYS, "ord", "op", "node", "at", F.col("dst").alias("region"), (~F.col("dst").contains(c_memory.ELEMENTS)).alias("strong"))
     count = F.count("*").over(Window.partitionBy(*KEYS, "ord"))
-    one = (count == 1) & (F.col("region") != UNKNOWN) & ~F.col("region").contains(c_memory.ELEMENTS) & ~F.col("region").startswith("*")
-    own = (count == 1) & F.col("region").startswith("*") & ~F.col("region").contains(c_memory.ELEMENTS)
-    return direct.unionByName(through.withColumn("strong", one | own))
+    many = (F.col("region") == UNKNOWN) | F.col("region").contains(c_memory.ELEMENTS) | F.col("region").contains(c_targets.REPEATED)
+    return direct.unionByName(_fallen(functions, targets).withColumn("strong", (count == 1) & ~many))
 
 
 def regions(functions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -103,12 +105,13 @@ def regions(functions: DataFrame, targets: DataFrame) -> DataFrame:
 def overlaps(functions: DataFrame, targets: DataFrame) -> DataFrame:
     """`source_id, function_id, region, other, why`: pairs of different regions that may share memory, each once, the longer path first where one holds the other.
 
-    why is containment, union (members of one union) or parameters (what two
-    parameters point to may be one object).  All are found by equal keys: a path's
-    beginnings, a union's path, a function.
+    why is containment, union (members of one union), parameters (what two parameters
+    point to may be one object) or repetition (a folded region and one that it may
+    stand for).  All are found by equal keys: a path's beginnings, a union's path, what
+    stands before a fold, a function.
     """
     named = written(regions(functions, targets))
-    parts = F.regexp_extract_all(F.col("region"), F.lit(r"(\.[^.\[]+|\[\*\])"), F.lit(1))
+    parts = F.regexp_extract_all(F.col("region"), F.lit(r"(\.[^.\[]+|\[\*\]\+?)"), F.lit(1))
     with_parts = named.withColumn("parts", parts)
     above = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda n: F.concat("root", F.array_join(F.slice("parts", F.lit(1), n), "")))
     beginnings = with_parts.filter(F.size("parts") > 0).select(*KEYS, "region", F.explode(above).alias("other"))
@@ -121,7 +124,16 @@ def overlaps(functions: DataFrame, targets: DataFrame) -> DataFrame:
     siblings = members.join(other, [*KEYS, "union"]).filter("member <> other_member and region < other").select(*KEYS, "region", "other", F.lit("union").alias("why"))
     formal = named.filter("root like '*%'")
     apart = formal.join(formal.select(*KEYS, F.col("region").alias("other"), F.col("root").alias("other_root")), KEYS).filter("root <> other_root and region < other").select(*KEYS, "region", "other", F.lit("parameters").alias("why"))
-    return contained.unionByName(siblings).unionByName(apart).dropDuplicates([*KEYS, "region", "other"])
+    folded = with_parts.filter(F.col("region").contains(c_targets.REPEATED)).select(*KEYS, "region", F.substring_index("region", c_targets.REPEATED, 1).alias("stem"))
+    stems = folded.withColumn("parts", F.regexp_replace("stem", r"^[^.\[]*", "")).select(*KEYS, "region", "stem")
+    plain = F.regexp_replace("other", r"\+", "")
+    under = with_parts.select(*KEYS, F.col("region").alias("other"), F.explode(F.array_append(above, F.col("region"))).alias("stem")).withColumn("stem", F.regexp_replace("stem", r"\+", ""))
+    repeated = stems.join(under, [*KEYS, "stem"]).filter("region <> other").select(*KEYS, "region", "other", F.when(plain == F.col("stem"), "containment").otherwise("repetition").alias("why"))
+    repeated = repeated.withColumn("why", F.when(F.col("other").contains(c_targets.REPEATED), "repetition").otherwise(F.col("why"))).filter(~(F.col("other").contains(c_targets.REPEATED) & (F.col("region") > F.col("other"))))
+    rank = F.when(F.col("why") == "containment", 0).otherwise(1)
+    every = contained.unionByName(siblings).unionByName(apart).unionByName(repeated).withColumn("low", F.least("region", "other")).withColumn("high", F.greatest("region", "other"))
+    first = Window.partitionBy(*KEYS, "low", "high").orderBy(rank, F.desc("region"), "why")
+    return every.withColumn("first", F.row_number().over(first)).filter("first = 1").select(*KEYS, "region", "other", "why")
 
 
 def effects(functions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -137,13 +149,15 @@ def effects(functions: DataFrame, targets: DataFrame) -> DataFrame:
     given = flat.filter("op = 'argument' and callee is not null").select(*KEYS, F.col("dst").alias("place"), F.col("callee"), "number")
     passed = given.join(targets, [*KEYS, "place"]).select(*KEYS, "callee", "number", F.regexp_extract("target", r"^(\*[^.\[]*)", 1).alias("root")).join(formal, [*KEYS, "root"])
     passed = written(passed.join(names, KEYS).select(*KEYS, "function", "parameter", "callee", "number").distinct())
-    for _ in range(ROUNDS):
-        of_callee = known.select("source_id", F.col("function").alias("callee"), F.col("parameter").alias("number"), "op")
-        new = written(passed.join(of_callee, ["source_id", "callee", "number"]).select(*KEYS, "function", "parameter", "op").distinct().join(known, [*KEYS, "function", "parameter", "op"], "left_anti"))
-        if not new.limit(1).count():
-            return known
-        known = written(known.unionByName(new))
-    raise RuntimeError(f"effects are still found after {ROUNDS} rounds")
+    parts = [known]
+    while parts[-1].limit(1).count():  # ends: there are no more effects than parameters, twice
+        of_callee = parts[-1].select("source_id", F.col("function").alias("callee"), F.col("parameter").alias("number"), "op")
+        new = passed.join(of_callee, ["source_id", "callee", "number"]).select(*KEYS, "function", "parameter", "op").distinct()
+        parts.append(written(new.join(known, [*KEYS, "function", "parameter", "op"], "left_anti")))
+        known = known.unionByName(parts[-1])
+        if len(parts) % 10 == 0:
+            known = written(known)
+    return known
 
 
 def call_effects(functions: DataFrame, targets: DataFrame) -> DataFrame:

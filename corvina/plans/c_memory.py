@@ -296,4 +296,4 @@ def steps(tree: Tree, function: Node) -> dict:
             node = held[lo] if lo in held else held.setdefault(lo, owner(lo))
         if node is not None or op not in ("read", "write"):
             rows.append({"ord": i, "op": op, "dst": dst, "src": src, "path": path, "at": at, "node": node, "number": number, "callee": callee})
-    return {"steps": rows, "edges": [{"src": e[0], "dst": e[1]} for e in graph.edges], "n_nodes": len(graph.kinds), "unions": read.unions}
+    return {"steps": rows, "edges": [{"src": e[0], "dst": e[1]} for e in graph.edges], "n_nodes": len(graph.kinds), "unions": read.unions, "locals": [n if k == 1 else f"{n}#{k}" for n, last in read.seen.items() for k in range(1, last + 1)]}

@@ -23,7 +23,7 @@ def test_targets_by_hand(spark):
         ("int f(int *in) { int *p = in, *q = &*p; return *q; }", {"in": {"*in"}, "p": {"*in"}, "q": {"*in"}}),
         ("int f(void) { int a[4]; int *p = a, *q = &a[2]; p++; return *p + *q; }", {"p": {"a[*]", "?"}, "q": {"a[*]"}}),
         ("int f(void) { int x; int *p = &x; long n = (long) p; int *q = (int *) n; return *q; }", {"p": {"x"}, "q": {"?"}}),
-        ("int f(struct s *s) { int x; s->a.p = &x; int *q = s->a.p; return *q; }", {"s": {"*s"}, "*s.a.p": {"x"}, "q": {"x"}}),
+        ("int f(struct s *s) { int x; s->a.p = &x; int *q = s->a.p; return *q; }", {"s": {"*s"}, "*s.a.p": {"x", "?"}, "q": {"x", "?"}}),  # the caller's may be read too
         ("int f(struct s *s) { int *q = &s->n; return *q; }", {"s": {"*s"}, "q": {"*s.n"}}),
         ("int f(int b) { int x, y; int *p = b ? &x : &y; { int *p = 0; } return *p; }", {"p": {"x", "y"}}),
         ("int f(int b) { int x; int *p = &x; { int x; int *q = &x; b = *q; } return *p; }", {"p": {"x"}, "q": {"x#2"}}),
@@ -62,9 +62,11 @@ def test_closure_against_brute_force(spark):
                 if op == "copy":
                     new |= {(x, t) for s, t in facts if s == y}
                 elif op == "load":
-                    new |= {(x, t) for s, m in facts if s == y for n, t in facts if n == m}
+                    new |= {(x, t) for s, m in facts if s == y for n, t in facts if n == m} | {(x, "?") for s, m in facts if s == y and m == "?"}
                 else:
-                    new |= {(m, t) for s, m in facts if s == x for n, t in facts if n == y}
+                    new |= {(m, t) for s, m in facts if s == x and m != "?" for n, t in facts if n == y}
+            if new <= facts:  # what a pointer that never is set refers to is unknown
+                new = {(x, "?") for op, x, y in moves if op == "load" and not any(s == y for s, _ in facts)}
             if new <= facts:
                 break
             facts |= new
@@ -105,7 +107,7 @@ def test_overlapping_regions(spark):
     _, found = flows(spark, "float f(void) { union u v; v.i = 1; return v.f; }")
     assert [x[2:] for x in found] == [("v.i", "v.f", "union")]
     _, found = flows(spark, "int f(void) { struct s t; t.a.b = 1; g(t.a); return 0; }")
-    assert [x[2:] for x in found] == [("t.a.b", "t.a", "containment")]
+    assert {x[2:] for x in found} == {("t.a.b", "t.a", "containment"), ("t.a.b", "?", "unknown")}  # g may follow a pointer in t.a
     _, found = flows(spark, "int f(int *p, int *q) { *p = 1; *q = 2; return *p; }")
     assert ("*q", "*p", "parameters") in [x[2:] for x in found] and ("*p", "*p", "same") in [x[2:] for x in found]
     _, found = flows(spark, "int f(void) { int *p = get(); int x = 1; *p = 2; return x; }")
