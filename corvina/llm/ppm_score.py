@@ -32,7 +32,7 @@ ORDER = 6
 #: The end mark, a byte that no UTF-8 text has, and the number of symbols.
 END, SYMBOLS = 0xFF, 256
 #: Bytes of text of a block, and of a window whose n-grams are looked up at once.
-BLOCK, WINDOW = 96 << 20, 1 << 20
+BLOCK, WINDOW = 48 << 20, 1 << 20
 #: Bytes of context up to which levels are tables, and rows of branches that are solved at once.
 SHORT, BRANCHES = 3, 1 << 19
 #: N-grams that a task holds before it counts them.
@@ -222,19 +222,18 @@ def _next_level(grams: np.ndarray, c: np.ndarray, under: tuple[np.ndarray, ...],
     return c, t, q, np.where(t == 0, lower, known), escaped
 
 
-def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """`gram, logp`: log10 of the probability of the last byte of each n-gram after the others.
 
-    `counts` has `gram` and training counts `n`, which may be 0; counts of one n-gram add up.  Levels of
+    `grams` has distinct `gram` and its training count `n`, which may be 0.  Levels of
     up to `SHORT` bytes of context are tables; longer contexts are branches below their
     last `SHORT` + 1 bytes, dealt to tasks and solved in arrays.  A branch of the default
     order has at most 2**24 n-grams, however large the corpus is.
     """
     short = min(order, SHORT)
-    low = lower_levels(stored(counts.groupBy(_low(F.col("gram"), short + 1).alias("gram")).agg(F.sum("n").alias("n"))), short)
+    low = lower_levels(stored(grams.groupBy(_low(F.col("gram"), short + 1).alias("gram")).agg(F.sum("n").alias("n"))), short)
     if short == order:
         return low.select("gram", "logp")
-    grams = counts.groupBy("gram").agg(F.sum("n").alias("n"))
     cells = grams.select(_low(F.shiftright("gram", 8), short + 1).alias("branch"), "gram", F.col("n").cast("double").alias("c"))
     heads = cells.select("branch", _low(F.col("branch"), short).alias("context")).distinct().join(low.withColumn("context", F.shiftright("gram", 8)), "context")
     values = ["t", "q", "logp", "escaped"]
@@ -322,8 +321,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ends = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("ends"))
     seen = words.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("n"), F.count("*").alias("v"))
     totals = ends.crossJoin(seen).select("ends", (F.col("n") + F.col("ends")).alias("total"), (F.col("v") + F.when(F.col("ends") > 0, 1).otherwise(0)).alias("distinct"))
-    grams = rows.filter("gram is not null").select("block", "gram", "n").repartition("gram")  # dealt once: for the sums and for the answers
-    answers = grams.join(trie(grams, order).filter(F.col("logp") != USUAL), "gram")
+    grams = rows.filter("gram is not null").select("block", "gram", "n")
+    known = trie(stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order).filter(F.col("logp") != USUAL)
+    answers = grams.select("block", "gram").join(known, "gram")
     empty = {"word": "string", "gram": "long", "value": "double", "texts": "binary"}
 
     def shaped(df: DataFrame, what: str, **columns: str) -> DataFrame:
