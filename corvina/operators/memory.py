@@ -52,7 +52,8 @@ def points_to(functions: DataFrame) -> DataFrame:
     Parameters that are pointers begin with the region of their own, "*p".  Memory that
     comes from outside, or that outsiders may have written, holds "?" as well; so do
     members and elements of which no pointer is known.  Each function ends by itself:
-    paths that repeat a member fold into one region, "*p.in+".
+    paths that repeat a member fold into one region, "*p.in+", and very many targets
+    within one variable into all of it, "*p+".
     """
     schema = "source_id string, function_id int, place string, target string"
     arrow = arrow_schema(functions, schema)
@@ -99,7 +100,7 @@ def accesses(functions: DataFrame, targets: DataFrame) -> DataFrame:
 def regions(functions: DataFrame, targets: DataFrame) -> DataFrame:
     """`source_id, function_id, region, root` of every region that is accessed or pointed to; root is its variable."""
     found = accesses(functions, targets).select(*KEYS, "region").unionByName(targets.select(*KEYS, F.col("target").alias("region"))).filter(F.col("region") != UNKNOWN).distinct()
-    return found.withColumn("root", F.regexp_extract("region", r"^([*%<]?[^.\[]*)", 1))
+    return found.withColumn("root", F.regexp_extract("region", r"^([*%<]?[^.\[+]*)", 1))
 
 
 def overlaps(functions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def overlaps(functions: DataFrame, targets: DataFrame) -> DataFrame:
     named = written(regions(functions, targets))
     parts = F.regexp_extract_all(F.col("region"), F.lit(r"(\.[^.\[]+|\[\*\]\+?)"), F.lit(1))
     with_parts = named.withColumn("parts", parts)
-    above = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda n: F.concat("root", F.array_join(F.slice("parts", F.lit(1), n), "")))
+    above = F.transform(F.sequence(F.lit(0), F.greatest(F.size("parts") - 1, F.lit(0))), lambda n: F.concat("root", F.array_join(F.slice("parts", F.lit(1), n), "")))
     beginnings = with_parts.filter(F.size("parts") > 0).select(*KEYS, "region", F.explode(above).alias("other"))
     contained = beginnings.join(named.select(*KEYS, F.col("region").alias("other")), [*KEYS, "other"]).select(*KEYS, "region", "other", F.lit("containment").alias("why"))
     unions = functions.select(*KEYS, F.explode("unions").alias("union"))
@@ -143,11 +144,11 @@ def effects(functions: DataFrame, targets: DataFrame) -> DataFrame:
     """
     flat = _flat(functions)
     formal = flat.filter("op = 'parameter'").select(*KEYS, F.col("src").alias("root"), F.col("number").alias("parameter"))
-    touched = accesses(functions, targets).select(*KEYS, "op", F.regexp_extract("region", r"^(\*[^.\[]*)", 1).alias("root")).distinct()
+    touched = accesses(functions, targets).select(*KEYS, "op", F.regexp_extract("region", r"^(\*[^.\[+]*)", 1).alias("root")).distinct()
     names = functions.select(*KEYS, "function")
     known = written(touched.join(formal, [*KEYS, "root"]).join(names, KEYS).select(*KEYS, "function", "parameter", "op").distinct())
     given = flat.filter("op = 'argument' and callee is not null").select(*KEYS, F.col("dst").alias("place"), F.col("callee"), "number")
-    passed = given.join(targets, [*KEYS, "place"]).select(*KEYS, "callee", "number", F.regexp_extract("target", r"^(\*[^.\[]*)", 1).alias("root")).join(formal, [*KEYS, "root"])
+    passed = given.join(targets, [*KEYS, "place"]).select(*KEYS, "callee", "number", F.regexp_extract("target", r"^(\*[^.\[+]*)", 1).alias("root")).join(formal, [*KEYS, "root"])
     passed = written(passed.join(names, KEYS).select(*KEYS, "function", "parameter", "callee", "number").distinct())
     parts = [known]
     while parts[-1].limit(1).count():  # ends: there are no more effects than parameters, twice

@@ -393,6 +393,15 @@ def mem_effects(spark, sf_dir):
     return memory.effects(functions, targets).select("function", "parameter", "op")
 
 
+def mem_walks(spark, sf_dir):
+    """All flows through memory, of whatever kind, in functions that walk a list: by the statements of the write and the read."""
+    functions = stage.written(memory.steps(corpus.walking_sources(spark, sf_dir)))
+    rows = memory.flows(functions, memory.points_to(functions))
+    node = functions.select(*memory.KEYS, F.explode("steps").alias("s")).select(*memory.KEYS, "s.ord", "s.node")
+    rows = rows.join(node.toDF(*memory.KEYS, "write", "write_node"), [*memory.KEYS, "write"]).join(node.toDF(*memory.KEYS, "read", "read_node"), [*memory.KEYS, "read"])
+    return rows.groupBy("function", "write_node", "read_node", "region", "read_region", "via").agg(F.count("*").alias("n"))
+
+
 def _small(spark, sf_dir, text):
     orders = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism)
     return stage.written(memory.steps(orders.select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))))
@@ -638,6 +647,13 @@ _COUNTED = [(k, len(s[1].split(",")), s[1].count("back"), len({e.split()[1] for
 _POINTERS = f"""WITH items AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    p = &y;' WHEN l_quantity > {LOOPS} THEN '    *p = ' || CAST(floor(l_quantity) AS BIGINT) || ';' ELSE '    b = *p;' END AS s FROM lineitem),
   placed AS (SELECT l_orderkey, k, count(*) FILTER (k = 'w') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s ROWS UNBOUNDED PRECEDING) AS before FROM items),
   f AS (SELECT o_orderkey, 'order_' || o_orderkey AS name, count(*) FILTER (k = 'r') AS r, count(*) FILTER (k = 'w') AS w, count(*) FILTER (k = 'c') AS c, coalesce(sum(before) FILTER (k = 'c'), 0) AS seen, o_orderkey % 2 AS odd FROM orders LEFT JOIN placed ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
+# Accesses of each statement as "place; op" in order; `t` are places through a pointer, which fall on "?" too once the pointer has moved.
+_WALKS = f"""WITH items AS (SELECT l_orderkey, 4 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s) - 1 AS node, k FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_quantity > {LOOPS} THEN 'w' ELSE 'c' END AS k, CASE WHEN l_returnflag = 'R' THEN '    p = p->next;' WHEN l_quantity > {LOOPS} THEN '    p->v = ' || CAST(floor(l_quantity) AS BIGINT) || ';' ELSE '    b = q->v;' END AS s FROM lineitem)),
+  f AS (SELECT o_orderkey, count(node) AS n, count(*) FILTER (k = 'r') > 0 AS moved FROM orders LEFT JOIN items ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+  s AS (SELECT o_orderkey, moved, unnest([0, 2, 3, 4 + n]) AS node, unnest(['e', 'd', 'i', 'x']) AS k FROM f UNION ALL SELECT o_orderkey, moved, node, k FROM f JOIN items ON o_orderkey = l_orderkey),
+  kinds AS (SELECT * FROM (VALUES ('e', 'p', 'write'), ('e', 'b', 'write'), ('d', 'p', 'read'), ('d', 'q', 'write'), ('i', 'q', 'read'), ('i', '*p.v', 'write'), ('r', 'p', 'read'), ('r', '*p.next', 'read'), ('r', 'p', 'write'), ('w', 'p', 'read'), ('w', '*p.v', 'write'), ('c', 'q', 'read'), ('c', '*p.v', 'read'), ('c', 'b', 'write'), ('x', 'q', 'read'), ('x', '*p.v', 'read')) AS v (k, region, op)),
+  a AS (SELECT o_orderkey, node, op, region, region NOT LIKE '*%' OR NOT moved AS strong FROM s JOIN kinds USING (k) UNION ALL SELECT o_orderkey, node, op, '?', false FROM s JOIN kinds USING (k) WHERE region LIKE '*%' AND moved),
+  w AS (SELECT *, (SELECT min(node) FROM a b WHERE b.o_orderkey = a.o_orderkey AND b.region = a.region AND b.op = 'write' AND b.strong AND b.node > a.node) AS ends FROM a WHERE op = 'write')"""
 _VIEWS = (
     _BRANCHED + """, vn AS (SELECT function, id, kind, CASE WHEN internal THEN 'true' ELSE 'false' END AS inside FROM (SELECT function, unnest([0, 1, 2, ret]) AS id, unnest(['entry', 'exit', 'stmt', 'return']) AS kind, false AS internal FROM t UNION ALL SELECT function, base + n, kind, internal = 1 FROM b JOIN nodes USING (k))),
   ve AS (SELECT *, row_number() OVER (PARTITION BY function ORDER BY src, ord) - 1 AS i, max(CAST(back AS INT)) OVER (PARTITION BY function) AS looped FROM (SELECT function, 0 AS src, 2 AS dst, 'fall' AS kind, false AS back, 0 AS ord FROM t UNION ALL SELECT function, 2, 3 + CASE WHEN first_k = 4 THEN 1 ELSE 0 END, 'fall', false, 0 FROM t
@@ -704,6 +720,7 @@ ORACLE |= {
     "mem_points_to": _POINTERS + " SELECT name AS function, 'in' AS place, '*in' AS target FROM f UNION ALL SELECT name, 'p', 'x' FROM f UNION ALL SELECT name, 'p', 'y' FROM f WHERE r > 0 UNION ALL SELECT 'touch_' || o_orderkey, 'q', '*q' FROM f WHERE odd = 0",
     "mem_accesses": _POINTERS + " SELECT name AS function, 2 + CASE WHEN r = 0 THEN w ELSE 0 END AS n_strong, CASE WHEN r > 0 THEN 2 * w ELSE 0 END AS n_weak, 1 + CASE WHEN r > 0 THEN 2 * c ELSE c END AS n_reads FROM f",
     "mem_flows": _POINTERS + " SELECT name AS function, CASE WHEN r > 0 THEN 2 * (c + seen) + (1 + w) * (1 + odd) ELSE c + 1 + odd END + odd AS n, CASE WHEN r > 0 THEN 1 + w ELSE 1 END + odd AS n_last FROM f",
+    "mem_walks": _WALKS + " SELECT 'walk_' || w.o_orderkey AS function, w.node AS write_node, r.node AS read_node, w.region, r.region AS read_region, CASE WHEN '?' IN (w.region, r.region) THEN 'unknown' ELSE 'same' END AS via, count(*) AS n FROM w JOIN a r ON w.o_orderkey = r.o_orderkey AND r.op = 'read' AND w.node < r.node AND r.node <= coalesce(w.ends, r.node) AND (w.region = r.region OR '?' IN (w.region, r.region)) GROUP BY ALL",
     "mem_effects": "SELECT 'touch_' || o_orderkey AS function, 0 AS parameter, 'write' AS op FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'order_' || o_orderkey, 0, 'write' FROM orders WHERE o_orderkey % 2 = 0",
     "mem_overlaps": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['v.f'] WHEN 1 THEN ['t.a.b'] ELSE ['*p'] END) AS region, CASE o_orderkey % 3 WHEN 0 THEN 'v.i' WHEN 1 THEN 't.a' ELSE '*q' END AS other, CASE o_orderkey % 3 WHEN 0 THEN 'union' WHEN 1 THEN 'containment' ELSE 'parameters' END AS why FROM orders",
     "mem_uninitialised": "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'p' AS place FROM orders WHERE o_orderkey % 2 <> 0",
@@ -728,7 +745,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
         declared_types, type_conflicts, typed_operations, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
-        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
+        eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_walks, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in exports.FORMATS}
@@ -786,6 +803,7 @@ WHOLE = {
     "branch_measures": "cfg_nodes cfg_edges cyclomatic decision_points back_edges loops cognitive max_nesting max_loop_depth statements short_circuits gotos nodes_case nodes_switch nodes_break nodes_continue nodes_label",
     "mem_accesses": "n_strong n_weak n_reads",
     "mem_flows": "n n_last",
+    "mem_walks": "write_node read_node n",
     "mem_effects": "parameter",
 }
 

@@ -96,6 +96,21 @@ def pointer_sources(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> D
     return orders.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(None).cast("string").alias("path"), F.lit("ordinary").alias("dialect"), text.alias("text"))
 
 
+def walking_sources(spark: SparkSession, sf_dir: str, loop_above: int = 25) -> DataFrame:
+    """One source per order, with a function that walks a list and keeps a pointer to its head.
+
+    A returned line item moves the walking pointer on, another of more than `loop_above`
+    pieces writes to the member it stands at, any other reads the head's.
+    """
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    statement = F.when(F.col("l_returnflag") == "R", F.lit("    p = p->next;\n")).when(F.col("l_quantity") > loop_above, F.format_string("    p->v = %d;\n", F.col("l_quantity").cast("int"))).otherwise(F.lit("    b = q->v;\n"))
+    lines = read("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", statement.alias("s")).alias("x")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("items"))
+    text = F.concat(F.format_string("int walk_%d(struct n *p, int b)\n{\n    struct n *q = p;\n    q->v = 5;\n", F.col("o_orderkey")), F.coalesce(F.array_join(F.col("items.s"), ""), F.lit("")), F.lit("    return q->v;\n}\n"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    orders = read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").repartition(tasks, "o_orderkey")
+    return orders.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(None).cast("string").alias("path"), F.lit("ordinary").alias("dialect"), text.alias("text"))
+
+
 #: Statements of `branch_sources` by number: short circuits, a conditional, a switch that falls through, loops of all
 #: kinds with jumps out of them, nesting, and a goto.  `#` becomes the statement's place in its function.
 BRANCHES = (

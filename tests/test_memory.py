@@ -136,3 +136,59 @@ def test_odd_texts(spark):
         df.collect()
     empty = functions.limit(0)
     assert memory.points_to(empty).count() == 0 and memory.flows(empty, reach).count() == 0
+
+
+def _closure(text):
+    from corvina.plans import c_memory, c_targets
+    from corvina.plans.c_syntax import Tree
+
+    tree = Tree(text)
+    read = c_memory.steps(tree, next(iter(tree.functions())))
+    found = {}
+    for place, target in c_targets.targets(read["steps"], set(read["locals"]), read["unions"]):
+        if place[0] != "%":
+            found.setdefault(place, set()).add(target)
+    return found
+
+
+def test_a_walk_over_a_list_keeps_the_head(spark):
+    text = "int f(struct n *p){ struct n *q = p; q->v = 5; p = p->next; p->v = 1; return q->v; }"
+    assert _closure(text) == {"p": {"*p", "?"}, "q": {"*p", "?"}, "*p.next": {"?"}}
+    functions, found = flows(spark, text)
+    first = min(w for w, _, region, _, _ in found if region == "*p.v")
+    assert (first, max(r for _, r, *_ in found), "*p.v", "*p.v", "same") in found  # q->v = 5 reaches the result
+
+
+def test_closures_end(spark):
+    assert _closure("int f(struct n *p){ struct n *q = p; while (q) q = (struct n *)&q->in; return q->v; }")["q"] == {"*p", "*p.in", "*p.in+"}
+    assert _closure("int f(struct n *p){ struct n *q = p; while (q) { q = (struct n *)&q->a; q = (struct n *)&q->b; } return q->v; }")["q"] >= {"*p", "*p.a", "*p.a.b", "*p.a+", "*p.a+.b"}
+    deep = "int f(struct n *p){ struct n *q = p; " + "".join(f"q = (struct n *)&q->m{i}; " for i in range(30)) + "return q->v; }"
+    assert "*p+" in _closure(deep)["q"] and len(_closure(deep)["q"]) < 50
+    chain = "int f(int b){ int x; int *p0 = &x;" + "".join(f" int *p{i} = p{i - 1};" for i in range(1, 501)) + " return *p500; }"
+    assert _closure(chain)["p500"] == {"x"}
+    back = "int f(int b){ int x; int *p0;" + "".join(f" int *p{i};" for i in range(1, 301)) + "".join(f" p{i - 1} = p{i};" for i in range(1, 301)) + " p300 = &x; return *p0; }"
+    assert _closure(back)["p0"] == {"x"}
+
+
+@pytest.mark.parametrize(
+    ("body", "place", "want"),
+    [
+        ("int a, b; int *t[2] = {&a, &b}; int *q = t[0];", "q", "?"),  # elements set as a whole
+        ("int a; struct s u, v; u.n = &a; v = u; int *q = v.n;", "q", "?"),
+        ("int a; int *q = &a; keep(&q); *q = 1;", "q", "?"),  # others may turn it
+        ("int a; int *q = b ? &a : elsewhere;", "q", "?"),
+        ("int a, c; union u v; v.x = &a; v.y = &c; int *q = v.y;", "q", "?"),
+        ("int a; int *q = &a; keep(q); *q = 1;", "q", None),  # only its target got out
+        ("int a; int *p = &a, *q; int **h = &q; give(h); q = p; *q = 1;", "q", "?"),
+    ],
+)
+def test_what_outsiders_may_have_set_is_unknown(body, place, want):
+    assert ("?" in _closure(f"int f(int b) {{ {body} return 0; }}")[place]) == (want == "?")
+
+
+def test_folded_regions_overlap_what_they_stand_for(spark):
+    text = "int f(struct n *p){ struct n *q = p; while (q) { q = (struct n *)&q->in; q->v = 1; } p->in.v = 2; return p->in.in.v; }"
+    functions = steps(spark, text)
+    found = {(frozenset((r.region, r.other)), r.why) for r in memory.overlaps(functions, memory.points_to(functions)).collect()}
+    assert (frozenset(("*p.in+.v", "*p.in.v")), "repetition") in found and (frozenset(("*p.in+", "*p.in")), "containment") in found
+    assert all(not r.strong for r in memory.accesses(functions, memory.points_to(functions)).filter("region like '%+%'").collect())
