@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mapped, slices, split_words, stored, strings
+from ._common import give_back, mapped, slices, split_words, stored, strings
 
 #: Bytes of the longest context (six at most: an n-gram is one long).
 ORDER = 6
@@ -36,7 +36,7 @@ BLOCK, WINDOW = 48 << 20, 1 << 20
 #: Bytes of context up to which levels are tables, and rows of branches that are solved at once.
 SHORT, BRANCHES = 3, 1 << 19
 #: N-grams that a task holds before it counts them.
-RAW = 4 << 20
+RAW = 2 << 20
 #: What a word counts before it is seen.
 PRIOR = 0.1
 #: Most answers are alike and aren't sent: the only symbol of a context seen once, and a word seen once.
@@ -137,6 +137,8 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
             grams.clear()
             for i in range(0, len(keys), 100_000):
                 yield out(gram=pa.array(keys[i : i + 100_000]), n=pa.array(counts[i : i + 100_000]))
+            del keys, counts
+            give_back()
 
         for batch in slices(batches, "text"):
             if block is None:
@@ -373,8 +375,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     names, counts = pa.concat_arrays([words_of["word"].combine_chunks().cast(pa.large_string())]), words_of["value"].to_numpy()
                     answer = Answers(grams_of["gram"].to_numpy(), grams_of["value"].to_numpy())
                     held[0].clear(), held[1].clear()
+                    del words_of, grams_of
+                    give_back()
                 for packed in part.column("texts"):
                     yield from map(scored, pa.ipc.open_stream(packed.as_buffer()))
+        names, counts, answer = None, None, None
+        give_back()
 
     dealt = parts.repartition("block").sortWithinPartitions("block", "what")
     found = mapped(dealt, run, f"doc_id {kind}, held_out boolean, words long, known long, base double, score double")
