@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import c_types
 from .functions import text as texts
-from .operators import annotations, declared, evaluation, exports, flow, graphs, memory, metrics
+from .operators import annotations, declared, evaluation, exports, flow, graphs, lowered, memory, metrics
 from .plans import c_measure, stage
 from .sources import corpus
 
@@ -335,6 +335,42 @@ def typed_operations(spark, sf_dir):
     return made.select("source_id", "ord", "op", "type", F.array_join("operands.type", "|").alias("operands"), F.array_join("operands.converted", "|", "-").alias("converted"))
 
 
+def _lowered(spark, sf_dir):
+    """Orders as functions over two integer types, chosen by their keys, with a compound assignment, `&&`, a call, an increment and `?:`; odd orders state a fact."""
+    kinds = F.array(*map(F.lit, TYPED))
+    a, b = (F.get(kinds, (F.col(c) % len(TYPED)).cast("int")) for c in ("o_orderkey", "o_custkey"))
+    fact = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("// fact: capacity(b) = "), F.col("o_custkey").cast("string"), F.lit("\n"))).otherwise("")
+    text = F.concat(fact, F.lit("int f("), a, F.lit(" a, "), b, F.lit(" b)\n{\n    a += b;\n    return a && f(b++, 1) ? a : b;\n}\n"))
+    orders = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism)
+    return orders.select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))
+
+
+def lowered_operations(spark, sf_dir):
+    """Whole lists of operations: conversions, inputs, blocks and guards."""
+    made = lowered.operations(lowered.lowered(_lowered(spark, sf_dir)))
+    guard = F.array_join(F.transform("guards", lambda g: F.concat(g["id"].cast("string"), F.when(g["holds"], ":true").otherwise(":false"))), ",")
+    return made.select("source_id", "id", "kind", "op", "type", F.array_join(F.col("inputs").cast("array<string>"), ",").alias("inputs"), "block", "root", guard.alias("guarded_by"), F.coalesce("from", F.lit("")).alias("source"), F.coalesce("operand_type", F.lit("")).alias("operand_type"), F.coalesce("access", F.lit("")).alias("access"), F.coalesce("name", F.lit("")).alias("name"))
+
+
+def lowered_orders(spark, sf_dir):
+    """All order pairs between operations, by kind."""
+    return lowered.orders(lowered.lowered(_lowered(spark, sf_dir))).select("source_id", "first", "second", "kind")
+
+
+def lowered_facts(spark, sf_dir):
+    """Facts on the loads and stores of the parameter that they speak of."""
+    sources = _lowered(spark, sf_dir)
+    return lowered.facts_of_accesses(lowered.lowered(sources), annotations.facts(sources, marker="fact")).select("source_id", "id", "facts", "facts_source")
+
+
+def _export_operations(fmt: str):
+    def query(spark, sf_dir):
+        sources = _lowered(spark, sf_dir)
+        return exports.render(lowered.views(lowered.lowered(sources), annotations.facts(sources, marker="fact")), fmt).select("source_id", "text")
+
+    return query
+
+
 def usual_conversions(spark, sf_dir):
     return c_types.conversion_table(spark)
 
@@ -732,6 +768,66 @@ ORACLE["typed_operations"] = (
     "SELECT id AS source_id, unnest([0, 1, 2, 3, 4, 5, 6, 7])::BIGINT AS ord, unnest(['+', '=', '<<', '=', '<', '=', '-', '=']) AS op, unnest([m, 'long', pa, 'long', 'int', 'long', pa, 'long']) AS type, unnest([a || '|' || b, m, a || '|' || b, pa, a || '|' || b, 'int', a, pa]) AS operands, "
     "unnest([two, CASE WHEN m = 'long' THEN '-' ELSE 'long' END, CASE WHEN a = pa THEN '-' ELSE pa END || '|' || CASE WHEN b = pb THEN '-' ELSE pb END, CASE WHEN pa = 'long' THEN '-' ELSE 'long' END, two, 'long', CASE WHEN a = pa THEN '-' ELSE pa END, CASE WHEN pa = 'long' THEN '-' ELSE 'long' END]) AS converted FROM q"
 )
+# Operations in order: whether it is there, kind, op, type, inputs, block, root, guard, whether it holds, what stands for it if it isn't there, type converted from, operand type, access, name.
+_LOWERED = (
+    f"WITH c AS ({ORACLE['usual_conversions']}), o AS (SELECT o_orderkey, o_custkey, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_orderkey % {len(TYPED)} AS INT) + 1] AS a, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_custkey % {len(TYPED)} AS INT) + 1] AS b FROM orders), "
+    "p AS (SELECT o_orderkey, o_custkey, o.a AS a, o.b AS b, c.common AS m, x.common AS pa, y.common AS pb, z.common AS mb FROM o JOIN c ON c.a = o.a AND c.b = o.b JOIN c x ON x.a = o.a AND x.b = '_Bool' JOIN c y ON y.a = o.b AND y.b = '_Bool' JOIN c z ON z.a = o.b AND z.b = 'int'), "
+    "s AS (SELECT o_orderkey, o_custkey, unnest(["
+    + ", ".join(
+        "{" + f"'seq': {i}, 'here': {here}, 'kind': '{kind}', 'op': '{op}', 'type': {t}, 'ins': {ins}::INT[], 'block': {block}, 'root': {root}, 'guard': {guard}, 'holds': '{holds}', 'falls': {falls}, 'source': {source}, 'operand': {operand}, 'access': '{access}', 'name': '{name}'" + "}"
+        for i, here, kind, op, t, ins, block, root, guard, holds, falls, source, operand, access, name in [
+            (1, "true", "load", "a", "a", [], 2, 0, 0, "", 0, "''", "''", "scalar", "a"),
+            (2, "true", "load", "b", "b", [], 2, 0, 0, "", 0, "''", "''", "scalar", "b"),
+            (3, "pa <> a", "convert", "promotion", "pa", [1], 2, 0, 0, "", 1, "a", "''", "", ""),
+            (4, "pb <> b", "convert", "promotion", "pb", [2], 2, 0, 0, "", 2, "b", "''", "", ""),
+            (5, "m <> pa", "convert", "usual_arithmetic", "m", [3], 2, 0, 0, "", 3, "pa", "''", "", ""),
+            (6, "m <> pb", "convert", "usual_arithmetic", "m", [4], 2, 0, 0, "", 4, "pb", "''", "", ""),
+            (7, "true", "binary", "+", "m", [5, 6], 2, 0, 0, "", 0, "''", "m", "", ""),
+            (8, "a <> m", "convert", "assignment", "a", [7], 2, 0, 0, "", 7, "m", "''", "", ""),
+            (9, "true", "store", "=", "a", [8], 2, 0, 0, "", 0, "''", "a", "scalar", "a"),
+            (10, "true", "load", "a", "a", [], 3, 1, 0, "", 0, "''", "''", "scalar", "a"),
+            (11, "true", "load", "b", "b", [], 4, 1, 10, "true", 0, "''", "''", "scalar", "b"),
+            (12, "true", "const", "1", "'int'", [], 4, 1, 10, "true", 0, "''", "''", "", ""),
+            (13, "pb <> b", "convert", "promotion", "pb", [11], 4, 1, 10, "true", 11, "b", "''", "", ""),
+            (14, "mb <> pb", "convert", "usual_arithmetic", "mb", [13], 4, 1, 10, "true", 13, "pb", "''", "", ""),
+            (15, "mb <> 'int'", "convert", "usual_arithmetic", "mb", [12], 4, 1, 10, "true", 12, "'int'", "''", "", ""),
+            (16, "true", "binary", "+", "mb", [14, 15], 4, 1, 10, "true", 0, "''", "mb", "", ""),
+            (17, "b <> mb", "convert", "assignment", "b", [16], 4, 1, 10, "true", 16, "mb", "''", "", ""),
+            (18, "true", "store", "=", "b", [17], 4, 1, 10, "true", 0, "''", "b", "scalar", "b"),
+            (19, "true", "const", "1", "'int'", [], 4, 1, 10, "true", 0, "''", "''", "", ""),
+            (20, "true", "call", "f", "'int'", [11, 19], 4, 1, 10, "true", 0, "''", "''", "", ""),
+            (21, "true", "const", "0", "'int'", [], 5, 1, 10, "false", 0, "''", "''", "", ""),
+            (22, "true", "binary", "&&", "'int'", [10, 20, 21], 5, 1, 0, "", 0, "''", "'int'", "", ""),
+            (23, "true", "load", "a", "a", [], 6, 1, 22, "true", 0, "''", "''", "scalar", "a"),
+            (24, "true", "load", "b", "b", [], 7, 1, 22, "false", 0, "''", "''", "scalar", "b"),
+            (25, "pa <> a", "convert", "promotion", "pa", [23], 6, 1, 22, "true", 23, "a", "''", "", ""),
+            (26, "m <> pa", "convert", "usual_arithmetic", "m", [25], 6, 1, 22, "true", 25, "pa", "''", "", ""),
+            (27, "pb <> b", "convert", "promotion", "pb", [24], 7, 1, 22, "false", 24, "b", "''", "", ""),
+            (28, "m <> pb", "convert", "usual_arithmetic", "m", [27], 7, 1, 22, "false", 27, "pb", "''", "", ""),
+            (29, "true", "select", "?:", "m", [22, 26, 28], 8, 1, 0, "", 0, "''", "''", "", ""),
+            (30, "m <> 'int'", "convert", "assignment", "'int'", [29], 8, 1, 0, "", 29, "m", "''", "", ""),
+            (31, "true", "return", "return", "'void'", [30], 9, 1, 0, "", 0, "''", "''", "", ""),
+        ]
+    )
+    + "], recursive := true) FROM p), n AS (SELECT *, count(*) FILTER (here) OVER (PARTITION BY o_orderkey ORDER BY seq) - 1 AS place FROM s), "
+    # an operation that isn't there stands for what it would have converted, at most twice
+    "f1 AS (SELECT n.o_orderkey, n.seq, CASE WHEN n.here THEN n.place ELSE x.place END AS place, n.here OR x.here AS found, x.falls FROM n LEFT JOIN n x ON x.o_orderkey = n.o_orderkey AND x.seq = n.falls), "
+    "ids AS (SELECT f1.o_orderkey, f1.seq, CASE WHEN found THEN f1.place ELSE y.place END AS id FROM f1 LEFT JOIN n y ON y.o_orderkey = f1.o_orderkey AND y.seq = f1.falls), "
+    "i AS (SELECT n.o_orderkey, n.seq, string_agg(ids.id, ',' ORDER BY u.k) AS inputs FROM n, unnest(n.ins) WITH ORDINALITY AS u(x, k) JOIN ids ON ids.o_orderkey = n.o_orderkey AND ids.seq = u.x GROUP BY ALL), "
+    "l AS (SELECT n.*, n.place AS id, coalesce(i.inputs, '') AS inputs, CASE WHEN guard > 0 THEN g.id || ':' || holds ELSE '' END AS guarded_by FROM n LEFT JOIN i USING (o_orderkey, seq) LEFT JOIN ids g ON g.o_orderkey = n.o_orderkey AND g.seq = guard WHERE here)"
+)
+ORACLE["lowered_operations"] = _LOWERED + " SELECT CAST(o_orderkey AS VARCHAR) AS source_id, id, kind, op, type, inputs, block, root, guarded_by, source, operand AS operand_type, access, name FROM l"
+ORACLE["lowered_orders"] = (
+    _LOWERED + ", v AS (SELECT * FROM (VALUES (18, 20, 'sequenced'), (10, 11, 'sequenced'), (10, 12, 'sequenced'), (10, 19, 'sequenced'), (20, 21, 'exclusive'), (26, 28, 'exclusive'), "
+    "(18, 23, 'sequenced'), (20, 23, 'sequenced'), (22, 23, 'sequenced'), (18, 24, 'sequenced'), (20, 24, 'sequenced'), (22, 24, 'sequenced')) AS t (a, b, kind)) "
+    "SELECT CAST(x.o_orderkey AS VARCHAR) AS source_id, least(x.id, y.id) AS first, greatest(x.id, y.id) AS second, kind FROM v JOIN ids x ON x.seq = a JOIN ids y ON y.seq = b AND y.o_orderkey = x.o_orderkey"
+)
+ORACLE["lowered_facts"] = _LOWERED + " SELECT CAST(o_orderkey AS VARCHAR) AS source_id, id, 'capacity=' || o_custkey AS facts, 'comment' AS facts_source FROM l WHERE name = 'b' AND o_orderkey % 2 = 1"
+_LABEL = "kind || ' ' || op"
+ORACLE["export_operations_mermaid"] = (
+    _LOWERED + f", e AS (SELECT o_orderkey, id, unnest(string_split(inputs, ',')) AS src, generate_subscripts(string_split(inputs, ','), 1) AS k FROM l WHERE inputs <> '') "
+    f"SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'flowchart TD' || {_NL} || string_agg('  n' || id || '[\"' || {_LABEL} || '\"]' || {_NL}, '' ORDER BY id) || (SELECT string_agg('  n' || src || ' --> n' || e.id || {_NL}, '' ORDER BY e.id, k) FROM e WHERE e.o_orderkey = l.o_orderkey) AS text FROM l GROUP BY o_orderkey"
+)
 ORACLE["parity_rebuilt"] = f"SELECT name, n_blocks, n_edges, 1 AS n_entries FROM ({ORACLE['parity_blocks']})"
 ORACLE["strip_headers_by_window"] = ORACLE["strip_headers"]
 ORACLE["eval_closure"] = (
@@ -744,11 +840,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
-        declared_types, type_conflicts, typed_operations, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        declared_types, type_conflicts, typed_operations, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_walks, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in exports.FORMATS}
+QUERIES |= {f"export_operations_{fmt}": _export_operations(fmt) for fmt in exports.FORMATS}
 
 #: Whole-number columns of the queries above; both sides give them as 64-bit numbers.
 WHOLE = {
@@ -803,6 +900,9 @@ WHOLE = {
     "branch_measures": "cfg_nodes cfg_edges cyclomatic decision_points back_edges loops cognitive max_nesting max_loop_depth statements short_circuits gotos nodes_case nodes_switch nodes_break nodes_continue nodes_label",
     "mem_accesses": "n_strong n_weak n_reads",
     "mem_flows": "n n_last",
+    "lowered_operations": "id block root",
+    "lowered_orders": "first second",
+    "lowered_facts": "id",
     "mem_walks": "write_node read_node n",
     "mem_effects": "parameter",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from .operators import annotations, exports, flow, graphs, metrics
+from .operators import annotations, exports, flow, graphs, lowered, metrics
 from .plans import c_measure, stage
 
 
@@ -66,6 +66,11 @@ class AnalysisSession:
     def ast(self) -> DataFrame:
         return annotations.ast_nodes(self.sources)
 
+    @cached_property
+    def operations(self) -> DataFrame:
+        """Typed operations of each function in evaluation order, and the order pairs between them."""
+        return lowered.lowered(self.sources)
+
     def call_summaries(self, policy: str = "unknown") -> DataFrame:
         return flow.call_summaries(self.sources, policy)
 
@@ -73,12 +78,13 @@ class AnalysisSession:
         return metrics.hotspots(self.measures, by, limit)
 
     def export(self, representation: str = "cfg", fmt: str = "dot") -> DataFrame:
-        """Graphs as text; representation ast, cfg, cdg, ddg or pdg."""
+        """Graphs as text; representation ast, cfg, cdg, ddg, ops or pdg."""
         views = {
             "ast": lambda: exports.ast_views(self.ast, self.functions),
             "cfg": lambda: exports.cfg_views(self.functions),
             "cdg": lambda: exports.cdg_views(self.functions, self.control_dependence, graphs.control_depth(self.functions), graphs.post_dominators(self.functions)),
             "ddg": lambda: exports.flow_views(self.data_flow),
+            "ops": lambda: lowered.views(self.operations, annotations.facts(self.sources)),
             "pdg": lambda: exports.pdg_views(self.functions, flow.pdg_edges(self.data_flow, self.control_dependence)),
         }
         if representation not in views:
