@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import c_typing
+from ..plans import c_lower, c_typing
 from ..plans.c_syntax import QUALIFIERS, STORAGE, Node, Tree
 from ..plans.c_tokens import Positions
 from .flow import _rows
@@ -75,9 +75,10 @@ def typed_operations(sources: DataFrame) -> DataFrame:
     schema = "source_id string, function_id int, function string, `ord` int, lo int, hi int, op string, type string, operands array<struct<type:string,converted:string>>"
 
     def make(tree: Tree, _):
-        where = Positions(tree.text)
+        where, names = Positions(tree.text), c_lower.Names(tree)
+        results = {k: v for k, v in names.results.items() if v != c_lower.UNKNOWN}
         for number, f in enumerate(tree.functions()):
-            for row in c_typing.operations(tree, f):
+            for row in c_typing.operations(tree, f, names.members, results):
                 span = {"lo": where.byte(tree.tokens[row["lo"]].lo), "hi": where.byte(tree.tokens[max(row["lo"], row["hi"] - 1)].hi)}
                 yield {"function_id": number, "function": tree.name_of(f)} | row | span
 

@@ -58,8 +58,8 @@ def literal(word: str) -> str | None:
 class Typer:
     """Types of one function's expressions; `rows` are operations in the order of their evaluation from the inside out."""
 
-    def __init__(self, tree: Tree, function: Node):
-        self.tree, self.rows = tree, []
+    def __init__(self, tree: Tree, function: Node, members: dict[str, dict[str, str]] | None = None, results: dict[str, str] | None = None):
+        self.tree, self.rows, self.members, self.results = tree, [], members or {}, results or {}
         self.scopes: list[dict[str, str | None]] = [{}]
         head = next((n for n in function.walk() if n.tag == "param_list"), None)
         for p in head.kids if head else []:
@@ -196,13 +196,16 @@ class Typer:
             elif k.tag == "inc_dec_suffix":
                 kind = self.row(node, self.tree.kind(k.main), kind, [(kind, None)])
             elif k.tag == "call_args":
-                kind = self.row(node, "call", None, [(x, None) for x in inner])
+                result = self.results.get(self.tree.word(base.lo)) if called and k is node.kids[1] and not any(self.tree.word(base.lo) in s for s in self.scopes) else None
+                kind = self.row(node, "call", result, [(x, None) for x in inner])
             else:
-                kind = self.row(node, "member", None, [(kind, None)])
+                record = kind if self.tree.kind(k.main) == "." else kind[:-2] if kind and kind.endswith(" *") else None
+                found = self.members.get(record or "", {}).get(self.tree.word(k.main + 1), "unknown")
+                kind = self.row(node, "member", None if found == "unknown" else found.replace(" []", " *"), [(kind, None)])
         return kind
 
 
-def operations(tree: Tree, function: Node) -> Iterator[dict]:
-    """Operations of a function with their types and the conversions of their operands."""
-    for number, (lo, hi, operation, kind, operands) in enumerate(Typer(tree, function).rows):
+def operations(tree: Tree, function: Node, members: dict[str, dict[str, str]] | None = None, results: dict[str, str] | None = None) -> Iterator[dict]:
+    """Operations of a function with their types and the conversions of their operands, given the members of records and the results of functions."""
+    for number, (lo, hi, operation, kind, operands) in enumerate(Typer(tree, function, members, results).rows):
         yield {"ord": number, "lo": lo, "hi": hi, "op": operation, "type": kind, "operands": [{"type": a, "converted": b} for a, b in operands]}

@@ -335,6 +335,16 @@ def typed_operations(spark, sf_dir):
     return made.select("source_id", "ord", "op", "type", F.array_join("operands.type", "|").alias("operands"), F.array_join("operands.converted", "|", "-").alias("converted"))
 
 
+def typed_members(spark, sf_dir):
+    """Operations on members, on members of nested records, on elements and on results of functions, with types chosen by an order's keys."""
+    kinds = F.array(*map(F.lit, TYPED))
+    a, b = (F.get(kinds, (F.col(c) % len(TYPED)).cast("int")) for c in ("o_orderkey", "o_custkey"))
+    text = F.concat(F.lit("struct s { "), a, F.lit(" m, k[2]; struct s *n; }; struct t { struct s in; }; "), a, F.lit(" g(int x); void f(struct s *p, struct t t, "), b, F.lit(" b) { p->n->m + b; t.in.m + b; p->k[1] + b; g(1) + b; }"))
+    rows = _read(spark, sf_dir, "orders").repartition(2 * spark.sparkContext.defaultParallelism).select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))
+    made = declared.typed_operations(rows)
+    return made.select("source_id", "ord", "op", F.coalesce("type", F.lit("?")).alias("type"), F.array_join("operands.type", "|", "?").alias("operands"), F.array_join("operands.converted", "|", "-").alias("converted"))
+
+
 def _lowered(spark, sf_dir):
     """Orders as functions over two integer types, chosen by their keys, with a compound assignment, `&&`, a call, an increment and `?:`; odd orders state a fact."""
     kinds = F.array(*map(F.lit, TYPED))
@@ -768,6 +778,12 @@ ORACLE["typed_operations"] = (
     "SELECT id AS source_id, unnest([0, 1, 2, 3, 4, 5, 6, 7])::BIGINT AS ord, unnest(['+', '=', '<<', '=', '<', '=', '-', '=']) AS op, unnest([m, 'long', pa, 'long', 'int', 'long', pa, 'long']) AS type, unnest([a || '|' || b, m, a || '|' || b, pa, a || '|' || b, 'int', a, pa]) AS operands, "
     "unnest([two, CASE WHEN m = 'long' THEN '-' ELSE 'long' END, CASE WHEN a = pa THEN '-' ELSE pa END || '|' || CASE WHEN b = pb THEN '-' ELSE pb END, CASE WHEN pa = 'long' THEN '-' ELSE 'long' END, two, 'long', CASE WHEN a = pa THEN '-' ELSE pa END, CASE WHEN pa = 'long' THEN '-' ELSE 'long' END]) AS converted FROM q"
 )
+ORACLE["typed_members"] = (
+    ORACLE["typed_operations"].partition(" SELECT id AS source_id")[0]
+    + " SELECT id AS source_id, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9])::BIGINT AS ord, unnest(['member', 'member', '+', 'member', 'member', '+', 'member', '[]', '+', 'call']) AS op, unnest(['struct s *', a, m, 'struct s', a, m, a || ' *', a, m, a]) AS type, "
+    "unnest(['struct s *', 'struct s *', a || '|' || b, 'struct t', 'struct s', a || '|' || b, 'struct s *', a || ' *|int', a || '|' || b, 'int']) AS operands, unnest(['-', '-', two, '-', '-', two, '-', '-|-', two, '-']) AS converted FROM q "
+    "UNION ALL SELECT id, 10, '+', m, a || '|' || b, two FROM q"
+)
 # Operations in order: whether it is there, kind, op, type, inputs, block, root, guard, whether it holds, what stands for it if it isn't there, type converted from, operand type, access, name.
 _LOWERED = (
     f"WITH c AS ({ORACLE['usual_conversions']}), o AS (SELECT o_orderkey, o_custkey, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_orderkey % {len(TYPED)} AS INT) + 1] AS a, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_custkey % {len(TYPED)} AS INT) + 1] AS b FROM orders), "
@@ -840,7 +856,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
-        declared_types, type_conflicts, typed_operations, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        declared_types, type_conflicts, typed_operations, typed_members, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_walks, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
@@ -900,6 +916,7 @@ WHOLE = {
     "branch_measures": "cfg_nodes cfg_edges cyclomatic decision_points back_edges loops cognitive max_nesting max_loop_depth statements short_circuits gotos nodes_case nodes_switch nodes_break nodes_continue nodes_label",
     "mem_accesses": "n_strong n_weak n_reads",
     "mem_flows": "n n_last",
+    "typed_members": "ord",
     "lowered_operations": "id block root",
     "lowered_orders": "first second",
     "lowered_facts": "id",
