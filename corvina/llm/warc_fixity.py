@@ -32,6 +32,8 @@ NEWLINE = "\r\n"
 GAP, GZIP = b"\r\n\r\n", b"\x1f\x8b\x08"
 #: Where a record may begin after damage.
 START = re.compile(rb"WARC/\d\.\d+\r\n|\x1f\x8b\x08[\x00-\x1f]")
+#: Where a line of a plain file begins a record: no head has such a line.
+LINE = re.compile(rb"\r\n(?=WARC/\d\.\d+\r\n)")
 #: Bytes of a compressed record that are unpacked at once at most, and bytes of payload in a batch.
 BLOCK, BATCH = 1 << 16, 8 << 20
 
@@ -153,16 +155,17 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
     Together the records cover the file.  A stretch that is no record, or whose length
     is no number, is given up to the next beginning of a record, with the headers that
-    it has and no payload; a record cut short has the payload that is there.  Time is
-    linear in the file.
+    it has and no payload; a head with a line that begins a record isn't one; a record cut short
+    has the payload that is there.  Time is linear in the file.
     """
     pos, size = 0, len(data)
-    last_gap = data.rfind(GAP)
+    gap = data.find(GAP)  # the first at or after pos: looked for once
     while pos < size:
         headers: dict[str, str] = {}
+        if 0 <= gap < pos:
+            gap = data.find(GAP, pos)
         if data.startswith(b"WARC/", pos):
-            gap = data.find(GAP, pos) if pos <= last_gap else -1
-            if gap >= 0:
+            if gap >= 0 and not LINE.search(data, pos, gap + 2):
                 headers, length = _headers(data[pos:gap])
                 if length is not None:
                     begin = gap + len(GAP)

@@ -112,3 +112,15 @@ def test_parsing_is_linear():
         began = time.process_time()
         assert sum(n for _, n, _, _ in warc_fixity.parse(data)) == len(data)
         assert time.process_time() - began < 15, part  # one that copies the rest for each record takes hours
+
+
+def test_heads_without_end_are_read_once():
+    for tail in (b"\r\n\r\n", b""):
+        data = b"WARC/1.0\r\nContent-Length: x\r\n" * 34_000 + tail
+        began = time.process_time()
+        parsed = list(warc_fixity.parse(data))
+        assert sum(n for _, n, _, _ in parsed) == len(data) and len(parsed) == 34_000
+        assert time.process_time() - began < 1.5
+    good = stored(2)[0]
+    parsed = list(warc_fixity.parse(b"WARC/1.0\r\nContent-Length: 3\r\n" + good))
+    assert [n for _, n, _, _ in parsed][1:] == [n for _, n, _, _ in warc_fixity.parse(good)]
