@@ -64,6 +64,12 @@ STATES = {"has", "with", "without", "no", "not", "is"}
 COMMENT_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 #: As ids of sections, and as classes of sections of an article, these are made from headings.
 TITLES = {"discussion", "related", "notice", "notices", "alert", "alerts", "promotion", "navigation", "copyright", "subscription", "share", "sharing", "social", "advertising", "advertisement"}
+#: Words that are as likely what a text is about as what it is: in an article, by themselves, they make furniture only of links.
+TOPICS = TITLES | {"rail", "skip", "banner", "menu", "menus", "masthead"}
+#: Blocks of running text.
+TEXTS = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "address", "figcaption", "caption", "summary"}
+#: Parts of forms that stand in sentences too.
+CONTROLS = {"label", "button"}
 KEPT_TAGS = {"html", "body", "main", "article"}
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
@@ -89,8 +95,8 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): _decoded((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(source)}
 
 
-#: What _boilerplate() finds: always left out; left out unless it holds the page's text; a header, which may hold the title; comments.
-NONE, ALWAYS, UNLESS_MOST, HEADER, COMMENTS = range(5)
+#: What _boilerplate() finds: always left out; left out unless it holds the page's text; a header, which may hold the title; comments; left out if mostly links.
+NONE, ALWAYS, UNLESS_MOST, HEADER, COMMENTS, IF_LINKS = range(6)
 
 
 def _named(words: list[str], inside: bool) -> int:
@@ -120,7 +126,9 @@ def _boilerplate(tag: str, a: dict[str, str], inside: bool) -> int:
             names.append(words)
     if tag == "section" and inside:
         names = [words for words in names if not TITLES.issuperset(words)]
-    return max((_named(words, inside) for words in names), default=NONE)
+    topics = [words for words in names if words and TOPICS.issuperset(words)] if inside and (tag in TEXTS or tag == "div" and not a.get("class")) else []
+    kind = max((_named(words, inside) for words in names if words not in topics), default=NONE)
+    return IF_LINKS if topics and kind == NONE else kind
 
 
 class Page:
@@ -202,10 +210,15 @@ class _Furniture:
                 total += len(text) - linked
                 if k >= 0:
                     mass[k] += len(text) - linked
+        links = [0] * size
+        for _, _, linked, _, k in blocks:
+            if k >= 0:
+                links[k] += linked
         for k in range(size - 1, -1, -1):
             if self.up[k] >= 0:
                 mass[self.up[k]] += mass[k]
-        marked = [2 * m > total and not (words and kind == COMMENTS) for m, kind in zip(mass, self.kinds, strict=True)]
+                links[self.up[k]] += links[k]
+        marked = [(m > held if kind == IF_LINKS else 2 * m > total) and not (words and kind == COMMENTS) for m, held, kind in zip(mass, links, self.kinds, strict=True)]
         holding = [False] * size
         for k in self.holds["main"]:
             if k >= 0:
@@ -300,7 +313,10 @@ def read(html: str) -> Page:
                 else:
                     unended.add(tag)
             continue
-        if tag in BLOCKS:
+        # in a sentence, a label or button is a part of it
+        spoken = tag in CONTROLS and not dropped and bool(block_at) and stack[block_at[-1]][0] in TEXTS and any(not p.isspace() for p in text.get(around, ()))
+        block = tag in BLOCKS and not spoken
+        if block:
             k = max((at[name][-1] for name in ("p", *ENDS.get(tag, ())) if at.get(name)), default=-1)
             if k >= (containers[-1] if containers else 0):
                 pop_to(k)
@@ -310,7 +326,7 @@ def read(html: str) -> Page:
         at.setdefault(tag, []).append(len(stack))
         if tag in CONTAINERS:
             containers.append(len(stack))
-        if tag in BLOCKS:
+        if block:
             block_at.append(len(stack))
         stack.append((tag, here, dropped, linked, inside, around, heading))
         a = _attributes(m[3]) if m[3].strip(" /") else {}
@@ -320,7 +336,7 @@ def read(html: str) -> Page:
         elif tag in HEADINGS:
             heading = tag
         if not dropped:
-            kind = _boilerplate(tag, a, inside) if tag in BLOCKS or a or tag in DROPPED_TAGS else NONE
+            kind = _boilerplate(tag, a, inside) if not spoken and (tag in BLOCKS or a or tag in DROPPED_TAGS) else NONE
             if around >= 0 and (tag in ("a", "nav") or kind == ALWAYS):
                 furniture.links[around] = True
             if kind == ALWAYS:

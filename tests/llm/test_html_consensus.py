@@ -1,6 +1,8 @@
 import random
 import time
 
+import pytest
+
 from corvina.llm import html_consensus
 
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head>
@@ -163,3 +165,28 @@ def test_votes_against_brute_force(spark):
     want = brute(rows)
     for r in run(spark, [(i, f"http://{h}/{i}", html) for i, h, html in rows]):
         assert r.text in want[r.page_id], r.page_id
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p>one <label>two</label> three</p>", "one two three"),
+        ("<p>Press <button>OK</button> to go on.</p>", "Press OK to go on."),
+        ('<p class="rail">Rail traffic grew.</p>', "Rail traffic grew."),
+        ('<p class="share">Each share rose.</p>', "Each share rose."),
+        ('<p class="skip">To skip is to miss.</p>', "To skip is to miss."),
+        ('<div id="social"><p>Social ties hold.</p></div>', "Social ties hold."),
+        ('<h2 class="navigation">Navigation at sea</h2>', "Navigation at sea"),
+        ('<p class="share"><a href="a">Share</a> <a href="b">Post</a></p>', ""),
+        ('<div id="related"><a href="a">One</a><a href="b">Two</a></div>', ""),
+        ('<p class="advert">Buy this now.</p>', ""),
+        ("<p><button>Share</button></p>", ""),
+        ('<form><p>Your <label>name</label></p></form>', ""),
+        ('<div class="share">Tell a friend</div>', ""),
+    ],
+)
+def test_words_of_a_text_and_words_of_furniture_inside_articles(inner, want):
+    filler = "Plain words of the article that say enough to be its text. " * 3
+    page = html_consensus.read(f"<html><body><article><p>{filler}</p>{inner}<p>{filler}</p></article></body></html>")
+    said = [text for _, text, _, _ in page.blocks]
+    assert said[0] == said[-1] == filler.strip() and "\n".join(said[1:-1]) == want
