@@ -102,6 +102,31 @@ def claim_counts(rows: DataFrame, keys: list[str], claim: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(c).alias("n_true"), F.count_if(~c).alias("n_false"), F.count_if(c.isNull()).alias("n_unavailable"))
 
 
+def run_summary(manifest: DataFrame, results: DataFrame) -> DataFrame:
+    """One row for each run and family, and one for all families of a run (family "all").
+
+    `manifest` has `id, family, expected, start_byte, end_byte`, `results` has `run_id, id,
+    status, found, syntax_complete, cfg_complete, covered_bytes`.  Totals are those of the
+    whole manifest, whether a specimen has a result or not; expected names count as often
+    as they are expected and are found if they are found at all.  Results of no specimen
+    are left to `result_problems`.
+    """
+    known = manifest.select("id", "family", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), (F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+    whole = known.rollup("family").agg(F.count("*").alias("specimens"), F.sum(F.size("expected")).alias("expected"), F.sum("bytes").alias("input_bytes"), F.grouping("family").alias("all"))
+    rows = results.join(known, "id").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    rows = rows.withColumn("hits", F.size(F.filter("expected", lambda x: F.array_contains("found", x))))
+    rows = rows.select("*", F.explode(F.array(F.col("family"), F.lit(None))).alias("of")).withColumn("all", F.col("of").isNull().cast("tinyint"))
+    claims = [f(c, n) for c in ("syntax_complete", "cfg_complete") for n, f in {"true": lambda c, n: F.count_if(F.col(c)).alias(f"{c}_true"), "false": lambda c, n: F.count_if(~F.col(c)).alias(f"{c}_false"), "unavailable": lambda c, n: F.count_if(F.col(c).isNull()).alias(f"{c}_unavailable")}.items()]
+    per = rows.groupBy("run_id", F.when(F.col("all") == 0, F.col("family")).alias("family"), "all")
+    sums = per.agg(F.count("*").alias("results"), F.sum("hits").alias("expected_found"), F.count_if(F.size("found") == 0).alias("without_functions"), F.sum(F.size("found")).alias("found"), F.count("covered_bytes").alias("reporting_coverage"), F.sum("covered_bytes").alias("covered_bytes"), *claims)
+    census = rows.groupBy("run_id", F.when(F.col("all") == 0, F.col("family")).alias("family"), "all", "status").agg(F.count("*").alias("n"))
+    census = census.groupBy("run_id", "family", "all").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "status", "n"))), ",").alias("statuses"))
+    same = lambda a, b: a["family"].eqNullSafe(b["family"]) & (a["all"] == b["all"])
+    joined = sums.join(census, same(sums, census) & (sums.run_id == census.run_id)).select(sums["*"], "statuses")
+    out = joined.join(whole, same(joined, whole))
+    return out.select(joined.run_id, F.when(joined["all"] == 1, "all").otherwise(joined.family).alias("family"), "specimens", "results", "statuses", "expected", "expected_found", "without_functions", "found", "input_bytes", "reporting_coverage", "covered_bytes", *(f"{c}_{n}" for c in ("syntax_complete", "cfg_complete") for n in ("true", "false", "unavailable")))
+
+
 def closure_audit(graphs: DataFrame, proofs: DataFrame) -> DataFrame:
     """`id, problem`: differing graphs without a proof (omitted) and proofs of graphs that don't differ (stale)."""
     differing = graphs.filter("distance > 0").select("id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import c_types
 from .functions import text as texts
-from .operators import annotations, declared, evaluation, exports, flow, graphs, lowered, memory, metrics
+from .operators import annotations, declared, evaluation, exports, flow, graphs, lowered, memory, metrics, symbols
 from .plans import c_measure, stage
 from .sources import corpus
 
@@ -241,7 +241,7 @@ def manifest_problems(spark, sf_dir):
     rows = rows.withColumn("start_byte", F.col("place") % 40).withColumn("end_byte", F.when(F.col("o_orderkey") % 11 == 0, 1000).otherwise(F.col("start_byte") + 1))
     rows = rows.select(F.col("o_orderkey").alias("id"), "source_path", "source_sha256", "start_byte", "end_byte")
     twice = rows.filter("id % 13 = 0").withColumn("source_path", F.lit("none"))
-    return evaluation.manifest_problems(rows.unionByName(twice), sources).filter("problem <> 'overlap'")
+    return evaluation.manifest_problems(rows.unionByName(twice), sources)
 
 
 def _export(fmt: str):
@@ -345,6 +345,29 @@ def typed_members(spark, sf_dir):
     return made.select("source_id", "ord", "op", F.coalesce("type", F.lit("?")).alias("type"), F.array_join("operands.type", "|", "?").alias("operands"), F.array_join("operands.converted", "|", "-").alias("converted"))
 
 
+def resolved_names(spark, sf_dir):
+    """Uses of names by what they stand for, in functions with a block that hides `x` anew for every returned line item."""
+    lines = _read(spark, sf_dir, "lineitem")
+    statement = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("{ T x = "), F.col("l_linenumber").cast("string"), F.lit("; "))).otherwise(F.lit("y = x + g; "))
+    items = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", statement.alias("s")).alias("i")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("i"), F.count_if(F.col("i.s").startswith("{")).cast("int").alias("r"))
+    orders = _read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    body = F.concat(F.coalesce(F.array_join("i.s", ""), F.lit("")), F.repeat(F.lit("} "), F.coalesce("r", F.lit(0))))
+    text = F.concat(F.lit("typedef int T; enum e { A, B }; T g; int f(T x, int y) { "), body, F.lit("for (int g = A; g < B; g++) y = g; return x + g + missing; }"))
+    rows = symbols.resolved(symbols.index(orders.select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text"))))
+    return rows.groupBy("source_id", "name", F.coalesce("kind", F.lit("?")).alias("kind"), F.coalesce("depth", F.lit(-1)).alias("depth")).agg(F.count("*").alias("n"))
+
+
+def eval_runs(spark, sf_dir):
+    """Orders as specimens by priority that should have the functions of all their line items, and results that have those not returned."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("name"), "l_returnflag")
+    names = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("name").alias("expected"), F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("name"))).alias("found"))
+    orders = _read(spark, sf_dir, "orders").withColumn("id", F.col("o_orderkey")).join(names, "id", "left")
+    manifest = orders.select("id", F.col("o_orderpriority").alias("family"), "expected", F.lit(0).alias("start_byte"), (F.col("o_orderkey") % 1000).alias("end_byte"))
+    key = F.col("o_orderkey")
+    results = orders.filter("o_orderkey % 13 <> 0").select(F.concat(F.lit("run"), F.col("o_custkey") % 3).alias("run_id"), "id", F.when(key % 7 == 0, "timeout").otherwise("ok").alias("status"), "found", F.when(key % 5 != 0, key % 2 == 0).alias("syntax_complete"), (key % 3 == 0).alias("cfg_complete"), F.when(key % 11 != 0, key % 100).alias("covered_bytes"))
+    return evaluation.run_summary(manifest, results)
+
+
 def _lowered(spark, sf_dir):
     """Orders as functions over two integer types, chosen by their keys, with a compound assignment, `&&`, a call, an increment and `?:`; odd orders state a fact."""
     kinds = F.array(*map(F.lit, TYPED))
@@ -731,7 +754,9 @@ ORACLE |= {
     "parity_blocks": ORACLE["chain_contraction"].replace("SELECT name AS function,", "SELECT name, n AS n_blocks, n - 1 + r + w AS n_edges, n <= 1 AS degenerate FROM (SELECT name, r, w,").replace("AS n_blocks FROM f LEFT JOIN m ON o_orderkey = l_orderkey", "- 2 AS n FROM f LEFT JOIN m ON o_orderkey = l_orderkey)"),
     "graphs_alike": f"SELECT 'order_' || o_orderkey AS name, NOT coalesce(bool_or(l_returnflag <> 'R' AND l_quantity > {LOOPS} AND l_quantity <= {LOOPS_AFTER}), false) AS isomorphic FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
     "damaged_graphs": _BRANCHED + " SELECT function, 'condition_arms' AS problem, base + n AS node FROM b JOIN nodes USING (k) WHERE kind = 'cond' AND o_orderkey % 2 = 0",
-    "manifest_problems": "SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'duplicate_id' END, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 13 = 0 THEN 'missing_source' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 = 0 THEN 'malformed_hash' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 17 <> 0 THEN 'hash_drift' END, CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 17 <> 0 THEN 'bad_slice' END], lambda x: x IS NOT NULL)) AS problem FROM orders",
+    "manifest_problems": "SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'duplicate_id' END, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 13 = 0 THEN 'missing_source' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 = 0 THEN 'malformed_hash' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 17 <> 0 THEN 'hash_drift' END, CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 17 <> 0 THEN 'bad_slice' END], lambda x: x IS NOT NULL)) AS problem FROM orders "
+    # slices by source, those given twice under no source too
+    "UNION ALL SELECT DISTINCT id, 'overlap' FROM (SELECT *, max(high) OVER (PARTITION BY path ORDER BY low, high, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT id, low, CASE WHEN id % 11 = 0 THEN 1000 ELSE low + 1 END AS high, unnest(CASE WHEN id % 13 = 0 THEN [path, 'none'] ELSE [path] END) AS path FROM (SELECT o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 40 AS low, CASE WHEN o_orderkey % 17 = 0 THEN 'none' ELSE CAST(o_custkey AS VARCHAR) END AS path FROM orders))) WHERE reach > low",
     "shape_measures": "WITH s AS (SELECT DISTINCT p_size AS n, unnest([" + ", ".join(f"'{x}'" for x in corpus.SHAPES) + "]) AS shape FROM part) SELECT shape || ':' || n AS source_id, CASE WHEN shape IN ('parameters', 'function_pointers') THEN n WHEN shape LIKE 'nested%' OR shape IN ('branches', 'cases') THEN 2 WHEN shape = 'declarators' THEN 0 ELSE 1 END AS parameters, "
     "CASE WHEN shape LIKE 'nested%' OR shape IN ('branches', 'cases', 'gotos') THEN n + 1 ELSE 1 END AS cyclomatic, CASE WHEN shape LIKE 'nested%' THEN n * (n + 1) // 2 WHEN shape = 'branches' THEN n WHEN shape = 'gotos' THEN 2 * n WHEN shape = 'cases' THEN 1 ELSE 0 END AS cognitive, "
     "CASE WHEN shape LIKE 'nested%' THEN n WHEN shape IN ('branches', 'cases', 'gotos') THEN 1 ELSE 0 END AS max_nesting, CASE WHEN shape = 'nested_loops' THEN n ELSE 0 END AS max_loop_depth, CASE WHEN shape = 'calls' THEN n ELSE 0 END AS calls, CASE WHEN shape = 'gotos' THEN n ELSE 0 END AS gotos, CASE WHEN shape = 'cases' THEN n ELSE 0 END AS nodes_case FROM s",
@@ -784,6 +809,19 @@ ORACLE["typed_members"] = (
     "unnest(['struct s *', 'struct s *', a || '|' || b, 'struct t', 'struct s', a || '|' || b, 'struct s *', a || ' *|int', a || '|' || b, 'int']) AS operands, unnest(['-', '-', two, '-', '-', two, '-', '-|-', two, '-']) AS converted FROM q "
     "UNION ALL SELECT id, 10, '+', m, a || '|' || b, two FROM q"
 )
+ORACLE["resolved_names"] = """WITH i AS (SELECT l_orderkey AS k, l_returnflag = 'R' AS r, count(*) FILTER (l_returnflag = 'R') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'z' ELSE 'y' END ROWS UNBOUNDED PRECEDING) AS d FROM lineitem),
+  o AS (SELECT o_orderkey AS k, count(*) FILTER (r) AS r, count(*) FILTER (NOT r) AS c FROM orders LEFT JOIN i ON o_orderkey = k GROUP BY o_orderkey),
+  u AS (SELECT k, 'x' AS name, CASE WHEN d = 0 THEN 'parameter' ELSE 'local' END AS kind, CASE WHEN d = 0 THEN 1 ELSE 2 + d END AS depth, count(*) AS n FROM i WHERE NOT r GROUP BY ALL
+    UNION ALL SELECT k, unnest(['x', 'y', 'g', 'g', 'A', 'B', 'T', 'missing']), unnest(['parameter', 'parameter', 'object', 'local', 'enumerator', 'enumerator', 'typedef', '?']), unnest([1, 1, 0, 3, 0, 0, 0, -1]), unnest([1, 1 + c, 1 + c, 3, 1, 1, 2 + r, 1]) FROM o)
+  SELECT CAST(k AS VARCHAR) AS source_id, name, kind, depth, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL"""
+ORACLE["eval_runs"] = """WITH x AS (SELECT l_orderkey AS id, list('f' || l_suppkey % 3) AS e, coalesce(list('f' || l_suppkey % 3) FILTER (l_returnflag <> 'R'), []) AS f FROM lineitem GROUP BY 1),
+  m AS (SELECT o_orderkey AS id, o_custkey, unnest([o_orderpriority, 'all']) AS family, coalesce(e, []) AS e, coalesce(f, []) AS f, o_orderkey % 1000 AS bytes FROM orders LEFT JOIN x ON id = o_orderkey),
+  t AS (SELECT family, count(*) AS specimens, sum(len(e))::BIGINT AS expected, sum(bytes)::BIGINT AS input_bytes FROM m GROUP BY 1),
+  r AS (SELECT *, 'run' || o_custkey % 3 AS run_id, CASE WHEN id % 7 = 0 THEN 'timeout' ELSE 'ok' END AS status, CASE WHEN id % 5 <> 0 THEN id % 2 = 0 END AS s FROM m WHERE id % 13 <> 0)
+  SELECT run_id, family, specimens, count(*) AS results, concat_ws(',', CASE WHEN count(*) FILTER (status = 'ok') > 0 THEN 'ok=' || count(*) FILTER (status = 'ok') END, CASE WHEN count(*) FILTER (status = 'timeout') > 0 THEN 'timeout=' || count(*) FILTER (status = 'timeout') END) AS statuses, expected,
+    sum(len(list_filter(e, lambda q: list_contains(f, q))))::BIGINT AS expected_found, count(*) FILTER (len(f) = 0) AS without_functions, sum(len(f))::BIGINT AS found, input_bytes, count(*) FILTER (id % 11 <> 0) AS reporting_coverage, (sum(id % 100) FILTER (id % 11 <> 0))::BIGINT AS covered_bytes,
+    count(*) FILTER (s) AS syntax_complete_true, count(*) FILTER (NOT s) AS syntax_complete_false, count(*) FILTER (s IS NULL) AS syntax_complete_unavailable, count(*) FILTER (id % 3 = 0) AS cfg_complete_true, count(*) FILTER (id % 3 <> 0) AS cfg_complete_false, 0 AS cfg_complete_unavailable
+  FROM r JOIN t USING (family) GROUP BY run_id, family, specimens, expected, input_bytes"""
 # Operations in order: whether it is there, kind, op, type, inputs, block, root, guard, whether it holds, what stands for it if it isn't there, type converted from, operand type, access, name.
 _LOWERED = (
     f"WITH c AS ({ORACLE['usual_conversions']}), o AS (SELECT o_orderkey, o_custkey, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_orderkey % {len(TYPED)} AS INT) + 1] AS a, ([{', '.join(repr(t) for t in TYPED)}])[CAST(o_custkey % {len(TYPED)} AS INT) + 1] AS b FROM orders), "
@@ -856,7 +894,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
-        declared_types, type_conflicts, typed_operations, typed_members, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        declared_types, type_conflicts, typed_operations, typed_members, resolved_names, eval_runs, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_walks, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
@@ -917,6 +955,8 @@ WHOLE = {
     "mem_accesses": "n_strong n_weak n_reads",
     "mem_flows": "n n_last",
     "typed_members": "ord",
+    "resolved_names": "depth n",
+    "eval_runs": "cfg_complete_unavailable",
     "lowered_operations": "id block root",
     "lowered_orders": "first second",
     "lowered_facts": "id",
