@@ -116,6 +116,34 @@ def pdg_edges(flows: DataFrame, dependence: DataFrame) -> DataFrame:
     return control.unionByName(data.filter("src is not null").distinct())
 
 
+def runtime_bounds(sources: DataFrame) -> DataFrame:
+    """`source_id, function_id, array, lo, hi`: bounds of local arrays that name something, in bytes."""
+
+    def make(tree: Tree, _):
+        where = Positions(tree.text)
+        for number, f in enumerate(tree.functions()):
+            body = f.first("compound_stmt")
+            for d in (n for n in (body.walk() if body else ()) if n.tag == "declarator"):
+                name = next((n for n in d.walk() if n.tag == "decl_name"), None)
+                for s in (k for k in d.kids if k.tag == "array_suffix" and name is not None and any(tree.kind(i) == "identifier" for i in range(k.lo, k.hi))):
+                    yield {"function_id": number, "array": tree.word(name.lo), "lo": where.byte(tree.tokens[s.lo].lo), "hi": where.byte(tree.tokens[max(s.lo, s.hi - 1)].hi)}
+
+    return _rows(sources, "source_id string, function_id int, array string, lo int, hi int", make)
+
+
+def bound_captures(flows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """`source_id, function_id, function, array, lo, variable, def`: definitions that a runtime bound captures where it is declared.
+
+    A bound captures what reaches the uses that stand inside it, found by containment
+    of spans within a function; one without such uses captures nothing.
+    """
+    keys = ["source_id", "function_id"]
+    uses = flows.select(*keys, "function", F.explode("uses").alias("u"), "edges").select(*keys, "function", "u.use", "u.variable", F.col("u.lo").alias("use_lo"), F.col("u.hi").alias("use_hi"), "edges")
+    inside = uses.join(bounds, keys).filter("lo <= use_lo and use_hi <= hi")
+    reaching = inside.select(*keys, "function", "array", "lo", "variable", F.explode(F.filter("edges", lambda e: e["use"] == F.col("use"))).alias("e"))
+    return reaching.select(*keys, "function", "array", "lo", "variable", F.col("e.def").alias("def")).distinct()
+
+
 # What each kind of issue leaves open.
 DIMENSIONS = {"syntax_recovery": "recovery", "unmodeled_effect": "effects", "unknown_memory_effect": "memory", "unknown_memory_read": "memory"}
 

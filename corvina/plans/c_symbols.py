@@ -88,7 +88,7 @@ class Symbols:
                 if name is not None:
                     kind = "typedef" if typedef else "function" if k.first("param_list") is not None else "local" if depth else "object"
                     self.add(name.lo, kind, k.hi, end, depth)
-                for n in (x for s in k.kids if s.tag == "array_suffix" for x in s.kids):
-                    self.walk(n, depth, end)
+                for s in (s for s in k.kids if s.tag == "array_suffix"):
+                    self.used += [(self.tree.word(i), i, self.function) for i in range(s.lo, s.hi) if self.tree.kind(i) == "identifier"]
             elif k is not head:
                 self.walk(k, depth, end)

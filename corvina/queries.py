@@ -345,6 +345,16 @@ def typed_members(spark, sf_dir):
     return made.select("source_id", "ord", "op", F.coalesce("type", F.lit("?")).alias("type"), F.array_join("operands.type", "|", "?").alias("operands"), F.array_join("operands.converted", "|", "-").alias("converted"))
 
 
+def bound_captures(spark, sf_dir):
+    """Definitions that the bounds of an array capture: each returned line item sets the bound anew, any other may."""
+    statement = F.when(F.col("l_returnflag") == "R", F.lit("n = 2; ")).otherwise(F.lit("if (m) n = 3; "))
+    items = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", statement.alias("s")).alias("i")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    orders = _read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    text = F.concat(F.lit("int f(int n, int m) { "), F.coalesce(F.array_join("i.s", ""), F.lit("")), F.lit("int a[n * m][4], b[n + 1][n]; n = 5; return a[0][1] + b[n][0]; }"))
+    sources = stage.written(orders.select(F.col("o_orderkey").cast("string").alias("source_id"), text.alias("text")))
+    return flow.bound_captures(flow.data_flow(sources), flow.runtime_bounds(sources)).groupBy("source_id", "array", "variable", "def").agg(F.count("*").alias("bounds"))
+
+
 def resolved_names(spark, sf_dir):
     """Uses of names by what they stand for, in functions with a block that hides `x` anew for every returned line item."""
     lines = _read(spark, sf_dir, "lineitem")
@@ -814,6 +824,10 @@ ORACLE["resolved_names"] = """WITH i AS (SELECT l_orderkey AS k, l_returnflag =
   u AS (SELECT k, 'x' AS name, CASE WHEN d = 0 THEN 'parameter' ELSE 'local' END AS kind, CASE WHEN d = 0 THEN 1 ELSE 2 + d END AS depth, count(*) AS n FROM i WHERE NOT r GROUP BY ALL
     UNION ALL SELECT k, unnest(['x', 'y', 'g', 'g', 'A', 'B', 'T', 'missing']), unnest(['parameter', 'parameter', 'object', 'local', 'enumerator', 'enumerator', 'typedef', '?']), unnest([1, 1, 0, 3, 0, 0, 0, -1]), unnest([1, 1 + c, 1 + c, 3, 1, 1, 2 + r, 1]) FROM o)
   SELECT CAST(k AS VARCHAR) AS source_id, name, kind, depth, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL"""
+ORACLE["bound_captures"] = """WITH i AS (SELECT l_orderkey AS k, l_returnflag = 'R' AS r, 1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'n' ELSE 'i' END) AS def FROM lineitem),
+  d AS (SELECT o_orderkey AS k, 0 AS def, true AS r FROM orders UNION ALL SELECT k, def, r FROM i), l AS (SELECT k, max(def) FILTER (r) AS last FROM d GROUP BY k),
+  n AS (SELECT k, def FROM d JOIN l USING (k) WHERE def >= last)
+  SELECT CAST(k AS VARCHAR) AS source_id, unnest(['a', 'b']) AS "array", 'n' AS variable, def, unnest([1, 2])::BIGINT AS bounds FROM n UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'a', 'm', 1, 1 FROM orders"""
 ORACLE["eval_runs"] = """WITH x AS (SELECT l_orderkey AS id, list('f' || l_suppkey % 3) AS e, coalesce(list('f' || l_suppkey % 3) FILTER (l_returnflag <> 'R'), []) AS f FROM lineitem GROUP BY 1),
   m AS (SELECT o_orderkey AS id, o_custkey, unnest([o_orderpriority, 'all']) AS family, coalesce(e, []) AS e, coalesce(f, []) AS f, o_orderkey % 1000 AS bytes FROM orders LEFT JOIN x ON id = o_orderkey),
   t AS (SELECT family, count(*) AS specimens, sum(len(e))::BIGINT AS expected, sum(bytes)::BIGINT AS input_bytes FROM m GROUP BY 1),
@@ -894,7 +908,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_graph, metrics_shape, metrics_size, halstead_counts, node_census, edge_census, hotspots_topk, summary_distribution, report_totals, call_graph, defined_names, report_compare, compare_totals, feature_vectors,
         tokens_by_kind, graph_nodes, graph_edges, branch_measures, control_dependence, post_dominators, control_depth, descendants, backward_slices, node_degrees, chain_contraction, graph_problems, ged_size_delta, ged_distance, parity_resolve, parity_blocks, parity_units, data_flow_counts,
-        declared_types, type_conflicts, typed_operations, typed_members, resolved_names, eval_runs, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
+        declared_types, type_conflicts, typed_operations, typed_members, resolved_names, bound_captures, eval_runs, lowered_operations, lowered_orders, lowered_facts, usual_conversions, literal_types, mutation_totality, manifest_identity, loop_bounds, constant_loops, stated_facts, ast_tags, source_provenance, dead_stores, flow_edges, call_summaries, reach_claims, file_lines, split_lines, strip_headers, strip_headers_by_window, normalize_decompiled, escape_controls, eval_distribution, eval_strata, eval_overlaps, eval_accuracy,
         eval_problems, eval_closure, mem_points_to, mem_accesses, mem_flows, mem_walks, mem_effects, mem_overlaps, mem_uninitialised, parity_rebuilt, graphs_alike, damaged_graphs, manifest_problems, shape_measures, shape_times,
     )
 }
@@ -956,6 +970,7 @@ WHOLE = {
     "mem_flows": "n n_last",
     "typed_members": "ord",
     "resolved_names": "depth n",
+    "bound_captures": "def",
     "eval_runs": "cfg_complete_unavailable",
     "lowered_operations": "id block root",
     "lowered_orders": "first second",

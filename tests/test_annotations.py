@@ -71,7 +71,7 @@ def test_session_and_table_functions(spark):
     for n in nodes[1:]:
         assert nodes[n.parent].node < n.node < nodes[n.parent].subtree_end
     with pytest.raises(ValueError):
-        session.export("ops")
+        session.export("nothing")
     session.close()
     register(spark)
     spark.createDataFrame([("int a(void) { return 1; }",)], "text string").createOrReplaceTempView("texts")

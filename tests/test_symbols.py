@@ -45,3 +45,16 @@ def test_totals_of_runs_are_those_of_the_manifest(spark):
     assert {k: (r.specimens, r.results, r.statuses, r.expected, r.expected_found, r.input_bytes) for k, r in got.items()} == {"all": (3, 2, "error=1,ok=1", 4, 2, 15), "a": (2, 1, "ok=1", 3, 2, 11), "b": (1, 1, "error=1", 1, 0, 4)}
     assert (got["all"].syntax_complete_true, got["all"].syntax_complete_unavailable, got["all"].cfg_complete_false, got["all"].covered_bytes, got["all"].without_functions) == (1, 1, 1, 7, 1)
     assert evaluation.run_summary(manifest, results.limit(0)).count() == 0
+
+
+def test_bounds_capture_what_reaches_them(spark):
+    from corvina.operators import flow
+
+    text = "int f(int n, int m) { n = m + 1; if (m) n = 2; int a[n * 2][m], k[4]; n = 5; return a[0][1] + k[n]; }"
+    sources = spark.createDataFrame([("s", text), ("none", None)], "source_id string, text string")
+    bounds = flow.runtime_bounds(sources)
+    assert [(r.array, text[r.lo : r.hi]) for r in bounds.collect()] == [("a", "[n * 2]"), ("a", "[m]")]
+    got = {(r.array, r.variable, getattr(r, "def")) for r in flow.bound_captures(flow.data_flow(sources), bounds).collect()}
+    assert got == {("a", "n", 2), ("a", "n", 3), ("a", "m", 1)}
+    inner = "int m; int f(int n) { int a[n + m]; return a[n]; }"
+    assert resolved(spark, inner)["m", at(inner, "m", 2)][0] == "object"
