@@ -42,3 +42,14 @@ def test_what_is_kept_is_bounded():
         for n in range(20):
             assert reader.read(f"int f{'x' * n}_4(void)\n{{\n}}\n")[0] == [{"name": f"f{'x' * n}_4"}]
     assert len(reader.known) <= 3 and len(reader.former) <= 3
+
+
+def test_operations_of_alike_texts_are_those_read_alone():
+    from corvina.plans import c_lower
+
+    for _ in range(3):
+        for n in (1, 20, 300, 4_000):
+            for number in (7, 4_000_000_000):  # types hang on numbers
+                text = f"// fact: capacity(b_{n}) = {n}\nint f_{n}(long b_{n})\n{{\n    b_{n} += {number};\n    return b_{n} && g_{n + 1}(b_{n}++) ? {number} : 2;\n}}\n"
+                assert c_lower.functions(text) == c_lower._read(Tree(text))[0]
+    assert len(c_lower._reader.known) > 0

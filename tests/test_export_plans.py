@@ -9,4 +9,5 @@ def test_graphml_works_its_keys_out_once(spark):
     rows = exports.render(exports.cfg_views(stage.functions(stage.parse(sources))), "graphml")
     # those of nodes and those of edges; within a lambda they would be worked out for every attribute
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 2
-    assert rows.first().text.count("<key id=") == 5
+    # label, start, end and expression_internal of nodes, label and back of edges
+    assert rows.first().text.count("<key id=") == 6
