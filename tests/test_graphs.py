@@ -220,3 +220,19 @@ def test_manifest_problems(spark):
     got = sorted((r.id, r.problem) for r in evaluation.manifest_problems(manifest, sources).collect())
     assert got == [(2, "overlap"), (3, "bad_slice"), (3, "overlap"), (4, "hash_drift"), (5, "missing_source"), (6, "bad_slice"), (6, "malformed_hash"), (7, "duplicate_id"), (7, "overlap"), (8, "bad_slice"), (8, "malformed_hash"), (8, "missing_source")]
     assert evaluation.manifest_problems(manifest.limit(0), sources).count() == 0
+
+
+def test_problems_of_alike_sources_are_found_once_and_are_those_of_each_alone(spark, monkeypatch):
+    from corvina.plans import c_alike, stage
+    from corvina.sources import corpus
+
+    rows = [(str(n), f"int order_{n}(int a, int b)\n{{\n    int total = 0;\n    {corpus.BRANCHES[n % 8].replace('#', '0')}\n    return total;\n}}\n", "false" if n % 3 else None) for n in range(1, 60)]
+    sources = spark.createDataFrame(rows, "source_id string, text string, lost string").coalesce(1)
+    parsed = stage.functions(stage.parse(sources)).join(sources.select("source_id", "lost"), "source_id")
+    wanted = sorted(map(tuple, graphs.problems(parsed, "lost").collect()))
+    assert wanted and sorted(map(tuple, graphs.problems(stage.Unparsed(sources), "lost").collect())) == wanted
+
+    solved = []
+    reader = c_alike.Reader(lambda tree, *given: (solved.append(given) or [{"function_id": 0, "name": tree.name_of(tree.functions()[0])}], 1), numbers=True)
+    told = [c_alike.per_text(reader, text, (lost,)) for _, text, lost in rows]
+    assert len(solved) < len(rows) and [t[0]["name"] for t in told] == [f"order_{n}" for n in range(1, 60)]
