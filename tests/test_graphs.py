@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from corvina.operators import evaluation, graphs
 from corvina.plans import c_depend, c_graph, c_measure, c_syntax
@@ -233,6 +234,24 @@ def test_problems_of_alike_sources_are_found_once_and_are_those_of_each_alone(sp
     assert wanted and sorted(map(tuple, graphs.problems(stage.Unparsed(sources), "lost").collect())) == wanted
 
     solved = []
-    reader = c_alike.Reader(lambda tree, *given: (solved.append(given) or [{"function_id": 0, "name": tree.name_of(tree.functions()[0])}], 1), numbers=True)
+    reader = c_alike.Reader(lambda tree, *given: (solved.append(given) or [{"function_id": 0, "name": tree.name_of(f)} for f in tree.functions()], len(tree.functions())), numbers=True)
     told = [c_alike.per_text(reader, text, (lost,)) for _, text, lost in rows]
     assert len(solved) < len(rows) and [t[0]["name"] for t in told] == [f"order_{n}" for n in range(1, 60)]
+
+
+def test_equal_nodes_are_matched_before_others(monkeypatch):
+    rng = random.Random(5)
+    sizes = []
+    assign = c_depend.assign
+    monkeypatch.setattr(c_depend, "assign", lambda cost: sizes.append(len(cost)) or assign(cost))
+    for _ in range(200):
+        x, y = ([(rng.randrange(4), rng.randrange(3), i == 0 and rng.random() < 0.8, i == 1) for i in range(rng.randrange(7))] for _ in range(2))
+        x2, y2 = np.array(x, np.int64).reshape(len(x), 4), np.array(y, np.int64).reshape(len(y), 4)
+        cost = np.full((len(x) + len(y),) * 2, 10**9)
+        cost[: len(x), : len(y)] = np.abs(x2[:, None, :2] - y2[None, :, :2]).sum(2) + c_depend.ROLE_PENALTY * (x2[:, None, 2:] != y2[None, :, 2:]).any(2)
+        cost[np.arange(len(x)), len(y) + np.arange(len(x))] = 1 + x2[:, :2].sum(1)
+        cost[len(x) + np.arange(len(y)), np.arange(len(y))] = 1 + y2[:, :2].sum(1)
+        cost[len(x) :, len(y) :] = 0
+        assert c_depend.edit_distance(x, y, 0, 0) == (assign(cost) if x or y else 0, False)
+    sizes.clear()
+    assert c_depend.edit_distance(x, x[::-1], 0, 0) == (0, False) and not sizes
