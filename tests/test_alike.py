@@ -53,3 +53,88 @@ def test_operations_of_alike_texts_are_those_read_alone():
                 text = f"// fact: capacity(b_{n}) = {n}\nint f_{n}(long b_{n})\n{{\n    b_{n} += {number};\n    return b_{n} && g_{n + 1}(b_{n}++) ? {number} : 2;\n}}\n"
                 assert c_lower.functions(text) == c_lower._read(Tree(text))[0]
     assert len(c_lower._reader.known) > 0
+
+
+def test_damaged_texts_read_by_pieces_are_those_read_whole(monkeypatch):
+    from corvina.operators.evaluation import mutate
+
+    read = []
+    whole = c_measure._whole
+    for n in range(150):
+        text, _ = mutate("\n".join(BODY % (k, 7, 9, k, 3, k, "") for k in range(n + 1, n + 9)), n, 1 + n % 4)
+        wanted = whole(Tree(text), "counts")
+        monkeypatch.setattr(c_measure, "_whole", lambda tree, *a: read.append(len(tree.text)) or whole(tree, *a))
+        assert c_measure.unit(text, "counts") == wanted
+        monkeypatch.setattr(c_measure, "_whole", whole)
+    assert sum(read) < 150 * 8 * len(BODY) * 0.8
+
+
+CALLS = [
+    "int f_1(int a, int b)\n{\n    return g_30(a) + g_4(b, h_4(a));\n}\n", "int f_2(int a, int b)\n{\n    return g_3(a) + g_40(b, h_40(a));\n}\n", "int g_3(int a)\n{\n    return a;\n}\nint f_4(int a)\n{\n    return g_3(a);\n}\n",
+    "int g_5(int a)\n{\n    if (a > 3) {\n        return 1;\n    }\n    return __builtin_expect(a, 2);\n}\n", "int f_6(int a)\n{\n    return a[;\n}\n", "int f_7(int a)\n{\n    return a;\n}\nint f_7(int a)\n{\n    return f_7(1);\n}\n", "",
+]
+
+
+@pytest.mark.parametrize("policy", ["unknown", "taint_return", "assume_pure_no_flow"])
+def test_summaries_by_function_are_those_of_the_text(policy):
+    from corvina.operators import flow
+    from corvina.plans import c_dataflow
+
+    for _ in range(3):
+        for text in [*CALLS, CALLS[0] + CALLS[1], *(CALLS[0].replace("f_1", f"f_{n}") for n in range(50, 60))]:
+            assert flow._summaries(text, policy) == c_dataflow.summaries(Tree(text), policy)
+
+
+def _sources(spark, texts):
+    return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source_id string, text string").coalesce(1)
+
+
+BOUNDS = [f"int f_{n}(int n, int m)\n{{\n    {'if (m) n = 3; ' * (n % 3)}\n    int a_{n}[n * m][4], b[n + {n}][n];\n    n = 5;\n    {{ int m = n; int c[m]; }}\n    return a_{n}[0][1] + b[n][0];\n}}\n" for n in range(1, 40)]
+
+
+def test_captures_in_one_pass_are_those_of_the_join(spark):
+    from corvina.operators import flow
+
+    sources = _sources(spark, [*BOUNDS, BOUNDS[0] + BOUNDS[1] + BOUNDS[31], "int é(int n) { int a[n]; }"])
+    wanted = sorted(map(tuple, flow.bound_captures(flow.data_flow(sources), flow.runtime_bounds(sources)).collect()))
+    assert len(wanted) > 100 and sorted(map(tuple, flow.captured(sources).collect())) == wanted
+
+
+def test_names_resolved_within_a_pass_are_those_of_the_join(spark):
+    from corvina.operators import symbols
+
+    texts = [f"typedef int T_{n}; enum e {{ A, B }}; T_{n} g; int f_{n}(T_{n} x, int y) {{ {'{ T_%d x = 3; ' % n * (n % 3)}y = x + {n}; {'} ' * (n % 3)}for (int g = A; g < B; g++) y = g; return x + g + missing_{n}; }}" for n in range(1, 30)]
+    sources = _sources(spark, [*texts, "int é; int f(int x)\n{\n    return é + x;\n}\nint g(void)\n{\n    return f(é);\n}\n"])
+    key = lambda r: tuple((v is not None, v) for v in r)
+    wanted = sorted(map(tuple, symbols.resolved(symbols.index(sources)).collect()), key=key)
+    assert len(wanted) > 100 and sorted(map(tuple, symbols.resolved_within(sources).collect()), key=key) == wanted
+
+
+def test_fields_of_flows_are_those_of_whole_flows(spark):
+    from corvina.operators import flow
+
+    sources = _sources(spark, [*BOUNDS, BOUNDS[0] + BOUNDS[1]])
+    pick = ["source_id", "function_id", "function", "dead_stores", "unused"]
+    assert sorted(map(str, flow.data_flow(sources, ["dead_stores", "unused"]).select(*pick).collect())) == sorted(map(str, flow.data_flow(sources).select(*pick).collect()))
+
+
+def test_graphs_without_places_sizes_and_blocks_of_alike_sources(spark):
+    from corvina.operators import graphs
+    from corvina.plans import c_parity, stage
+
+    texts = [*BOUNDS, BOUNDS[3] + BOUNDS[4]]
+    sources = _sources(spark, texts)
+    whole = stage.functions(stage.parse(sources))
+    rows = {(r.source_id, r.function_id): r for r in whole.collect()}
+    got = graphs.unplaced(stage.Unparsed(sources)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        old = rows[r.source_id, r.function_id]
+        assert r.name == old.name and [(n.id, n.kind, n.internal, n.live, n.ends) for n in r.cfg_nodes] == [(n.id, n.kind, n.internal, n.live, n.ends) for n in old.cfg_nodes] and r.cfg_edges == old.cfg_edges
+    best = lambda df, *size: {(r.source_id, r.name) for r in graphs.best_by_name(df, *size).collect()}
+    assert best(graphs.sizes(stage.Unparsed(sources)), "n_nodes") == best(whole)
+    assert all(r.isomorphic for r in graphs.isomorphic(stage.Unparsed(sources), stage.Unparsed(sources)).collect())
+    for r in graphs.parity_blocks(_sources(spark, BOUNDS)).collect():
+        tree = Tree(BOUNDS[int(r.source_id)])
+        b = c_parity.blocks(tree, tree.functions()[0])
+        assert (r.nodes, [tuple(e) for e in r.edges], r.degenerate) == (b["nodes"], b["edges"], b["degenerate"]) and r.name == tree.name_of(tree.functions()[0])
