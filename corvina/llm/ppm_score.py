@@ -10,13 +10,17 @@ the empty context all symbols not yet excluded are alike.  The probabilities of
 symbol sum to one in each context.
 
 The trie has a row for each context and symbol; lower orders are sums over it.  Texts never meet the whole trie: the documents of a block ask for their distinct
-n-grams, a join gives the log-probability of each, and the answers go back to the
-block.  What a task holds is one block's answers, however large the trie is.
-The unigram base is found in the same way, with words for n-grams.
+n-grams, and the log-probability of each goes back to the block.  A block asks each
+range of contexts for its n-grams of that range in one row, sorted and compressed, and
+gets one row back, so an n-gram takes a byte or two on its way in place of a row.
+What a task holds is one block's answers, or the distinct n-grams of one range, however
+large the trie is.  The unigram base is found in the same way, with words for n-grams.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +36,18 @@ ORDER = 6
 #: The end mark, a byte that no UTF-8 text has, and the number of symbols.
 END, SYMBOLS = 0xFF, 256
 #: Bytes of text of a block, and of a window whose n-grams are looked up at once.
-BLOCK, WINDOW = 48 << 20, 1 << 20
-#: Bytes of context up to which levels are tables, and rows of branches that are solved at once.
-SHORT, BRANCHES = 3, 1 << 19
+BLOCK, WINDOW = 32 << 20, 1 << 19
+#: Bytes of context up to which levels are tables, and bytes of text for each range of longer contexts, or of words.
+SHORT, RANGE = 4, 16 << 20
 #: N-grams that a task holds before it counts them.
-RAW = 2 << 20
+RAW = 1 << 20
+#: How hard texts and words are compressed.
+LEVEL = 6
 #: What a word counts before it is seen.
 PRIOR = 0.1
-#: Most answers are alike and aren't sent: the only symbol of a context seen once, and a word seen once.
+#: Many answers are alike and aren't kept: the only symbol of a context seen once, and a word seen once.
 USUAL, USUAL_COUNT = float(np.log10(0.5)), 1.0
+ANSWER = ["keys", "seen", "totals", "escapes"]
 WHAT = {"word": 0, "gram": 1, "texts": 2}
 
 
@@ -95,17 +102,82 @@ def _counted(words: list[pa.Table]) -> pa.Table:
     return pa.table({"word": coded.dictionary, "n": pa.array(n.astype(np.int64))})
 
 
-def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """The documents dealt to blocks (null text: empty), and what each block asks for.
+def squeezed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed: all lowest bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def squeezed_words(words: list[bytes]) -> bytes:
+    """Words, which have no line feeds, compressed with one to a line."""
+    lines = b"\n".join(words)
+    return len(lines).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(lines, asbytes=True)
+
+
+def unsqueezed_words(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+
+
+def _low(x, size: int):
+    """The last bytes, of numbers or a column."""
+    mask = (1 << 8 * size) - 1
+    return x.bitwiseAND(mask) if isinstance(x, Column) else x & mask
+
+
+def branch_first(grams: np.ndarray, order: int) -> np.ndarray:
+    """N-grams with their branch, the `SHORT` bytes before the last one, moved to the front."""
+    short = min(order, SHORT)
+    return _low(grams >> 8, short) << 8 * (order - short + 1) | grams >> 8 * (short + 1) << 8 | _low(grams, 1)
+
+
+def branch_back(keys: np.ndarray, order: int) -> np.ndarray:
+    """The n-grams that `branch_first` made."""
+    short = min(order, SHORT)
+    far = order - short
+    return _low(keys >> 8, far) << 8 * (short + 1) | keys >> 8 * (far + 1) << 8 | _low(keys, 1)
+
+
+def _mixed(branch):
+    """A branch's place from 0 to 2**32, for numbers or a column."""
+    return _low(branch * 0x2545F491, 4)
+
+
+def runs(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Slices of alike values of some columns: these values and the slice."""
+    columns = [_numpy(batch.column(x)) for x in names]
+    edges = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1
+    for i, j in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+        if j > i:
+            yield *(int(x[i]) for x in columns), batch.slice(i, j - i)
+
+
+def ranged(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range of `place` and the indices of its rows, in their order."""
+    at, sizes = np.argsort(place, kind="stable"), np.bincount(place)
+    to = np.cumsum(sizes)
+    for r in np.flatnonzero(sizes).tolist():
+        yield r, at[to[r] - sizes[r] : to[r]]
+
+
+def asked(docs: DataFrame, size: int, order: int = ORDER) -> DataFrame:
+    """The documents dealt to blocks (null text: empty), and what each block asks for; `size` is the texts' bytes.
 
     A block has rows of packed documents (`texts`: ids, whether held out, small-letter
-    texts), and a row for each distinct word (`word`) and each distinct n-gram (`gram`).
-    `n` counts the training texts, words or n-grams.
+    texts), a row for each range of words or branches that it has words or n-grams of
+    (`range`, packed `words` or `keys`, and `counts`), and a row for each distinct end of
+    an n-gram that the tables of lower levels have (`gram`).  `n` and `counts` count the
+    training texts, words or n-grams.
     """
+    short, ranges = min(order, SHORT), size // RANGE + 1
     # the larger a block, the fewer n-grams it has for its length
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.coalesce(size // BLOCK + 1).select(F.spark_partition_id().cast("long").alias("part"), "doc_id", held_out(F.col("doc_id")).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    types = {"block": pa.int64(), "texts": pa.binary(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64()}
+    types = {"block": pa.int64(), "texts": pa.binary(), "gram": pa.int64(), "n": pa.int64(), "range": pa.int64(), "words": pa.binary(), "keys": pa.binary(), "counts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Table] = []
@@ -127,17 +199,33 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
             full = {"block": pa.repeat(pa.scalar(block, pa.int64()), n)} | columns
             return pa.RecordBatch.from_arrays([full.get(c, pa.nulls(n, t)) for c, t in types.items()], [*types])
 
+        def asking(r: int, counts: np.ndarray, **columns: bytes) -> pa.RecordBatch:
+            return out(range=pa.array([r]), counts=pa.array([squeezed(counts)], pa.binary()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()})
+
         def close() -> Iterator[pa.RecordBatch]:
             if words:
-                total = _counted(words)
+                total = _counted(words).sort_by("word")
                 words.clear()
-                yield from (out(word=x["word"].combine_chunks().cast(pa.string()), n=x["n"].combine_chunks()) for x in (total.slice(i, 100_000) for i in range(0, len(total), 100_000)))
+                names, n = total["word"].combine_chunks().cast(pa.large_binary()).to_pylist(), total["n"].to_numpy()
+                del total
+                for r, own in ranged(np.fromiter(map(zlib.crc32, names), np.int64, len(names)) * ranges >> 32):
+                    yield asking(r, n[own], words=squeezed_words([names[i] for i in own.tolist()]))
+                del names, n
             count(0)
             keys, counts = _summed(grams)
             grams.clear()
-            for i in range(0, len(keys), 100_000):
-                yield out(gram=pa.array(keys[i : i + 100_000]), n=pa.array(counts[i : i + 100_000]))
-            del keys, counts
+            branch = keys >> 8 * (order - short + 1)
+            ends = branch << 8 | _low(keys, 1)
+            names = np.unique(ends)
+            n = np.bincount(np.searchsorted(names, ends), counts, len(names)).astype(np.int64)
+            del ends
+            for i in range(0, len(names), 100_000):
+                yield out(gram=pa.array(names[i : i + 100_000]), n=pa.array(n[i : i + 100_000]))
+            place = (_mixed(branch) * ranges >> 32).astype(np.int32)
+            del branch
+            for r, own in ranged(place):
+                yield asking(r, counts[own], keys=squeezed(np.diff(keys[own], prepend=0)))
+            del keys, counts, place
             give_back()
 
         for batch in slices(batches, "text"):
@@ -146,7 +234,7 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
             held, whole = batch.column("held"), pc.ascii_lower(strings(batch.column("text")))
             sink = pa.BufferOutputStream()
             packed = pa.RecordBatch.from_arrays([batch.column("doc_id"), held, whole], ["doc_id", "held", "text"])
-            with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
                 stream.write_batch(packed)
             yield out(texts=pa.array([sink.getvalue().to_pybytes()], pa.binary()), n=pa.array([pc.sum(pc.invert(held)).as_py()], pa.int64()))
             for some, counted in ((pc.invert(held), 1), (held, 0)):
@@ -154,7 +242,7 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if not len(texts):
                     continue
                 for found, _ in windows(texts, order):
-                    raw[counted].append(found)
+                    raw[counted].append(branch_first(found, order))
                     count(RAW)
                 _, codes, names = split_words(texts)
                 words.append(pa.table({"word": names, "n": pa.array(np.bincount(codes, minlength=len(names)) * counted, pa.int64())}).filter(pc.field("word") != ""))
@@ -167,7 +255,7 @@ def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if block is not None:
             yield from close()
 
-    return mapped(rows, run, "block long, texts binary, word string, gram long, n long")
+    return mapped(rows, run, "block long, texts binary, gram long, n long, range long, words binary, keys binary, counts binary")
 
 
 def _seen(c: Column, total: Column) -> Column:
@@ -178,10 +266,6 @@ def _escape(different: Column, total: Column) -> Column:
     return F.log10(F.try_divide(different, 2 * total))
 
 
-def _low(x: Column, size: int) -> Column:
-    return x.bitwiseAND((1 << 8 * size) - 1)
-
-
 def lower_levels(grams: DataFrame, order: int) -> DataFrame:
     """`gram, c, t, q, logp, escaped` for n-grams of `order` + 1 bytes from their counts `n`.
 
@@ -224,58 +308,124 @@ def _next_level(grams: np.ndarray, c: np.ndarray, under: tuple[np.ndarray, ...],
     return c, t, q, np.where(t == 0, lower, known), escaped
 
 
-def trie(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """`gram, logp`: log10 of the probability of the last byte of each n-gram after the others.
+def trie(asks: DataFrame, ends: DataFrame, ranges: int, order: int = ORDER) -> DataFrame:
+    """`block, keys, seen, totals, escapes`: for each row of `asks`, what gives the probability of the last byte of each n-gram after the others.
 
-    `grams` has distinct `gram` and its training count `n`, which may be 0.  Levels of
-    up to `SHORT` bytes of context are tables; longer contexts are branches below their
-    last `SHORT` + 1 bytes, dealt to tasks and solved in arrays.  A branch of the default
-    order has at most 2**24 n-grams, however large the corpus is.
+    `asks` has packed n-grams (`block`, `range`, `keys`, `counts`; counts may be 0) as
+    `asked` makes them, `ends` the counts `n` of all distinct `gram`, their last bytes.
+    The answer has how often each n-gram was seen, the total of each context, and log10 of
+    the probability of those never seen; `probabilities` reads it.  Levels of up to `SHORT` bytes of context are tables;
+    longer contexts are branches below those, and a range of branches is solved in arrays
+    by one task.  There are as many more ranges as there is more text, and a branch of the
+    default order has at most 2**24 n-grams, however large the corpus is; what blocks ask
+    of a range stays compressed, and is read one block at a time.
     """
     short = min(order, SHORT)
-    low = lower_levels(stored(grams.groupBy(_low(F.col("gram"), short + 1).alias("gram")).agg(F.sum("n").alias("n"))), short)
-    if short == order:
-        return low.select("gram", "logp")
-    cells = grams.select(_low(F.shiftright("gram", 8), short + 1).alias("branch"), "gram", F.col("n").cast("double").alias("c"))
-    heads = cells.select("branch", _low(F.col("branch"), short).alias("context")).distinct().join(low.withColumn("context", F.shiftright("gram", 8)), "context")
-    values = ["t", "q", "logp", "escaped"]
-    heads = heads.select("branch", F.lit(0).alias("what"), F.shiftleft("branch", 8).bitwiseOR(_low(F.col("gram"), 1)).alias("gram"), "c", *values)
-    rows = heads.unionAll(cells.select("branch", F.lit(1).alias("what"), "gram", "c", *(F.lit(None).cast("double").alias(v) for v in values)))
-
-    def solved(table: pa.Table) -> pa.RecordBatch:
-        what = table["what"].to_numpy() == 1
-        gram, c = table["gram"].to_numpy()[what], table["c"].to_numpy()[what]
-        names = table["gram"].to_numpy()[~what]
-        level = tuple(table[v].to_numpy()[~what] for v in ["c", *values])
-        place = np.argsort(names)
-        names, level = names[place], tuple(x[place] for x in level)
+    level = ["c", "t", "q", "logp", "escaped"]
+    none = {"gram": "long"} | dict.fromkeys(level, "double") | {"block": "long", "keys": "binary", "counts": "binary"}
+
+    def shaped(df: DataFrame, where: Column, what: int) -> DataFrame:
+        return df.select(where.alias("range"), F.lit(what).alias("what"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+
+    place = F.shiftright(_mixed(F.shiftright("gram", 8)) * F.lit(ranges).cast("long"), 32)
+    rows = shaped(lower_levels(ends, short), place, 0).unionAll(shaped(asks, F.col("range"), 1))
+
+    def solved(heads: list[pa.RecordBatch], asks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for keys, counts in ((x, n) for batch in asks for x, n in zip(batch.column("keys"), batch.column("counts"), strict=True)):
+            parts.append((np.cumsum(unsqueezed(keys.as_py())), unsqueezed(counts.as_py())))
+            if len(parts) > 2 and sum(len(x) for x, _ in parts[1:]) > max(RAW, len(parts[0][0])):
+                parts[:] = [_summed(parts)]
+        grams, counts = _summed(parts)
+        parts.clear()
+        grams = branch_back(grams, order)
+        table = pa.Table.from_batches(heads)
+        names = table["gram"].to_numpy()
+        at = np.argsort(names)
+        names, values = names[at], tuple(table[v].to_numpy()[at] for v in level)
         for k in range(short + 1, order + 1):
-            keys, at = np.unique(gram & (1 << 8 * (k + 1)) - 1, return_inverse=True)
-            suffix = keys if k == short + 1 else keys & (1 << 8 * k) - 1
-            level = _next_level(keys, np.bincount(at, c), level, np.searchsorted(names, suffix))
-            names = keys
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(level[3])], ["gram", "logp"])
+            longer, at = np.unique(_low(grams, k + 1), return_inverse=True)
+            values = _next_level(longer, np.bincount(at, counts), values, np.searchsorted(names, _low(longer, k)))
+            names = longer
+        c, t, _, logp, _ = values
+        del grams, counts, values
+        for batch in asks:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                keys = np.cumsum(unsqueezed(packed))
+                at = np.searchsorted(names, branch_back(keys, order))
+                seen = c[at].astype(np.int64)
+                answer = squeezed(seen), squeezed(t[at[_first(keys)]].astype(np.int64)), squeezed(logp[at[seen == 0]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed, *answer))], ["block", *ANSWER])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
+        now = None
+        for batch in batches:
+            for where, what, part in runs(batch, "range", "what"):
+                if where != now:
+                    if held[1]:
+                        yield from solved(held[0], held[1])
+                    now = where
+                    held[0].clear(), held[1].clear()
+                held[what].append(part)
+        if held[1]:
+            yield from solved(held[0], held[1])
+        held[0].clear(), held[1].clear()
+        give_back()
+
+    return mapped(rows.repartition("range").sortWithinPartitions("range", "what"), run, "block long, " + ", ".join(f"{c} binary" for c in ANSWER))
+
+
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Where a context begins among sorted n-grams."""
+    return np.append(True, keys[1:] >> 8 != keys[:-1] >> 8)
+
+
+def probabilities(keys: bytes, seen: bytes, totals: bytes, escapes: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and the log10 probabilities of their last bytes, of a row of `trie`."""
+    grams, c = np.cumsum(unsqueezed(keys)), unsqueezed(seen)
+    t = unsqueezed(totals)[np.cumsum(_first(grams)) - 1]
+    logp = np.empty(len(grams))
+    logp[c == 0] = unsqueezed(escapes).view(np.float64)
+    logp[c > 0] = np.log10((2 * c[c > 0] - 1) / (2 * t[c > 0]))
+    return branch_back(grams, order), logp
+
+
+def words_counted(asks: DataFrame) -> DataFrame:
+    """`block, words, counts` of each row of `asks`, with counts in all blocks, and a row of `n, v` for each range.
+
+    `n` sums the counts of the range's different words, `v` is how many have any.
+    """
+
+    def counted(asks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for batch in asks for x in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True)]
+        lists = [unsqueezed_words(words) for _, words, _ in rows]
+        coded = pa.array(itertools.chain.from_iterable(lists), pa.large_binary()).dictionary_encode()
+        codes = _numpy(coded.indices)
+        c = np.bincount(codes, np.concatenate([unsqueezed(n) for _, _, n in rows])).astype(np.int64)
+        ends = np.cumsum([len(x) for x in lists])[:-1]
+        answers = [squeezed(c[own]) for own in np.split(codes, ends)]
+        one = [None]
+        columns = [pa.array([b for b, _, _ in rows] + one, pa.int64()), pa.array([w for _, w, _ in rows] + one, pa.binary()), pa.array(answers + one, pa.binary())]
+        sums = [pa.array([None] * len(rows) + [int(x)], pa.int64()) for x in (c.sum(), np.count_nonzero(c))]
+        yield pa.RecordBatch.from_arrays([*columns, *sums], ["block", "words", "counts", "n", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        now = None
         for batch in batches:
-            branch = _numpy(batch.column("branch"))
-            if size >= BRANCHES and len(branch):
-                last = held[-1].column("branch")[-1].as_py()
-                cut = int(np.argmax(branch != last)) if branch[-1] != last else len(branch)
-                held.append(batch.slice(0, cut))
-                batch, size = batch.slice(cut), size + cut
-                if batch.num_rows:
-                    yield solved(pa.Table.from_batches(held))
-                    held, size = [], 0
-            held.append(batch)
-            held = [x for x in held if x.num_rows]
-            size += batch.num_rows
+            for where, part in runs(batch, "range"):
+                if where != now and held:
+                    yield from counted(held)
+                    held.clear()
+                now = where
+                held.append(part)
         if held:
-            yield solved(pa.Table.from_batches(held))
+            yield from counted(held)
+        held.clear()
+        give_back()
 
-    return mapped(rows.repartition("branch").sortWithinPartitions("branch"), run, "gram long, logp double")
+    return mapped(asks.repartition("range").sortWithinPartitions("range"), run, "block long, words binary, counts binary, n long, v long")
 
 
 class Answers:
@@ -316,34 +466,53 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows.  Other columns of `docs` are left alone.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(asked(docs, order))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = stored(asked(docs, size, order))
     texts = rows.filter("texts is not null").select("block", "texts", "n")
-    per_word = Window.partitionBy("word")
-    words = rows.filter("word is not null").select("block", "word", "n").select("block", "word", F.sum("n").over(per_word).cast("double").alias("c"), (F.min("block").over(per_word) == F.col("block")).alias("first"))
+    words = words_counted(rows.filter("words is not null").select("block", "range", "words", "counts"))
     ends = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("ends"))
-    seen = words.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("n"), F.count("*").alias("v"))
+    seen = words.filter("block is null").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     totals = ends.crossJoin(seen).select("ends", (F.col("n") + F.col("ends")).alias("total"), (F.col("v") + F.when(F.col("ends") > 0, 1).otherwise(0)).alias("distinct"))
-    grams = rows.filter("gram is not null").select("block", "gram", "n")
-    known = trie(stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order).filter(F.col("logp") != USUAL)
-    answers = grams.select("block", "gram").join(known, "gram")
-    empty = {"word": "string", "gram": "long", "value": "double", "texts": "binary"}
+    asks = rows.filter("keys is not null").select("block", "range", "keys", "counts")
+    answers = trie(asks, stored(rows.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))), size // RANGE + 1, order)
+    empty = dict.fromkeys(["words", "counts", *ANSWER, "texts"], "binary")
 
-    def shaped(df: DataFrame, what: str, **columns: str) -> DataFrame:
-        return df.select("block", F.lit(WHAT[what]).alias("what"), *(F.col(columns[c]).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+    def shaped(df: DataFrame, what: str) -> DataFrame:
+        return df.select("block", F.lit(WHAT[what]).alias("what"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
 
-    parts = shaped(words.filter(F.col("c") != USUAL_COUNT), "word", word="word", value="c").unionAll(shaped(answers, "gram", gram="gram", value="logp")).unionAll(shaped(texts, "texts", texts="texts"))
+    parts = shaped(words.filter("block is not null"), "word").unionAll(shaped(answers, "gram")).unionAll(shaped(texts, "texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
         block, names, counts, answer = None, None, None, None
 
+        def words_answered(parts: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
+            words, values = [pa.array([], pa.large_binary())], [np.zeros(0)]
+            for batch in parts:
+                for some, n in zip(*batch.columns, strict=True):
+                    value = unsqueezed(n.as_py()).astype(np.float64)
+                    keep = value != USUAL_COUNT
+                    words.append(pa.array(unsqueezed_words(some.as_py()), pa.large_binary()).filter(pa.array(keep)))
+                    values.append(value[keep])
+            return pa.concat_arrays(words), np.concatenate(values)
+
+        def answered(parts: list[pa.RecordBatch]) -> Answers:
+            grams, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for batch in parts:
+                for row in zip(*batch.columns, strict=True):
+                    found, value = probabilities(*(x.as_py() for x in row), order)
+                    keep = value != USUAL
+                    grams.append(found[keep])
+                    values.append(value[keep])
+            return Answers(np.concatenate(grams), np.concatenate(values))
+
         def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
             text = strings(batch.column("text"))
             logp = np.zeros(len(text))
             for found, owner in windows(text, order):
                 logp += np.bincount(owner, answer(found), len(text))
             per_text, codes, distinct = split_words(text)
-            at = _numpy(pc.fill_null(pc.index_in(distinct, value_set=names), -1)).astype(np.int64)
+            at = _numpy(pc.fill_null(pc.index_in(distinct.cast(pa.large_binary()), value_set=names), -1)).astype(np.int64)
             c = np.append(counts, USUAL_COUNT)[at]
             real = _numpy(pc.not_equal(distinct, ""))
             owner = np.repeat(np.arange(len(text)), per_text)
@@ -354,28 +523,18 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             values = [batch.column("doc_id"), batch.column("held"), total(np.ones(len(at))).astype(np.int64), total(c > 0).astype(np.int64), total(np.log10(c + PRIOR)), logp]
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], ["doc_id", "held_out", "words", "known", "base", "score"])
 
-        def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-            b, w = _numpy(batch.column("block")), _numpy(batch.column("what"))
-            edges = np.flatnonzero((b[1:] != b[:-1]) | (w[1:] != w[:-1])) + 1
-            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True):
-                if j > i:
-                    yield int(b[i]), int(w[i]), batch.slice(i, j - i)
-
         for batch in batches:
-            for b, what, part in runs(batch):
+            for b, what, part in runs(batch, "block", "what"):
                 if b != block:
                     block, answer = b, None
                     held[0].clear(), held[1].clear()
                 if what < WHAT["texts"]:
-                    held[what].append(part.select(["word", "gram", "value"]))
+                    held[what].append(part.select(["words", "counts"] if what == WHAT["word"] else ANSWER))
                     continue
                 if answer is None:
-                    words_of = pa.Table.from_batches(held[0], part.select(["word", "gram", "value"]).schema)
-                    grams_of = pa.Table.from_batches(held[1], words_of.schema)
-                    names, counts = pa.concat_arrays([words_of["word"].combine_chunks().cast(pa.large_string())]), words_of["value"].to_numpy()
-                    answer = Answers(grams_of["gram"].to_numpy(), grams_of["value"].to_numpy())
+                    names, counts = words_answered(held[0])
+                    answer = answered(held[1])
                     held[0].clear(), held[1].clear()
-                    del words_of, grams_of
                     give_back()
                 for packed in part.column("texts"):
                     yield from map(scored, pa.ipc.open_stream(packed.as_buffer()))

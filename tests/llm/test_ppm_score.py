@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,39 @@ def test_blocks_do_not_change_scores(spark, monkeypatch):
     once = {r.doc_id: r.score for r in ppm_score.score(docs).collect()}
     dealt = {r.doc_id: r.score for r in ppm_score.score(docs.repartition(7)).collect()}
     assert once == dealt
+
+
+def _disk(spark):
+    """Bytes of each file that the session's shuffles and checkpoints have."""
+    sc = spark.sparkContext._jsc.sc()
+    blocks = sc.env().blockManager().diskBlockManager().getAllFiles()
+    folder = Path(sc.getCheckpointDir().get().removeprefix("file:"))
+    return {f.toString(): f.length() for f in map(blocks.apply, range(blocks.size()))} | {str(f): f.stat().st_size for f in folder.rglob("*") if f.is_file()}
+
+
+def test_an_ngram_takes_few_bytes_of_disk(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4)
+    texts = pa.array([(r.text or "").lower() for r in docs.collect()], pa.large_string())
+    distinct = len(np.unique(np.concatenate([g for g, _ in ppm_score.windows(texts, ppm_score.ORDER)])))
+    monkeypatch.setattr(ppm_score, "BLOCK", 1 << 18)  # many blocks, that ask for many n-grams twice
+    monkeypatch.setattr(ppm_score, "RANGE", 1 << 18, raising=False)
+    before = _disk(spark)
+    assert len(ppm_score.score(docs).collect()) == len(texts)
+    assert sum(n for f, n in _disk(spark).items() if f not in before) < 48 * distinct  # 76 with a row for each n-gram and word
+
+
+@pytest.mark.parametrize("order", [0, 3, 4, 6])
+def test_what_is_squeezed_comes_back(order):
+    grams = np.unique(np.random.default_rng(1).integers(0, 1 << 8 * (order + 1), 3000))
+    keys = np.sort(ppm_score.branch_first(grams, order))
+    assert (np.sort(ppm_score.branch_back(keys, order)) == grams).all()
+    for numbers in (keys, np.diff(keys, prepend=0), keys[:0], np.array([0, -1, 1 << 62])):
+        assert (ppm_score.unsqueezed(ppm_score.squeezed(numbers)) == numbers).all()
+    words = [b"a", "\u00e7a".encode(), b"\x00", b"\xff" * 1000]
+    assert ppm_score.unsqueezed_words(ppm_score.squeezed_words(words)) == words
+    c, t = np.arange(len(keys)) % 3, np.unique(keys >> 8, return_inverse=True)[1] % 5 + 2
+    first = np.append(True, np.diff(keys >> 8) > 0)
+    parts = [np.diff(keys, prepend=0), c, t[first], np.full((c == 0).sum(), -2.5).view(np.int64)]
+    found, logp = ppm_score.probabilities(*map(ppm_score.squeezed, parts), order)
+    assert (found == ppm_score.branch_back(keys, order)).all()
+    assert logp == pytest.approx([math.log10((2 * x - 1) / (2 * y)) if x else -2.5 for x, y in zip(c, t, strict=True)])
