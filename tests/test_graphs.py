@@ -255,3 +255,23 @@ def test_equal_nodes_are_matched_before_others(monkeypatch):
         assert c_depend.edit_distance(x, y, 0, 0) == (assign(cost) if x or y else 0, False)
     sizes.clear()
     assert c_depend.edit_distance(x, x[::-1], 0, 0) == (0, False) and not sizes
+
+
+def test_large_graphs_have_exact_distances(spark):
+    rng = random.Random(11)
+    for size in (3, 9, 40):
+        for _ in range(20):
+            x, y = ([(rng.randrange(6), rng.randrange(4), i == 0, i == 1) for i in range(rng.randrange(1, size))] for _ in range(2))
+            x2, y2 = np.array(x, np.int64).reshape(len(x), 4), np.array(y, np.int64).reshape(len(y), 4)
+            cost = np.full((len(x) + len(y),) * 2, 10**9)
+            cost[: len(x), : len(y)] = np.abs(x2[:, None, :2] - y2[None, :, :2]).sum(2) + c_depend.ROLE_PENALTY * (x2[:, None, 2:] != y2[None, :, 2:]).any(2)
+            cost[np.arange(len(x)), len(y) + np.arange(len(x))] = 1 + x2[:, :2].sum(1)
+            cost[len(x) + np.arange(len(y)), np.arange(len(y))] = 1 + y2[:, :2].sum(1)
+            cost[len(x) :, len(y) :] = 0
+            assert c_depend.edit_distance(x, y, 0, 0, None) == (c_depend.assign(cost), False)
+    # one node has a degree more, another one less: sizes and edges are equal
+    node = {"in": 1, "out": 1, "is_entry": False, "is_exit": False}
+    left, right = [node] * 5_000, [node | {"in": 2}, node | {"in": 0}] + [node] * 4_998
+    schema = "pair_id string, left array<struct<`in`:int,out:int,is_entry:boolean,is_exit:boolean>>, right array<struct<`in`:int,out:int,is_entry:boolean,is_exit:boolean>>, left_edges int, right_edges int"
+    rows = spark.createDataFrame([("x", left, right, 5_000, 5_000)], schema)
+    assert [tuple(r) for r in graphs.similarity(rows).collect()] == [("x", 2, False)]
