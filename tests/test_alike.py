@@ -138,3 +138,35 @@ def test_graphs_without_places_sizes_and_blocks_of_alike_sources(spark):
         tree = Tree(BOUNDS[int(r.source_id)])
         b = c_parity.blocks(tree, tree.functions()[0])
         assert (r.nodes, [tuple(e) for e in r.edges], r.degenerate) == (b["nodes"], b["edges"], b["degenerate"]) and r.name == tree.name_of(tree.functions()[0])
+
+
+def test_one_pass_operators_find_what_whole_texts_give(spark):
+    from pyspark.sql import functions as F
+
+    from corvina.operators import annotations, declared, graphs
+    from corvina.plans import stage
+
+    one = "long order_%d(int a, struct s_%d *v)\n{\n    for (int i = 0; i < %d; i++) { if (a && v->m_%d) a = a + %d; }\n    while (a < %d) a--;\n    return a + %d;\n}\n"
+    texts = ["", "int x;", "{ broken", 'int f(char *p) { for (;;) return p["a"]; }', "/* x */ int é(int a) { do a--; while (a > 08); }", "int f(void) { goto *x; l: return 1 +; "]
+    texts += [f"struct s_{k} {{ unsigned m_{k}; }};\n" + "\n".join(one % (n + i, k, m, k, n, i + 1, m) for i in range(3)) for n in (1, 9, 10, 400) for k in (1, n) for m in (3, 5_000_000_000)]
+    texts += [texts[-1] + "int f(int b) { switch (b) { case 1: b = 'x'; } }\n"]
+    sources = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "source_id string, text string").coalesce(1)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    tokens = stage.token_kinds(sources)
+    assert rows(tokens) == rows(stage.tokens(stage.parse(sources, graphs=False, tokens=True)).groupBy("kind").agg(F.count("*").alias("n")))
+    assert "Generate" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(annotations.loop_counts(sources)) == rows(annotations.loop_bounds(sources).groupBy("loop", "bound_kind").agg(F.count("*").alias("n")))
+    assert rows(declared.typed_operations(sources, places=False)) == rows(declared.typed_operations(sources).drop("lo", "hi"))
+    nodes = graphs.nodes(sources)
+    assert rows(nodes) == rows(stage.cfg_nodes(stage.parse(sources)).drop("lo", "hi"))
+    assert "Generate" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_early_readers_make_what_is_alike_once():
+    made = []
+    reader = c_alike.Reader(lambda tree: (made.append(tree) or [{"name": tree.name_of(f)} for f in tree.functions()], None), numbers=True, early=True)
+    told = [reader.read(f"int f_{n}(int a)\n{{\n    return {n};\n}}\n")[0][0]["name"] for n in (3, 17, 256)]
+    assert told == ["f_3", "f_17", "f_256"] and len([t for t in made if t.functions()]) == 1
