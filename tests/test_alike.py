@@ -170,3 +170,29 @@ def test_early_readers_make_what_is_alike_once():
     reader = c_alike.Reader(lambda tree: (made.append(tree) or [{"name": tree.name_of(f)} for f in tree.functions()], None), numbers=True, early=True)
     told = [reader.read(f"int f_{n}(int a)\n{{\n    return {n};\n}}\n")[0][0]["name"] for n in (3, 17, 256)]
     assert told == ["f_3", "f_17", "f_256"] and len([t for t in made if t.functions()]) == 1
+
+
+def test_totals_of_damaged_texts_are_those_of_whole_ones(spark, monkeypatch):
+    from corvina.operators import evaluation
+    from corvina.plans import stage
+
+    one = "int order_%d(int a, int b)\n{\n    int total = %d;\n    while (total < %d) {\n        total = total + 1;\n    }\n    if (a > 1 && b) {\n        total = supplier_%d(a, 7);\n    }\n    return total;\n}\n"
+    rows = [(str(k), "\n".join(one % (n, n % 3, k, n * k) for n in range(1, 2 + k % 5))) for k in range(60)]
+    sources = spark.createDataFrame([*rows, ("x", None), ("y", "int x;")], "source_id string, text string").coalesce(1)
+    damaged = evaluation.mutated(sources, [1, 4], 2).cache()
+
+    def whole(text: str) -> tuple:
+        u = c_measure._whole(Tree(text or ""), "counts")
+        return len(u["functions"]), sum(f["n_nodes"] for f in u["functions"]), sum(f["n_edges"] for f in u["functions"]), len(u["diagnostics"])
+
+    wanted = sorted((r.source_id, r.severity, *whole(r.text)) for r in damaged.collect())
+    assert sorted(map(tuple, stage.totals(damaged, ["severity"]).collect())) == wanted and any(r[-1] for r in wanted)
+    # only what the totals hold is made: no measures
+    monkeypatch.setattr(c_measure, "shape", None)
+    held = []
+    monkeypatch.setattr(stage, "mapped", lambda df, run, schema: held.append(run) or df)
+    stage.totals(sources)
+    import pyarrow as pa
+
+    batch = next(held[0](iter([pa.RecordBatch.from_pydict({"source_id": ["1"], "text": [rows[4][1] + "int f( {"]})])))
+    assert batch.to_pylist()[0]["n_functions"] >= 5
